@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprint
-from .common import table
+from . import decontaminate, fingerprint, language, lines, packing, sentences, simhash, toxicity, url_rules, warc
+from .common import held_out, table
 
 
 def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,8 +16,74 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumns({c: fingerprint.as_text(F.col(c)) for c in ("fingerprint", "edited_fingerprint")})
 
 
+def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = language.identify(docs, language.learn_profiles(docs))
+    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc.archive(table(spark, sf_dir, "pages"))
+    size = F.coalesce(F.octet_length("payload"), F.col("payload_bytes")).cast("long")
+    digest = F.coalesce(F.sha1("payload"), F.col("payload_digest"))
+    return records.select("page_id", size.alias("payload_bytes"), digest.alias("payload_digest"), "record_type", "refers_to")
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = toxicity.score_documents(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return lines.dedup_lines(docs.select("doc_id", "text"))
+
+
+def tokenizer() -> tuple[str, str, str]:
+    """Arguments of `packing.encoder`: the public vocabulary, as the installed package describes it."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+
+
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer(), with_ids=False)
+
+
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentences.dedup_sentences(table(spark, sf_dir, "documents"))
+
+
+#: host, path, verdict
+URL_RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
+
+
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return url_rules.judge_urls(table(spark, sf_dir, "pages"), rules)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": op1_fingerprints,
+    "op2_simhash_near_dedup": op2_simhash_near_dedup,
+    "op3_benchmark_decontamination": op3_benchmark_decontamination,
+    "op4_language_id": op4_language_id,
+    "op5_warc": op5_warc,
+    "op6_toxicity": op6_toxicity,
+    "op7_line_dedup": op7_line_dedup,
+    "op8_best_fit_packing": op8_best_fit_packing,
+    "op9_substring_dedup": op9_substring_dedup,
+    "op10_url_filter": op10_url_filter,
 }
 
 ORACLES: dict[str, str] = {}
