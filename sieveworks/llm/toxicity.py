@@ -19,14 +19,13 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import held_out, small_batches
+from .common import cut, held_out, small_batches
 
 #: Lengths of the n-grams, bits of their hash, smoothing of the counts.
 NGRAMS, BITS, ALPHA = (3, 4, 5), 18, 1.0
 #: Most training rows of each label that the weights are fitted on (the least by hash of the id).
-FIT_ROWS = 2000
+FIT_ROWS = 1000
 #: Bytes of text hashed at once: very long texts go through in overlapping pieces.
 PIECE = 1 << 20
 
@@ -86,17 +85,16 @@ def log_count_ratios(training: DataFrame) -> np.ndarray:
 
 def _sample_rows(training: DataFrame) -> list[tuple[np.ndarray, int]]:
     """Features of at most FIT_ROWS training rows of each label."""
-    schema = T.StructType([T.StructField("toxic", T.IntegerType()), T.StructField("features", T.ArrayType(T.IntegerType()))])
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"toxic": (b["toxic"] > 0).astype(int), "features": [features(t).astype(np.int32) for t in b["text"]]})
+            yield pd.DataFrame({"toxic": (b["toxic"] > 0).astype(int), "features": [features(t).astype(np.int32).tobytes() for t in b["text"]]})
 
     out = []
     for toxic in (True, False):
         some = training.filter((F.col("toxic") > 0) == toxic).orderBy("rank").limit(FIT_ROWS).select("text", "toxic")
-        for batch in some.mapInPandas(read, schema).toLocalIterator():
-            out.append((np.array(batch["features"], dtype=np.int64), batch["toxic"]))
+        for row in some.mapInPandas(read, "toxic int, features binary").toLocalIterator():
+            out.append((np.frombuffer(row["features"], dtype=np.int32), row["toxic"]))
     return out
 
 
@@ -106,7 +104,7 @@ def fit(docs: DataFrame, labels: DataFrame, rounds: int = 60, rate: float = 0.5,
     Without training rows of both labels every text scores 0 (none is known to be toxic).
     """
     small_batches(docs.sparkSession)
-    training = _training(docs, labels)
+    training = cut(_training(docs, labels))  # texts meet their labels once
     ratios = log_count_ratios(training)
     rows = _sample_rows(training)
     y = np.array([t for _, t in rows], dtype=np.float64)
@@ -114,9 +112,9 @@ def fit(docs: DataFrame, labels: DataFrame, rounds: int = 60, rate: float = 0.5,
         return Model(np.zeros(1 << BITS), -500.0)
     # compressed sparse rows; a feature's value is its ratio, scaled so that rows have a norm near 1
     sizes = np.array([len(f) for f, _ in rows])
-    index, owner = np.concatenate([f for f, _ in rows]), np.repeat(np.arange(len(rows)), sizes)
+    index, owner = np.concatenate([f for f, _ in rows]), np.repeat(np.arange(len(rows), dtype=np.int32), sizes)
     scale = 1.0 / np.sqrt(max(1.0, float(np.mean(np.bincount(owner, ratios[index] ** 2, len(rows))))))
-    value = ratios[index] * scale
+    value = (ratios[index] * scale).astype(np.float32)
     each = np.where(y == 1, 0.5 / y.sum(), 0.5 / (len(y) - y.sum()))  # both labels weigh the same
     w, b, gw, gb = np.zeros(1 << BITS), 0.0, np.full(1 << BITS, 1e-8), 1e-8
     for _ in range(rounds):  # AdaGrad on the whole sample
