@@ -1,0 +1,38 @@
+"""Sinks."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+def chunks(df: DataFrame, path: str, json: bool = False) -> None:
+    (df.write.mode("overwrite").json if json else df.write.mode("overwrite").parquet)(path)
+
+
+def test_set(df: DataFrame, path: str) -> None:
+    df.select("query", "relevant_ids").write.mode("overwrite").json(path)
+
+
+def vectors(df: DataFrame, model: str, dimension: int, path: str) -> str:
+    """Vectors and a one-row config below a folder named for the model."""
+    folder = f"{path}/{model.replace('/', '_')}"
+    df.write.mode("overwrite").parquet(f"{folder}/vectors")
+    df.agg(F.count("*").alias("num_chunks")).select(F.lit(model).alias("model_name"), F.lit(dimension).alias("dimension"), "num_chunks").write.mode("overwrite").json(f"{folder}/config")
+    return folder
+
+
+def report(df: DataFrame, path: str, csv: bool = False) -> None:
+    """A small report as one JSON or CSV file."""
+    one = df.coalesce(1).write.mode("overwrite")
+    one.option("header", True).csv(path) if csv else one.json(path)
+
+
+def kept_and_removed(kept: DataFrame, removed: DataFrame, path: str) -> None:
+    for name, df in (("kept", kept), ("removed", removed)):
+        df.write.mode("overwrite").option("header", True).option("escape", '"').csv(f"{path}/{name}")
+
+
+def debug_and_clean(df: DataFrame, clean: list[str], path: str) -> None:
+    df.write.mode("overwrite").option("header", True).option("escape", '"').csv(f"{path}/debug")
+    df.select(*clean).write.mode("overwrite").option("header", True).option("escape", '"').csv(f"{path}/clean")
