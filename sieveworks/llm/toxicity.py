@@ -6,8 +6,11 @@ feature is scaled by its log-count ratio
     r = ln((p + alpha) / |p + alpha|) - ln((q + alpha) / |q + alpha|)
 
 where p and q count the toxic and the other training documents that have the feature, over
-*all* labelled training rows, summed by Spark. Logistic regression on the scaled features then
-learns one weight per feature from a bounded sample of those rows (FIT_ROWS).
+*all* labelled training rows, summed by Spark, and |.| stands for the documents of the class.
+alpha is shared out by the classes' sizes, so that an unseen feature has a ratio of 0, and each
+ratio is moved towards 0 by DOUBT times its standard error: most n-grams of rare words end there.
+Logistic regression on the scaled features then learns one weight per feature from a bounded
+sample of those rows (FIT_ROWS).
 """
 
 from __future__ import annotations
@@ -24,8 +27,12 @@ from .common import cut, held_out, small_batches
 
 #: Lengths of the n-grams, bits of their hash, smoothing of the counts.
 NGRAMS, BITS, ALPHA = (3, 4, 5), 18, 1.0
+#: Standard errors that a ratio must exceed.
+DOUBT = 1.5
 #: Most training rows of each label that the weights are fitted on (the least by hash of the id).
 FIT_ROWS = 1000
+#: Most labels (16 bytes each) that are sent to every task; more of them are joined by a shuffle.
+SENT_LABELS = 1_000_000
 #: Bytes of text hashed at once: very long texts go through in overlapping pieces.
 PIECE = 1 << 20
 
@@ -61,7 +68,9 @@ class Model:
 def _training(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """text, toxic, rank: labelled documents outside the held-out fold; null labels teach nothing."""
     known = labels.select("doc_id", "toxic").filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    return docs.select("doc_id", "text").filter(~held_out(F.col("doc_id"))).join(known, "doc_id").select("text", "toxic", F.xxhash64("doc_id").alias("rank"))
+    known = cut(known.filter(~held_out(F.col("doc_id"))))
+    known = F.broadcast(known) if known.count() <= SENT_LABELS else known.hint("merge")
+    return docs.select("doc_id", "text").join(known, "doc_id").select("text", "toxic", F.xxhash64("doc_id").alias("rank"))
 
 
 def log_count_ratios(training: DataFrame) -> np.ndarray:
@@ -77,10 +86,15 @@ def log_count_ratios(training: DataFrame) -> np.ndarray:
 
     counts = training.select("text", "toxic").mapInPandas(count, "feature long, p long, q long").groupBy("feature").agg(F.sum("p").alias("p"), F.sum("q").alias("q"))
     got = counts.toPandas()  # 2**BITS rows at most
-    p, q = np.full(1 << BITS, ALPHA), np.full(1 << BITS, ALPHA)
+    toxic, other = training.agg(F.count_if(F.col("toxic") > 0), F.count_if(F.col("toxic") <= 0)).first()
+    if not toxic or not other:
+        return np.zeros(1 << BITS)
+    alpha = 2 * ALPHA * np.array([toxic, other]) / (toxic + other)
+    p, q = np.full(1 << BITS, alpha[0]), np.full(1 << BITS, alpha[1])
     p[got["feature"]] += got["p"]
     q[got["feature"]] += got["q"]
-    return np.log(p / p.sum()) - np.log(q / q.sum())
+    r = np.log(p / (toxic + 2 * alpha[0])) - np.log(q / (other + 2 * alpha[1]))
+    return np.sign(r) * np.maximum(0.0, np.abs(r) - DOUBT * np.sqrt(1 / p + 1 / q))
 
 
 def _sample_rows(training: DataFrame) -> list[tuple[np.ndarray, int]]:
@@ -98,7 +112,7 @@ def _sample_rows(training: DataFrame) -> list[tuple[np.ndarray, int]]:
     return out
 
 
-def fit(docs: DataFrame, labels: DataFrame, rounds: int = 60, rate: float = 0.5, decay: float = 1e-3) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, rounds: int = 300, rate: float = 1.0, decay: float = 1e-6) -> Model:
     """Learn from the labelled documents outside the held-out fold.
 
     Without training rows of both labels every text scores 0 (none is known to be toxic).
@@ -109,21 +123,21 @@ def fit(docs: DataFrame, labels: DataFrame, rounds: int = 60, rate: float = 0.5,
     rows = _sample_rows(training)
     y = np.array([t for _, t in rows], dtype=np.float64)
     if not len(y) or y.min() == y.max():
-        return Model(np.zeros(1 << BITS), -500.0)
-    # compressed sparse rows; a feature's value is its ratio, scaled so that rows have a norm near 1
-    sizes = np.array([len(f) for f, _ in rows])
-    index, owner = np.concatenate([f for f, _ in rows]), np.repeat(np.arange(len(rows), dtype=np.int32), sizes)
-    scale = 1.0 / np.sqrt(max(1.0, float(np.mean(np.bincount(owner, ratios[index] ** 2, len(rows))))))
-    value = (ratios[index] * scale).astype(np.float32)
-    each = np.where(y == 1, 0.5 / y.sum(), 0.5 / (len(y) - y.sum()))  # both labels weigh the same
-    w, b, gw, gb = np.zeros(1 << BITS), 0.0, np.full(1 << BITS, 1e-8), 1e-8
+        return Model(np.zeros(1 << BITS, dtype=np.float32), -500.0)
+    # compressed sparse rows of the features that tell anything, scaled so that rows have a norm near 1
+    rows = [f[ratios[f] != 0] for f, _ in rows]
+    index, owner = np.concatenate(rows), np.repeat(np.arange(len(rows), dtype=np.int32), [len(f) for f in rows])
+    norms = np.bincount(owner, ratios[index] ** 2, len(rows))
+    scale = 1.0 / np.sqrt(max(1e-9, float(norms.mean())))
+    value = ratios[index] * scale
+    w, b, gw, gb = np.zeros(1 << BITS), 0.0, np.full(1 << BITS, 1e-12), 1e-12
     for _ in range(rounds):  # AdaGrad on the whole sample
         z = np.bincount(owner, value * w[index], len(rows)) + b
-        err = (1.0 / (1.0 + np.exp(-np.clip(z, -500, 500))) - y) * each
-        g = np.bincount(index, value * err[owner], 1 << BITS) + decay * w / len(y)
+        err = (1.0 / (1.0 + np.exp(-np.clip(z, -500, 500))) - y) / len(y)
+        g = np.bincount(index, value * err[owner], 1 << BITS) + decay * w
         gw += g * g
         gb += err.sum() ** 2
-        w -= rate * 0.2 * g / np.sqrt(gw)
+        w -= rate * g / np.sqrt(gw)
         b -= rate * err.sum() / np.sqrt(gb)
     return Model((w * ratios * scale).astype(np.float32), float(b))
 
