@@ -95,7 +95,8 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
                 got += [(d, k, _hash(c), c) for k, c in _candidates(t) if k in ask]
             yield pd.DataFrame(got, columns=["doc_id", "k", "h", "body"])
 
-    bodies = known.join(wanted, F.col("doc_id") == F.col("_wanted")).select("doc_id", "text", "ks").mapInPandas(read, T.StructType([*place, T.StructField("body", T.StringType())]))
+    # sort-merge joins where texts move: the plan is the same at every size
+    bodies = known.join(wanted.hint("merge"), F.col("doc_id") == F.col("_wanted")).select("doc_id", "text", "ks").mapInPandas(read, T.StructType([*place, T.StructField("body", T.StringType())]))
     bodies = cut(bodies)
     # grouping by the text itself compares bytes
     first = bodies.groupBy("h", "body").agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("n"), F.min(F.struct("doc_id", "k")).alias("first"))
@@ -111,7 +112,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
             out.append(t if t is None else "".join(c for k, c in enumerate(chunks(t)) if k not in drop).removesuffix("\n"))
         return pd.Series(out, dtype=object)
 
-    joined = docs.join(gone, F.col("doc_id") == F.col("_gone_id"), "left")
+    joined = docs.join(gone.hint("merge"), F.col("doc_id") == F.col("_gone_id"), "left")
     out = joined.withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(strip("text", F.coalesce("_gone", F.array().cast("array<int>")))))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("_gone").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
