@@ -70,7 +70,7 @@ def conversation_text(conversations: DataFrame, system: str = SYSTEM, generate:
 def format_hits(hits: DataFrame, queries: DataFrame) -> DataFrame:
     """query_id, reply: numbered hits (rank, source, section, text, rerank_score) under a header, or a notice of none."""
     where = F.concat(F.lit("来源: "), F.coalesce("source", F.lit("未知来源")), F.when(F.coalesce("section", F.lit("")) != "", F.concat(F.lit(" > "), "section")).otherwise(""))
-    part = F.format_string("【法条 %d】(相关度: %.4f)\n%s\n内容: %s\n", F.col("rank"), F.coalesce("rerank_score", F.lit(0.0)), where, F.col("text"))
+    part = F.format_string("【法条 %d】(相关度: %.4f)\n%s\n内容: %s\n", F.col("rank"), F.bround(F.coalesce("rerank_score", F.lit(0.0)), 4), where, F.col("text"))
     listed = hits.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("rank", part.alias("p")))).alias("x"))
     body = F.concat(F.format_string("检索到 %d 条相关法律规定：\n\n", F.size("x")), F.array_join(F.transform("x", lambda p: p["p"]), "\n"))
     nothing = F.concat(F.lit("未找到与「"), F.col("query"), F.lit("」相关的法律条文。"))

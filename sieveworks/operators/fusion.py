@@ -9,24 +9,32 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+def _legs(dense: DataFrame, sparse: DataFrame) -> DataFrame:
+    """query_id, chunk_id, d, ds, s, ss: the rank and score of each hit in either leg.
+
+    A join, not a union that is grouped: both legs come partitioned by query_id, and Spark 4.1 takes
+    their union to be so too though it may have coalesced the legs' partitions differently.
+    """
+    a = dense.select("query_id", "chunk_id", F.col("rank").alias("d"), F.col("score").alias("ds"))
+    b = sparse.select("query_id", "chunk_id", F.col("rank").alias("s"), F.col("score").alias("ss"))
+    return a.join(b, ["query_id", "chunk_id"], "full_outer")
+
+
 def union_merge(dense: DataFrame, sparse: DataFrame, k: int = 20) -> DataFrame:
     """Dense hits in their order, then the sparse hits that dense lacks; the dense copy of a hit stays."""
     sizes = dense.groupBy("query_id").agg(F.count("*").alias("_n"))
-    only = sparse.join(dense.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_anti").join(sizes, "query_id", "left")
-    late = only.select("query_id", "chunk_id", (F.col("rank") + F.coalesce("_n", F.lit(0))).alias("_o"), "score", F.lit("sparse").alias("retriever"))
-    every = dense.select("query_id", "chunk_id", F.col("rank").alias("_o"), "score", F.lit("dense").alias("retriever")).unionByName(late)
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy("_o"))
-    return every.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "chunk_id", "rank", "score", "retriever")
+    every = _legs(dense, sparse).join(sizes, "query_id", "left")
+    order = F.coalesce(F.col("d"), F.col("s") + F.coalesce("_n", F.lit(0)))
+    rank = F.row_number().over(W.partitionBy("query_id").orderBy(order))
+    retriever = F.when(F.col("d").isNotNull(), "dense").otherwise("sparse")
+    ranked = every.withColumn("rank", rank).filter(F.col("rank") <= k)
+    return ranked.select("query_id", "chunk_id", "rank", F.coalesce("ds", "ss").alias("score"), retriever.alias("retriever"))
 
 
 def weighted_fusion(dense: DataFrame, sparse: DataFrame, k: int = 20, rrf_k: int = 60, dense_weight: float = 0.5, sparse_weight: float = 0.5) -> DataFrame:
     """Reciprocal rank fusion: score = sum of weight / (rrf_k + rank); ties by dense, then sparse rank."""
-    legs = dense.select("query_id", "chunk_id", F.col("rank").alias("d"), F.lit(None).cast("int").alias("s")).union(
-        sparse.select("query_id", "chunk_id", F.lit(None).cast("int"), F.col("rank"))
-    )
-    both = legs.groupBy("query_id", "chunk_id").agg(F.max("d").alias("d"), F.max("s").alias("s"))
     part = lambda w, r: F.coalesce(F.lit(float(w)) / (rrf_k + F.col(r)), F.lit(0.0))
-    scored = both.withColumn("score", F.round(part(dense_weight, "d") + part(sparse_weight, "s"), 9))
+    scored = _legs(dense, sparse).withColumn("score", F.round(part(dense_weight, "d") + part(sparse_weight, "s"), 9))
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), F.asc_nulls_last("d"), F.asc_nulls_last("s")))
     return scored.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "chunk_id", "rank", "score", F.lit("fusion").alias("retriever"))
 
