@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 
 from .common import cut, partitions
 
-#: Samples in a fingerprint; the likeness of two has a standard error of at most 0.08.
-SAMPLES = 48
+#: Samples in a fingerprint; the likeness of two has a standard error of at most 0.09.
+SAMPLES = 32
 #: Bits kept of a winner's identity (term, t): two different winners look equal once in 65,536.
 ID_BITS = 16
 _UNIT = 1.0 / (1 << 20)

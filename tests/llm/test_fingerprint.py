@@ -35,7 +35,7 @@ def test_null_empty_repeated_and_long(spark):
     long = " ".join(f"x{i % 5000} é" for i in range(60_000))
     out = {r.doc_id: r for r in document_fingerprints(docs(spark, [(None, "a b"), (1, None), (2, ""), (3, "one"), (3, "one"), (9, long)])).collect()}
     assert len(out) == 5
-    assert out[1].n_chars == 0 and out[1].fingerprint == out[2].fingerprint == [-1] * 48
+    assert out[1].n_chars == 0 and out[1].fingerprint == out[2].fingerprint == [-1] * 32
     assert out[1].near_next == 1.0  # both are empty
     assert out[9].edited_sha256 == hashlib.sha256((long[: len(long) - len(long) // 4] + "a b").encode()).hexdigest()  # null comes first
     assert document_fingerprints(docs(spark, [])).count() == 0
