@@ -17,7 +17,7 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    out = simhash.near_duplicates(table(spark, sf_dir, "documents"), words=3, similarity=None)
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 

@@ -15,6 +15,11 @@ Only distinct fingerprints are joined. Keys with up to ``SMALL`` fingerprints ar
 place. Fingerprints of fuller keys are linked exactly through the words within one bit of
 them, which two fingerprints share iff they are within two bits: such a word has at most 65
 fingerprints, however many copies there are, so no group emits all of its pairs.
+
+Texts whose sets of 5-word shingles have a Jaccard similarity of 0.8 differ in about 10 of 64
+bits, which no affordable number of segments bridges. For these, ``near_duplicates`` takes the keys
+above and minima of BANDS groups of ROWS random orders of the shingles, of which two such texts
+share one with a chance of 0.998, and links the candidates whose exact similarity suffices.
 """
 
 from __future__ import annotations
@@ -36,6 +41,11 @@ SEGMENTS = ((42, 22), (21, 21), (0, 21))
 DISTANCE = 2
 #: Fingerprints that a key may have to be compared pair by pair.
 SMALL = 48
+#: Groups of minima, and minima in each.
+BANDS, ROWS = 16, 5
+_rng = np.random.default_rng(11)
+#: Random orders of shingles: a hash is mixed by a XOR and an odd factor.
+MIX, FACTOR = _rng.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64), _rng.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 @cache
@@ -65,18 +75,36 @@ def fuzzy_keys(fps: np.ndarray) -> list[np.ndarray]:
 
 def simhash(text: str | None, words: int = 3, seed: int = 42) -> int:
     """64-bit SimHash of the word shingles of ``text``, repeats included, unsigned."""
+    return _bits(shingle_hashes(text, words, seed))
+
+
+def shingle_hashes(text: str | None, words: int, seed: int = 42) -> np.ndarray:
+    """Hashes of the word shingles of ``text``, repeats included; a text of fewer words is one shingle."""
     tokens = (text or "").encode("utf-8", "surrogatepass").lower().split()  # of bytes: A-Z and ASCII white space only
     if not tokens:
-        return 0
+        return np.zeros(0, dtype=np.uint64)
     shingles = [b" ".join(x) for x in zip(*(tokens[i:] for i in range(words)), strict=False)] if len(tokens) >= words else [b" ".join(tokens)]
     digest = xxhash.xxh64_intdigest
-    h = np.fromiter((digest(s, seed) for s in shingles), dtype=np.uint64, count=len(shingles))
+    return np.fromiter((digest(s, seed) for s in shingles), dtype=np.uint64, count=len(shingles))
+
+
+def _bits(h: np.ndarray) -> int:
     ones = np.zeros(64, dtype=np.int64)
     for i in range(0, len(h), 8192):
         ones += np.unpackbits(h[i : i + 8192].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
     return int.from_bytes(np.packbits(ones * 2 > len(h)).tobytes(), "big")
 
 
+def band_keys(h: np.ndarray) -> list[int]:
+    """A signed key for each band of a set of shingle hashes; none for an empty set."""
+    if not len(h):
+        return []
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, dtype=np.uint64)
+    for i in range(0, len(h), 4096):
+        least = np.minimum(least, ((h[i : i + 4096, None] ^ MIX) * FACTOR).min(axis=0))
+    return [_signed(xxhash.xxh64_intdigest(b.tobytes(), k)) for k, b in enumerate(least.reshape(BANDS, ROWS))]
+
+
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
@@ -149,20 +177,74 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select("v", "v").distinct())
 
 
-def near_duplicates(docs: DataFrame, words: int = 3) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 5, similarity: float | None = 0.8) -> DataFrame:
     """doc_id, fp and component_id: the least doc_id of the documents reachable over links.
 
-    Documents are linked if their fingerprints differ in at most DISTANCE bits. A null, empty
-    or blank text has fingerprint 0 and is linked like any other. A row per row of ``docs``;
-    a null doc_id is never the least unless all ids of its component are null. An empty table
-    gives no rows; other columns are not looked at.
+    Documents are linked if their sets of word shingles have at least this Jaccard similarity
+    (``fp`` is a hash of the set), or, without ``similarity``, if their fingerprints ``fp``
+    differ in at most DISTANCE bits. A null, empty or blank text has fingerprint 0 and is
+    linked with the other ones. A row per row of ``docs``; a null doc_id is never the least
+    unless all ids of its component are null. An empty table gives no rows; other columns are
+    not looked at.
     """
-    prints = cut(fingerprint_documents(docs, words))
-    distinct = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = components(near_links(distinct))
+    if similarity is None:
+        prints = cut(fingerprint_documents(docs, words))
+        distinct = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
+        links = near_links(distinct)
+    else:
+        prints, distinct, links = _near_copies(docs, words, similarity)
+    roots = components(links)
     # fingerprints without any link keep to themselves
     of = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     of = cut(of)
     ids = of.groupBy("root").agg(F.min("least").alias("component_id"))
     named = cut(of.join(cut(ids), "root").select("fp", "component_id"))
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
+
+
+def _near_copies(docs: DataFrame, words: int, similarity: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """doc_id and fp of every row; every fp and its least doc_id; links (a, b) of similar fp.
+
+    Candidates share a band or a key of the SimHash; each is verified on the sets themselves.
+    """
+    small_batches(docs.sparkSession)
+
+    @F.pandas_udf("fp bigint, keys array<bigint>")
+    def look(texts: pd.Series) -> pd.DataFrame:
+        every = [shingle_hashes(t, words) for t in texts]
+        sets = [np.unique(h) for h in every]
+        fuzzy = fuzzy_keys(np.array([_bits(h) for h in every], dtype=np.uint64)) if every else []
+        keys = [band_keys(s) + k.tolist() if len(s) else [] for s, k in zip(sets, fuzzy, strict=True)]
+        fps = [_signed(xxhash.xxh64_intdigest(s.tobytes())) if len(s) else 0 for s in sets]
+        return pd.DataFrame({"fp": np.array(fps, dtype=np.int64), "keys": keys})
+
+    @F.pandas_udf("array<bigint>")
+    def shingles(texts: pd.Series) -> pd.Series:
+        return pd.Series([np.unique(shingle_hashes(t, words)).view(np.int64) for t in texts])
+
+    body = F.xxhash64("text").alias("body")
+    prints = cut(docs.select("doc_id", body, look("text").alias("_l")).select("doc_id", "body", "_l.fp", "_l.keys"))
+    distinct = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.min("body").alias("body"), F.first("keys").alias("keys")))
+    pairs = cut(_pairs(distinct.select("fp", F.explode("keys").alias("key"))))
+    asked = cut(pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct().join(distinct.select("fp", "body"), "fp"))
+    # one text of each set that is a candidate
+    texts = docs.select("text", body).join(asked.select("body"), "body", "left_semi").groupBy("body").agg(F.first("text").alias("text"))
+    sets = cut(texts.join(asked, "body").select("fp", shingles("text").alias("s")))
+    both = pairs.join(sets.select(F.col("fp").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("fp").alias("b"), F.col("s").alias("sb")), "b")
+    both = both.select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("m"), (F.size("sa") + F.size("sb")).alias("n"))
+    return prints, distinct, both.filter(F.col("m") >= similarity * (F.col("n") - F.col("m")) - 1e-9).select("a", "b")
+
+
+def _pairs(keyed: DataFrame) -> DataFrame:
+    """Distinct pairs a < b of ``fp`` that share a ``key``.
+
+    All pairs of a key with up to SMALL; in a fuller one each is paired with two that a hash
+    picks, other ones for every key, so that pairs grow with the rows and not their square.
+    """
+    order = F.xxhash64("fp", "key")
+    shared = cut(keyed.groupBy("key").agg(F.count("*").alias("n"), F.min_by("fp", order).alias("one"), F.max_by("fp", order).alias("two")).filter("n > 1"))
+    cand = cut(keyed.join(shared, "key"))
+    few = cand.filter(F.col("n") <= SMALL).groupBy("key").agg(F.collect_list("fp").alias("fps"))  # at most SMALL in a list
+    pairs = few.select("fps", F.explode("fps").alias("a")).select("a", F.explode("fps").alias("b"))
+    many = cand.filter(F.col("n") > SMALL).select(F.col("fp").alias("a"), F.explode(F.array("one", "two")).alias("b"))
+    return pairs.filter("a < b").union(many.filter("a <> b").select(F.least("a", "b"), F.greatest("a", "b"))).distinct()

@@ -97,3 +97,38 @@ def test_nulls_empties_repeats(spark):
     assert [(d, c) for d, _, c in got] == [(-1, None), (1, 1), (2, 2), (4, 2), (5, 5), (7, 7), (7, 7), (9, 2)]  # É isn't lower-cased
     assert [f for d, f, _ in got if d in (2, 4, 9)] == [0, 0, 0]
     assert simhash.near_duplicates(docs(spark, [])).count() == 0
+
+
+def test_near_copies_are_linked_by_similarity(spark):
+    import corpus_pipeline
+
+    rng = random.Random(12)
+    grams = lambda ws: {tuple(ws[i : i + 5]) for i in range(len(ws) - 4)}
+    table, near = [], 0
+    for k in range(150):
+        words = [f"w{rng.randrange(5000)}" for _ in range(rng.randint(60, 300))]
+        copy = list(words)
+        for p in rng.sample(range(len(words)), rng.randint(1, max(1, len(words) // 35))):
+            copy[p] = "other"
+        a, b = grams(words), grams(copy)
+        like = len(a & b) >= 0.8 * len(a | b)
+        near += like
+        table += [(2 * k, " ".join(words), like), (2 * k + 1, " ".join(copy), like)]
+    d = docs(spark, [r[:2] for r in table])
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(d).collect()}
+    linked = {i for i, _, _ in table if i % 2 and got[i] == i - 1}
+    assert all(got[i] == i for i in got if i not in linked)
+    want = {i for i, _, like in table if i % 2 and like}
+    assert 20 < near < 140 and linked <= want and len(linked) >= 0.98 * len(want)
+    kept = {r.doc_id for r in corpus_pipeline.keep_one_of_each_group(spark, d, "").collect()}
+    assert kept == {i for i, _, _ in table} - linked
+
+
+def test_near_copies_of_odd_rows_and_a_crowd(spark):
+    words = [f"c{i}" for i in range(400)]
+    crowd = [(100 + i, " ".join([*words[:i], "x", *words[i + 1 :]])) for i in range(120)]  # more than SMALL in a key
+    out = simhash.near_duplicates(docs(spark, [(4, None), (2, ""), (9, " \t"), (7, "a b"), (7, "a b"), (5, "A  b"), (None, "x y z"), (1, "lonely words"), *crowd])).collect()
+    got = sorted((r.doc_id if r.doc_id is not None else -1, r.component_id) for r in out if (r.doc_id or 0) < 100)
+    assert got == [(-1, None), (1, 1), (2, 2), (4, 2), (5, 5), (7, 5), (7, 5), (9, 2)]
+    assert {r.component_id for r in out if (r.doc_id or 0) >= 100} == {100}
+    assert simhash.near_duplicates(docs(spark, [])).count() == 0
