@@ -1,15 +1,16 @@
-"""Line dedup by content-defined chunks of lines.
-
-A document's lines are hashed, and a rolling hash over the last ROLL line hashes ends a chunk
-wherever it divides by EVERY. A boundary thus depends on the lines before it alone: lines put
-in or taken out elsewhere shift no boundary of a passage that documents share. A chunk of at
-least LINES lines that has occurred before, in order of doc_id and place, is removed if it
-equals the earlier chunk byte by byte; the hash only finds candidates.
+"""Line dedup by short chunks of lines, taken at every place.
+
+A chunk is a run of LINES lines that aren't blank. Chunks begin at every line, so whatever lines come before a
+passage, documents that share it share all of its chunks. A chunk that has occurred before, in
+order of doc_id and place, is a repeat if it equals the earlier one byte by byte; the hash only
+finds candidates. The lines of all repeats are removed: any passage of LINES lines or more goes
+whole, to its edges. Each line removed stays where the chunk that it belongs to occurred first
+or, if it is itself in a repeat there, still earlier.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -20,13 +21,14 @@ from pyspark.sql import types as T
 
 from .common import cut, small_batches
 
-#: Lines in the rolling hash, one boundary in so many lines, least lines of a chunk.
+#: Least lines of a passage; those in the rolling hash and one boundary in so many lines, for ``chunks`` alone.
 ROLL, EVERY, LINES = 2, 2, 2
 
 
 def chunks(text: str | None) -> list[str]:
-    """The chunks of a text; joined they give it back.
+    """The chunks of a text by a single chunking; joined they give it back.
 
+    ``dedup_lines`` doesn't use it: a passage that this cuts differently in two documents stays.
     A chunk has at least LINES lines (a shorter rest joins the chunk before it); only a text
     of fewer lines is a shorter chunk. Only a line feed ends a line.
     """
@@ -49,12 +51,32 @@ def chunks(text: str | None) -> list[str]:
     return out
 
 
+def _lines(text: str | None) -> tuple[list[str], list[int]]:
+    """The lines of a text, and which of them aren't blank."""
+    every = (text or "").removesuffix("\n").split("\n")
+    return every, [i for i, x in enumerate(every) if x.strip()]
+
+
 def _candidates(text: str | None) -> Iterator[tuple[int, str]]:
-    """Place and body of the chunks of several lines; a body lacks the last line's end, as a text's last may."""
-    for k, c in enumerate(chunks(text)):
-        body = c.removesuffix("\n")
-        if body.count("\n") + 1 >= LINES and body.strip():
-            yield k, body
+    """Number of the first line and body of every run of LINES lines that aren't blank, with blank ones between."""
+    every, full = _lines(text)
+    for k in range(len(full) - LINES + 1):
+        yield k, "\n".join(every[full[k] : full[k + LINES - 1] + 1])
+
+
+def strip_runs(text: str, starts: Iterable[int]) -> str:
+    """``text`` without the runs that begin at lines ``starts``, and blank lines between them or an edge."""
+    every, full = _lines(text)
+    gone = {k + i for k in starts for i in range(LINES)}
+    out, before = [], -1
+    for k in range(len(full) + 1):
+        here = full[k] if k < len(full) else len(every)
+        inside = (k == 0 or k - 1 in gone) and (k == len(full) or k in gone)
+        out += [] if inside else every[before + 1 : here]
+        if k < len(full) and k not in gone:
+            out.append(every[here])
+        before = here
+    return "\n".join(out)
 
 
 def _hash(body: str) -> int:
@@ -63,9 +85,10 @@ def _hash(body: str) -> int:
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
-    """``docs`` with repeated chunks taken out of ``text``; all columns and rows stay.
+    """``docs`` with the lines of repeated chunks taken out of ``text``; all columns and rows stay.
 
-    The first occurrence, by doc_id and place in the text, stays. Rows with one doc_id count
+    The first occurrence, by doc_id and place in the text, stays; a chunk that overlaps it is
+    no repeat. Rows with one doc_id count
     as one document and don't strip each other; a row without doc_id stays as it is and strips
     no other. Null, empty and one-line texts stay as they are. ``n_chars``, if there, follows
     a changed text. A text may become empty. An empty table gives no rows.
@@ -101,15 +124,14 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     # grouping by the text itself compares bytes
     first = bodies.groupBy("h", "body").agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("n"), F.min(F.struct("doc_id", "k")).alias("first"))
     first = cut(first.filter("n > 1").select("h", "body", "first_doc", F.col("first.k").alias("first_k")))
-    repeats = bodies.join(first, ["h", "body"]).filter("doc_id > first_doc or k > first_k").select("doc_id", "k")
+    repeats = bodies.join(first, ["h", "body"]).filter(f"doc_id > first_doc or k >= first_k + {LINES}").select("doc_id", "k")
     gone = cut(repeats.groupBy("doc_id").agg(F.collect_set("k").alias("_gone")).withColumnRenamed("doc_id", "_gone_id"))
 
     @F.pandas_udf("string")
     def strip(texts: pd.Series, gone_chunks: pd.Series) -> pd.Series:
         out = []
         for t, ks in zip(texts, gone_chunks, strict=True):
-            drop = set(np.asarray(ks).tolist())
-            out.append(t if t is None else "".join(c for k, c in enumerate(chunks(t)) if k not in drop).removesuffix("\n"))
+            out.append(t if t is None else strip_runs(t, np.asarray(ks).tolist()))
         return pd.Series(out, dtype=object)
 
     joined = docs.join(gone.hint("merge"), F.col("doc_id") == F.col("_gone_id"), "left")

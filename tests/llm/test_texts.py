@@ -126,6 +126,40 @@ def test_line_dedup_of_odd_rows(spark):
     assert lines.dedup_lines(d.limit(0)).count() == 0
 
 
+def brute_runs(table):
+    """Line dedup over all repeated runs of two lines that aren't blank, by a plain loop in order of doc_id."""
+    seen, out = {}, []
+    for d, t in sorted(table):
+        every = t.split("\n")
+        assert all(x.strip() for x in every)
+        gone = set()
+        for k, pair in enumerate(zip(every, every[1:], strict=False)):
+            e, j = seen.setdefault(pair, (d, k))
+            gone |= {k, k + 1} if e != d or k >= j + 2 else set()
+        out.append((d, "\n".join(x for k, x in enumerate(every) if k not in gone)))
+    return out
+
+
+def test_line_dedup_removes_all_repeated_runs(spark, sf_dir):
+    table = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    assert rows(op7_line_dedup(spark, sf_dir), "doc_id", "text") == sorted(brute_runs(table), key=str)
+
+
+def test_line_dedup_finds_passages_in_fresh_contexts(spark):
+    rng = random.Random(14)
+    fresh = lambda n: [f"line {rng.random()}" for _ in range(n)]
+    table, want = [], {}
+    for k, n in enumerate((2, 3, 4, 6, 12) * 12):
+        passage, before, after = fresh(n), fresh(rng.randint(0, 6)), fresh(rng.randint(1, 6))
+        if n > 3:
+            passage.insert(2, "")
+        table += [(2 * k, "\n".join([*fresh(rng.randint(0, 6)), *passage, *fresh(3)])), (2 * k + 1, "\n".join([*before, *passage, *after]))]
+        want |= {2 * k: table[-2][1], 2 * k + 1: "\n".join([*before, *after])}
+    table += [(900, "same\n\nother end\n"), (901, "same\n\nlast one\n"), (902, "u\n\n\n\nv\n"), (903, "\nu\n\n\n\nv\n"), (904, "r\nr\nr\nr\nr")]
+    want |= {900: "same\n\nother end\n", 901: "same\n\nlast one\n", 902: "u\n\n\n\nv\n", 903: "", 904: "r\nr"}
+    assert dict(rows(lines.dedup_lines(docs(spark, table)), "doc_id", "text")) == want
+
+
 def brute_spans(table):
     first = {}
     for d, t in sorted((d, t) for d, t in table if d is not None and t is not None):
