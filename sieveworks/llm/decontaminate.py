@@ -12,7 +12,9 @@ one of its windows lies within an edit distance of (1 - SIMILARITY) times the it
    word at hand and, by a random bit of step and word, stays or moves on. Sequences at edit
    distance ``d`` come out at a Hamming distance of the order of ``d * d`` at most.
 3. *LSH.* Each of REPEATS walks samples BITS steps of the embedding; a window and an item
-   of its length that agree on a sample are candidates.
+   of its length that agree on a sample are candidates. Walks drift apart with the number of
+   edits, so items are walked in blocks of at most WALK words, each from its own start, and one
+   agreeing block is enough: the edits of one block are no more than its share.
 4. *Verification.* The edit distance of each candidate, over windows that may begin and end
    anywhere near the place found, decides.
 
@@ -38,6 +40,8 @@ SIMILARITY, LEAST_WORDS = 0.8, 5
 #: Walks and sampled steps of each: items with up to 20 in 100 words edited at random were all
 #: found (200 of 200 each at 5, 10, 15 and 20 in 100; see the tests).
 REPEATS, BITS = 48, 3
+#: Most words of a block that is walked by itself.
+WALK = 64
 #: Items held by a task at a time.
 BLOCK = 5_000
 #: Windows embedded at a time.
@@ -100,7 +104,7 @@ class Index:
         self.rows = [np.array([self.ids[w] for w in ws], dtype=np.int64) for _, ws in self.items]
         self.n = np.array([len(r) for r in self.rows], dtype=np.int64)
         self.d = np.array([edits_allowed(len(r)) for r in self.rows], dtype=np.int64)
-        self.walks = Walks(self.size, int(self.n.max(initial=1)))
+        self.walks = Walks(self.size, min(WALK, int(self.n.max(initial=1))))
         if not self.rows:
             return
         pair = np.concatenate([r[:-1] * self.size + r[1:] for r in self.rows])
@@ -112,10 +116,19 @@ class Index:
         self.found: dict[int, list[int]] = {}
         for n in np.unique(self.n):
             same = np.flatnonzero(self.n == n)
-            for k, keys in zip(same.tolist(), self.walks.keys(np.stack([self.rows[k] for k in same])), strict=True):
+            for k, keys in zip(same.tolist(), self.block_keys(np.stack([self.rows[k] for k in same])), strict=True):
                 for key in keys.tolist():
                     self.found.setdefault(key, []).append(k)
 
+    def block_keys(self, windows: np.ndarray) -> np.ndarray:
+        """For each row of word ids the keys of all its blocks, which hold its length and the block's place."""
+        n = windows.shape[1]
+        edges = np.linspace(0, n, -(-n // WALK) + 1).astype(np.int64)
+        keys = [self.walks.keys(windows[:, a:b]) for a, b in zip(edges, edges[1:], strict=False)]
+        if len(keys) > 1:
+            keys = [((k * 0x100000001B3) ^ (n * 0x9E3779B1 + a)) & 0x7FFFFFFFFFFFFFF for k, a in zip(keys, edges.tolist(), strict=False)]
+        return np.concatenate(keys, axis=1)
+
     def read(self, text: str | None) -> np.ndarray:
         """Word ids of a text, and some blank ones: a match at its end may be shorter than its window."""
         ids = self.ids
@@ -172,7 +185,7 @@ class Index:
                 for row, (t, start) in zip(rows, some, strict=True):
                     words = docs[t][start : start + n]
                     row[: len(words)] = words
-                for (t, start), keys in zip(some, self.walks.keys(rows), strict=True):
+                for (t, start), keys in zip(some, self.block_keys(rows), strict=True):
                     for k in {k for key in keys.tolist() for k in self.found.get(key, ())}:
                         if best[t].get(k, (0, 1))[1]:
                             d = int(self.d[k])

@@ -46,6 +46,15 @@ def test_recall_at_every_share_of_edits():
         assert found >= 0.97 * len(items)
 
 
+def test_recall_of_long_items():
+    rng = random.Random(10)
+    for n, many in ((300, 30), (1000, 6)):
+        items = [(i, rng.choices(VOCABULARY, k=n)) for i in range(many)]
+        texts = [" ".join(rng.choices(VOCABULARY, k=30) + edited(rng, w, n // 5) + rng.choices(VOCABULARY, k=30)) for _, w in items]
+        found = sum(i in {m[0] for m in got} for (i, _), got in zip(items, D.Index(items).matches(texts), strict=True))
+        assert found >= 0.97 * many
+
+
 def test_no_match_beyond_the_limit():
     rng = random.Random(5)
     items = table(rng, 40)
