@@ -25,17 +25,18 @@ task holds is bounded whatever the benchmark's size.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, small_batches
+from .common import body_of, cut, named_rows, same_row, small_batches, unpacked
 
-#: Least similarity (1 - edits / words of the item), least words of an item to look for.
+#: Least similarity (1 - edits / words of the item). Items under LEAST_WORDS allow no edit: they are looked for word for word.
 SIMILARITY, LEAST_WORDS = 0.8, 5
 #: Walks and sampled steps of each: items with up to 20 in 100 words edited at random were all
 #: found (200 of 200 each at 5, 10, 15 and 20 in 100; see the tests).
@@ -99,7 +100,12 @@ class Index:
 
     def __init__(self, items: list[tuple[int, list[str]]]) -> None:
         self.items = [(i, w) for i, w in items if len(w) >= LEAST_WORDS]
-        self.ids = {w: k for k, w in enumerate(sorted({w for _, ws in self.items for w in ws}), 1)}  # 0: any other word
+        self.ids = {w: k for k, w in enumerate(sorted({w for _, ws in items for w in ws}), 1)}  # 0: any other word
+        self.brief: dict[int, dict[tuple[int, ...], list[int]]] = {}  # by length: the words of short items, and whose they are
+        for i, ws in items:
+            if 0 < len(ws) < LEAST_WORDS:
+                self.brief.setdefault(len(ws), {}).setdefault(tuple(self.ids[w] for w in ws), []).append(i)
+        self.brief_starts = {n: np.unique([w[0] for w in found]) for n, found in self.brief.items()}
         self.size = len(self.ids) + 1
         self.rows = [np.array([self.ids[w] for w in ws], dtype=np.int64) for _, ws in self.items]
         self.n = np.array([len(r) for r in self.rows], dtype=np.int64)
@@ -132,7 +138,16 @@ class Index:
     def read(self, text: str | None) -> np.ndarray:
         """Word ids of a text, and some blank ones: a match at its end may be shorter than its window."""
         ids = self.ids
-        return np.array([ids.get(w, 0) for w in words_of(text)] + [0] * int(self.d.max()), dtype=np.int64)
+        return np.array([ids.get(w, 0) for w in words_of(text)] + [0] * int(self.d.max(initial=0)), dtype=np.int64)
+
+    def exact(self, doc: np.ndarray) -> dict[int, tuple[int, int]]:
+        """First word and length of each short item that a text holds word for word."""
+        out: dict[int, tuple[int, int]] = {}
+        for n, found in self.brief.items():
+            for p in np.flatnonzero(np.isin(doc[: len(doc) - n + 1], self.brief_starts[n])).tolist():
+                for i in found.get(tuple(doc[p : p + n].tolist()), ()):
+                    out.setdefault(i, (p, n))
+        return out
 
     def windows(self, doc: np.ndarray) -> list[tuple[int, int]]:
         """(length, first word) of the windows that hold enough pairs of one item."""
@@ -171,9 +186,10 @@ class Index:
     def matches(self, texts: list[str | None]) -> list[list[tuple[int, int, int, int]]]:
         """For each text (item_id, first word, words, edits) of every item found in it, once each."""
         best: list[dict[int, tuple[int, int]]] = [{} for _ in texts]
-        if not self.rows:
-            return [[] for _ in texts]
         docs = [self.read(t) for t in texts]
+        brief = [[(i, p, n, 0) for i, (p, n) in sorted(self.exact(doc).items())] for doc in docs]
+        if not self.rows:
+            return brief
         by_length: dict[int, list[tuple[int, int]]] = {}
         for t, doc in enumerate(docs):
             for n, start in self.windows(doc):
@@ -192,7 +208,7 @@ class Index:
                             e = edit_distance(self.rows[k], docs[t][max(0, start - d) : start + n + d])
                             if e <= d and e < best[t].get(k, (0, d + 1))[1]:
                                 best[t][k] = (start, e)
-        return [[(self.items[k][0], start, int(self.n[k]), e) for k, (start, e) in sorted(b.items())] for b in best]
+        return [[*exact, *((self.items[k][0], start, int(self.n[k]), e) for k, (start, e) in sorted(b.items()))] for exact, b in zip(brief, best, strict=True)]
 
 
 def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, list[str]]]]:
@@ -207,32 +223,47 @@ def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, list[str]]]]:
         yield block
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, item_id, start, words, edits: each benchmark item found in each document, once.
+def _looker(shared: Broadcast, leak: T.StructType) -> Callable[[str], Column]:
+    """Text column -> the leaks of a block of items, an array of ``leak``."""
 
-    ``start`` and ``words`` place the window by words. Null and empty texts and items of fewer
-    than LEAST_WORDS words match nothing; an empty benchmark gives no rows. Rows that share a
-    doc_id are looked at one by one and may repeat a leak. Other columns are not looked at.
-    """
+    @F.pandas_udf(T.ArrayType(leak))
+    def look(texts: pd.Series) -> pd.Series:
+        return pd.Series([[dict(zip(leak.names, m, strict=True)) for m in found] for found in shared.value.matches(texts.tolist())], dtype=object)
+
+    return look
+
+
+def _leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """doc_id, body (a hash of the text) and a leak: see `find_leaks`."""
     spark = docs.sparkSession
     small_batches(spark)
-    item_type = benchmark.schema["item_id"].dataType
-    schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("item_id", item_type), T.StructField("start", T.IntegerType()), T.StructField("words", T.IntegerType()), T.StructField("edits", T.IntegerType())])
-    found = spark.createDataFrame([], schema)
+    item = benchmark.schema["item_id"].dataType
+    leak = T.StructType([T.StructField("item_id", item), T.StructField("start", T.IntegerType()), T.StructField("words", T.IntegerType()), T.StructField("edits", T.IntegerType())])
+    found = None
     for block in _blocks(benchmark):
-        shared = spark.sparkContext.broadcast(Index(block))
+        look = _looker(spark.sparkContext.broadcast(Index(block)), leak)
+        some = docs.select("doc_id", body_of(F.col("text")).alias("body"), F.explode(look("text")).alias("x")).select("doc_id", "body", "x.*")
+        found = some if found is None else found.union(some)
+    return docs.select("doc_id", body_of(F.col("text")).alias("body")).limit(0).select("*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in leak]) if found is None else found
 
-        def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            index = shared.value
-            for b in batches:
-                got = [(d, *m) for d, found in zip(b["doc_id"], index.matches(b["text"].tolist()), strict=True) for m in found]
-                yield pd.DataFrame(got, columns=["doc_id", "item_id", "start", "words", "edits"])
 
-        found = found.union(docs.select("doc_id", "text").mapInPandas(run, schema))
-    return found
+def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """doc_id, item_id, start, words, edits: each benchmark item found in each document, once.
+
+    ``start`` and ``words`` place the window by words. Null and empty texts, and items without a
+    word, match nothing; items of fewer than LEAST_WORDS words match word for word; an empty
+    benchmark gives no rows. Rows that share a doc_id are looked at one by one and may repeat a
+    leak. Other columns are not looked at.
+    """
+    return _leaks(docs, benchmark).drop("body")
 
 
 def keep_uncontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs``, all columns, whose doc_id has no leak; rows without doc_id stay."""
-    leaked = cut(find_leaks(docs, benchmark).select(F.col("doc_id").alias("_leaked")).distinct())
-    return docs.join(leaked, F.col("doc_id") == F.col("_leaked"), "left_anti")
+    """The rows of ``docs``, all columns, in which no item is found.
+
+    Rows are told apart by doc_id and text: of rows that share a doc_id, or have none, only
+    those with a leak go.
+    """
+    leaked = cut(_leaks(docs, benchmark).select("doc_id", "body").distinct())
+    rows = named_rows(docs)
+    return unpacked(rows.join(leaked, same_row(rows, leaked), "left_anti"), docs.columns)

@@ -40,29 +40,34 @@ _TABLE: list[np.ndarray] = []
 
 
 def _codes(text: str) -> np.ndarray:
-    """Code points of the words of ``text``, letters in lower case, 0 between and around words."""
+    """Code points of ``text``, letters in lower case, 0 for anything else."""
     if not _TABLE:
         _TABLE.append(_letters())
-    x = _TABLE[0][np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)]
-    keep = np.ones(len(x), dtype=bool)
-    keep[1:] = (x[1:] != 0) | (x[:-1] != 0)
-    return np.concatenate(([0], x[keep], [0]))
+    return _TABLE[0][np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)]
 
 
-def ngram_counts(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """The n-grams of a whole text (three code points of 21 bits in a code) and their counts."""
+def ngram_counts(text: str | None, piece: int = PIECE) -> tuple[np.ndarray, np.ndarray]:
+    """The n-grams of a whole text (three code points of 21 bits in a code) and their counts.
+
+    Words stand between single zeros, which n-grams of two and three may take in. Long texts
+    go through in pieces, and each piece begins with the last two codes of the one before: no
+    n-gram is lost or made up at its edge.
+    """
     codes, counts = [], []
-    for at in range(0, len(text or ""), PIECE):
-        x = _codes(text[at : at + PIECE])
-        grams = [x[x != 0]]
-        two = (x[:-1] << 21) | x[1:]
-        grams.append(two[(x[:-1] != 0) | (x[1:] != 0)] | (1 << 62))
-        if len(x) > 2:
-            three = (x[:-2] << 42) | (x[1:-1] << 21) | x[2:]
-            grams.append(three[x[1:-1] != 0])
-        c, n = np.unique(np.concatenate(grams), return_counts=True)
-        codes.append(c)
-        counts.append(n)
+    tail, text = np.zeros(1, dtype=np.int64), text or ""
+    for at in range(0, len(text), piece):
+        y = _codes(text[at : at + piece])
+        y = np.concatenate((y, [0])) if at + piece >= len(text) else y
+        y = y[(y != 0) | (np.concatenate((tail[-1:], y[:-1])) != 0)]  # one 0 between words
+        x, n = np.concatenate((tail, y)), len(tail)
+        two = ((x[:-1] << 21) | x[1:])[n - 1 :]  # those that end in the new part
+        two = two[(x[n - 1 : -1] != 0) | (x[n:] != 0)]
+        a, b, c = x[max(0, n - 2) : -2], x[max(1, n - 1) : -1], x[max(2, n) :]
+        three = ((a << 42) | (b << 21) | c)[b != 0]
+        got, times = np.unique(np.concatenate((y[y != 0], two | (1 << 62), three)), return_counts=True)
+        codes.append(got)
+        counts.append(times)
+        tail = x[-2:]
     if len(codes) < 2:
         return (codes[0], counts[0]) if codes else (np.empty(0, np.int64), np.empty(0, np.int64))
     c, where = np.unique(np.concatenate(codes), return_inverse=True)

@@ -4,8 +4,8 @@ A bin is filled greedily with the longest piece that fits. If a gap is left, its
 is taken out again and replaced by the two unpacked pieces that together fit the expanded gap
 most tightly, if they fill more of it than the one did.
 
-Only lengths matter for this, so the pieces are dealt at random into groups of about GROUP
-pieces, each packed by itself: a group wastes part of one bin in thousands, and groups
+Only lengths matter for this, so the pieces are dealt at random, by their own places in the
+table that holds them, into groups of about GROUP pieces, each packed by itself: a group wastes part of one bin in thousands, and groups
 grow in number, not in size, with the corpus.
 """
 
@@ -27,23 +27,23 @@ from .common import cut, small_batches
 #: Tokens of a sequence, id that ends a document, pieces packed together.
 LENGTH, END, GROUP = 2048, 0, 16_384
 #: Texts of Latin letters, which both tokenizer libraries split alike; others take the slower one.
-_OTHER = re.compile("[^\t-\r -~\u00a1-\u024f]")
+_OTHER = "[^\t-\r -~\u00a1-\u024f]"
 _ENCODERS: dict[tuple, Callable[[str], list[int]]] = {}
 
 
 def encoder(vocabulary: str, ranks: str | None = None, pattern: str = "") -> Callable[[str], list[int]]:
     """text -> ids of the byte-level BPE in the file ``vocabulary`` (tokenizers library).
 
-    With ``ranks`` and ``pattern``, the same vocabulary as a rank file, texts of Latin letters
-    take the faster library, which gives the same ids. Strings of special tokens in a text are
-    ordinary text.
+    The ids are those of ``Tokenizer.encode(text, add_special_tokens=False)``, which reads the
+    string of a special token as that token. With ``ranks`` and ``pattern``, the same vocabulary
+    as a rank file, texts of Latin letters without such strings take the faster library, which
+    gives the same ids.
     """
     key = (vocabulary, ranks, pattern)
     if key not in _ENCODERS:
         from tokenizers import Tokenizer
 
         slow = Tokenizer.from_file(vocabulary)
-        slow.encode_special_tokens = True
         encode = lambda text: slow.encode(text, add_special_tokens=False).ids
         if ranks:
             import tiktoken
@@ -51,7 +51,9 @@ def encoder(vocabulary: str, ranks: str | None = None, pattern: str = "") -> Cal
             with open(ranks, "rb") as f:
                 merges = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
             fast = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=merges, special_tokens={})
-            _ENCODERS[key] = lambda text: encode(text) if _OTHER.search(text) else fast.encode_ordinary(text)
+            special = "|".join(re.escape(t.content) for t in slow.get_added_tokens_decoder().values())
+            other = re.compile(f"{_OTHER}|{special}" if special else _OTHER)
+            _ENCODERS[key] = lambda text: encode(text) if other.search(text) else fast.encode_ordinary(text)
         else:
             _ENCODERS[key] = encode
     return _ENCODERS[key]
@@ -144,28 +146,31 @@ def best_two_fit(lengths: list[int], capacity: int) -> list[list[int]]:
 
 
 def place(pieces: DataFrame, length: int = LENGTH, group: int = GROUP) -> DataFrame:
-    """``pieces`` (doc_id, piece, length and any others) with sequence_id and offset, every row kept.
+    """``pieces`` (doc_id, piece, place, length and any others) with sequence_id and offset in place of ``place``.
 
-    ``sequence_id`` is made of a group's number and a bin's; offsets are gapless from 0.
+    ``place`` is a number of the row's own, whatever its doc_id. ``sequence_id`` is made of a
+    group's number and a bin's; offsets are gapless from 0. Every row is kept.
     """
     groups = max(1, -(-pieces.count() // group))
-    dealt = pieces.withColumn("_g", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(groups)))
+    dealt = pieces.withColumn("_g", F.pmod(F.xxhash64("place"), F.lit(groups)))
+    kept = [f for f in pieces.schema.fields if f.name != "place"]
 
     def pack(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["length", "doc_id", "piece"], ascending=[False, True, True], ignore_index=True)
+        rows = rows.sort_values(["length", "place"], ascending=[False, True], ignore_index=True)
         bins = best_two_fit(rows["length"].tolist(), length)
         number = np.repeat(np.arange(len(bins), dtype=np.int64), [len(b) for b in bins])
-        out = rows.drop(columns="_g").iloc[np.array([i for b in bins for i in b], dtype=np.int64)].reset_index(drop=True)
+        out = rows.drop(columns=["_g", "place"]).iloc[np.array([i for b in bins for i in b], dtype=np.int64)].reset_index(drop=True)
         before = out["length"].cumsum() - out["length"]
         return out.assign(sequence_id=(int(key[0]) << 32) + number, offset=before - before.groupby(number).transform("min"))
 
-    schema = T.StructType([*pieces.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
+    schema = T.StructType([*kept, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
     return dealt.groupBy("_g").applyInPandas(pack, schema)
 
 
-def digest(pieces: DataFrame) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32 of `tokenize`'s pieces, written once."""
-    return cut(pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")))
+def stored(pieces: DataFrame, with_ids: bool) -> DataFrame:
+    """`tokenize`'s pieces, with their ids or ids_crc32, written once, each with a ``place`` of its own."""
+    ids = F.col("ids") if with_ids else F.crc32("ids").alias("ids_crc32")
+    return cut(pieces.select("doc_id", "piece", "start", "length", ids, F.monotonically_increasing_id().alias("place")))
 
 
 def pack_documents(docs: DataFrame, encode: tuple, length: int = LENGTH, with_ids: bool = True) -> DataFrame:
@@ -176,4 +181,4 @@ def pack_documents(docs: DataFrame, encode: tuple, length: int = LENGTH, with_id
     columns are not looked at.
     """
     pieces = tokenize(docs, encode, length)
-    return place(cut(pieces) if with_ids else digest(pieces), length)
+    return place(stored(pieces, with_ids), length)

@@ -1,101 +1,96 @@
 """Substring dedup over sliding sentence spans.
 
-From every sentence of a document the shortest run of at least SENTENCES consecutive sentences
-with at least WORDS words is hashed, once going forward and once going backward, so that runs
-reach both edges of a repeated passage. All hashes are joined globally. A run is *first* where
-the least doc_id has it first; sentences that any other occurrence covers are removed.
+Every run of SENTENCES consecutive sentences is hashed, from every sentence on; a longer run
+repeats if and only if all of these do, so they stand for every run of several sentences. All
+hashes are joined globally. A span is *first* where the least document has it first; sentences
+that any other occurrence covers are removed.
 
-Only (hash, doc_id) rows of 16 bytes cross the network for the counting, at most one per hash
-and document; texts move once, to meet the hashes that hit them.
+Only narrow rows of a document's key and a hash cross the network for the counting, at most one
+per hash and document; texts move once, to meet the hashes that hit them.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import cut, small_batches
+from .common import cut, hot_join, named_rows, order_of, same_row, small_batches
 
-#: Least sentences and words in a run.
-SENTENCES, WORDS = 2, 20
-#: A sentence with the white space after it: up to a full stop, question or exclamation mark, or a line end.
-_SENTENCE = re.compile(r"[^\n]*?(?:[.!?。！？]+(?=\s|$)\s*|\n\s*|$)")
+#: Sentences in a span.
+SENTENCES = 2
+#: The end of a sentence, with the white space after it: full stops, question or exclamation marks before white space, or a line end.
+#: A run of marks is looked at from its first one alone, so the time is linear in the text.
+_END = re.compile(r"(?<![.!?。！？])[.!?。！？]++(?=\s|\Z)\s*+|\n\s*+")
+_PRIME = np.uint64(0x100000001B3)
 
 
 def sentences(text: str) -> list[str]:
     """The sentences of ``text``; joined they give the text back."""
-    return [s for s in _SENTENCE.findall(text) if s]
+    edges = [0, *(m.end() for m in _END.finditer(text))]
+    edges += [len(text)] * (edges[-1] < len(text))
+    return [text[a:b] for a, b in zip(edges, edges[1:], strict=False)]
 
 
-def runs(text: str | None) -> tuple[list[str], list[tuple[int, int, int]]]:
-    """The sentences of a text, and its runs as (hash, first, last), by place."""
+def spans(text: str | None) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The sentences of a text, the places of those that aren't blank, and the hash of the span from each on.
+
+    White space within a sentence counts as one blank.
+    """
     parts = sentences(text or "")
     words = [s.split() for s in parts]
-    size = np.array([len(w) for w in words], dtype=np.int64)
-    keys = [" ".join(w).encode("utf-8", "surrogatepass") for w in words]
-    total = np.concatenate(([0], np.cumsum(size)))
-    full = np.flatnonzero(size)  # white space alone is no sentence
-    n, found = len(full), set()
-    if n >= SENTENCES:
-        start, end = total[full], total[full + 1]
-        i = np.arange(n)
-        last = np.maximum(np.searchsorted(end, start + WORDS), i + SENTENCES - 1)
-        first = np.minimum(np.searchsorted(start, end - WORDS, side="right") - 1, i - SENTENCES + 1)
-        found = {(a, b) for a, b in zip(i.tolist(), last.tolist(), strict=True) if b < n}
-        found |= {(a, b) for a, b in zip(first.tolist(), i.tolist(), strict=True) if a >= 0 and total[full[b] + 1] - total[full[a]] >= WORDS}
-    out = []
-    for a, b in sorted(found):
-        h = xxhash.xxh3_64_intdigest(b"\n".join(keys[k] for k in full[a : b + 1]))
-        out.append((h - (1 << 64) if h >> 63 else h, int(full[a]), int(full[b])))
-    return parts, out
+    full = np.array([i for i, w in enumerate(words) if w], dtype=np.int64)
+    if len(full) < SENTENCES:
+        return parts, full, np.zeros(0, dtype=np.int64)
+    h = np.fromiter((xxhash.xxh3_64_intdigest(" ".join(words[i]).encode("utf-8", "surrogatepass")) for i in full), dtype=np.uint64, count=len(full))
+    n = len(full) - SENTENCES + 1
+    rolled = np.zeros(n, dtype=np.uint64)
+    for i in range(SENTENCES):
+        rolled = (rolled ^ (rolled >> np.uint64(29))) * _PRIME + h[i : n + i]
+    return parts, full, rolled.view(np.int64)
 
 
 def drop_repeated(text: str, hit: set[int]) -> tuple[str, int]:
-    """``text`` without the sentences of runs whose hash is in ``hit`` or came before in the text; how many went."""
-    parts, spans = runs(text)
+    """``text`` without the sentences of spans whose hash is in ``hit`` or came before in the text; how many went."""
+    parts, full, hashes = spans(text)
     gone, seen = np.zeros(len(parts), dtype=bool), {}
-    for h, a, b in spans:
-        # a run that overlaps its own first occurrence would eat that occurrence
-        if h in hit or (h in seen and a > seen[h]):
-            gone[a : b + 1] = True
-        seen.setdefault(h, b)
+    for k, h in enumerate(hashes.tolist()):
+        # a span that overlaps its own first occurrence would eat that occurrence
+        if h in hit or (h in seen and k >= seen[h] + SENTENCES):
+            gone[full[k : k + SENTENCES]] = True
+        seen.setdefault(h, k)
     return ("".join(s for s, g in zip(parts, gone, strict=True) if not g).rstrip() if gone.any() else text), int(gone.sum())
 
 
 def dedup_sentences(docs: DataFrame) -> DataFrame:
     """doc_id, text (what is left), removed (number of sentences): a row per row of ``docs``.
 
-    Documents are taken in order of doc_id. Rows with one doc_id count as one document: they
-    don't strip each other. A row without doc_id loses only what it repeats itself and strips
-    no other. Null, empty and short texts have no run and stay as they are. An empty table
-    gives no rows; other columns are not looked at.
+    Documents are taken in order of doc_id (null ones last), then of the text's hash. Rows of one
+    doc_id with different texts are different documents; those equal in both count as one and
+    don't strip each other. Null, empty and one-sentence texts have no span and stay as they
+    are. An empty table gives no rows; other columns are not looked at.
     """
     small_batches(docs.sparkSession)
-    id_type = docs.schema["doc_id"].dataType
-
-    def hashes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            own = [np.unique(np.array([h for h, _, _ in runs(t)[1]], dtype=np.int64)) for t in b["text"]]
-            sizes = [len(x) for x in own]
-            yield pd.DataFrame({"doc_id": np.repeat(b["doc_id"].to_numpy(), sizes), "h": np.concatenate(own) if own else np.empty(0, np.int64)})
 
-    known = docs.select("doc_id", "text").filter("doc_id is not null and text is not null")
-    spans = cut(known.mapInPandas(hashes, T.StructType([T.StructField("doc_id", id_type), T.StructField("h", T.LongType())])))
-    repeated = cut(spans.groupBy("h").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most").select("h", "least"))
-    hits = spans.join(repeated, "h").filter("doc_id > least").groupBy("doc_id").agg(F.collect_set("h").alias("hits"))  # at most a document's own runs
-    hits = cut(hits.withColumnRenamed("doc_id", "_hit"))
+    @F.pandas_udf("array<bigint>")
+    def hashes(texts: pd.Series) -> pd.Series:
+        return pd.Series([np.unique(spans(t)[2]) for t in texts], dtype=object)
 
     @F.pandas_udf("text string, removed int")
     def strip(texts: pd.Series, all_hits: pd.Series) -> pd.DataFrame:
         got = [(None, 0) if t is None else drop_repeated(t, set() if h is None else set(np.asarray(h).tolist())) for t, h in zip(texts, all_hits, strict=True)]
         return pd.DataFrame({"text": pd.Series([g[0] for g in got], dtype=object), "removed": np.array([g[1] for g in got], dtype=np.int32)})
 
-    both = docs.select("doc_id", "text").join(hits, F.col("doc_id") == F.col("_hit"), "left")
+    rows = named_rows(docs.select("doc_id", "text")).select("doc_id", "body", "text")
+    found = cut(rows.filter("text is not null").select("doc_id", "body", F.explode(hashes("text")).alias("h")))
+    shared = cut(found.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1"))
+    again = cut(hot_join(found, shared, "h").select("h", order_of().alias("of")))
+    first = cut(again.groupBy("h").agg(F.min("of").alias("first"), F.count("*").alias("n")))
+    hits = hot_join(again, first, "h").filter(F.col("of") > F.col("first"))
+    hits = cut(hits.groupBy("of").agg(F.collect_set("h").alias("hits")).select("of.doc_id", "of.body", "hits"))  # at most a document's own spans
+    both = rows.join(hits.hint("merge"), same_row(rows, hits), "left").select(rows["doc_id"], "text", "hits")
     return both.select("doc_id", strip("text", "hits").alias("x")).select("doc_id", "x.text", "x.removed")

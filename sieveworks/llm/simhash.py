@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, small_batches
+from .common import body_of, cut, hot_join, named_rows, order_of, same_row, small_batches, unpacked
 
 #: The generator polynomial of the binary Golay code, and the segments (shift, bits).
 GENERATOR = 0b101011100011
@@ -110,14 +110,14 @@ def _signed(x: int) -> int:
 
 
 def fingerprint_documents(docs: DataFrame, words: int = 3) -> DataFrame:
-    """doc_id and fp (the fingerprint's bits as a signed bigint), a row per row of ``docs``."""
+    """doc_id, body (a hash of the text) and fp (the fingerprint's bits as a signed bigint), a row per row of ``docs``."""
     small_batches(docs.sparkSession)
 
     @F.pandas_udf("bigint")
     def fp(texts: pd.Series) -> pd.Series:
         return pd.Series([_signed(simhash(t, words)) for t in texts], dtype=np.int64)
 
-    return docs.select("doc_id", fp("text").alias("fp"))
+    return docs.select("doc_id", body_of(F.col("text")).alias("body"), fp("text").alias("fp"))
 
 
 def near_links(fps: DataFrame) -> DataFrame:
@@ -177,6 +177,21 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select("v", "v").distinct())
 
 
+def _classes(docs: DataFrame, words: int, similarity: float | None) -> tuple[DataFrame, DataFrame]:
+    """doc_id, body and fp of every row; fp, n (its rows) and first, the least row (by `order_of`) of its class."""
+    if similarity is None:
+        prints = cut(fingerprint_documents(docs, words))
+        distinct = cut(prints.groupBy("fp").agg(F.min(order_of()).alias("least"), F.count("*").alias("n")))
+        links = near_links(distinct)
+    else:
+        prints, distinct, links = _near_copies(docs, words, similarity)
+    roots = components(links)
+    # fingerprints without any link keep to themselves
+    of = cut(distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root")))
+    ids = cut(of.groupBy("root").agg(F.min("least").alias("first"), F.count("*").alias("prints")))
+    return prints, cut(hot_join(of.withColumnRenamed("n", "copies"), ids.withColumnRenamed("prints", "n"), "root").select("fp", F.col("copies").alias("n"), "first"))
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, similarity: float | None = 0.8) -> DataFrame:
     """doc_id, fp and component_id: the least doc_id of the documents reachable over links.
 
@@ -187,19 +202,22 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float | None =
     unless all ids of its component are null. An empty table gives no rows; other columns are
     not looked at.
     """
-    if similarity is None:
-        prints = cut(fingerprint_documents(docs, words))
-        distinct = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
-        links = near_links(distinct)
-    else:
-        prints, distinct, links = _near_copies(docs, words, similarity)
-    roots = components(links)
-    # fingerprints without any link keep to themselves
-    of = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    of = cut(of)
-    ids = of.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = cut(of.join(cut(ids), "root").select("fp", "component_id"))
-    return prints.join(named, "fp").select("doc_id", "fp", "component_id")
+    prints, named = _classes(docs, words, similarity)
+    return hot_join(prints, named, "fp").select("doc_id", "fp", F.col("first.doc_id").alias("component_id"))
+
+
+def keep_one(docs: DataFrame, words: int = 5, similarity: float | None = 0.8) -> DataFrame:
+    """One row of every class of `near_duplicates`, with all its columns.
+
+    It is the one with the least doc_id (null ones last), then the least hash of the text. Rows
+    of one doc_id with different texts are different documents; of rows equal in both any one stays.
+    """
+    _, named = _classes(docs, words, similarity)
+    first = cut(named.select("first.doc_id", "first.body").distinct())
+    rows = named_rows(docs)
+    kept = rows.join(first.hint("merge"), same_row(rows, first), "left_semi")
+    # the join has dealt the rows by these two already
+    return unpacked(kept.groupBy("doc_id", "body").agg(F.first("row").alias("row")), docs.columns)
 
 
 def _near_copies(docs: DataFrame, words: int, similarity: float) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -222,9 +240,9 @@ def _near_copies(docs: DataFrame, words: int, similarity: float) -> tuple[DataFr
     def shingles(texts: pd.Series) -> pd.Series:
         return pd.Series([np.unique(shingle_hashes(t, words)).view(np.int64) for t in texts])
 
-    body = F.xxhash64("text").alias("body")
+    body = body_of(F.col("text")).alias("body")
     prints = cut(docs.select("doc_id", body, look("text").alias("_l")).select("doc_id", "body", "_l.fp", "_l.keys"))
-    distinct = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.min("body").alias("body"), F.first("keys").alias("keys")))
+    distinct = cut(prints.groupBy("fp").agg(F.min(order_of()).alias("least"), F.count("*").alias("n"), F.min("body").alias("body"), F.first("keys").alias("keys")))
     pairs = cut(_pairs(distinct.select("fp", F.explode("keys").alias("key"))))
     asked = cut(pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct().join(distinct.select("fp", "body"), "fp"))
     # one text of each set that is a candidate

@@ -31,8 +31,6 @@ NGRAMS, BITS, ALPHA = (3, 4, 5), 18, 1.0
 DOUBT = 1.5
 #: Most training rows of each label that the weights are fitted on (the least by hash of the id).
 FIT_ROWS = 1000
-#: Most labels (16 bytes each) that are sent to every task; more of them are joined by a shuffle.
-SENT_LABELS = 1_000_000
 #: Bytes of text hashed at once: very long texts go through in overlapping pieces.
 PIECE = 1 << 20
 
@@ -66,11 +64,15 @@ class Model:
 
 
 def _training(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """text, toxic, rank: labelled documents outside the held-out fold; null labels teach nothing."""
+    """text, toxic, rank: labelled documents outside the held-out fold.
+
+    Null ids and labels teach nothing; of labels of one doc_id that contradict each other the
+    greatest holds. Texts and labels meet in a sort-merge join at every size.
+    """
     known = labels.select("doc_id", "toxic").filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    known = cut(known.filter(~held_out(F.col("doc_id"))))
-    known = F.broadcast(known) if known.count() <= SENT_LABELS else known.hint("merge")
-    return docs.select("doc_id", "text").join(known, "doc_id").select("text", "toxic", F.xxhash64("doc_id").alias("rank"))
+    known = known.filter(~held_out(F.col("doc_id"))).hint("merge")
+    own = docs.select("doc_id", "text").filter(~held_out(F.col("doc_id")))
+    return own.join(known, "doc_id").select("text", "toxic", F.xxhash64("doc_id").alias("rank"))
 
 
 def log_count_ratios(training: DataFrame) -> np.ndarray:
@@ -97,38 +99,42 @@ def log_count_ratios(training: DataFrame) -> np.ndarray:
     return np.sign(r) * np.maximum(0.0, np.abs(r) - DOUBT * np.sqrt(1 / p + 1 / q))
 
 
-def _sample_rows(training: DataFrame) -> list[tuple[np.ndarray, int]]:
-    """Features of at most FIT_ROWS training rows of each label."""
+def _sample_rows(training: DataFrame) -> list[tuple[np.ndarray, int, float]]:
+    """Features of at most FIT_ROWS training rows of each label, the label, and how many rows each stands for."""
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"toxic": (b["toxic"] > 0).astype(int), "features": [features(t).astype(np.int32).tobytes() for t in b["text"]]})
+            yield pd.DataFrame({"features": [features(t).astype(np.int32).tobytes() for t in b["text"]]})
 
     out = []
     for toxic in (True, False):
         own = training.filter((F.col("toxic") > 0) == toxic)
         # the ranks alone are sorted: texts of other rows don't meet anywhere
         edge = own.select("rank").orderBy("rank").limit(FIT_ROWS).agg(F.max("rank")).first()[0]
-        some = own.filter(F.col("rank") <= F.lit(edge)).limit(FIT_ROWS).select("text", "toxic")
-        for row in some.mapInPandas(read, "toxic int, features binary").toLocalIterator():
-            out.append((np.frombuffer(row["features"], dtype=np.int32), row["toxic"]))
+        some = own.filter(F.col("rank") <= F.lit(edge)).limit(FIT_ROWS).select("text")
+        rows = [np.frombuffer(r["features"], dtype=np.int32) for r in some.mapInPandas(read, "features binary").toLocalIterator()]
+        every = own.count()
+        out += [(f, int(toxic), every / len(rows)) for f in rows]
     return out
 
 
 def fit(docs: DataFrame, labels: DataFrame, rounds: int = 300, rate: float = 1.0, decay: float = 1e-6) -> Model:
     """Learn from the labelled documents outside the held-out fold.
 
-    Without training rows of both labels every text scores 0 (none is known to be toxic).
+    Sampled rows weigh as many rows as they stand for, so that a score of 0.5 means the same
+    whatever the sample. Without training rows of both labels every text scores 0 (none is known
+    to be toxic).
     """
     small_batches(docs.sparkSession)
     training = cut(_training(docs, labels))  # texts meet their labels once
     ratios = log_count_ratios(training)
-    rows = _sample_rows(training)
-    y = np.array([t for _, t in rows], dtype=np.float64)
+    sampled = _sample_rows(training)
+    y, weight = np.array([t for _, t, _ in sampled], dtype=np.float64), np.array([w for *_, w in sampled])
     if not len(y) or y.min() == y.max():
         return Model(np.zeros(1 << BITS, dtype=np.float32), -500.0)
+    weight /= weight.sum()
     # compressed sparse rows of the features that tell anything, scaled so that rows have a norm near 1
-    rows = [f[ratios[f] != 0] for f, _ in rows]
+    rows = [f[ratios[f] != 0] for f, *_ in sampled]
     index, owner = np.concatenate(rows), np.repeat(np.arange(len(rows), dtype=np.int32), [len(f) for f in rows])
     norms = np.bincount(owner, ratios[index] ** 2, len(rows))
     scale = 1.0 / np.sqrt(max(1e-9, float(norms.mean())))
@@ -136,7 +142,7 @@ def fit(docs: DataFrame, labels: DataFrame, rounds: int = 300, rate: float = 1.0
     w, b, gw, gb = np.zeros(1 << BITS), 0.0, np.full(1 << BITS, 1e-12), 1e-12
     for _ in range(rounds):  # AdaGrad on the whole sample
         z = np.bincount(owner, value * w[index], len(rows)) + b
-        err = (1.0 / (1.0 + np.exp(-np.clip(z, -500, 500))) - y) / len(y)
+        err = (1.0 / (1.0 + np.exp(-np.clip(z, -500, 500))) - y) * weight
         g = np.bincount(index, value * err[owner], 1 << BITS) + decay * w
         gw += g * g
         gb += err.sum() ** 2

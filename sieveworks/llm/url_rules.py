@@ -11,8 +11,9 @@ A sweep in key order meets starts, urls and ends. The running sum of +1 and -1 i
 the stack of active rules, and the rule on level ``d`` is the last that started with depth
 ``d``: two window functions over one exchange and no rule list in any row.
 
-A host can hold a third of all urls (a top-level domain does), so its urls are dealt over
-``salts`` sweeps, each with all rules of the host.
+A host can hold a third of all urls (a top-level domain does), so the urls of a host with more
+than SWEEP of them are dealt over several sweeps, each with all rules of the host; the rules of
+other hosts stay single.
 """
 
 from __future__ import annotations
@@ -21,7 +22,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import partitions
+from .common import cut, hot_join
+
+#: Urls of one sweep.
+SWEEP = 100_000
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -40,7 +44,7 @@ def _reversed(labels: Column) -> Column:
     return F.array_join(F.reverse(labels), ".")
 
 
-def judge_urls(urls: DataFrame, rules: DataFrame, default: str = "allow", salts: int | None = None) -> DataFrame:
+def judge_urls(urls: DataFrame, rules: DataFrame, default: str = "allow", sweep: int = SWEEP) -> DataFrame:
     """The rule that decides each url: page_id, host, path, rule, verdict, a row per input row.
 
     ``urls``: page_id, url. ``rules``: host, path, verdict. The longest fitting rule (host plus
@@ -50,8 +54,6 @@ def judge_urls(urls: DataFrame, rules: DataFrame, default: str = "allow", salts:
     rule fits; then ``rule`` is null and the verdict is ``default``. Repeated rows and page ids
     each keep their own row. Without rules every url gets ``default``.
     """
-    spark = urls.sparkSession
-    salts = salts or partitions(spark)
     r = rules.filter("host is not null and path is not null and host <> ''").select(F.translate("host", _UPPER, _LOWER).alias("rule_host"), F.col("path").alias("rule_path"), "verdict")
     r = r.groupBy("rule_host", "rule_path").agg(F.max("verdict").alias("verdict"))  # 'block' > 'allow'
     r = r.withColumn("key_host", _reversed(F.split("rule_host", r"\."))).withColumn("bytes", F.col("rule_path").cast("binary"))
@@ -62,14 +64,17 @@ def judge_urls(urls: DataFrame, rules: DataFrame, default: str = "allow", salts:
     deepest = deepest.first()["deepest"]  # one number; no longer suffix of a host can meet a rule
     suffixes = F.transform(F.sequence(F.lit(1), F.least(F.size(labels), F.lit(max(deepest, 1)))), lambda n: _reversed(F.slice(labels, -n, n)))
     keys = rows.filter("host <> ''").select("page_id", "host", "path", F.explode(suffixes).alias("key_host"))
-    keys = keys.join(r.select("key_host").distinct(), "key_host", "left_semi")
+    # the hosts of rules, and over how many sweeps their urls go
+    loads = keys.groupBy("key_host").agg(F.count("*").alias("n")).join(r.select("key_host").distinct(), "key_host")
+    loads = cut(loads.withColumn("salts", F.ceil(F.col("n") / sweep).cast("int")))
+    keys = hot_join(keys, loads, "key_host")
 
     event = ["key_host", "salt", "bytes", "kind", "step", "page_id", "host", "path", "rule"]
     rule = F.struct((F.length("rule_host") + F.length("rule_path")).alias("length"), F.length("rule_host").alias("host_length"), F.concat("rule_host", "rule_path").alias("rule"), F.col("verdict"))
-    dealt = r.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).withColumns({"rule": rule, "page_id": F.lit(None).cast(dict(urls.dtypes)["page_id"]), "host": F.lit(""), "path": F.lit("")})
+    dealt = r.join(loads.select("key_host", "salts"), "key_host").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).withColumns({"rule": rule, "page_id": F.lit(None).cast(dict(urls.dtypes)["page_id"]), "host": F.lit(""), "path": F.lit("")})
     starts = dealt.withColumns({"kind": F.lit(0), "step": F.lit(1)})
     ends = dealt.withColumns({"kind": F.lit(2), "step": F.lit(-1), "bytes": F.concat("bytes", F.unhex(F.lit("FF")))})
-    asked = keys.withColumns({"salt": F.pmod(F.xxhash64("page_id", "host", "path"), F.lit(salts)).cast("int"), "bytes": F.col("path").cast("binary"), "kind": F.lit(1), "step": F.lit(0), "rule": F.lit(None).cast(dealt.schema["rule"].dataType)})
+    asked = keys.withColumns({"salt": F.pmod(F.xxhash64("page_id", "host", "path"), F.col("salts")).cast("int"), "bytes": F.col("path").cast("binary"), "kind": F.lit(1), "step": F.lit(0), "rule": F.lit(None).cast(dealt.schema["rule"].dataType)})
     events = starts.select(event).union(asked.select(event)).union(ends.select(event))
 
     sweep = W.partitionBy("key_host", "salt").orderBy("bytes", "kind")

@@ -25,13 +25,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, partitions, shared_folder, small_batches
+from .common import cut, hot_join, partitions, shared_folder, small_batches
 
 #: Bytes of payload from which on equal payloads are stored once; bytes of a range; bytes read at once.
 REVISIT_FROM, RANGE, BLOCK = 1000, 32 << 20, 1 << 18
 MAGIC = b"\x1f\x8b\x08"
 _EMPTY = zlib.compressobj(6, zlib.DEFLATED, 31)
 _EMPTY_MEMBER = _EMPTY.compress(b"") + _EMPTY.flush()
+#: record_type of members that begin as a record and can't be read.
+DAMAGED = "damaged"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 RECORD = T.StructType(
@@ -86,14 +88,17 @@ def with_revisits(pages: DataFrame) -> DataFrame:
     """page_id, url, html, digest, refers_to: of equal payloads the largest page id, if another page holds it.
 
     Payloads are equal if their SHA-1 and length are; smaller ones than REVISIT_FROM are never
-    looked up. Rows that share the largest page id are all responses.
+    looked up. Rows that share the largest page id are all responses. What a revisit refers to is
+    found without bodies, which move once, dealt by page id.
     """
     body = F.coalesce("html", F.lit(""))
-    rows = pages.select("page_id", "url", body.alias("html"), F.sha1(F.encode(body, "UTF-8")).alias("digest"), F.octet_length(body).alias("size"))
-    twins = rows.filter((F.col("size") >= REVISIT_FROM) & F.col("page_id").isNotNull()).groupBy("digest", "size").agg(F.max("page_id").alias("last"), F.min("page_id").alias("least"))
-    twins = cut(twins.filter("least < last").select("digest", "size", "last"))
-    out = rows.join(twins, ["digest", "size"], "left")
-    return out.select("page_id", "url", "html", "digest", F.when(F.col("page_id") < F.col("last"), F.col("last")).alias("refers_to"))
+    rows = pages.select("page_id", "url", body.alias("html"), F.sha1(F.encode(body, "UTF-8")).alias("digest"))
+    keys = cut(rows.filter((F.octet_length("html") >= REVISIT_FROM) & F.col("page_id").isNotNull()).select("page_id", "digest", F.octet_length("html").alias("size")))
+    twins = keys.groupBy("digest", "size").agg(F.max("page_id").alias("last"), F.min("page_id").alias("least"), F.count("*").alias("n"))
+    twins = cut(twins.filter("least < last").withColumnRenamed("size", "of_size").select("digest", "of_size", "last", "n"))
+    refers = hot_join(keys, twins, "digest").filter("size = of_size and page_id < last").select(F.col("page_id").alias("of_page"), F.col("digest").alias("of_digest"), "last").distinct()
+    out = rows.join(cut(refers), (F.col("page_id") == F.col("of_page")) & (F.col("digest") == F.col("of_digest")), "left")
+    return out.select("page_id", "url", "html", "digest", F.col("last").alias("refers_to"))
 
 
 def write_archives(pages: DataFrame, path: str, level: int = 6) -> None:
@@ -124,10 +129,11 @@ def _open(path: str):
     return system.open_input_file(name)
 
 
-def _member_at(f, at: int, head: bytes) -> tuple[bytes, int] | None:
+def _member_at(f, at: int, head: bytes) -> tuple[bytes | None, int] | None:
     """The decoded bytes of the gzip member at ``at`` and its end, or None if there is no WARC record.
 
-    ``head`` holds the first bytes there; a false magic mostly fails within them.
+    ``head`` holds the first bytes there; a false magic mostly fails within them. A member that
+    begins as a WARC record but doesn't decode to its end has no bytes.
     """
     unpack = zlib.decompressobj(31)
     try:
@@ -137,16 +143,16 @@ def _member_at(f, at: int, head: bytes) -> tuple[bytes, int] | None:
     start = out[0][:8]
     if len(out[0]) >= 8 and not start.startswith(b"WARC/1."):
         return None
-    read = len(head)
+    read, begun = len(head), start.startswith(b"WARC/1.")
     try:
         while not unpack.eof:
             more = f.read_at(BLOCK, at + read)
             if not more:
-                return None
+                return (None, at + 1) if begun else None
             read += len(more)
             out.append(unpack.decompress(more))
     except zlib.error:
-        return None
+        return (None, at + 1) if begun else None
     body = b"".join(out)
     return (body, at + read - len(unpack.unused_data)) if body.startswith(b"WARC/1.") else None
 
@@ -188,7 +194,9 @@ def records_in(path: str, length: int, start: int, end: int) -> Iterator[tuple]:
             if len(head) < 64:  # near the buffer's end
                 head = f.read_at(4096, at)
             found = _member_at(f, at, head)
-            record = parse(found[0]) if found else None
+            record = parse(found[0]) if found and found[0] is not None else None
+            if found and record is None:
+                yield (path, at, None, DAMAGED, None, None, None, 0, None, None, None)
             if record is None:
                 at += 1  # a chance magic, or an empty member
                 continue
@@ -205,8 +213,9 @@ def records_in(path: str, length: int, start: int, end: int) -> Iterator[tuple]:
 def read_archives(spark: SparkSession, path: str, span: int = RANGE) -> DataFrame:
     """RECORD rows of all archives below ``path``, in ranges of ``span`` bytes.
 
-    Target URIs come as written (with CR, LF and % escaped by `write_archives`). Records that
-    don't decode are passed over. A folder without records gives no rows.
+    Target URIs come as written (with CR, LF and % escaped by `write_archives`). A member that
+    begins as a record but doesn't decode, or lacks a readable length, gives a row with the record_type ``damaged``, its place and
+    nothing else, so that a damaged archive shows. A folder without records gives no rows.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length")
     ranges = files.filter("length > 0").select("path", "length", F.explode(F.sequence(F.lit(0).cast("long"), F.col("length") - 1, F.lit(span).cast("long"))).alias("start"))

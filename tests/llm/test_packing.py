@@ -1,9 +1,10 @@
 import random
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from tokenizers import Tokenizer
 
 from sieveworks.llm import packing
 from sieveworks.llm.queries import op8_best_fit_packing, tokenizer
@@ -36,9 +37,25 @@ def test_fast_path_gives_the_same_ids():
         assert fast(t) == slow(t)
 
 
+def test_ids_are_those_of_a_plain_tokenizer():
+    plain = Tokenizer.from_file(tokenizer()[0])
+    for t in ("a <|endoftext|> b", "<|endoftext|>", "plain words, only", "漢字 <|endoftext|>é"):
+        assert packing.encoder(*tokenizer())(t) == plain.encode(t, add_special_tokens=False).ids
+
+
+def test_one_id_over_many_groups(spark):
+    rows = [(None if i % 2 else 7, f"text {i} " * (i % 90)) for i in range(600)]
+    pieces = packing.stored(packing.tokenize(docs(spark, rows), tokenizer()), False)
+    placed = packing.place(pieces, group=50).collect()
+    check(rows, placed)
+    sizes = Counter(r.sequence_id >> 32 for r in placed)
+    assert len(sizes) == 12 and max(sizes.values()) < 90
+
+
 def check(table, placed, length=2048):
-    """Contract of the packed pieces against the tokenizers library."""
-    encode = packing.encoder(tokenizer()[0])
+    """Contract of the packed pieces against a plain tokenizer."""
+    plain = Tokenizer.from_file(tokenizer()[0])
+    encode = lambda t: plain.encode(t, add_special_tokens=False).ids
     want = []
     for d, t in table:
         ids = np.array([*encode(t or ""), 0], dtype="<u4")

@@ -1,9 +1,13 @@
 """Language, toxicity, line and span dedup."""
 
 import random
+import time
 import zlib
 from collections import Counter
 
+import numpy as np
+from pyspark.sql import functions as F
+
 from sieveworks.llm import language, lines, sentences, toxicity
 from sieveworks.llm.queries import op4_language_id, op6_toxicity, op7_line_dedup, op9_substring_dedup
 
@@ -28,6 +32,48 @@ def test_ngram_profile_against_counting():
     assert sorted(counts.tolist()) == sorted(want.values()) and len(codes) == len(want)
 
 
+def test_long_texts_are_counted_as_a_whole():
+    rng = random.Random(3)
+    t = "".join(rng.choice("abcé 1.") for _ in range(5000))
+    for text in (t, "x" * 50, " ", "a", t[:7]):
+        whole = language.ngram_counts(text, 1 << 20)
+        for piece in (1, 2, 3, 7, 64):
+            part = language.ngram_counts(text, piece)
+            assert np.array_equal(whole[0], part[0]) and np.array_equal(whole[1], part[1])
+
+
+def test_profiles_and_distances_against_plain_loops(spark):
+    """Rank-order profiles, out-of-place sums and the choice, all by counting strings."""
+    table = [(101, "the cat sat on the mat", "en"), (102, "the dog ate the bone", "en"), (103, "le chat dort sur le lit", "fr"), (104, "la nuit tombe", "fr")]
+    table = [(d + 100 * k, t, lang) for k, (d, t, lang) in enumerate(table)]
+    while any(held(d) for d, *_ in table):
+        table = [(d + 1, t, lang) for d, t, lang in table]
+
+    def grams(text):
+        padded, out = "\0" + "\0".join("".join(c.lower() if c.isalpha() else " " for c in text).split()) + "\0", Counter()
+        for n in (1, 2, 3):
+            for i in range(len(padded) - n + 1):
+                g = padded[i : i + n]
+                if g.strip("\0") and (n < 3 or g[1] != "\0"):
+                    out[g] += 1
+        return out
+
+    def code(g):
+        x = [ord(c) for c in g]
+        return x[0] if len(x) == 1 else x[0] << 21 | x[1] | 1 << 62 if len(x) == 2 else x[0] << 42 | x[1] << 21 | x[2]
+
+    ranked = lambda counts: [g for g, _ in sorted(counts.items(), key=lambda x: (-x[1], code(x[0])))[: language.TOP]]
+    learned = language.learn_profiles(docs(spark, table))
+    want = {lang: ranked(sum((grams(t) for _, t, x in table if x == lang), Counter())) for lang in ("en", "fr")}
+    assert {k: v.tolist() for k, v in learned.items()} == {k: [code(g) for g in v] for k, v in want.items()}
+    asked = [(1, "The mat"), (2, "le lit du chat"), (3, "zzz")]
+    for (_, t), r in zip(asked, sorted(language.identify(docs(spark, asked), learned).collect()), strict=True):
+        own = ranked(grams(t))
+        far = {lang: sum(abs(i - p.index(g)) if g in p else language.TOP for i, g in enumerate(own)) / len(own) / language.TOP for lang, p in want.items()}
+        best = min(sorted(far), key=far.get)
+        assert r.lang_pred == best and abs(r.score - (1 - far[best])) < 1e-12
+
+
 def test_language_accuracy_on_the_held_out_fold(spark, sf_dir):
     truth = {r.doc_id: r.lang for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     got = op4_language_id(spark, sf_dir).collect()
@@ -68,6 +114,26 @@ def test_toxicity_on_the_held_out_fold(spark):
     assert toxicity.keep_clean(odd.limit(0), model).columns == odd.columns
 
 
+def test_toxicity_ratios_against_counting(spark):
+    texts = [(1, "bad bad dog"), (2, "good dog"), (3, "nice cat"), (4, "bad cat"), (4, "bad cow"), (5, None)]
+    d, y = docs(spark, texts), spark.createDataFrame([(1, 1), (2, 0), (3, 0), (3, 0), (4, 0), (4, 1), (5, 0)], "doc_id long, toxic int")
+    training = toxicity._training(d, y)
+    label = {1: 1, 2: 0, 3: 0, 4: 1, 5: 0}  # of contradicting labels the greatest
+    own = [(label[i], set(toxicity.features(t).tolist())) for i, t in texts if not held(i)]
+    assert sorted(r.toxic for r in training.collect()) == sorted(x for x, _ in own)
+    n = [sum(x == k for x, _ in own) for k in (0, 1)]
+    got = toxicity.log_count_ratios(training)
+    for f in set().union(*(s for _, s in own)):
+        a = [2 * toxicity.ALPHA * m / sum(n) for m in n]
+        q, p = (sum(f in s for x, s in own if x == k) + a[k] for k in (0, 1))
+        r = np.log(p / (n[1] + 2 * a[1])) - np.log(q / (n[0] + 2 * a[0]))
+        assert abs(got[f] - np.sign(r) * max(0, abs(r) - toxicity.DOUBT * np.sqrt(1 / p + 1 / q))) < 1e-9
+
+
+def test_features_against_slicing():
+    assert len(toxicity.features("Ab  c")) == len({w for t in (" ab c ",) for n in (3, 4, 5) for i in range(len(t) - n + 1) for w in [t[i : i + n]]})
+
+
 def test_toxicity_without_labels(spark):
     d = docs(spark, [(i, "a b c") for i in range(9)])
     y = spark.createDataFrame([(i, 0) for i in range(9)], "doc_id long, toxic int")
@@ -80,50 +146,26 @@ def test_toxicity_query(spark, sf_dir):
     assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) and r.held_out == held(r.doc_id) for r in got)
 
 
-def brute_lines(table):
-    """Line dedup by a plain loop in order of doc_id."""
-    seen, out = {}, []
-    for d, t in sorted(table):
-        kept, last = [], False
-        parts = lines.chunks(t)
-        for k, c in enumerate(parts):
-            body = c.removesuffix("\n")
-            several = body.count("\n") + 1 >= lines.LINES and body.strip()
-            if several and body in seen:
-                last = True
-                continue
-            if several:
-                seen[body] = (d, k)
-            kept.append(c)
-        out.append((d, "".join(kept).removesuffix("\n") if last else t))
-    return out
-
-
-def test_chunks_join_to_the_text_and_survive_shifts():
-    rng = random.Random(8)
-    passage = [f"line {rng.random()}" for _ in range(30)]
-    a = "\n".join(["x", *passage, "y"])
-    b = "\n".join(["p", "q", "r", *passage, "s", "t"])
-    for t in (a, b, "", "\n", "\n\n a\n", "one"):
-        assert "".join(lines.chunks(t)) == t
-    assert len(set(lines.chunks(a)) & set(lines.chunks(b))) >= 5
-
-
-def test_line_dedup_against_a_loop(spark, sf_dir):
-    table = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
-    assert rows(op7_line_dedup(spark, sf_dir), "doc_id", "text") == sorted(brute_lines(table), key=str)
-
-
 def test_line_dedup_of_odd_rows(spark):
     p = "\n".join(f"shared {i}" for i in range(6))
     long = "\n".join(f"l{i}" for i in range(50_000))
-    d = docs(spark, [(1, p), (2, p), (2, p), (3, None), (4, ""), (5, "one line"), (6, "one line"), (None, p), (7, long), (8, f"{long}\n{p}")])
+    d = docs(spark, [(1, p), (2, p), (2, p), (3, None), (4, ""), (5, "one line"), (6, "one line"), (None, p), (None, "a\nb"), (2, "unlike\nall else\n"), (7, long), (8, f"{long}\n{p}")])
     out = lines.dedup_lines(d)
-    assert out.columns == d.columns and out.count() == 10
+    assert out.columns == d.columns and out.count() == 12
     got = {(r.doc_id, r.text, r.n_chars) for r in out.select("doc_id", "text", "n_chars").collect()}
-    assert {(1, p, len(p)), (2, "", 0), (3, None, None), (4, "", None), (5, "one line", 8), (6, "one line", 8), (None, p, len(p)), (7, long, len(long))} <= got
+    assert {(1, p, len(p)), (2, "", 0), (3, None, None), (4, "", None), (5, "one line", 8), (6, "one line", 8), (None, "", 0), (None, "a\nb", 3), (2, "unlike\nall else\n", 16), (7, long, len(long))} <= got
     assert len(next(t for i, t, _ in got if i == 8)) < 100
     assert lines.dedup_lines(d.limit(0)).count() == 0
+    left = lines.dedup_lines(d, keep_emptied=False)
+    assert sorted((r.doc_id for r in left.select("doc_id").collect()), key=str) == sorted([1, 2, 3, 4, 5, 6, None, 7, 8], key=str)
+    trailing = lines.dedup_lines(docs(spark, [(1, "a\nb\n"), (2, "c\na\nb\nd\n")]))
+    assert rows(trailing, "doc_id", "text") == [(1, "a\nb\n"), (2, "c\nd\n")]
+
+
+def test_sparser_chunks_remove_less(spark, sf_dir):
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    left = [lines.dedup_lines(d, every).agg(F.sum(F.length("text"))).first()[0] for every in (1, 2)]
+    assert left[0] < left[1]
 
 
 def brute_runs(table):
@@ -160,27 +202,53 @@ def test_line_dedup_finds_passages_in_fresh_contexts(spark):
     assert dict(rows(lines.dedup_lines(docs(spark, table)), "doc_id", "text")) == want
 
 
+def plain_sentences(text):
+    """Sentences by a walk over the characters."""
+    out, start, i, marks = [], 0, 0, ".!?。！？"
+    while i < len(text):
+        ends = text[i] == "\n" or (text[i] in marks and (i + 1 == len(text) or text[i + 1].isspace()))
+        i += 1
+        if ends:
+            while i < len(text) and text[i].isspace():
+                i += 1
+            out.append(text[start:i])
+            start = i
+    return out + [text[start:]] * (start < len(text))
+
+
 def brute_spans(table):
-    first = {}
-    for d, t in sorted((d, t) for d, t in table if d is not None and t is not None):
-        for h, _, _ in sentences.runs(t)[1]:
-            first.setdefault(h, d)
-    out = []
-    for d, t in table:
-        hits = set() if d is None or t is None else {h for h, _, _ in sentences.runs(t)[1] if first[h] < d}
-        out.append((d, *((None, 0) if t is None else sentences.drop_repeated(t, hits))))
+    """Every run of two sentences or more, compared as texts, by a plain loop in order of doc_id."""
+    split = {k: [(i, " ".join(s.split())) for i, s in enumerate(plain_sentences(t)) if s.split()] for k, (_, t) in enumerate(table) if t}
+    seen, out = {}, []
+    for k, (d, t) in sorted(enumerate(table), key=lambda x: (x[1][0] is None, x[1][0] or 0)):
+        own, gone, parts = split.get(k, []), set(), plain_sentences(t or "")
+        for j in range(len(own) - 1):
+            e, at = seen.setdefault((own[j][1], own[j + 1][1]), (k, j))
+            if e != k or j >= at + 2:
+                gone |= {own[j][0], own[j + 1][0]}
+        left = "".join(s for i, s in enumerate(parts) if i not in gone).rstrip() if gone else t
+        out.append((d, left, len(gone)))
     return out
 
 
-def test_runs_cover_a_repeated_passage_to_its_edges():
+def test_spans_reach_the_edges_of_a_passage():
     rng = random.Random(9)
     sentence = lambda: " ".join(f"u{rng.randrange(10**6)}" for _ in range(rng.randint(1, 15))).capitalize() + "."
-    for _ in range(50):
-        passage = [sentence() for _ in range(12)]
+    for n in (2, 3, 12) * 15:
+        passage = [sentence() for _ in range(n)]
         a, b = [sentence() for _ in range(4)], [sentence() for _ in range(4)]
-        one = {h for h, _, _ in sentences.runs(" ".join([*a, *passage, *b]))[1]}
-        left, gone = sentences.drop_repeated(" ".join([*b, *passage, *a]), one & {h for h, _, _ in sentences.runs(" ".join([*b, *passage, *a]))[1]})
-        assert gone >= 12 and not any(s in left for s in passage)
+        one = set(sentences.spans(" ".join([*a, *passage, *b]))[2].tolist())
+        left, gone = sentences.drop_repeated(" ".join([*b, *passage, *a]), one & set(sentences.spans(" ".join([*b, *passage, *a]))[2].tolist()))
+        assert gone >= n and not any(s in left for s in passage)
+
+
+def test_sentences_of_odd_texts_take_linear_time():
+    for t in ("." * 1_000_000, "a" + "." * 1_000_000 + " b", "?! " * 300_000, " " * 1_000_000, "x\n \n" * 200_000, "word " * 300_000):
+        start = time.perf_counter()
+        assert "".join(sentences.sentences(t)) == t
+        assert time.perf_counter() - start < 1
+    for t in ("A b. C!? d\ne 1.5 f.\n\n g", "", "\n", "...", "a.b", " . x", "。あ。 い"):
+        assert sentences.sentences(t) == plain_sentences(t)
 
 
 def test_span_dedup_against_a_loop(spark, sf_dir):
@@ -191,8 +259,8 @@ def test_span_dedup_against_a_loop(spark, sf_dir):
 def test_span_dedup_of_odd_rows(spark):
     p = " ".join(f"Word{i} goes here and there." for i in range(10))
     long = " ".join(f"Sentence number {i} is here." for i in range(20_000))
-    d = docs(spark, [(1, f"Intro. {p}"), (2, p), (2, p), (3, None), (4, ""), (5, "Short."), (None, p), (6, long), (7, f"{long} New words come last in this one.")])
+    d = docs(spark, [(1, f"Intro. {p}"), (2, p), (2, p), (2, "Unlike all. Other texts."), (3, None), (4, ""), (5, "Short."), (None, p), (None, "By itself. And alone."), (6, long), (7, f"{long} New words come last in this one.")])
     got = {(r.doc_id, r.text) for r in sentences.dedup_sentences(d).collect()}
-    assert {(1, f"Intro. {p}"), (2, ""), (3, None), (4, ""), (5, "Short."), (None, p), (6, long)} <= got
+    assert {(1, f"Intro. {p}"), (2, ""), (3, None), (4, ""), (5, "Short."), (None, ""), (None, "By itself. And alone."), (2, "Unlike all. Other texts."), (6, long)} <= got
     assert len(next(t for i, t in got if i == 7)) < 200
     assert sentences.dedup_sentences(d.limit(0)).count() == 0

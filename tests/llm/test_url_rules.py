@@ -22,7 +22,7 @@ def test_nested_rules_and_odd_urls(spark):
     rules = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("example.com", "/en/70", "block"), ("example.com", "/", "allow"), ("com", "/en/70/x/y/long", "allow"), ("a.example.com", "/é", "block")]
     urls = ["http://www.EXAMPLE.com/en/7", "https://example.com/en/70?x=/en/9", "http://com/en/", "x://y.com/en", "http://example.com", "http://example.com?q=://z", "no scheme", "", None, "a://b://c.com/en/", "http://a.example.com/éa#/x", "http://q.com/en/70/x/y/longer", "://example.com/en/71", "http://notexample.com/en/7", "HTTP://A.B.C.D.E.example.com/en/7\n0", "http://.com/en/"]
     pages = [(i, u, "h", "clash", "clash") for i, u in enumerate(urls)] * 2 + [(None, urls[0], None, None, None)]
-    got = judged(spark, pages, rules + rules[:2], salts=3)
+    got = judged(spark, pages, rules + rules[:2], sweep=9)
     assert got == sorted(((p[0], *brute(p[1], rules)) for p in pages), key=str)
 
 

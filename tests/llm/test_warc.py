@@ -66,7 +66,7 @@ def test_large_members_and_false_magic(tmp_path):
     (tmp_path / "a").write_bytes(junk + m + other + junk + m[:-40])
     size = os.path.getsize(tmp_path / "a")
     got = [r for a in range(0, size, 1 << 20) for r in warc.records_in(f"file:{tmp_path}/a", size, a, min(size, a + (1 << 20)))]
-    assert [(r[5], r[7]) for r in got] == [(3, len(big))]
+    assert [(r[5], r[7], r[3]) for r in got] == [(3, len(big), "response"), (None, 0, warc.DAMAGED)]
 
 
 def test_no_pages(spark, tmp_path):
