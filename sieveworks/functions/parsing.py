@@ -53,22 +53,24 @@ def extract_label_strict(c: Column) -> Column:
 def balanced_json(c: Column) -> Column:
     """The first balanced ``{...}`` of a text, braces in JSON strings not counted; null without one.
 
-    One fold over the characters carries depth, string and escape state.
+    The text is read in tokens, which are a backslash with what follows it, a mark, or a run of
+    anything else; a fold over them carries depth, string state and place.
     """
     text = F.substring(c, F.instr(c, "{"), F.length(c))
-    state = lambda depth, string, escape, n, end: F.struct(depth.alias("depth"), string.alias("string"), escape.alias("escape"), n.alias("n"), end.alias("end"))
-    start = state(F.lit(0), F.lit(False), F.lit(False), F.lit(0), F.lit(0))
-
-    def step(s: Column, ch: Column) -> Column:
-        quote = (ch == '"') & ~s["escape"]
-        string = F.when(quote, ~s["string"]).otherwise(s["string"])
-        escape = s["string"] & (ch == "\\") & ~s["escape"]
-        depth = s["depth"] + F.when(~s["string"] & (ch == "{"), 1).when(~s["string"] & (ch == "}"), -1).otherwise(0)
-        n = s["n"] + 1
-        closed = ~s["string"] & (ch == "}") & (depth == 0)
-        return F.when(s["end"] > 0, s).otherwise(state(depth, string, escape, n, F.when(closed, n).otherwise(0)))
-
-    end = F.aggregate(F.split(text, ""), start, step, lambda s: s["end"])
+    tokens = F.regexp_extract_all(text, F.lit(r"""(?s)\\.|[{}"\\]|[^{}"\\]+"""), 0)
+    state = lambda depth, string, n, end: F.struct(depth.alias("depth"), string.alias("string"), n.alias("n"), end.alias("end"))
+    start = state(F.lit(0), F.lit(False), F.lit(0), F.lit(0))
+
+    def step(s: Column, token: Column) -> Column:
+        # a backslash is an escape within strings only
+        mark = F.when(~s["string"] & token.startswith("\\"), F.substring(token, 2, 1)).otherwise(token)
+        string = s["string"] != (mark == '"')
+        depth = s["depth"] + F.when(~s["string"] & (mark == "{"), 1).when(~s["string"] & (mark == "}"), -1).otherwise(0)
+        n = s["n"] + F.length(token)
+        closed = ~s["string"] & (mark == "}") & (depth == 0)
+        return F.when(s["end"] > 0, s).otherwise(state(depth, string, n, F.when(closed, n).otherwise(0)))
+
+    end = F.aggregate(tokens, start, step, lambda s: s["end"])
     return F.when((F.instr(c, "{") > 0) & (end > 0), F.substring(text, F.lit(1), end))
 
 
@@ -112,7 +114,7 @@ NAMES = "小[明红刚丽]|张[三某]|李[四某]|王[五某]"
 LEAKS = ["解析", "解释：", "根据法律规定", "核心问题", "改写为", "这个问题"]
 LATIN, SLUG = "[A-Za-z]{3,}", "_|[A-Za-z0-9]+-[A-Za-z0-9]+"
 #: Sample of traditional characters that a rewrite must not have.
-TRADITIONAL = "國無與這開對樣請問題讓條件網絡處則該證驗權利義務視察報告調查評估條款規定協議經濟財產資產"
+TRADITIONAL = "國無與這開對樣請問領讓條件網絡處則該證驗權利義務視察報告調查評估條款規定協議經濟財產資產"
 
 
 def added_characters(new: Column, old: Column) -> Column:
@@ -170,8 +172,8 @@ def agreement_verdict(c: Column) -> Column:
 
 
 def correctness_verdict(c: Column) -> Column:
-    """1 if 正确 is there and 错误 isn't, else 0; null for ERROR, which no count includes."""
-    return F.when(c == "ERROR", F.lit(None).cast("int")).otherwise((c.contains("正确") & ~c.contains("错误")).cast("int"))
+    """1 if 正确 is there and 错误 isn't, else 0; null for ERROR and no answer, which no count includes."""
+    return F.when(c.isNull() | c.isin("", "ERROR"), F.lit(None).cast("int")).otherwise((c.contains("正确") & ~c.contains("错误")).cast("int"))
 
 
 def score_1_to_10(c: Column) -> Column:

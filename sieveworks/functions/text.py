@@ -7,8 +7,10 @@ code points. All functions keep null as null.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import re
+from collections.abc import Callable, Iterable
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -30,17 +32,21 @@ def strip(c: Column) -> Column:
     return F.regexp_replace(c, r"(?U)^\s+|\s+\z", "")
 
 
+#: What is cleaned from markup, in this order, and what takes its place.
+CLEANED = [
+    (r"(?s)<!--.*?-->", ""),
+    (r"(?mU)^#{1,6}\s+", ""),
+    (r"\*\*(.+?)\*\*", "$1"),
+    (r"__(.+?)__", "$1"),
+    (r"\*(.+?)\*", "$1"),
+    (r"\[([^\]]+)\]\([^)]+\)", "$1"),
+    (r"\n{3,}", "\n\n"),
+]
+
+
 def clean_markdown(c: Column) -> Column:
     """Drop comments and heading marks, unwrap emphasis and links, squeeze blank lines, strip."""
-    for pattern, to in (
-        (r"(?s)<!--.*?-->", ""),
-        (r"(?mU)^#{1,6}\s+", ""),
-        (r"\*\*(.+?)\*\*", "$1"),
-        (r"__(.+?)__", "$1"),
-        (r"\*(.+?)\*", "$1"),
-        (r"\[([^\]]+)\]\([^)]+\)", "$1"),
-        (r"\n{3,}", "\n\n"),
-    ):
+    for pattern, to in CLEANED:
         c = F.regexp_replace(c, pattern, to)
     return strip(c)
 
@@ -53,56 +59,93 @@ def split_at(c: Column, pattern: str) -> Column:
     """
     bare = pattern.split(")", 1)[1] if pattern.startswith("(?") else pattern
     flags = pattern[: len(pattern) - len(bare)]
-    parts = F.filter(F.transform(F.split(c, f"{flags}(?={bare})"), strip), lambda p: p != "")
     whole = F.when(strip(c) == "", F.array().cast("array<string>")).otherwise(F.array(c))
-    return F.when(c.isNull(), F.lit(None)).when(c.rlike(pattern), parts).otherwise(whole)
+    blank = lambda parts: F.filter(F.transform(parts, strip), lambda p: p != "")
+    # several raw parts mean a match; the pattern is looked for only if there is one
+    cut = F.transform(F.array(F.split(c, f"{flags}(?={bare})")), lambda raw: F.when((F.size(raw) > 1) | raw[0].rlike(pattern), blank(raw)).otherwise(whole))
+    return F.when(c.isNotNull(), cut[0])
 
 
-def _pack(parts: Column, limit: int, joint: str, oversize: Callable[[Column], Column]) -> Column:
-    """Greedy fold: append parts to the current piece while it stays within ``limit``.
+def _packed(parts: Iterable[str], limit: int, joint: str, oversize: Callable[[str], list[str]]) -> list[str]:
+    """Greedy packing: parts are appended to a piece while it stays within ``limit``.
 
-    A part that is too long by itself is flushed through ``oversize`` (an array of pieces).
+    A part that is too long by itself goes through ``oversize``. Time is linear in the text.
     """
-    empty = F.struct(F.array().cast("array<string>").alias("out"), F.lit("").alias("cur"))
-    gap = len(joint)
-
-    def flushed(acc: Column) -> Column:
-        return F.when(strip(acc["cur"]) != "", F.concat(acc["out"], F.array(strip(acc["cur"])))).otherwise(acc["out"])
-
-    def step(acc: Column, part: Column) -> Column:
-        fits = F.length(acc["cur"]) + F.length(part) + gap <= limit
-        joined = F.when(acc["cur"] == "", part).otherwise(F.concat(acc["cur"], F.lit(joint), part)) if joint else F.concat(acc["cur"], part)
-        state = lambda out, cur: F.struct(out.alias("out"), cur.alias("cur"))
-        return (
-            F.when(fits, state(acc["out"], joined))
-            .when(F.length(part) <= limit, state(flushed(acc), part))
-            .otherwise(state(F.concat(flushed(acc), oversize(part)), F.lit("")))
-        )
-
-    return F.aggregate(parts, empty, step, lambda acc: flushed(acc))
+    out: list[str] = []
+    held: list[str] = []
+    size = 0
+
+    def flush() -> None:
+        nonlocal size
+        out.extend(x for x in [joint.join(held).strip()] if x)
+        held.clear()
+        size = 0
+
+    for part in parts:
+        if size + len(part) + len(joint) <= limit:
+            size += len(part) + (len(joint) if held else 0)
+            held.append(part)
+            continue
+        flush()
+        if len(part) <= limit:
+            held.append(part)
+            size = len(part)
+        else:
+            out += oversize(part)
+    flush()
+    return out
+
+
+def pack_sentences(text: str | None, limit: int = CHUNK_CHARS, ends: str = SENTENCE_ENDS) -> list[str] | None:
+    """`split_by_sentences` of one text."""
+    if text is None or len(text) <= limit:
+        return None if text is None else [text] if text.strip() else []
+    hard = lambda part: [x for i in range(0, len(part), limit) if (x := part[i : i + limit].strip())]
+    return _packed(re.split(f"(?<=[{re.escape(ends)}])", text), limit, "", hard)
+
+
+def pack_paragraphs(text: str | None, limit: int = CHUNK_CHARS, ends: str = SENTENCE_ENDS, joint: str = PARAGRAPH_BREAK) -> list[str] | None:
+    """`merge_paragraphs` of one text."""
+    if text is None or len(text) <= limit:
+        return None if text is None else [x for x in [text.strip()] if x]
+    paragraphs = (p for x in text.split(joint) if (p := x.strip()))
+    return _packed(paragraphs, limit, joint, lambda p: pack_sentences(p, limit, ends))
 
 
 def split_by_sentences(c: Column, limit: int = CHUNK_CHARS, ends: str = SENTENCE_ENDS) -> Column:
     """Pieces of at most ``limit`` code points, packed from sentences that end in one of ``ends``.
 
     A text within the limit is its own piece, unstripped (none if blank); a sentence beyond it
-    is cut hard, and its rest joins no other sentence.
+    is cut hard, and its rest joins no other sentence. An Arrow function: a fold in built-in ones
+    would copy all pieces found so far at every sentence.
     """
-    def hard(part: Column) -> Column:
-        at = F.sequence(F.lit(0), F.floor((F.length(part) - 1) / limit).cast("int"))
-        return F.filter(F.transform(at, lambda i: strip(F.substring(part, i * limit + 1, F.lit(limit)))), lambda p: p != "")
 
-    packed = _pack(F.split(c, f"(?<=[{ends}])"), limit, "", hard)
-    whole = F.when(strip(c) == "", F.array().cast("array<string>")).otherwise(F.array(c))
-    return F.when(F.length(c) <= limit, whole).otherwise(packed)
+    @F.pandas_udf("array<string>")
+    def pack(texts: pd.Series) -> pd.Series:
+        return pd.Series([pack_sentences(t, limit, ends) for t in texts], dtype=object)
+
+    return pack(c)
 
 
 def merge_paragraphs(c: Column, limit: int = CHUNK_CHARS, ends: str = SENTENCE_ENDS, joint: str = PARAGRAPH_BREAK) -> Column:
     """Pieces of at most ``limit`` code points, packed from paragraphs; longer ones go by sentences."""
-    parts = F.filter(F.transform(F.split(c, joint), strip), lambda p: p != "")
-    packed = _pack(parts, limit, joint, lambda p: split_by_sentences(p, limit, ends))
-    whole = F.when(strip(c) == "", F.array().cast("array<string>")).otherwise(F.array(strip(c)))
-    return F.when(F.length(c) <= limit, whole).otherwise(packed)
+
+    @F.pandas_udf("array<string>")
+    def pack(texts: pd.Series) -> pd.Series:
+        return pd.Series([pack_paragraphs(t, limit, ends, joint) for t in texts], dtype=object)
+
+    return pack(c)
+
+
+def merge_each(texts: Column, limit: int = CHUNK_CHARS) -> Column:
+    """`merge_paragraphs` of every text of an array that is over ``limit``; the others as they are: an array of arrays."""
+
+    @F.pandas_udf("array<array<string>>")
+    def pack(lists: pd.Series) -> pd.Series:
+        one = lambda t: [t] if len(t) <= limit else pack_paragraphs(t, limit)
+        return pd.Series([None if x is None else [one(t) for t in x] for x in lists], dtype=object)
+
+    return pack(texts)
 
 
 def first_line(c: Column) -> Column:
@@ -155,8 +198,8 @@ def clean_keyword(c: Column) -> Column:
 
 
 def normalise_quotes(c: Column) -> Column:
-    """Curly quotes and the full-width colon in their ASCII forms, stripped."""
-    return strip(F.translate(c, "“”‘’：", "\"\"'':"))
+    """Curly double quotes and the full-width colon in their ASCII forms, stripped; single quotes stay."""
+    return strip(F.translate(c, "“”：", '"":'))
 
 
 def tokens(c: Column) -> Column:
@@ -168,3 +211,13 @@ def han_bigrams(c: Column) -> Column:
     """Overlapping pairs of Han characters: a tokenizer for text without spaces."""
     runs = F.filter(F.split(c, r"[^\x{4e00}-\x{9fff}]+"), lambda r: F.length(r) > 1)
     return F.flatten(F.transform(runs, lambda r: F.transform(F.sequence(F.lit(1), F.length(r) - 1), lambda i: F.substring(r, i, F.lit(2)))))
+
+
+#: The letters that `letter_counts` counts.
+LETTERS = "etaoinsr"
+
+
+def letter_counts(c: Column) -> Column:
+    """How often a text has each of LETTERS, as an array of doubles (lower case counts, null is empty)."""
+    text = F.coalesce(c, F.lit(""))
+    return F.array(*[(F.length(text) - F.length(F.translate(text, x, ""))).cast("double") for x in LETTERS])

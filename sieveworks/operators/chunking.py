@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -12,72 +14,81 @@ _LEVELS = ["part", "chapter", "section"]
 PREAMBLE = "序言"
 
 
-def _descend(parts: DataFrame, level: str, keep_single: bool) -> DataFrame:
-    """Split rows (text, section, place) at a heading level; a level with one part is passed over.
+def _descend(parts: Column, level: str, keep_single: bool) -> Column:
+    """Split structs (section, text) at a heading level; a level with one part is passed over.
 
     With ``keep_single`` its heading joins ``section`` all the same.
     """
-    cut = X.split_at(F.col("text"), X.heading(level))
-    out = parts.withColumn("_parts", cut).withColumn("_many", F.size("_parts") > 1)
-    out = out.select(*[c for c in parts.columns if c not in ("text", "place")], "_many", F.posexplode("_parts").alias("_i", "_t"), "place")
-    head = X.header_of(F.col("_t"), level)
-    adds = (head != "") & (F.col("_many") | F.lit(keep_single))
-    section = F.when(adds, F.concat_ws(" > ", F.when(F.col("section") != "", F.col("section")), head)).otherwise(F.col("section"))
-    return out.select(*[c for c in parts.columns if c not in ("text", "place", "section")], section.alias("section"), F.col("_t").alias("text"), F.concat("place", F.array("_i")).alias("place"))
 
+    def named(outer: Column, cut: Column, t: Column) -> Column:
+        head = X.header_of(t, level)
+        adds = (head != "") & ((F.size(cut) > 1) | F.lit(keep_single))
+        section = F.when(adds, F.concat_ws(" > ", F.when(outer["section"] != "", outer["section"]), head)).otherwise(outer["section"])
+        return F.struct(section.alias("section"), t.alias("text"))
+
+    # the array around the cut makes it a value, which no part computes anew
+    each = lambda p: F.transform(F.array(X.split_at(p["text"], X.heading(level))), lambda cut: F.transform(cut, lambda t: named(p, cut, t)))[0]
+    return F.flatten(F.transform(parts, each))
+
+
+def _sections(docs: DataFrame, keep_single: bool) -> DataFrame:
+    """``docs`` with ``parts``, an array of struct(section, text), by part, chapter and section."""
+    out = docs.withColumn("parts", F.array(F.struct(F.lit("").alias("section"), F.col("text").alias("text"))))
+    for level in _LEVELS:
+        out = out.withColumn("parts", _descend(F.col("parts"), level, keep_single))
+    return out
 
-def _start(docs: DataFrame, key: str) -> DataFrame:
-    return docs.select(key, F.col("text"), F.lit("").alias("section"), F.array().cast("array<int>").alias("place"))
 
+def _numbered(docs: DataFrame, carried: list[str], pieces: Column, drop: Callable[[Column], Column]) -> DataFrame:
+    """A row per piece (struct of section and text) that isn't blank or to be dropped, numbered within its document."""
+    bare = F.transform(pieces, lambda p: F.struct(p["section"].alias("section"), X.strip(p["text"]).alias("text")))
+    kept = docs.select(*carried, F.posexplode(F.filter(bare, lambda p: (p["text"] != "") & ~drop(p["text"]))).alias("chunk_no", "p"))
+    return kept.select(*carried, "p.section", "p.text", "chunk_no")
 
-def _finish(pieces: DataFrame, key: str) -> DataFrame:
-    """Number the chunks of each document; a window per document."""
-    order = W.partitionBy(key).orderBy("place")
-    return pieces.withColumn("chunk_no", F.row_number().over(order) - 1).drop("place")
 
+def _leaves(parts: Column, merged: Column) -> Column:
+    """The sections of ``parts`` for each of their merged pieces: an array of struct(section, text)."""
+    both = F.arrays_zip(parts.alias("part"), merged.alias("pieces"))
+    return F.flatten(F.transform(both, lambda x: F.transform(x["pieces"], lambda t: F.struct(x["part"]["section"].alias("section"), t.alias("text")))))
 
-def split_statute(docs: DataFrame, key: str, limit: int = X.CHUNK_CHARS, keep_single: bool = False) -> DataFrame:
-    """key, section, text, chunk_no: statutes by part, chapter and section, then by article.
+
+def split_statute(docs: DataFrame, carried: list[str], limit: int = X.CHUNK_CHARS, keep_single: bool = False) -> DataFrame:
+    """``carried`` columns, section, text, chunk_no: statutes by part, chapter and section, then by article.
 
     What precedes the first article has the section's headings, or ``序言`` if there are none;
-    an article beyond ``limit`` goes by paragraphs; pieces that are a heading alone go.
+    an article beyond ``limit`` goes by paragraphs; pieces that are a heading alone go. A document
+    stays one row until its chunks are numbered: nothing is shuffled.
     """
-    parts = _start(docs, key)
-    for level in _LEVELS:
-        parts = _descend(parts, level, keep_single)
-    articles = parts.select(key, "section", "place", F.posexplode(X.split_at(F.col("text"), X.heading("article"))).alias("_i", "_a"))
-    is_article = F.col("_a").rlike(X.heading("article").replace("(?mU)", "(?U)"))
-    section = F.when(~is_article & (F.col("section") == ""), PREAMBLE).otherwise(F.col("section"))
-    pieces = F.when(F.length("_a") > limit, X.merge_paragraphs(F.col("_a"), limit)).otherwise(F.array("_a"))
-    out = articles.select(key, section.alias("section"), F.concat("place", F.array("_i")).alias("place"), F.posexplode(pieces).alias("_j", "_t"))
-    out = out.select(key, "section", X.strip(F.col("_t")).alias("text"), F.concat("place", F.array("_j")).alias("place"))
-    return _finish(out.filter((F.col("text") != "") & ~X.is_pure_header(F.col("text"))), key)
-
-
-def split_book(docs: DataFrame, key: str, limit: int = X.CHUNK_CHARS, keep_single: bool = False) -> DataFrame:
-    """key, section, text, chunk_no: textbooks by the same levels, then by paragraphs; title lines go."""
-    parts = _start(docs, key)
-    for level in _LEVELS:
-        parts = _descend(parts, level, keep_single)
-    out = parts.select(key, "section", "place", F.posexplode(X.merge_paragraphs(F.col("text"), limit)).alias("_j", "_t"))
-    out = out.select(key, "section", X.strip(F.col("_t")).alias("text"), F.concat("place", F.array("_j")).alias("place"))
-    drop = X.is_pure_header(F.col("text")) | F.col("text").rlike(r"\A【.+?】\z")
-    return _finish(out.filter((F.col("text") != "") & ~drop), key)
+    article = X.heading("article").replace("(?mU)", "(?U)")
+
+    def named(part: Column, t: Column) -> Column:
+        section = F.when(~t.rlike(article) & (part["section"] == ""), PREAMBLE).otherwise(part["section"])
+        return F.struct(section.alias("section"), t.alias("text"))
+
+    articles = F.flatten(F.transform("parts", lambda p: F.transform(X.split_at(p["text"], X.heading("article")), lambda t: named(p, t))))
+    rows = _sections(docs, keep_single).select(*carried, articles.alias("parts"))
+    rows = rows.withColumn("merged", X.merge_each(F.transform("parts", lambda p: p["text"]), limit))
+    return _numbered(rows, carried, _leaves(F.col("parts"), F.col("merged")), X.is_pure_header)
+
+
+def split_book(docs: DataFrame, carried: list[str], limit: int = X.CHUNK_CHARS, keep_single: bool = False) -> DataFrame:
+    """``carried`` columns, section, text, chunk_no: textbooks by the same levels, then by paragraphs; title lines go."""
+    rows = _sections(docs, keep_single).select(*carried, "parts")
+    rows = rows.withColumn("merged", X.merge_each(F.transform("parts", lambda p: X.strip(p["text"])), limit))
+    return _numbered(rows, carried, _leaves(F.col("parts"), F.col("merged")), lambda t: X.is_pure_header(t) | t.rlike(r"\A【.+?】\z"))
 
 
 def statute_chunks(docs: DataFrame, limit: int = X.CHUNK_CHARS) -> DataFrame:
     """Chunks of statutes (doc_ord, text): the first line is the title."""
-    titles = docs.select("doc_ord", X.first_line(X.strip(F.col("text"))).alias("title"))
-    body = docs.withColumn("text", X.strip(F.col("text"))).filter("text <> ''")
-    return split_statute(body, "doc_ord", limit).join(titles, "doc_ord").select("doc_ord", "chunk_no", "text", F.lit("statute").alias("source"), "title", "section")
+    body = docs.select("doc_ord", X.strip(F.col("text")).alias("text")).filter("text <> ''").withColumn("title", X.first_line(F.col("text")))
+    return split_statute(body, ["doc_ord", "title"], limit).select("doc_ord", "chunk_no", "text", F.lit("statute").alias("source"), "title", "section")
 
 
 def book_chunks(docs: DataFrame, limit: int = X.CHUNK_CHARS) -> DataFrame:
     """Chunks of textbooks (doc_ord, text); the title stands in 【】 at the start."""
     name = F.regexp_extract("text", r"\A\s*【(.+?)】", 1)
-    titles = docs.select("doc_ord", F.coalesce(F.when(name != "", name), F.lit("未知教材")).alias("title"))
-    body = docs.withColumn("text", X.strip(F.col("text"))).filter("text <> ''")
-    return split_book(body, "doc_ord", limit).join(titles, "doc_ord").select("doc_ord", "chunk_no", "text", F.lit("textbook").alias("source"), "title", "section")
+    body = docs.select("doc_ord", X.strip(F.col("text")).alias("text"), F.coalesce(F.when(name != "", name), F.lit("未知教材")).alias("title")).filter("text <> ''")
+    return split_book(body, ["doc_ord", "title"], limit).select("doc_ord", "chunk_no", "text", F.lit("textbook").alias("source"), "title", "section")
 
 
 def article_chunks(docs: DataFrame, limit: int = X.CHUNK_CHARS) -> DataFrame:
@@ -105,26 +116,35 @@ def qa_chunks(docs: DataFrame, limit: int = X.CHUNK_CHARS) -> DataFrame:
     )
 
 
-def number_chunks(sources: list[DataFrame]) -> DataFrame:
-    """All sources in order, with ``chunk_id`` counting from 0 by source, document and place.
+#: Documents of a block whose rows are counted together.
+BLOCK = 4096
+
 
-    Counts per document are summed over documents first, so that no window holds the chunks'
-    texts in one partition; documents of a source are counted by a running sum per source.
+def number_rows(rows: DataFrame, doc: str, place: str, group: str | None = None) -> DataFrame:
+    """``rows`` with ``n``, counting from 0 by group (if any), by document (a number) and by place in it.
+
+    Rows are counted per document and per BLOCK documents; running sums over these narrow tables
+    give each document's first number, so no window holds the rows themselves but those of one document.
     """
+    keys = [group, doc] if group else [doc]
+    block = F.floor(F.col(doc) / BLOCK)
+    before = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    sizes = rows.groupBy(*keys).agg(F.count("*").alias("n")).withColumn("block", block)
+    of = [group, "block"] if group else ["block"]
+    blocks = sizes.groupBy(*of).agg(F.sum("n").alias("n"))
+    blocks = blocks.select(*of, before(W.orderBy(*of)).alias("b0"))  # a row per BLOCK documents
+    firsts = sizes.join(blocks, of).select(*keys, (F.col("b0") + before(W.partitionBy(*of).orderBy(doc))).alias("first"))
+    rank = F.row_number().over(W.partitionBy(*keys).orderBy(place)) - 1
+    return rows.withColumn("_r", rank).join(firsts, keys).withColumn("n", (F.col("first") + F.col("_r")).cast("long")).drop("first", "_r")
+
+
+def number_chunks(sources: list[DataFrame]) -> DataFrame:
+    """All sources (doc_ord, chunk_no, text, source, title, section) in order, with ``chunk_id`` counting from 0 by source, document and place."""
     every = None
     for i, s in enumerate(sources):
         s = s.withColumn("source_ord", F.lit(i))
         every = s if every is None else every.unionByName(s, allowMissingColumns=True)
-    sizes = every.groupBy("source_ord", "doc_ord").agg(F.count("*").alias("n"))
-    bucket = F.floor(F.col("doc_ord") / 4096)
-    blocks = sizes.groupBy("source_ord", bucket.alias("block")).agg(F.sum("n").alias("n"))
-    before = lambda w, n="n": F.coalesce(F.sum(n).over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    blocks = blocks.select("source_ord", "block", before(W.orderBy("source_ord", "block")).alias("b0"))  # a row per 4096 documents
-    firsts = sizes.withColumn("block", bucket).join(blocks, ["source_ord", "block"])
-    firsts = firsts.select("source_ord", "doc_ord", (F.col("b0") + before(W.partitionBy("source_ord", "block").orderBy("doc_ord"))).alias("first"))
-    rank = F.row_number().over(W.partitionBy("source_ord", "doc_ord").orderBy("chunk_no")) - 1
-    out = every.withColumn("_r", rank).join(firsts, ["source_ord", "doc_ord"])
-    return out.select("text", "source", "title", "section", (F.col("first") + F.col("_r")).cast("long").alias("chunk_id"))
+    return number_rows(every, "doc_ord", "chunk_no", "source_ord").select("text", "source", "title", "section", F.col("n").alias("chunk_id"))
 
 
 def length_stats(chunks: DataFrame, *by: str) -> DataFrame:

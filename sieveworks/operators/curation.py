@@ -22,6 +22,11 @@ def preclean(qa: DataFrame, min_question: int = 4, min_reply: int = 10) -> DataF
     return out.filter((F.length("question") >= min_question) & (F.length("reply") >= min_reply))
 
 
+def exact_repeats_removed(rows: DataFrame, columns: list[str], order: str) -> DataFrame:
+    """``columns`` once per different value, with the least ``order`` of its rows."""
+    return rows.groupBy(*columns).agg(F.min(order).alias(order))
+
+
 def parse_batch_scores(answer: Column, size: Column) -> Column:
     """Array of struct(index, score, reason) from a batch's answer; null unless it has ``size`` entries."""
     bare = X.strip(F.regexp_replace(answer, "```(json)?", ""))

@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..functions.text import letter_counts
 from .sparse import top_k
 
-#: Query vectors that a task multiplies at a time.
-QUERY_BLOCK = 4096
+#: Vectors of a block of either side, and queries multiplied at a time within it.
+BLOCK, ROWS = 32_768, 256
 
 
 def norm(v: Column) -> Column:
@@ -33,42 +36,71 @@ def cosine(a: Column, b: Column) -> Column:
     return F.try_divide(inner_product(a, b), norm(a) * norm(b))
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
+def letter_encoder(text: Column) -> Column:
+    """A stand-in encoder in built-in functions: how often a text has each of some letters, as a unit vector."""
+    return l2_normalise(letter_counts(text))
+
+
+@dataclass(frozen=True)
+class DenseIndex:
+    """vectors (chunk_id, embedding) beside a row of what they are: model, dimension, num_chunks."""
+
+    vectors: DataFrame
+    config: DataFrame
+
+    @staticmethod
+    def build(chunks: DataFrame, encode: Callable[[Column], Column], model: str) -> DenseIndex:
+        vectors = chunks.select("chunk_id", encode(F.col("text")).alias("embedding"))
+        return DenseIndex(vectors, DenseIndex.describe(vectors, model))
+
+    @staticmethod
+    def describe(vectors: DataFrame, model: str) -> DataFrame:
+        return vectors.agg(F.lit(model).alias("model"), F.coalesce(F.max(F.size("embedding")), F.lit(0)).alias("dimension"), F.count("*").alias("num_chunks"))
+
+    def save(self, path: str) -> DenseIndex:
+        """Write both tables and read them again; the description is taken from what was written."""
+        spark = self.vectors.sparkSession
+        self.vectors.write.mode("overwrite").parquet(f"{path}/vectors")
+        model = self.config.first()["model"]
+        DenseIndex.describe(spark.read.parquet(f"{path}/vectors"), model).write.mode("overwrite").parquet(f"{path}/config")
+        return DenseIndex.load(spark, path)
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> DenseIndex:
+        return DenseIndex(spark.read.parquet(f"{path}/vectors"), spark.read.parquet(f"{path}/config"))
+
+
+def search(vectors: DataFrame, queries: DataFrame, k: int = 10, block: int = BLOCK) -> DataFrame:
     """query_id, chunk_id, rank, score: exact top ``k`` of vectors (chunk_id, embedding) per query.
 
-    The queries (query_id, embedding) are a stated set, held against all vectors in blocks of
-    QUERY_BLOCK: each task multiplies its batches of vectors by a block and keeps its own best
-    ``k`` per query, so k rows per query and task meet, whatever the corpus's size. Scores are
+    Both sides are dealt into blocks, and each pair of a block of queries (query_id, embedding)
+    with a block of vectors is a task of its own, which keeps its best ``k`` per query: what a
+    task holds is bounded on either side, and nothing passes through the driver. Scores are
     rounded to six places; equal ones go by chunk_id.
     """
     spark = vectors.sparkSession
-    found = None
-    block: list = []
-
-    def scan(block: list) -> DataFrame:
-        if not block:
-            return spark.createDataFrame([], "query_id long, chunk_id long, score double")
-        shared = spark.sparkContext.broadcast(([r[0] for r in block], np.array([r[1] for r in block], dtype=np.float64)))
-
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            ids, q = shared.value
-            best_s, best_i = np.empty((len(ids), 0)), np.empty((len(ids), 0), dtype=np.int64)
-            for b in batches:
-                if not len(b):
-                    continue
-                s = np.round(q @ np.stack(b["embedding"].to_numpy()).astype(np.float64).T, 6)
-                best_s, best_i = np.concatenate((best_s, s), 1), np.concatenate((best_i, np.broadcast_to(b["chunk_id"].to_numpy(), s.shape)), 1)
-                if best_s.shape[1] > k:
-                    order = np.lexsort((best_i, -best_s), axis=1)[:, :k]
-                    best_s, best_i = np.take_along_axis(best_s, order, 1), np.take_along_axis(best_i, order, 1)
-            yield pd.DataFrame({"query_id": np.repeat(np.array(ids, dtype=np.int64), best_s.shape[1]), "chunk_id": best_i.ravel(), "score": best_s.ravel()})
-
-        return vectors.select("chunk_id", "embedding").filter("embedding is not null").mapInPandas(run, "query_id long, chunk_id long, score double")
-
-    for row in queries.select("query_id", "embedding").filter("embedding is not null").toLocalIterator():
-        block.append((row["query_id"], row["embedding"]))
-        if len(block) == QUERY_BLOCK:
-            found, block = (scan(block) if found is None else found.union(scan(block))), []
-    if block or found is None:
-        found = scan(block) if found is None else found.union(scan(block))
-    return top_k(found, k)
+    v = vectors.select("chunk_id", "embedding").filter("embedding is not null")
+    q = queries.select("query_id", "embedding").filter("embedding is not null")
+    n_q = max(1, -(-q.count() // block))
+    n = v.count()
+    n_v = max(1, -(-n // block), min(spark.sparkContext.defaultParallelism, n // 512))
+    every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
+    dealt = lambda m, *c: F.pmod(F.xxhash64(*c), F.lit(m)).cast("int")
+    q = q.select("query_id", "embedding", dealt(n_q, "query_id").alias("q_block"), every(n_v).alias("v_block"))
+    v = v.select("chunk_id", "embedding", dealt(n_v, "chunk_id", "embedding").alias("v_block"), every(n_q).alias("q_block"))
+    schema = T.StructType([T.StructField("query_id", q.schema["query_id"].dataType), T.StructField("chunk_id", v.schema["chunk_id"].dataType), T.StructField("score", T.DoubleType())])
+
+    def best(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+        found = []
+        if len(asked) and len(held):
+            held = held.sort_values("chunk_id", kind="stable")  # so that a stable sort by score breaks ties by id
+            matrix, ids = np.stack(held["embedding"].to_numpy()).astype(np.float64).T, held["chunk_id"].to_numpy()
+            for at in range(0, len(asked), ROWS):
+                some = asked.iloc[at : at + ROWS]
+                s = np.round(np.stack(some["embedding"].to_numpy()).astype(np.float64) @ matrix, 6)
+                order = np.argsort(-s, axis=1, kind="stable")[:, :k]
+                found.append(pd.DataFrame({"query_id": np.repeat(some["query_id"].to_numpy(), order.shape[1]), "chunk_id": ids[order].ravel(), "score": np.take_along_axis(s, order, 1).ravel()}))
+        return pd.concat(found) if found else pd.DataFrame({f.name: [] for f in schema})
+
+    by = ["q_block", "v_block"]
+    return top_k(q.groupBy(*by).cogroup(v.groupBy(*by)).applyInPandas(best, schema), k)

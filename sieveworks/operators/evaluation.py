@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,10 +24,40 @@ def judged(hits: DataFrame, relevant: DataFrame) -> DataFrame:
     return hits.join(relevant.select("query_id", "chunk_id").distinct().withColumn("rel", F.lit(1)), ["query_id", "chunk_id"], "left").withColumn("rel", F.coalesce("rel", F.lit(0)))
 
 
+def sizes_of(relevant: DataFrame) -> DataFrame:
+    """query_id, n_rel: how many chunks are relevant to each query."""
+    return relevant.select("query_id", "chunk_id").distinct().groupBy("query_id").agg(F.count("*").alias("n_rel"))
+
+
+def judged_by_label(hits: DataFrame, queries: DataFrame, chunks: DataFrame) -> DataFrame:
+    """hits with rel: a hit is relevant if its label is the query's; no pair of a label but the hits is looked at."""
+    own = queries.select("query_id", F.col("label").alias("_q")).join(hits, "query_id")
+    both = own.join(chunks.select("chunk_id", F.col("label").alias("_c")), "chunk_id")
+    return both.withColumn("rel", F.coalesce((F.col("_q") == F.col("_c")).cast("int"), F.lit(0))).drop("_q", "_c")
+
+
+def sizes_by_label(queries: DataFrame, chunks: DataFrame) -> DataFrame:
+    """query_id, n_rel: how many chunks bear the query's label."""
+    return queries.select("query_id", "label").join(chunks.groupBy("label").agg(F.count("*").alias("n_rel")), "label").select("query_id", "n_rel")
+
+
+def judged_by_title(hits: DataFrame, queries: DataFrame, chunks: DataFrame) -> DataFrame:
+    """hits with rel: the variant in which a chunk is relevant if its text contains the query's title.
+
+    The containment is tested for hits only, after the equi-joins that bring both texts.
+    """
+    both = hits.join(queries.select("query_id", "query"), "query_id").join(chunks.select("chunk_id", "text"), "chunk_id")
+    return both.withColumn("rel", F.coalesce(F.contains("text", "query").cast("int"), F.lit(0))).drop("query", "text")
+
+
 def per_query(hits: DataFrame, relevant: DataFrame, queries: DataFrame, ks: list[int] = KS) -> DataFrame:
+    """`measured` for relevant pairs (query_id, chunk_id)."""
+    return measured(judged(hits, relevant), sizes_of(relevant), queries, ks)
+
+
+def measured(judged_hits: DataFrame, sizes: DataFrame, queries: DataFrame, ks: list[int] = KS) -> DataFrame:
     """query_id, hit_k, recall_k for each k, rr; queries without a hit count 0."""
-    sizes = relevant.select("query_id", "chunk_id").distinct().groupBy("query_id").agg(F.count("*").alias("n_rel"))
-    found = judged(hits, relevant).filter("rel = 1").groupBy("query_id").agg(
+    found = judged_hits.filter("rel = 1").groupBy("query_id").agg(
         *[F.sum((F.col("rank") <= k).cast("int")).alias(f"n_{k}") for k in ks], (1.0 / F.min("rank")).alias("rr")
     )
     every = queries.select("query_id").join(sizes, "query_id", "left").join(found, "query_id", "left")
@@ -36,19 +68,23 @@ def per_query(hits: DataFrame, relevant: DataFrame, queries: DataFrame, ks: list
     )
 
 
+def means(q: DataFrame, *by: str, ks: list[int] = KS) -> DataFrame:
+    """The means of `measured` rows, and how many there are."""
+    return q.groupBy(*by).agg(*[F.round(F.avg(f"hit_{k}"), 6).alias(f"hit_{k}") for k in ks], *[F.round(F.avg(f"recall_{k}"), 6).alias(f"recall_{k}") for k in ks], F.round(F.avg("rr"), 6).alias("mrr"), F.count("*").alias("n_queries"))
+
+
 def evaluate(hits: DataFrame, relevant: DataFrame, queries: DataFrame, ks: list[int] = KS) -> DataFrame:
     """One row: the means over all queries, and how many there are."""
-    q = per_query(hits, relevant, queries, ks)
-    return q.agg(*[F.round(F.avg(f"hit_{k}"), 6).alias(f"hit_{k}") for k in ks], *[F.round(F.avg(f"recall_{k}"), 6).alias(f"recall_{k}") for k in ks], F.round(F.avg("rr"), 6).alias("mrr"), F.count("*").alias("n_queries"))
+    return means(per_query(hits, relevant, queries, ks), ks=ks)
 
 
-def compare(methods: dict[str, DataFrame], relevant: DataFrame, queries: DataFrame, ks: list[int] = KS) -> DataFrame:
-    """A row of `evaluate` for each method."""
+def compare(methods: dict[str, DataFrame], measure: Callable[[DataFrame], DataFrame], ks: list[int] = KS) -> DataFrame:
+    """A row of means for each method's hits; ``measure`` makes `measured` rows of hits."""
     out = None
     for name, hits in methods.items():
-        row = evaluate(hits, relevant, queries, ks).withColumn("method", F.lit(name))
+        row = measure(hits).withColumn("method", F.lit(name))
         out = row if out is None else out.unionByName(row)
-    return out
+    return means(out, "method", ks=ks)
 
 
 def report(comparison: DataFrame) -> DataFrame:

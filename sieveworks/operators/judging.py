@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import parsing as P
+from .dense import cosine
 
 NO_CONTEXT = "无参考文档"
 
@@ -63,7 +64,30 @@ def status_summary(rows: DataFrame) -> DataFrame:
     )
 
 
-def answer_bundle(results: DataFrame) -> DataFrame:
-    """Contexts by default 无参考文档; faithfulness only where retrieval was used."""
+def with_contexts(results: DataFrame) -> DataFrame:
+    """Results whose missing contexts are the default 无参考文档."""
     none = F.coalesce(F.size("contexts"), F.lit(0)) <= 0
     return results.withColumn("contexts", F.when(none, F.array(F.lit(NO_CONTEXT))).otherwise(F.col("contexts")))
+
+
+def answer_quality(results: DataFrame, statements: DataFrame, regenerated: DataFrame) -> DataFrame:
+    """file, n, precision, answer_relevancy, faithfulness, answer_similarity: means over each file's results, to four places.
+
+    ``results``: file, idx, use_rag, answer, judgement, and the vectors question_vector,
+    answer_vector and gold_vector. ``statements``: file, idx, verdict (1 if the contexts support
+    the answer's statement). ``regenerated``: file, idx, vector (of a question made from the
+    answer). Relevancy is the mean cosine of a result's question with its regenerated ones,
+    faithfulness its share of supported statements, which counts only where retrieval was used.
+    """
+    keys = ["file", "idx"]
+    asked = regenerated.join(results.select(*keys, "question_vector"), keys)
+    relevancy = asked.groupBy(*keys).agg(F.avg(cosine(F.col("question_vector"), F.col("vector"))).alias("relevancy"))
+    faithful = statements.groupBy(*keys).agg(F.avg(F.col("verdict").cast("double")).alias("faithful"))
+    verdict = F.when(~P.failed_answer(F.col("answer")), P.agreement_verdict(F.col("judgement")))
+    rows = results.select(*keys, "use_rag", verdict.alias("v"), cosine(F.col("answer_vector"), F.col("gold_vector")).alias("similar"))
+    rows = rows.join(relevancy, keys, "left").join(faithful, keys, "left")
+    mean = lambda c: F.round(F.avg(c), 4)
+    return rows.groupBy("file").agg(
+        F.count("*").alias("n"), F.coalesce(F.round(F.try_divide(F.sum("v"), F.count("v")), 4), F.lit(0.0)).alias("precision"), mean("relevancy").alias("answer_relevancy"),
+        mean(F.when(F.col("use_rag"), F.col("faithful"))).alias("faithfulness"), mean("similar").alias("answer_similarity"),
+    )

@@ -1,14 +1,20 @@
-"""BM25 as tables: postings, idf, document lengths; a search is a join on terms."""
+"""BM25 as tables: token lists, postings, idf; a search is a join on terms.
+
+Token lists are written once. What a search needs of the postings is counted for its own terms
+alone: the semi-join with them stands before the aggregation. Document frequencies come from each
+document's distinct terms, summed within tasks first, so that only the vocabulary is shuffled.
+"""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
+from ..storage import cut
 
 #: The parameters of Okapi BM25 as the results assume them.
 K1, B, EPSILON = 1.5, 0.75, 0.25
@@ -16,50 +22,67 @@ K1, B, EPSILON = 1.5, 0.75, 0.25
 
 @dataclass(frozen=True)
 class SparseIndex:
-    """postings (term, chunk_id, tf, dl), idf (term, idf), stats (n, avgdl): one row."""
+    """postings (term, chunk_id, tf, dl), idf (term, df, idf), stats (n, avgdl): one row."""
 
     postings: DataFrame
     idf: DataFrame
     stats: DataFrame
 
-    def save(self, path: str) -> None:
-        for name in ("postings", "idf", "stats"):
+    def save(self, path: str, buckets: int = 64) -> None:
+        """Postings lie in ``buckets`` folders by a hash of the term and sorted by term within, so that a search reads few row groups."""
+        bucket = F.pmod(F.xxhash64("term"), F.lit(buckets))
+        self.postings.withColumn("bucket", bucket).repartition(buckets, "bucket").sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+        for name in ("idf", "stats"):
             getattr(self, name).write.mode("overwrite").parquet(f"{path}/{name}")
 
     @staticmethod
-    def load(spark, path: str) -> SparseIndex:
-        return SparseIndex(*[spark.read.parquet(f"{path}/{n}") for n in ("postings", "idf", "stats")])
+    def load(spark: SparkSession, path: str) -> SparseIndex:
+        return SparseIndex(spark.read.parquet(f"{path}/postings").drop("bucket"), *[spark.read.parquet(f"{path}/{n}") for n in ("idf", "stats")])
 
 
 def terms(docs: DataFrame, key: str, text: str = "text", tokenizer=tokens) -> DataFrame:
     return docs.select(F.col(key), F.explode(tokenizer(F.col(text))).alias("term"))
 
 
-def postings(docs: DataFrame, tokenizer=tokens) -> DataFrame:
-    """term, chunk_id, tf, dl for documents (chunk_id, text): one shuffle, for the counts.
+def token_lists(docs: DataFrame, tokenizer=tokens) -> DataFrame:
+    """chunk_id, terms for documents (chunk_id, text)."""
+    return docs.select("chunk_id", tokenizer(F.col("text")).alias("terms"))
 
-    ``dl`` is read off the token array before it is exploded.
-    """
-    listed = docs.select("chunk_id", tokenizer(F.col("text")).alias("_t")).select("chunk_id", F.size("_t").alias("dl"), F.explode("_t").alias("term"))
-    return listed.groupBy("term", "chunk_id", "dl").agg(F.count("*").alias("tf")).select("term", "chunk_id", "tf", F.col("dl").cast("long").alias("dl"))
 
+def postings(lists: DataFrame) -> DataFrame:
+    """term, chunk_id, tf, dl of `token_lists`: one shuffle, for the counts."""
+    listed = lists.select("chunk_id", F.size("terms").cast("long").alias("dl"), F.explode("terms").alias("term"))
+    return listed.groupBy("term", "chunk_id", "dl").agg(F.count("*").alias("tf")).select("term", "chunk_id", "tf", "dl")
 
-def corpus_stats(docs: DataFrame, tokenizer=tokens) -> DataFrame:
+
+def corpus_stats(lists: DataFrame) -> DataFrame:
     """n documents and their mean length in tokens: one row."""
-    return docs.agg(F.count("*").alias("n"), F.avg(F.size(tokenizer(F.col("text")))).alias("avgdl"))
+    return lists.agg(F.count("*").alias("n"), F.avg(F.size("terms")).alias("avgdl"))
 
 
-def idf(post: DataFrame, stats: DataFrame) -> DataFrame:
+def idf(lists: DataFrame, stats: DataFrame) -> DataFrame:
     """term, df, idf; negative ones become EPSILON times the mean over all terms."""
-    df = post.groupBy("term").agg(F.count("*").alias("df"))
+    df = lists.select(F.explode(F.array_distinct("terms")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
     raw = df.crossJoin(F.broadcast(stats.select("n"))).select("term", "df", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
+    raw = cut(raw)  # for the mean and for the terms
     mean = raw.agg(F.avg("raw").alias("mean"))  # one row
     return raw.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
 
 
 def build(docs: DataFrame, tokenizer=tokens) -> SparseIndex:
-    post, stats = postings(docs, tokenizer), corpus_stats(docs, tokenizer)
-    return SparseIndex(post, idf(post, stats), stats)
+    lists = cut(token_lists(docs, tokenizer))
+    stats = cut(corpus_stats(lists))
+    return SparseIndex(postings(lists), idf(lists, stats), stats)
+
+
+def asked_terms(queries: DataFrame, tokenizer=tokens) -> DataFrame:
+    """query_id, term, qf: how often a query has each of its terms."""
+    return terms(queries, "query_id", "query", tokenizer).groupBy("query_id", "term").agg(F.count("*").alias("qf"))
+
+
+def matches(index: SparseIndex, asked: DataFrame) -> DataFrame:
+    """query_id, qf, and the postings of each query's terms."""
+    return asked.join(index.postings.join(asked.select("term").distinct(), "term", "left_semi"), "term")
 
 
 def search(index: SparseIndex, queries: DataFrame, k: int = 10, tokenizer=tokens) -> DataFrame:
@@ -68,8 +91,8 @@ def search(index: SparseIndex, queries: DataFrame, k: int = 10, tokenizer=tokens
     Repeated query terms count as often as they occur. Equal scores (to six places) go by
     chunk_id. The join starts from the queries' terms; Spark broadcasts them while they are small.
     """
-    asked = terms(queries, "query_id", "query", tokenizer).groupBy("query_id", "term").agg(F.count("*").alias("qf"))
-    weighted = asked.join(index.idf.select("term", "idf"), "term").join(index.postings, "term").crossJoin(F.broadcast(index.stats.select("avgdl")))
+    asked = asked_terms(queries, tokenizer).join(index.idf.select("term", "idf"), "term")
+    weighted = matches(index, asked).crossJoin(F.broadcast(index.stats.select("avgdl")))
     tf = F.col("tf")
     part = F.col("qf") * F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     scored = weighted.groupBy("query_id", "chunk_id").agg(F.round(F.sum(part), 6).alias("score")).filter("score > 0")

@@ -3,6 +3,7 @@
 Corpus: ``documents`` (doc_id as chunk_id). Queries: ``benchmark``. Vectors: ``embeddings``,
 where vectors of one label are relevant to each other; as searches every vec_id divisible by 20
 is asked against all vectors. Records: ``conversations`` (a user turn and the assistant turn after it).
+Operators for Han text get whole texts of the tables whose letters `han` replaces by Han characters.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from ..functions import parsing as P
 from ..functions import prompts as PR
 from ..functions import text as X
 from ..operators import chunking, classification, curation, dense, evaluation, fusion, judging, providers, sparse
+from ..storage import cut, spread
 from .engine import Engine
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -38,13 +40,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text", "source")
+    return spread(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text", "source"))
 
 
 def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
 
+#: What `han` replaces, and by what: characters of which some spell words that the operators look for.
+LATIN, HAN = "abcdefghijklmnopqrstuvwxyz.,", "的一是不了在人有我他这中大来上公司国到说小明請解析法？，"
+
+
+def han(c: Column) -> Column:
+    """A text with its letters replaced by Han characters."""
+    return F.translate(F.lower(c), LATIN, HAN)
+
+
+def han_sql(c: str) -> str:
+    return f"translate(lower({c}), '{LATIN}', '{HAN}')"
+
+
 # ---------------------------------------------------------------- text
 
 
@@ -77,7 +92,7 @@ select doc_id, unnest(generate_series(0, len(parts) - 1)) as part_no, unnest(par
 """)
 def regex_section_split(spark, sf_dir):
     parts = X.split_at(F.col("text"), "(?m)^(The|De|Le|La|Der|Die) ")
-    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(parts).alias("part_no", "part"))
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.posexplode(parts).alias("part_no", "part"))
 
 
 _STRIP = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
@@ -108,7 +123,8 @@ select doc_id, unnest(generate_series(0, len(parts) - 1)) as chunk_no, unnest(pa
 
 @query(_PACK_SQL)
 def sentence_pack(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(X.split_by_sentences(F.col("text"), 512, ".;")).alias("chunk_no", "chunk"))
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return docs.select("doc_id", F.posexplode(X.split_by_sentences(F.col("text"), 512, ".;")).alias("chunk_no", "chunk"))
 
 
 _MERGE_SQL = f"""
@@ -124,7 +140,8 @@ select doc_id, unnest(generate_series(0, len(parts) - 1)) as chunk_no, unnest(pa
 
 @query(_MERGE_SQL)
 def paragraph_merge(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(X.merge_paragraphs(F.col("text"), 512, ".;", "\n")).alias("chunk_no", "chunk"))
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return docs.select("doc_id", F.posexplode(X.merge_paragraphs(F.col("text"), 512, ".;", "\n")).alias("chunk_no", "chunk"))
 
 
 @query("""
@@ -151,22 +168,28 @@ def tokenize(spark, sf_dir):
 # ---------------------------------------------------------------- sparse search
 
 _TOK = r"""
-tok as (select doc_id as chunk_id, [w for w in string_split_regex(lower(text), '[^\p{L}\p{N}]+') if length(w) > 1] as w from documents),
-post as (select term, chunk_id, count(*) as tf, any_value(dl) as dl from (select chunk_id, len(w) as dl, unnest(w) as term from tok) group by term, chunk_id),
-stats as (select count(*) as n, avg(len(w)) as avgdl from tok),
-raw as (select term, count(*) as df, ln(any_value(n) - count(*) + 0.5::double) - ln(count(*) + 0.5::double) as raw from post, stats group by term),
-idf as (select term, df, case when raw < 0 then 0.25::double * (select avg(raw) from raw) else raw end as idf from raw)
+tok as materialized (select doc_id as chunk_id, [w for w in string_split_regex(lower(text), '[^\p{L}\p{N}]+') if length(w) > 1] as w from documents),
+post as materialized (select term, chunk_id, count(*) as tf, any_value(dl) as dl from (select chunk_id, len(w) as dl, unnest(w) as term from tok) group by term, chunk_id),
+stats as materialized (select count(*) as n, avg(len(w)) as avgdl from tok),
+dfs as materialized (select term, count(*) as df from post group by term),
+raw as materialized (select term, df, ln(n - df + 0.5::double) - ln(df + 0.5::double) as raw from dfs, stats),
+mean as materialized (select avg(raw) as mean from raw),
+idf as materialized (select term, df, case when raw < 0 then 0.25::double * mean else raw end as idf from raw, mean)
 """
+_LETTERS = ", ".join(f"length(text) - length(replace(text, '{x}', ''))" for x in X.LETTERS)
+_UNIT = "case when n > 0 then [x / n for x in v] else v end"
 _BM25 = (
     _TOK
-    + r""",
-q as (select item_id as query_id, unnest([w for w in string_split_regex(lower(text), '[^\p{L}\p{N}]+') if length(w) > 1]) as term from benchmark),
-qf as (select query_id, term, count(*) as qf from q group by query_id, term),
+    + rf""",
+q as (select item_id as query_id, unnest([w for w in string_split_regex(lower(text), '[^\p{{L}}\p{{N}}]+') if length(w) > 1]) as term from benchmark),
+qf as materialized (select query_id, term, count(*) as qf from q group by query_id, term),
 scored as (select query_id, chunk_id, round(sum(qf * idf * tf * 2.5::double / (tf + 1.5::double * (0.25::double + 0.75::double * dl / avgdl))), 6) as score
   from qf join idf using (term) join post using (term), stats group by query_id, chunk_id),
-bm as (select query_id, chunk_id, row_number() over (partition by query_id order by score desc, chunk_id) as rank, score from scored where score > 0),
-coord as (select query_id, chunk_id, count(*)::double as score from qf join post using (term) group by query_id, chunk_id),
-co as (select query_id, chunk_id, row_number() over (partition by query_id order by score desc, chunk_id) as rank, score from coord)
+bm as materialized (select query_id, chunk_id, row_number() over (partition by query_id order by score desc, chunk_id) as rank, score from scored where score > 0),
+dv as materialized (select chunk_id, {_UNIT} as v from (select chunk_id, v, sqrt(list_inner_product(v, v)) as n from (select doc_id as chunk_id, [{_LETTERS}]::double[] as v from documents))),
+qv as materialized (select query_id, {_UNIT} as q from (select query_id, v, sqrt(list_inner_product(v, v)) as n from (select item_id as query_id, [{_LETTERS}]::double[] as v from benchmark))),
+near as (select query_id, chunk_id, round(list_inner_product(q, v), 6) as score from qv, dv),
+de as materialized (select query_id, chunk_id, row_number() over (partition by query_id order by score desc, chunk_id) as rank, score from near)
 """
 )
 
@@ -179,21 +202,25 @@ def _bm25(spark, sf_dir, k) -> DataFrame:
     return sparse.search(_index(spark, sf_dir), asked(spark, sf_dir), k)
 
 
-def _coordination(spark, sf_dir, k) -> DataFrame:
-    """A second leg: documents by how many different words of the query they have."""
-    terms = sparse.terms(asked(spark, sf_dir), "query_id", "query").distinct()
-    hits = terms.join(sparse.postings(corpus(spark, sf_dir)), "term").groupBy("query_id", "chunk_id").agg(F.count("*").cast("double").alias("score"))
-    return sparse.top_k(hits, k)
+def _letters(spark, sf_dir, k) -> DataFrame:
+    """A dense leg that SQL can follow: texts by how often they have some letters."""
+    queries = asked(spark, sf_dir).select("query_id", dense.letter_encoder(F.col("query")).alias("embedding"))
+    return dense.search(corpus(spark, sf_dir).select("chunk_id", dense.letter_encoder(F.col("text")).alias("embedding")), queries, k)
+
+
+def _legs_of(spark, sf_dir, k: int = 20) -> tuple[DataFrame, DataFrame]:
+    return _letters(spark, sf_dir, k), _bm25(spark, sf_dir, k)
 
 
 @query(f"with {_TOK} select term, chunk_id, tf, dl from post")
 def postings(spark, sf_dir):
-    return sparse.postings(corpus(spark, sf_dir))
+    return sparse.postings(sparse.token_lists(corpus(spark, sf_dir)))
 
 
 @query(f"with {_TOK} select term, df, round(idf, 6) as idf from idf")
 def idf_floor(spark, sf_dir):
-    return _index(spark, sf_dir).idf.select("term", "df", F.round("idf", 6).alias("idf"))
+    lists = cut(sparse.token_lists(corpus(spark, sf_dir)))
+    return sparse.idf(lists, sparse.corpus_stats(lists)).select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 @query(f"with {_BM25} select query_id, chunk_id, rank, score from bm where rank <= 10")
@@ -225,8 +252,10 @@ def _dense(spark, sf_dir, k: int, dims: int = 64) -> DataFrame:
     return dense.search(_vectors(spark, sf_dir, dims), _asked_vectors(spark, sf_dir, dims), k)
 
 
-def _relevant(spark, sf_dir) -> DataFrame:
-    return _asked_vectors(spark, sf_dir).select("query_id", "label").join(_vectors(spark, sf_dir).select("chunk_id", "label"), "label").select("query_id", "chunk_id")
+def _measure(spark, sf_dir) -> Callable[[DataFrame], DataFrame]:
+    """Hits -> hit, recall and reciprocal rank of each query, where a hit of the query's label is relevant."""
+    queries, vectors = _asked_vectors(spark, sf_dir), _vectors(spark, sf_dir)
+    return lambda hits: evaluation.measured(evaluation.judged_by_label(hits, queries, vectors), evaluation.sizes_by_label(queries, vectors), queries)
 
 
 @query(f"with {_DENSE} select query_id, chunk_id, rank, score from de where rank <= 10")
@@ -235,24 +264,26 @@ def dense_topk(spark, sf_dir):
 
 
 @query("""
-select vec_id, round(sqrt(list_inner_product(embedding::double[], embedding::double[])), 6) as norm,
-  round(embedding[1]::double / sqrt(list_inner_product(embedding::double[], embedding::double[])), 6) as first,
-  round(embedding[64]::double / sqrt(list_inner_product(embedding::double[], embedding::double[])), 6) as last from embeddings
+with e as (select vec_id, embedding::double[] as v from embeddings), n as (select vec_id, v, sqrt(list_inner_product(v, v)) as norm from e)
+select vec_id, round(norm, 6) as norm, unnest(generate_series(0, 63)) as place, round(unnest(v) / norm, 6) as value from n
 """)
 def l2_normalize(spark, sf_dir):
     unit = dense.l2_normalise(F.col("embedding"))
-    return table(spark, sf_dir, "embeddings").select("vec_id", F.round(dense.norm(F.col("embedding")), 6).alias("norm"), F.round(unit[0], 6).alias("first"), F.round(unit[63], 6).alias("last"))
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.round(dense.norm(F.col("embedding")), 6).alias("norm"), F.posexplode(unit).alias("place", "value"))
+    return rows.withColumn("value", F.round("value", 6))
 
 
 @query("""
-with c as (select label, avg(embedding[1]) as x, avg(embedding[2]) as y from embeddings group by label)
-select vec_id, round(list_cosine_similarity([embedding[1]::double, embedding[2]::double], [x::double, y::double]), 6) as similarity from embeddings join c using (label)
+with d as (select vec_id, label, unnest(generate_series(0, 63)) as place, unnest(embedding)::double as x from embeddings),
+c as (select label, place, avg(x) as m from d group by label, place),
+s as (select vec_id, sum(x * m) as xm, sum(x * x) as xx, sum(m * m) as mm from d join c using (label, place) group by vec_id)
+select vec_id, round(xm / (sqrt(xx) * sqrt(mm)), 6) as similarity from s
 """)
 def cosine_to_label(spark, sf_dir):
     v = table(spark, sf_dir, "embeddings")
-    two = F.array(F.col("embedding")[0].cast("double"), F.col("embedding")[1].cast("double"))
-    centre = v.groupBy("label").agg(F.array(F.avg(F.col("embedding")[0]), F.avg(F.col("embedding")[1])).alias("centre"))
-    return v.join(centre, "label").select("vec_id", F.round(dense.cosine(two, F.col("centre")), 6).alias("similarity"))
+    mean = v.select("label", F.posexplode("embedding").alias("place", "x")).groupBy("label", "place").agg(F.avg(F.col("x").cast("double")).alias("m"))
+    centre = mean.groupBy("label").agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "m"))), lambda p: p["m"]).alias("centre"))
+    return v.join(centre, "label").select("vec_id", F.round(dense.cosine(F.col("embedding"), F.col("centre")), 6).alias("similarity"))
 
 
 # ---------------------------------------------------------------- fusion
@@ -272,22 +303,22 @@ fu as (select query_id, chunk_id, row_number() over (partition by query_id order
 """
 
 
-_LEGS = _BM25 + ", a as (select * from co where rank <= 20), b as (select * from bm where rank <= 20)"
+_LEGS = _BM25 + ", a as (select * from de where rank <= 20), b as (select * from bm where rank <= 20)"
 
 
 @query(f"with {_LEGS}, {_UNION} select query_id, chunk_id, row_number() over (partition by query_id order by o) as rank, score, retriever from un qualify rank <= 20")
 def union_merge(spark, sf_dir):
-    return fusion.union_merge(_coordination(spark, sf_dir, 20), _bm25(spark, sf_dir, 20), 20)
+    return fusion.union_merge(*_legs_of(spark, sf_dir), 20)
 
 
 @query(f"with {_LEGS}, {_rrf(0.5, 0.5)} select query_id, chunk_id, rank, score, 'fusion' as retriever from fu where rank <= 20")
 def rrf_fusion(spark, sf_dir):
-    return fusion.weighted_fusion(_coordination(spark, sf_dir, 20), _bm25(spark, sf_dir, 20), 20)
+    return fusion.weighted_fusion(*_legs_of(spark, sf_dir), 20)
 
 
 @query(f"with {_LEGS}, {_rrf(0.3, 0.7)} select query_id, chunk_id, rank, score, 'fusion' as retriever from fu where rank <= 20")
 def rrf_weighted(spark, sf_dir):
-    return fusion.weighted_fusion(_coordination(spark, sf_dir, 20), _bm25(spark, sf_dir, 20), 20, dense_weight=0.3, sparse_weight=0.7)
+    return fusion.weighted_fusion(*_legs_of(spark, sf_dir), 20, dense_weight=0.3, sparse_weight=0.7)
 
 
 _RERANK = (
@@ -304,7 +335,7 @@ rr as (select *, row_number() over (partition by query_id order by rerank_score
 
 
 def _reranked(spark, sf_dir, k: int) -> DataFrame:
-    fused = fusion.weighted_fusion(_coordination(spark, sf_dir, 20), _bm25(spark, sf_dir, 20), 20)
+    fused = fusion.weighted_fusion(*_legs_of(spark, sf_dir), 20)
     return fusion.rerank(asked(spark, sf_dir), fused, corpus(spark, sf_dir), providers.overlap_score, k)
 
 
@@ -338,16 +369,18 @@ def prompt_build(spark, sf_dir):
     return both.select("query_id", PR.build_prompt(F.col("query"), F.col("contexts")).alias("prompt"))
 
 
-def hybrid_engine(spark: SparkSession, sf_dir: str) -> Engine:
+def hybrid_engine(spark: SparkSession, sf_dir: str, index: sparse.SparseIndex | None = None) -> Engine:
     """Both legs over the documents, with the stand-in encoder and scorer."""
     docs = corpus(spark, sf_dir).withColumn("section", F.lit(None).cast("string"))
-    encode = providers.hash_encoder()
-    return Engine(docs, docs.select("chunk_id", encode(F.col("text")).alias("embedding")), sparse.build(docs), encode)
+    vectors = docs.select("chunk_id", dense.letter_encoder(F.col("text")).alias("embedding"))
+    return Engine(docs, vectors, index or sparse.build(docs), dense.letter_encoder)
 
 
-@query()
+@query(f"""
+with {_RERANK} select query_id, rank, chunk_id, text, source, null::varchar as section, rerank_score as score from rr join documents on doc_id = chunk_id where rank <= 5
+""")
 def engine_search(spark, sf_dir):
-    """Dense and sparse legs, fusion and reranking behind one call (the hashing encoder has no SQL)."""
+    """Dense and sparse legs, fusion and reranking behind one call."""
     return hybrid_engine(spark, sf_dir).search(asked(spark, sf_dir), 5)
 
 
@@ -368,7 +401,7 @@ def _per(hits: str, name: str = "per") -> str:
 
 
 def _measured(spark, sf_dir) -> DataFrame:
-    return evaluation.per_query(_dense(spark, sf_dir, 20), _relevant(spark, sf_dir), _asked_vectors(spark, sf_dir))
+    return _measure(spark, sf_dir)(_dense(spark, sf_dir, 20))
 
 
 @query(f"with {_DENSE}, {_per('de')} select query_id, " + ", ".join(f"hit_{k}" for k in _KS) + " from per")
@@ -393,9 +426,9 @@ select 'Full' as method, {_MEANS}, round(avg(rr), 6) as mrr, count(*) as n_queri
 union all select 'Union', {_MEANS}, round(avg(rr), 6), count(*) from p3 union all select 'RRF', {_MEANS}, round(avg(rr), 6), count(*) from p4
 """)
 def method_comparison(spark, sf_dir):
-    full, half = _dense(spark, sf_dir, 20), _dense(spark, sf_dir, 20, 32)
+    full, half = cut(_dense(spark, sf_dir, 20)), cut(_dense(spark, sf_dir, 20, 32))  # each serves three methods
     methods = {"Full": full, "Half": half, "Union": fusion.union_merge(full, half, 20), "RRF": fusion.weighted_fusion(full, half, 20)}
-    return evaluation.compare(methods, _relevant(spark, sf_dir), _asked_vectors(spark, sf_dir))
+    return evaluation.compare(methods, _measure(spark, sf_dir))
 
 
 @query(f"""
@@ -404,7 +437,8 @@ p as (select query_id, v, sum(v) over (partition by query_id order by k)::double
 select query_id, round(coalesce(sum(p * v) / nullif(sum(v), 0), 0), 6) as context_precision, round(avg(v::double), 6) as supported from p group by query_id
 """)
 def context_precision(spark, sf_dir):
-    v = evaluation.judged(_dense(spark, sf_dir, 10), _relevant(spark, sf_dir)).select("query_id", F.col("rank").alias("k"), F.col("rel").alias("verdict"))
+    hits = evaluation.judged_by_label(_dense(spark, sf_dir, 10), _asked_vectors(spark, sf_dir), _vectors(spark, sf_dir))
+    v = cut(hits.select("query_id", F.col("rank").alias("k"), F.col("rel").alias("verdict")))
     cp = evaluation.context_precision(v).select("query_id", F.round("value", 6).alias("context_precision"))
     return cp.join(evaluation.supported_ratio(v).select("query_id", F.round("value", 6).alias("supported")), "query_id")
 
@@ -508,15 +542,18 @@ def last_wins(spark, sf_dir):
 
 
 _JUDGED = """
-jd as (select source, text as answer, case when length(text) % 7 = 0 then '判断：不一致' when length(text) % 7 = 1 then '不清楚' else '结论一致' end as judgement,
-  (length(text) % 12)::varchar || '分' as scored from documents)
+jd as (select doc_id, source, text as answer, replace(replace(text, 'ber', '不一致'), 'er', '一致') as judgement, replace(replace(text, 'in', '正确'), 'ou', '错误') as checked,
+  replace(text, 'an', '正确') as other from documents)
 """
 
 
 def _judged(spark, sf_dir) -> DataFrame:
-    n = F.length("text")
-    verdict = F.when(n % 7 == 0, "判断：不一致").when(n % 7 == 1, "不清楚").otherwise("结论一致")
-    return table(spark, sf_dir, "documents").select("source", F.col("text").alias("answer"), verdict.alias("judgement"), F.concat((n % 12).cast("string"), F.lit("分")).alias("scored"))
+    """Documents as judges' replies: some of their syllables become the words that verdicts are read from."""
+    swap = lambda c, old, new: F.replace(c, F.lit(old), F.lit(new))
+    t = F.col("text")
+    return table(spark, sf_dir, "documents").select(
+        "doc_id", "source", t.alias("answer"), swap(swap(t, "ber", "不一致"), "er", "一致").alias("judgement"), swap(swap(t, "in", "正确"), "ou", "错误").alias("checked"), swap(t, "an", "正确").alias("other"),
+    )
 
 
 @query(f"""
@@ -528,24 +565,28 @@ def judge_precision(spark, sf_dir):
 
 
 @query(f"""
-with {_JUDGED}, s as (select source, case when scored like '10%' then 10 else greatest(1, regexp_extract(scored, '[0-9]')::int) end as s from jd)
-select source, round(avg(s), 4) as avg_score, round(avg(s) * 10, 2) as precision_pct, count(*) as n from s group by source
+with {_JUDGED}, v as (select source, case when checked not in ('', 'ERROR') then (contains(checked, '正确') and not contains(checked, '错误'))::int end as v from jd)
+select source, coalesce(sum(v), 0)::bigint as correct, count(v) as total, coalesce(round(sum(v)::double / nullif(count(v), 0), 4), 0) as precision from v group by source
+""")
+def judge_strict_precision(spark, sf_dir):
+    return judging.strict_precision(_judged(spark, sf_dir).select("source", F.col("checked").alias("judgement")), "source")
+
+
+@query(rf"""
+with s as (select source, case when starts_with({_STRIP.format('text')}, '10') then 10 when not regexp_matches(text, '[0-9]') then -1 else greatest(1, regexp_extract(text, '[0-9]')::int) end as s from documents)
+select source, coalesce(round(avg(s) filter (s > 0), 4), 0) as avg_score, coalesce(round(avg(s) filter (s > 0) * 10, 2), 0) as precision_pct, count(*) filter (s > 0) as n from s group by source
 """)
 def score_1to10(spark, sf_dir):
-    rows = _judged(spark, sf_dir).select("source", F.col("scored").alias("judgement"))
-    return judging.scoring(rows, "source")
+    return judging.scoring(table(spark, sf_dir, "documents").select("source", F.col("text").alias("judgement")), "source")
 
 
-@query("""
-with r as (select case when toxic = 1 then 'ERROR' when quality = 1 then '正确' else '错误' end as a, case when quality = 1 and toxic = 0 then '正确。' else '不正确，错误' end as b from labels),
-o as (select (a = '正确')::int as x, (b = '正确。')::int as y from r)
+@query(f"""
+with {_JUDGED}, o as (select (contains(checked, '正确') and not contains(checked, '错误'))::int as x, (contains(other, '正确') and not contains(other, '错误'))::int as y from jd)
 select count(*) filter (x <> y) as different, count(*) filter (x > y) as a_wins, count(*) filter (x < y) as b_wins from o
 """)
 def pairwise_winloss(spark, sf_dir):
-    y = table(spark, sf_dir, "labels").withColumnRenamed("doc_id", "idx")
-    a = y.select("idx", F.when(F.col("toxic") == 1, "ERROR").when(F.col("quality") == 1, "正确").otherwise("错误").alias("judgement"))
-    b = y.select("idx", F.when((F.col("quality") == 1) & (F.col("toxic") == 0), "正确。").otherwise("不正确，错误").alias("judgement"))
-    return judging.pairwise(a, b)
+    rows = _judged(spark, sf_dir)
+    return judging.pairwise(rows.select(F.col("doc_id").alias("idx"), F.col("checked").alias("judgement")), rows.select(F.col("doc_id").alias("idx"), F.col("other").alias("judgement")))
 
 
 @query("""
@@ -568,51 +609,52 @@ def rewrite_verdicts(spark, sf_dir):
     return judging.rewrite_verdicts(c.select((F.col("role") != "system").alias("success"), "text", (F.length("text") % 3 - 1).alias("verdict")))
 
 
-@query("""
-with r as (select case length(text) % 4 when 0 then 'OK' when 1 then 'BAD_RQ_ROLLBACK:TOO_LONG' when 2 then 'EMPTY' else 'OK_json' end as status, role = 'user' as changed, case when turn > 1 then role else '' end as keyword from conversations)
-select count(*) as total, count(*) filter (status like 'OK%') as ok, count(*) filter (status like 'BAD_RQ_ROLLBACK%') as rollback, count(*) filter (status = 'EMPTY') as fail,
-  count(*) filter (changed) as changed, count(*) filter (keyword <> '') as with_keyword from r
-""")
-def status_summary(spark, sf_dir):
-    n = F.length("text") % 4
-    status = F.when(n == 0, "OK").when(n == 1, "BAD_RQ_ROLLBACK:TOO_LONG").when(n == 2, "EMPTY").otherwise("OK_json")
-    rows = table(spark, sf_dir, "conversations").select(status.alias("status"), (F.col("role") == "user").alias("changed"), F.when(F.col("turn") > 1, F.col("role")).otherwise("").alias("keyword"))
-    return judging.status_summary(rows)
-
-
 # ---------------------------------------------------------------- parsing and guards
 
 _OUT = """
-o as (select doc_id, case length(text) % 8 when 0 then ' {"类型": "法律类"} ' when 1 then '答案是违规类' when 2 then 'ok {"label":"1"} x' when 3 then 'answer: b.' when 4 then '类型：R'
-  when 5 then '2' when 6 then '{"pred": "c"}' else lang end as out from documents)
+o as (select doc_id, case length(text) % 8 when 0 then json_object('类型', '法律类', '理由', text)::varchar when 1 then text || '违规类' || text when 2 then text || ' {"label":"1"} ' || text
+  when 3 then json_object('pred', 'c', '理由', text)::varchar when 4 then text || '闲聊类，不是法律类' else text end as out from documents)
 """
 
 
 def _outputs(spark, sf_dir) -> DataFrame:
-    n = F.length("text") % 8
-    out = F.when(n == 0, ' {"类型": "法律类"} ').when(n == 1, "答案是违规类").when(n == 2, 'ok {"label":"1"} x').when(n == 3, "answer: b.").when(n == 4, "类型：R").when(n == 5, "2").when(n == 6, '{"pred": "c"}').otherwise(F.col("lang"))
+    """Documents as model output: whole texts around or inside an answer, or by themselves."""
+    n, t = F.length("text") % 8, F.col("text")
+    out = (
+        F.when(n == 0, F.to_json(F.struct(F.lit("法律类").alias("类型"), t.alias("理由")))).when(n == 1, F.concat(t, F.lit("违规类"), t)).when(n == 2, F.concat(t, F.lit(' {"label":"1"} '), t))
+        .when(n == 3, F.to_json(F.struct(F.lit("c").alias("pred"), t.alias("理由")))).when(n == 4, F.concat(t, F.lit("闲聊类，不是法律类"))).otherwise(t)
+    )
     return table(spark, sf_dir, "documents").select("doc_id", out.alias("out"))
 
 
 @query(f"""
-with {_OUT} select doc_id, case when json_valid(out) and json_extract_string(out, '$.类型') in ('法律类', '违规类', '闲聊类') then json_extract_string(out, '$.类型')
-  when regexp_matches(out, '法律类|违规类|闲聊类') then regexp_extract(out, '法律类|违规类|闲聊类') else 'UNKNOWN' end as label from o
+with {_OUT}, j as (select doc_id, out, case when json_valid(out) then json_extract_string(out, '$.类型') end as f from o)
+select doc_id, case when f in ('法律类', '违规类', '闲聊类') then f when regexp_matches(out, '法律类|违规类|闲聊类') then regexp_extract(out, '法律类|违规类|闲聊类') else 'UNKNOWN' end as label from j
 """)
 def label_extract(spark, sf_dir):
     return _outputs(spark, sf_dir).select("doc_id", P.extract_label(F.col("out")).alias("label"))
 
 
-@query(f"""
-with {_OUT}, j as (select doc_id, out, regexp_extract(out, '\\{{.*\\}}') as b from o),
-f as (select doc_id, out, case when b <> '' then coalesce(json_extract_string(b, '$.label'), json_extract_string(b, '$.类型'), json_extract_string(b, '$.pred')) end as f from j),
-k as (select doc_id, case when f is not null then upper(f) when regexp_matches(out, '法律类|违规类') then regexp_extract(out, '法律类|违规类')
-  when regexp_matches(upper(out), '\\b[ABC]\\b') then regexp_extract(upper(out), '\\b([ABC])\\b', 1) when regexp_matches(upper(out), '\\b[LRC]\\b') then regexp_extract(upper(out), '\\b([LRC])\\b', 1)
-  when regexp_matches(out, '\\b[0-2]\\b') then regexp_extract(out, '\\b([0-2])\\b', 1) end as k from f)
-select doc_id, case when k in ('0', 'A', 'L', '法律类') then '法律类' when k in ('1', 'B', 'R', '违规类') then '违规类' else '闲聊类' end as label from k
-""")
+def _named_sql(v: str) -> str:
+    return f"case when {v} in ('0', 'A', 'a', 'L', 'l', '法律类') then '法律类' when {v} in ('1', 'B', 'b', 'R', 'r', '违规类') then '违规类' when {v} in ('2', 'C', 'c', '闲聊类') then '闲聊类' end"
+
+
+def _lone_sql(text: str, marks: str) -> str:
+    return rf"regexp_extract({text}, '(^|[^\p{{L}}\p{{N}}_])([{marks}])($|[^\p{{L}}\p{{N}}_])', 2)"
+
+
+_STRICT = f"""
+t as (select doc_id, translate(out, '“”：', '"":') as t from o), b as (select doc_id, t, regexp_extract(t, '(?s)\\{{.*\\}}') as b from t),
+f as (select doc_id, t, case when json_valid(b) then b end as b from b),
+k as (select doc_id, t, [json_extract_string(b, '$.label'), json_extract_string(b, '$.类型'), json_extract_string(b, '$.pred'), json_extract_string(b, '$.category')] as fields from f),
+strict as (select doc_id, coalesce({", ".join(_named_sql(f"fields[{i}]") for i in (1, 2, 3, 4))}, nullif(regexp_extract(t, '法律类|违规类|闲聊类'), ''),
+  {_named_sql(_lone_sql("upper(t)", "ABC"))}, {_named_sql(_lone_sql("upper(t)", "LRC"))}, {_named_sql(_lone_sql("t", "0-2"))}) as label from k)
+"""
+
+
+@query(f"with {_OUT}, {_STRICT} select doc_id, coalesce(label, '') as label from strict")
 def label_extract_strict(spark, sf_dir):
-    label = F.coalesce(P.extract_label_strict(F.col("out")), F.lit(P.FALLBACK_LABEL))
-    return _outputs(spark, sf_dir).select("doc_id", label.alias("label"))
+    return _outputs(spark, sf_dir).select("doc_id", F.coalesce(P.extract_label_strict(F.col("out")), F.lit("")).alias("label"))
 
 
 @query("select event_id, props as object from events")
@@ -621,36 +663,44 @@ def json_repair(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", P.balanced_json(noisy).alias("object"))
 
 
-_REWRITES = """
-rw as (select doc_id, left(text, 12) as old, case length(text) % 7 when 0 then '如何处理？' when 1 then '公司如何处理？' when 2 then text when 3 then '怎么 abcd？' when 4 then '怎么_办？' when 5 then '請問怎么办？' else '如何维权' end as new from documents)
+_PAIRS = f"""
+rw as (select u.conv_id, u.turn, {han_sql("u.text")} as old, case u.turn % 3 when 0 then {han_sql("a.text")} when 1 then replace({han_sql("u.text")}, '的', '国') || '？' else {han_sql("u.text")} || '3-4' end as new
+  from conversations u join conversations a on a.conv_id = u.conv_id and a.turn = u.turn + 1 where u.role = 'user' and a.role = 'assistant')
 """
+_SUBJECTS = " ".join(f"when not contains(old, '{x}') and contains(new, '{x}') then 'SUBJECT_CHANGED({x})'" for x in P.SUBJECTS)
+_LEAKS = " ".join(f"when contains(new, '{x}') and not contains(old, '{x}') then 'PROMPT_LEAK({x})'" for x in P.LEAKS)
+_ADDED = "list_reduce([c for c in string_split(old, '') if c <> ''], lambda a, c: case when contains(a, c) then left(a, instr(a, c) - 1) || substring(a, instr(a, c) + 1) else a end, new)"
+_FIRST_RULES = "when coalesce(new, '') = '' then 'EMPTY_RQ' when not regexp_matches(new, '[\\x{4e00}-\\x{9fff}]') then 'NO_CHINESE' when regexp_matches(new, '[A-Za-z]{3,}') then 'ENGLISH_MIXED' when regexp_matches(new, '_|[A-Za-z0-9]+-[A-Za-z0-9]+') then 'SLUG_OR_UNDERSCORE'"
+_GUARD = f"""case {_FIRST_RULES} when old <> '' and length(new) > length(old) * 1.5::double then 'TOO_LONG' {_SUBJECTS} when regexp_matches({_ADDED}, '{P.NAMES}') then 'FABRICATED_NAME'
+  when not regexp_matches(regexp_replace(new, '\\s+$', ''), '[？?]$') then 'NO_QUESTION_MARK' {_LEAKS} end"""
+_GUARD_SMALL = f"""case {_FIRST_RULES} when old <> '' and length(new) > length(old) * 3 then 'TOO_LONG' when length(old) > 10 and length(new) < length(old) * 0.3::double then 'TOO_SHORT' {_SUBJECTS}
+  when regexp_matches(new, '[{P.TRADITIONAL}]') then 'TRADITIONAL_CHINESE' when not regexp_matches(new, '[？?]') then 'NO_QUESTION_MARK' end"""
 
 
-@query(f"""
-with {_REWRITES} select doc_id, case when not regexp_matches(new, '[\\x{{4e00}}-\\x{{9fff}}]') then 'NO_CHINESE' when regexp_matches(new, '[A-Za-z]{{3,}}') then 'ENGLISH_MIXED'
-  when regexp_matches(new, '_|[A-Za-z0-9]+-[A-Za-z0-9]+') then 'SLUG_OR_UNDERSCORE' when length(new) > length(old) * 3 then 'TOO_LONG' when length(old) > 10 and length(new) < length(old) * 0.3 then 'TOO_SHORT'
-  when contains(new, '公司') then 'SUBJECT_CHANGED(公司)' when contains(new, '請') then 'TRADITIONAL_CHINESE' when not contains(new, '？') then 'NO_QUESTION_MARK' end as problem from rw
-""")
+def _rewrites(spark, sf_dir) -> DataFrame:
+    """Whole questions in Han characters, and what a model might make of them."""
+    qa, t = _qa(spark, sf_dir), F.col("turn") % 3
+    old = han(F.col("question"))
+    new = F.when(t == 0, han(F.col("reply"))).when(t == 1, F.concat(F.replace(old, F.lit("的"), F.lit("国")), F.lit("？"))).otherwise(F.concat(old, F.lit("3-4")))
+    return qa.select("conv_id", "turn", old.alias("old"), new.alias("new"))
+
+
+@query(f"with {_PAIRS} select conv_id, turn, {_GUARD_SMALL} as problem from rw")
 def rewrite_guard(spark, sf_dir):
-    n = F.length("text") % 7
-    new = F.when(n == 0, "如何处理？").when(n == 1, "公司如何处理？").when(n == 2, F.col("text")).when(n == 3, "怎么 abcd？").when(n == 4, "怎么_办？").when(n == 5, "請問怎么办？").otherwise("如何维权")
-    return table(spark, sf_dir, "documents").select("doc_id", P.rewrite_problem_small(new, F.left("text", F.lit(12))).alias("problem"))
+    return _rewrites(spark, sf_dir).select("conv_id", "turn", P.rewrite_problem_small(F.col("new"), F.col("old")).alias("problem"))
 
 
-@query(f"""
-with {_REWRITES} select doc_id, case when not regexp_matches(new, '[\\x{{4e00}}-\\x{{9fff}}]') then 'NO_CHINESE' when regexp_matches(new, '[A-Za-z]{{3,}}') then 'ENGLISH_MIXED'
-  when regexp_matches(new, '_|[A-Za-z0-9]+-[A-Za-z0-9]+') then 'SLUG_OR_UNDERSCORE' when length(new) > length(old) * 1.5::double then 'TOO_LONG'
-  when contains(new, '公司') then 'SUBJECT_CHANGED(公司)' when not contains(new, '？') then 'NO_QUESTION_MARK' end as problem from rw
-""")
+@query(f"with {_PAIRS} select conv_id, turn, {_GUARD} as problem from rw")
 def rewrite_guard_strict(spark, sf_dir):
-    n = F.length("text") % 7
-    new = F.when(n == 0, "如何处理？").when(n == 1, "公司如何处理？").when(n == 2, F.col("text")).when(n == 3, "怎么 abcd？").when(n == 4, "怎么_办？").when(n == 5, "請問怎么办？").otherwise("如何维权")
-    return table(spark, sf_dir, "documents").select("doc_id", P.rewrite_problem(new, F.left("text", F.lit(12))).alias("problem"))
+    return _rewrites(spark, sf_dir).select("conv_id", "turn", P.rewrite_problem(F.col("new"), F.col("old")).alias("problem"))
 
 
-@query("select doc_id, case lang when 'en' then '合同' else lang || 'x' end as keyword from documents")
+@query(rf"""
+with k as (select doc_id, regexp_replace(regexp_replace(case when doc_id % 2 = 0 then {han_sql('text')} else text end, '["''“”‘’]', '', 'g'), '^[\s\p{{Z}}]+|[\s\p{{Z}}]+$', '', 'g') as k from documents)
+select doc_id, coalesce([x for x in string_split_regex(k, '[,，、\s\p{{Z}}\x{{85}}\x0b]+') if regexp_matches(x, '[\x{{4e00}}-\x{{9fff}}]')][1], k) as keyword from k
+""")
 def keyword_clean(spark, sf_dir):
-    kw = F.when(F.col("lang") == "en", F.concat(F.lit('"'), "lang", F.lit("，合同、责任\""))).otherwise(F.concat(F.lit("'"), "lang", F.lit("x'")))
+    kw = F.when(F.col("doc_id") % 2 == 0, han(F.col("text"))).otherwise(F.col("text"))
     return table(spark, sf_dir, "documents").select("doc_id", X.clean_keyword(kw).alias("keyword"))
 
 
@@ -666,16 +716,13 @@ def _qa(spark, sf_dir) -> DataFrame:
 
 
 @query(f"""
-with {_QA}, n as (select *, conv_id % 64 as bucket, row_number() over (partition by conv_id % 64 order by conv_id, turn) - 1 as pos from qa),
-b as (select bucket, pos // 5 as batch, pos % 5 as i, '[' || (pos % 5) || '] 问题: ' || question || chr(10) || '回答: ' || reply as x from n)
-select bucket, batch, count(*)::int as n, string_agg(x, chr(10) || chr(10) || '---' || chr(10) || chr(10) order by i) as body from b group by bucket, batch
+with {_QA}, n as (select *, row_number() over (order by conv_id, turn) - 1 as pos from qa),
+b as (select pos // 5 as batch, pos % 5 as i, '[' || (pos % 5) || '] 问题: ' || question || chr(10) || '回答: ' || reply as x from n)
+select batch, count(*)::int as n, string_agg(x, chr(10) || chr(10) || '---' || chr(10) || chr(10) order by i) as body from b group by batch
 """)
 def batch_prompts(spark, sf_dir):
-    """Rows are numbered within 64 buckets, so that no window spans the table."""
-    pos = F.row_number().over(W.partitionBy("bucket").orderBy("conv_id", "turn")) - 1
-    rows = _qa(spark, sf_dir).withColumn("bucket", F.col("conv_id") % 64).withColumn("pos", pos)
-    out = PR.batch_prompts(rows.withColumn("pos", F.col("bucket") * 1_000_000_000 + F.col("pos")), "pos")
-    return out.select(F.floor(F.col("batch") / 200_000_000).alias("bucket"), (F.col("batch") % 200_000_000).alias("batch"), "n", "body")
+    rows = chunking.number_rows(_qa(spark, sf_dir), "conv_id", "turn")
+    return PR.batch_prompts(rows.withColumnRenamed("n", "pos"), "pos")
 
 
 @query("""
@@ -688,7 +735,7 @@ def chat_template(spark, sf_dir):
 
 @query("select min(doc_id) as doc_id, text from documents group by text")
 def exact_dedup(spark, sf_dir):
-    return table(spark, sf_dir, "documents").groupBy("text").agg(F.min("doc_id").alias("doc_id"))
+    return curation.exact_repeats_removed(table(spark, sf_dir, "documents").select("doc_id", "text"), ["text"], "doc_id")
 
 
 @query(rf"""
@@ -699,9 +746,16 @@ def qa_preclean(spark, sf_dir):
     return curation.preclean(_qa(spark, sf_dir))
 
 
-@query("select doc_id from documents where regexp_matches(text, 'idiot|moron|stupid|trash') and length(text) < 500")
+@query(f"""
+with t as (select doc_id, {han_sql('source')} as instruction, {han_sql('text')} as output from documents)
+select doc_id, regexp_matches(coalesce(instruction, '') || coalesce(output, ''), '法|条|规定|合同|责任|权利|义务|诉讼|赔偿|刑|民|侵权|犯罪|法院|法律') as legal,
+  coalesce(regexp_matches(coalesce(instruction, '') || coalesce(output, ''), '法|条|规定|合同|责任|权利|义务|诉讼|赔偿|刑|民|侵权|犯罪|法院|法律') and length(output) < 500, false) as target from t
+""")
 def keyword_filter(spark, sf_dir):
-    return table(spark, sf_dir, "documents").filter(F.col("text").rlike("idiot|moron|stupid|trash") & (F.length("text") < 500)).select("doc_id")
+    """Records with a legal keyword, and those of them that are to be expanded."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", han(F.col("source")).alias("instruction"), han(F.col("text")).alias("output"))
+    targets = curation.expansion_targets(rows).select("doc_id", F.lit(True).alias("target"))
+    return rows.select("doc_id", curation.is_legal(F.col("instruction"), F.col("output")).alias("legal")).join(targets, "doc_id", "left").withColumn("target", F.coalesce("target", F.lit(False)))
 
 
 @query("select doc_id, score from (select doc_id, length(text) as score, rank() over (order by length(text) desc) as r from documents) where r <= 500")
@@ -753,7 +807,7 @@ def accept_expansion(spark, sf_dir):
     return curation.accept_expansion(rows)
 
 
-# ---------------------------------------------------------------- structural chunkers (no SQL: tested against plain loops)
+# ---------------------------------------------------------------- structural chunkers
 
 
 def _as_statute(c: Column) -> Column:
@@ -762,20 +816,83 @@ def _as_statute(c: Column) -> Column:
     return F.array_join(F.transform(F.split(c, "\n"), line), "\n")
 
 
-@query()
+_AS_STATUTE = """
+ln as (select doc_id, source, text, string_split(text, chr(10)) as l from documents),
+st as (select doc_id, source, array_to_string([case when (i - 1) % 6 = 0 then '第' || substring('一二三四五六七八九十', ((i - 1) // 6 % 10 + 1)::int, 1) || '章 ' || left(l[i], 8) || chr(10) else '' end || '第' || i || '条 ' || l[i]
+  for i in generate_series(1, len(l))], chr(10)) as body from ln)
+"""
+_NUM = "第[一二三四五六七八九十百千零\\d]+"
+
+
+def _split_sql(text: str, mark: str) -> str:
+    """SQL of the parts of ``text`` that begin at headings ``mark``."""
+    pattern = f"(?m)^({_NUM}{mark}[\\s　])"
+    parts = f"[{_STRIP.format('y')} for y in string_split(regexp_replace({text}, '{pattern}', chr(1) || '\\1', 'g'), chr(1)) if {_STRIP.format('y')} <> '']"
+    return f"case when regexp_matches({text}, '{pattern}') then {parts} else [{text}] end"
+
+
+_HEAD = f"case when regexp_matches(c, '^{_NUM}章[\\s　]') then {_STRIP.format('string_split(c, chr(10))[1]')} else '' end"
+_PURE = f"(not contains(t, chr(10)) and regexp_matches(t, '^{_NUM}[编章节]\\s'))"
+
+
+@query(f"""
+with {_AS_STATUTE}, d as (select doc_id, {_STRIP.format("'法' || chr(10) || body")} as b from st),
+cs as (select doc_id, {_split_sql('b', '章')} as cs from d), c as (select doc_id, unnest(cs) as c, generate_subscripts(cs, 1) as i from cs),
+h as (select doc_id, i, c, {_HEAD} as h, {_split_sql('c', '条')} as ar from c), a as (select doc_id, i, h, unnest(ar) as a, generate_subscripts(ar, 1) as j from h),
+p as (select doc_id, i, j, case when not regexp_matches(a, '^{_NUM}条[\\s　]') and h = '' then '序言' else h end as section,
+  case when length(a) > 512 then [p for p in [{_STRIP.format('substring(a, (k * 512 + 1)::int, 512)')} for k in generate_series(0, (length(a) - 1) // 512)] if p <> ''] else [{_STRIP.format('a')}] end as ts from a),
+t as (select doc_id, i, j, section, unnest(ts) as t, generate_subscripts(ts, 1) as k from p)
+select doc_id as doc_ord, row_number() over (partition by doc_id order by i, j, k) - 1 as chunk_no, t as text, 'statute' as source, '法' as title, section from t where t <> '' and not {_PURE}
+""")
 def statute_split(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc_ord"), F.concat(F.lit("法\n"), _as_statute(F.col("text"))).alias("text"))
-    return chunking.statute_chunks(docs)
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return chunking.statute_chunks(docs.select(F.col("doc_id").alias("doc_ord"), F.concat(F.lit("法\n"), _as_statute(F.col("text"))).alias("text")))
+
 
+_FOLD_BOOK = _fold("ps", "nn", _HARD).replace("chr(10)", "chr(10) || chr(10)")
 
-@query()
+
+@query(f"""
+with {_AS_STATUTE}, d as (select doc_id, source, {_STRIP.format("'【' || source || '】' || chr(10) || chr(10) || replace(body, chr(10), chr(10) || chr(10))")} as b from st),
+cs as (select doc_id, source, {_split_sql('b', '章')} as cs from d), c as (select doc_id, source, unnest(cs) as c, generate_subscripts(cs, 1) as i from cs),
+h as (select doc_id, source, i, c, {_HEAD} as h, [{{'cur': {_STRIP.format('y')}, 'out': []::varchar[]}} for y in string_split(c, chr(10) || chr(10)) if {_STRIP.format('y')} <> ''] as ps from c),
+f as (select doc_id, source, i, c, h, {_FOLD_BOOK} as r from h), p as (select doc_id, source, i, h, case when length(c) <= 512 then [c] else {_DONE} end as ts from f),
+t as (select doc_id, source, i, h, unnest(ts) as t, generate_subscripts(ts, 1) as k from p)
+select doc_id as doc_ord, row_number() over (partition by doc_id order by i, k) - 1 as chunk_no, t as text, 'textbook' as source, source as title, h as section from t
+where t <> '' and not {_PURE} and not regexp_matches(t, '^【[^\n]+】$')
+""")
 def textbook_split(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc_ord"), F.concat(F.lit("【"), "source", F.lit("】\n\n"), F.regexp_replace(_as_statute(F.col("text")), "\n", "\n\n")).alias("text"))
-    return chunking.book_chunks(docs)
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    text = F.concat(F.lit("【"), "source", F.lit("】\n\n"), F.regexp_replace(_as_statute(F.col("text")), "\n", "\n\n"))
+    return chunking.book_chunks(docs.select(F.col("doc_id").alias("doc_ord"), text.alias("text")))
+
 
+def _pieces_sql(rows: str, keep: str) -> str:
+    """SQL of the sentence pieces (ends 。 and ；) of ``b`` in the rows of ``rows``, with the columns ``keep``."""
+    listed = _SENTENCES.replace("[.;]", "[。；]") % "b"
+    return f"""
+pf as (select {keep}, b, {_fold(listed, '', _HARD)} as r from {rows}),
+pp as (select {keep}, case when length(b) <= 512 then {_WHOLE.format('b').replace("text", "b")} else {_DONE} end as ts from pf),
+pieces as (select {keep}, unnest(generate_series(0, len(ts) - 1)) as chunk_no, unnest(ts) as text from pp)
+"""
 
-@query()
+
+@query(f"""
+with b as (select doc_id, {_STRIP.format("replace(text, '.', '。')")} as b, {_STRIP.format("text")} as whole from documents), {_pieces_sql("b", "doc_id, whole")}
+select doc_id as doc_ord, chunk_no, text, 'article' as source, replace(left({_STRIP.format('string_split(whole, chr(10))[1]')}, 50), '.', '。') as title, null::varchar as section from pieces
+""")
+def article_split(spark, sf_dir):
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return chunking.article_chunks(docs.select(F.col("doc_id").alias("doc_ord"), F.replace("text", F.lit("."), F.lit("。")).alias("text")))
+
+
+@query(f"""
+with {_QA}, q as (select conv_id || ':' || turn as doc_ord, string_split(question, chr(10))[1] as title, question, replace(reply, '.', '。') as reply from qa),
+b as (select doc_ord, left({_STRIP.format('title')}, 50) as title, string_split(reply, chr(10))[1] as answer, {_STRIP.format("'问：' || title || case when question <> '' then chr(10) || '补充：' || question else '' end || chr(10) || '答：' || reply")} as b from q),
+k as (select * from b where length({_STRIP.format('answer')}) >= 10), {_pieces_sql("k", "doc_ord, title")}
+select doc_ord, chunk_no, text, 'law_qa' as source, title, null::varchar as section from pieces
+""")
 def qa_split(spark, sf_dir):
     qa = _qa(spark, sf_dir)
-    text = chunking.qa_text(F.left("question", F.lit(60)), F.col("question"), F.col("reply"))
+    text = chunking.qa_text(F.substring_index("question", "\n", 1), F.col("question"), F.replace("reply", F.lit("."), F.lit("。")))
     return chunking.qa_chunks(qa.select(F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("doc_ord"), text.alias("text")))

@@ -32,3 +32,4 @@ PREDICTION = _struct(id=_S, pred=_S)
 SFT = _struct(instruction=_S, input=_S, output=_S)
 DPO = _struct(instruction=_S, input=_S, chosen=_S, rejected=_S)
 MESSAGE = _struct(role=_S, content=_S)
+METRICS = T.StructType([T.StructField("method", _S), *[T.StructField(f"{m}_{k}", _D) for m in ("hit", "recall") for k in (1, 5, 10, 20)], T.StructField("mrr", _D), T.StructField("n_queries", _L)])

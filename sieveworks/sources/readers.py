@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import schemas as S
 from ..functions import text as X
@@ -73,9 +74,26 @@ def textbooks(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("title", F.concat(F.lit("【"), "title", F.lit("】\n\n"), X.strip(F.col("body"))).alias("text"))
 
 
-def forum_qa(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
-    """title, text of a CSV with title, question and reply; rows without title or reply go."""
-    rows = spark.read.schema(S.QA).options(header=True, multiLine=True, encoding=encoding, escape='"', enforceSchema=False).csv(path)
+def probe_encoding(spark: SparkSession, path: str) -> str:
+    """The first of ENCODINGS that reads the first line of a text file, else UTF-8."""
+    head = spark.read.format("binaryFile").load(path).select(F.substring("content", 1, 1 << 16).alias("head")).first()
+    line = bytes(head["head"]).split(b"\n")[0] if head else b""
+    for name in ENCODINGS:
+        try:
+            line.decode(name)
+        except UnicodeDecodeError:
+            continue
+        return name
+    return "utf-8"
+
+
+def forum_qa(spark: SparkSession, path: str, encoding: str | None = None) -> DataFrame:
+    """title, text of a CSV with title, question and reply; rows without title or reply go.
+
+    Without ``encoding`` the first line tells which of ENCODINGS it is.
+    """
+    encoding = encoding or probe_encoding(spark, path)
+    rows = spark.read.schema(S.QA).options(header=True, multiLine=True, encoding=encoding.upper(), escape='"', enforceSchema=False).csv(path)
     clean = rows.select(*[X.strip(F.coalesce(c, F.lit(""))).alias(c) for c in ("title", "question", "reply")])
     return clean.filter("title <> '' and reply <> ''").select("title", qa_text(F.col("title"), F.col("question"), F.col("reply")).alias("text"))
 
@@ -121,13 +139,14 @@ def reference_answers(spark: SparkSession, json_paths: list[str], jsonl_path: st
     return rows.select(F.coalesce("question", "query").alias("question"), F.coalesce("reply", "answer", F.lit("")).alias("answer"))
 
 
-def result_files(spark: SparkSession, path: str) -> DataFrame:
-    """file and every metric of JSON results, without those named detail or summary."""
-    rows = spark.read.option("multiLine", True).json(path).withColumn("file", F.col("_metadata.file_name"))
-    return rows.filter(~F.col("file").rlike("detail|summary"))
+def result_files(spark: SparkSession, path: str, metrics: T.StructType = S.METRICS) -> DataFrame:
+    """file and the metrics of JSON results, without files named detail or summary. Metrics that a file lacks are null."""
+    rows = spark.read.schema(metrics).option("multiLine", True).option("recursiveFileLookup", True).json(path)
+    return rows.withColumn("file", F.col("_metadata.file_name")).filter(~F.col("file").rlike("detail|summary"))
 
 
 def inference_files(spark: SparkSession, path: str) -> DataFrame:
-    """file, config and one row per result of inference outputs."""
+    """file, config, idx and the fields of a result: a row per result of inference outputs."""
     rows = spark.read.schema(S.INFERENCE_FILE).option("multiLine", True).json(path)
-    return rows.select(F.col("_metadata.file_name").alias("file"), "config", F.explode("results").alias("r")).select("file", "config", "r.*")
+    each = rows.select(F.col("_metadata.file_name").alias("file"), "config", F.posexplode("results").alias("idx", "r"))
+    return each.select("file", "config", "idx", "r.*")

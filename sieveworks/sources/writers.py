@@ -36,3 +36,18 @@ def kept_and_removed(kept: DataFrame, removed: DataFrame, path: str) -> None:
 def debug_and_clean(df: DataFrame, clean: list[str], path: str) -> None:
     df.write.mode("overwrite").option("header", True).option("escape", '"').csv(f"{path}/debug")
     df.select(*clean).write.mode("overwrite").option("header", True).option("escape", '"').csv(f"{path}/clean")
+
+
+#: Results of a file.
+FILE_ROWS = 1000
+
+
+def inference(results: DataFrame, path: str) -> None:
+    """Files of one nested JSON object: a config, and at most FILE_ROWS of its results in order.
+
+    ``results``: config (a struct), idx, question, ground_truth, generated_answer, contexts, use_rag.
+    """
+    fields = ("question", "ground_truth", "generated_answer", "contexts", "use_rag")
+    listed = F.transform(F.sort_array(F.collect_list(F.struct("idx", *fields))), lambda x: F.struct(*[x[f].alias(f) for f in fields]))
+    files = results.groupBy("config", F.floor(F.col("idx") / FILE_ROWS).alias("part")).agg(listed.alias("results"))
+    files.select("config", "results").write.mode("overwrite").option("maxRecordsPerFile", 1).json(path)

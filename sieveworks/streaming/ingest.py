@@ -21,12 +21,12 @@ def chunk_and_encode(docs: DataFrame, encode: Callable[[Column], Column], limit:
 def ingest(spark: SparkSession, source: str, schema: StructType, target: str, checkpoint: str, encode: Callable[[Column], Column], once: bool = True) -> StreamingQuery:
     """Read new Parquet files of ``source``, append their chunks to ``target``; progress is kept in ``checkpoint``.
 
-    Repeats of a doc_id within a micro-batch are dropped, and batches are written by batch id,
+    Rows of a micro-batch that repeat both doc_id and text are dropped, and batches are written by batch id,
     so a batch that runs twice after a failure leaves one copy.
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        chunk_and_encode(batch.dropDuplicates(["doc_id"]), encode).write.mode("overwrite").parquet(f"{target}/batch={number}")
+        chunk_and_encode(batch.dropDuplicates(["doc_id", "text"]), encode).write.mode("overwrite").parquet(f"{target}/batch={number}")
 
     stream = spark.readStream.schema(schema).parquet(source)
     writer = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)

@@ -28,12 +28,12 @@ def test_lenient_labels(spark):
 def test_scores_and_verdicts(spark):
     assert values(spark, P.score_1_to_10, [("10",), ("10分",), ("8",), ("得分：10",), ("0",), ("无",)]) == [10, 10, 8, 1, 1, -1]
     assert values(spark, P.agreement_verdict, [("不一致",), ("一致",), ("嗯",)]) == [0, 1, None]
-    assert values(spark, P.correctness_verdict, [("正确",), ("不正确错误",), ("错误",), ("ERROR",), ("嗯",)]) == [1, 0, 0, None, 0]
+    assert values(spark, P.correctness_verdict, [("正确",), ("不正确错误",), ("错误",), ("ERROR",), ("嗯",), ("",), (None,)]) == [1, 0, 0, None, 0, None, None]
 
 
 def test_balanced_json(spark):
-    texts = ['x {"a": {"b": "}{"}} y }', '{"a": "q\\"}"} z', "{ open", "none", None, '{"a": "\\\\"} {']
-    assert values(spark, P.balanced_json, [(t,) for t in texts]) == ['{"a": {"b": "}{"}}', '{"a": "q\\"}"}', None, None, None, '{"a": "\\\\"}']
+    texts = ['x {"a": {"b": "}{"}} y }', '{"a": "q\\"}"} z', "{ open", "none", None, '{"a": "\\\\"} {', 'a \\{"b": 1} \\" }', '{\\"x}" } y', "{" * 3000 + "}" * 3000]
+    assert values(spark, P.balanced_json, [(t,) for t in texts]) == ['{"a": {"b": "}{"}}', '{"a": "q\\"}"}', None, None, None, '{"a": "\\\\"}', '{"b": 1}', '{\\"x}" }', "{" * 3000 + "}" * 3000]
 
 
 def test_rewrites_are_read(spark):
@@ -47,12 +47,13 @@ def test_rewrites_are_read(spark):
 def test_guard(spark):
     old = "老板不给工资怎么办"
     new = ["拖欠工资如何维权？", "how怎么办？", "a_b工资？", "公司欠薪如何维权？", "小明工资如何追讨？", "根据法律规定怎么办？", "老板不给工资怎么办老板不给工资？", "", "abc", "工资怎么办", "老板小工资明？"]
-    want = [None, "ENGLISH_MIXED", "SLUG_OR_UNDERSCORE", "SUBJECT_CHANGED(公司)", "FABRICATED_NAME", "PROMPT_LEAK(根据法律规定)", "TOO_LONG", "EMPTY_RQ", "NO_CHINESE", "NO_QUESTION_MARK", None]
+    want = [None, "ENGLISH_MIXED", "SLUG_OR_UNDERSCORE", "SUBJECT_CHANGED(公司)", "FABRICATED_NAME", "PROMPT_LEAK(根据法律规定)", "TOO_LONG", "EMPTY_RQ", "NO_CHINESE", "NO_QUESTION_MARK", "FABRICATED_NAME"]
     got = values(spark, P.rewrite_problem, [(n, old) for n in new])
-    assert got == [*want[:-1], got[-1]] and got[-1] in (None, "FABRICATED_NAME")
+    assert got == want
     assert values(spark, P.added_characters, [("aabbc", "abx")]) == ["abc"]
     small = values(spark, P.rewrite_problem_small, [("请問？", old), ("工资？", "一二三四五六七八九十甲乙"), ("工资怎么办", old), ("工资怎么办？吗", old)])
-    assert small == [None if "問" not in P.TRADITIONAL else "TRADITIONAL_CHINESE", "TOO_SHORT", "NO_QUESTION_MARK", None]
+    assert small == ["TRADITIONAL_CHINESE", "TOO_SHORT", "NO_QUESTION_MARK", None]
+    assert values(spark, P.rewrite_problem_small, [("领導领？", "怎么办"), ("領导怎么办？", "怎么办"), ("题怎么办？", "怎么办"), ("題怎么办？", "怎么办")]) == [None, "TRADITIONAL_CHINESE", None, None]
 
 
 def test_rewriting(spark):

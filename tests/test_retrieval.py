@@ -94,11 +94,42 @@ def test_metrics_by_hand(spark):
     assert got[2].rr == 0 and got[3].hit_20 == 0 and got[3].recall_20 == 0
     row = evaluation.evaluate(hits(spark, [7, 3, 9, 1]), rel, q).first()
     assert row.n_queries == 3 and row.mrr == 0.166667
-    assert evaluation.report(evaluation.compare({"m": hits(spark, [3])}, rel, q)).first().hit_1 == "0.3333"
+    assert evaluation.report(evaluation.compare({"m": hits(spark, [3])}, lambda h: evaluation.per_query(h, rel, q))).first().hit_1 == "0.3333"
     v = spark.createDataFrame([(1, 1, 1), (1, 2, 0), (1, 3, 1), (2, 1, 0)], "query_id long, k int, verdict int")
     assert {r.query_id: round(r.value, 6) for r in evaluation.context_precision(v).collect()} == {1: 0.833333, 2: 0.0}
 
 
+def test_relevance_by_label_and_by_contained_title(spark):
+    q = spark.createDataFrame([(1, "a", "law court"), (2, "b", "weather"), (3, None, "x")], "query_id long, label string, query string")
+    c = spark.createDataFrame([(3, "a", "the law court sat"), (7, "b", "law"), (9, None, "weather law court"), (1, "a", "")], "chunk_id long, label string, text string")
+    h = hits(spark, [7, 3, 9, 1]).unionByName(hits(spark, [7], 2)).unionByName(hits(spark, [9], 3))
+    got = {(r.query_id, r.chunk_id): r.rel for r in evaluation.judged_by_label(h, q, c).collect()}
+    assert got == {(1, 7): 0, (1, 3): 1, (1, 9): 0, (1, 1): 1, (2, 7): 1, (3, 9): 0}
+    assert {r.query_id: r.n_rel for r in evaluation.sizes_by_label(q, c).collect()} == {1: 2, 2: 1}
+    got = {(r.query_id, r.chunk_id): r.rel for r in evaluation.judged_by_title(h, q, c).collect()}
+    assert got == {(1, 7): 0, (1, 3): 1, (1, 9): 1, (1, 1): 0, (2, 7): 0, (3, 9): 0}
+
+
+def test_dense_blocks_of_any_size_agree(spark):
+    rng = np.random.default_rng(5)
+    v = [(i, rng.integers(-3, 4, 4).astype(float).tolist()) for i in range(300)] + [(900, None)]
+    vectors, queries = spark.createDataFrame(v, "chunk_id long, embedding array<double>"), spark.createDataFrame(v[::20], "query_id long, embedding array<double>")
+    want = []
+    for i, e in v[::20]:
+        best = sorted((-round(float(np.dot(e, x)), 6), j) for j, x in v if x is not None)[:7] if e else []
+        want += [(i, j, r, -s) for r, (s, j) in enumerate(best, 1)]
+    for block in (3, 64, 10_000):
+        assert sorted(map(tuple, dense.search(vectors, queries, 7, block).collect())) == sorted(want)
+    assert dense.search(vectors.limit(0), queries, 7).count() == 0 and dense.search(vectors, queries.limit(0), 7).count() == 0
+
+
+def test_dense_index_comes_back(spark, tmp_path):
+    chunks = spark.createDataFrame([(i, t) for i, t in enumerate(["tree", "on", "", None])], "chunk_id long, text string")
+    index = dense.DenseIndex.build(chunks, dense.letter_encoder, "letters").save(str(tmp_path))
+    assert tuple(index.config.first()) == ("letters", 8, 4)
+    assert {r.chunk_id: [round(x, 6) for x in r.embedding] for r in index.vectors.collect()}[0] == [0.816497, 0.408248, 0, 0, 0, 0, 0, 0.408248]
+
+
 def test_engine_answers_many_queries_at_once(spark):
     docs = spark.createDataFrame([(i, t, "law", None) for i, t in enumerate(["contract duty owed", "theft crime court", "contract law court", "weather today"])], "chunk_id long, text string, source string, section string")
     encode = providers.hash_encoder(32)

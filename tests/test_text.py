@@ -13,7 +13,7 @@ def one(spark, f, *values):
 
 
 def chunks(spark, f, text, **more):
-    out = f(spark.createDataFrame([(1, text)], "k int, text string"), "k", **more)
+    out = f(spark.createDataFrame([(1, text)], "k int, text string"), ["k"], **more)
     return [(r.text, r.section) for r in out.orderBy("chunk_no").collect()]
 
 
