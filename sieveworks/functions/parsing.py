@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -74,18 +76,33 @@ def balanced_json(c: Column) -> Column:
     return F.when((F.instr(c, "{") > 0) & (end > 0), F.substring(text, F.lit(1), end))
 
 
+def _once(c: Column, f: Callable[[Column], Column]) -> Column:
+    """``f(c)`` with ``c`` computed once, however often ``f`` names it."""
+    return F.transform(F.array(c), f)[0]
+
+
+def _first_text(c: Column, keys: list[str]) -> Column:
+    """The first of these JSON fields that isn't blank, stripped."""
+    values = F.transform(F.array(*[json_text(c, k) for k in keys]), strip)
+    return F.try_element_at(F.filter(values, lambda v: v != ""), F.lit(1))
+
+
 def _fields(c: Column) -> Column:
     """struct(question, keyword) of a JSON object; null unless it has a question."""
-    q = F.coalesce(*[F.when(strip(json_text(c, k)) != "", strip(json_text(c, k))) for k in QUESTION_KEYS])
-    k = F.coalesce(*[F.when(strip(json_text(c, k)) != "", strip(json_text(c, k))) for k in KEYWORD_KEYS], F.lit(""))
-    return F.when(q.isNotNull(), F.struct(q.alias("question"), k.alias("keyword")))
+    keyword = F.coalesce(_first_text(c, KEYWORD_KEYS), F.lit(""))
+    return _once(_first_text(c, QUESTION_KEYS), lambda q: F.when(q.isNotNull(), F.struct(q.alias("question"), keyword.alias("keyword"))))
+
+
+def _from_json(c: Column, read: Callable[[Column], Column]) -> Column:
+    """``read`` of the first code block that has something, of the whole text, or of its first balanced object."""
+    blocks = F.regexp_extract_all(c, F.lit(r"(?is)```(?:json|jsonc)?\s*(.*?)\s*```"), 1)
+    places = F.concat(blocks, F.array(c), F.array(balanced_json(c)))
+    return F.try_element_at(F.filter(F.transform(places, read), lambda x: x.isNotNull()), F.lit(1))
 
 
 def extract_rewrite(c: Column) -> Column:
     """struct(question, keyword) from the first code block that has them, the whole text, or its first balanced object."""
-    blocks = F.regexp_extract_all(c, F.lit(r"(?is)```(?:json|jsonc)?\s*(.*?)\s*```"), 1)
-    in_blocks = F.try_element_at(F.filter(F.transform(blocks, _fields), lambda x: x.isNotNull()), F.lit(1))
-    return F.coalesce(in_blocks, _fields(c), _fields(balanced_json(c)))
+    return _from_json(c, _fields)
 
 
 def extract_plain(c: Column, original: Column) -> Column:
@@ -99,13 +116,10 @@ def extract_plain(c: Column, original: Column) -> Column:
 
 def extract_rewrite_small(c: Column, original: Column) -> Column:
     """struct(question, method): from JSON (rewritten_question), else a plain line, else none."""
-    pick = lambda x: F.when(strip(json_text(x, "rewritten_question")) != "", strip(json_text(x, "rewritten_question")))
-    blocks = F.regexp_extract_all(c, F.lit(r"(?is)```(?:json|jsonc)?\s*(.*?)\s*```"), 1)
-    from_json = F.coalesce(F.try_element_at(F.filter(F.transform(blocks, pick), lambda x: x.isNotNull()), F.lit(1)), pick(c), pick(balanced_json(c)))
-    plain = extract_plain(c, original)
-    return F.when(from_json.isNotNull(), F.struct(from_json.alias("question"), F.lit("json").alias("method"))).when(
-        plain.isNotNull(), F.struct(plain.alias("question"), F.lit("plain").alias("method"))
-    ).otherwise(F.struct(F.lit(None).cast("string").alias("question"), F.lit("none").alias("method")))
+    read = lambda x: _first_text(x, ["rewritten_question"])
+    found = F.array(F.struct(_from_json(c, read).alias("question"), F.lit("json").alias("method")), F.struct(extract_plain(c, original).alias("question"), F.lit("plain").alias("method")))
+    none = F.struct(F.lit(None).cast("string").alias("question"), F.lit("none").alias("method"))
+    return F.coalesce(F.try_element_at(F.filter(found, lambda x: x["question"].isNotNull()), F.lit(1)), none)
 
 
 #: Fixed values of the guard: subjects that must not appear, invented names, leaks of the prompt.
@@ -162,8 +176,8 @@ def rewrite_problem_small(new: Column, old: Column) -> Column:
 
 def rewrite_candidate(output: Column) -> Column:
     """struct(question, keyword) of one model answer, cleaned, with its question mark; null if unreadable."""
-    got = extract_rewrite(output)
-    return F.when(got.isNotNull(), F.struct(fix_question_mark(clean_sentence(got["question"])).alias("question"), clean_keyword(got["keyword"]).alias("keyword")))
+    clean = lambda got: F.struct(_once(clean_sentence(got["question"]), fix_question_mark).alias("question"), clean_keyword(got["keyword"]).alias("keyword"))
+    return _once(extract_rewrite(output), lambda got: F.when(got.isNotNull(), clean(got)))
 
 
 def agreement_verdict(c: Column) -> Column:

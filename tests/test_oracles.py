@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from sieveworks.plans.queries import ORACLES, QUERIES
+from sieveworks.plans.jobs import ORACLES, QUERIES
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
