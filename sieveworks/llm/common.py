@@ -2,58 +2,23 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import cut, shared_folder
+
 #: Rows in an Arrow batch that a Python task holds at once; long texts need small batches.
 BATCH_ROWS = 1000
 #: A key with more rows than this share of all, and than this many, is joined apart from the others.
 HOT_SHARE, HOT_ROWS = 1e-4, 100_000
-_MARKED: set[str] = set()
+
+__all__ = ["body_of", "cut", "held_out", "hot_join", "named_rows", "order_of", "partitions", "repeated", "same_row", "shared_folder", "small_batches", "table", "unpacked"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder for one cut, below this application's own, which goes when the driver ends.
-
-    The shared folder is the one that ``spark.checkpoint.dir`` names. Without that setting a
-    temporary folder serves on a local master; on any other it is an error, for executors would
-    each write to a disk of their own.
-    """
-    sc = spark.sparkContext
-    root = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not root:
-        if not (sc.master == "local" or sc.master.startswith("local[")):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="sieveworks-"))
-        root = sc.getCheckpointDir()
-    own = f"{root.rstrip('/')}/sieveworks-{sc.applicationId}"
-    if own not in _MARKED:
-        path = sc._jvm.org.apache.hadoop.fs.Path(own)
-        system = path.getFileSystem(sc._jsc.hadoopConfiguration())
-        system.mkdirs(path)
-        system.deleteOnExit(path)
-        _MARKED.add(own)
-    return f"{own}/{uuid.uuid4().hex}"
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it again.
-
-    Later steps start from that table: nothing before it runs twice, a lost executor
-    costs no more than the tasks it held, and Spark knows the table's real size.
-    """
-    path = shared_folder(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def small_batches(spark: SparkSession) -> None:
     """Bound the Arrow batches of this session, so that whole long texts fit a Python worker."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"

@@ -1,63 +1,115 @@
 """Benchmark decontamination by CGK embedding, bit-sampling LSH and exact edit verification.
 
-Texts are sequences of words (letters and digits, lower case). A document is contaminated if
+Texts are sequences of words (letters and digits, lower case), which 63-bit hashes stand for. A document is contaminated if
 one of its windows lies within an edit distance of (1 - SIMILARITY) times the item's length.
 
-1. *Windows.* An edit destroys at most two word pairs of an item, and a window of the item's
-   ``n`` words that begins where a match within ``d`` edits does may lose its last ``d`` pairs,
-   so it holds at least ``n - 1 - 3 d`` of them. Only item-sized windows around that many pairs
-   of one item go on, and begin where the pairs on one diagonal put the item's first word: at
-   most ``d + 1`` diagonals share a match's pairs. No match is passed over.
+1. *Windows.* An item that allows ``d`` edits is cut into ``d + 1`` segments. Each edit touches
+   one of them at most, so a match holds some segment word for word (pigeonhole). Segments are a
+   table of hashes; the documents' word runs of those lengths are joined to it, and every hit
+   puts an item-sized window where its diagonal has the item's first word. No match is passed over.
 2. *CGK.* A random walk copies a sequence into three times its length: each step writes the
    word at hand and, by a random bit of step and word, stays or moves on. Sequences at edit
    distance ``d`` come out at a Hamming distance of the order of ``d * d`` at most.
-3. *LSH.* Each of REPEATS walks samples BITS steps of the embedding; a window and an item
-   of its length that agree on a sample are candidates. Walks drift apart with the number of
-   edits, so items are walked in blocks of at most WALK words, each from its own start, and one
-   agreeing block is enough: the edits of one block are no more than its share.
+3. *LSH.* Each of REPEATS walks samples BITS steps of the embedding; a window and its item that
+   agree on a sample are candidates. Walks drift apart with the number of edits, so items are
+   walked in blocks of at most WALK words, each from its own start, and one agreeing block is
+   enough: the edits of one block are no more than its share.
 4. *Verification.* The edit distance of each candidate, over windows that may begin and end
    anywhere near the place found, decides.
 
-The items are the query set: they go to the tasks in blocks of at most BLOCK items, so what a
-task holds is bounded whatever the benchmark's size.
+Documents are scanned once, whatever the benchmark's size. What a task holds of the benchmark is
+a filter of 2**FILTER_BITS bits that most runs of words don't pass, and the items of the
+documents at hand.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Iterable
 
 import numpy as np
 import pandas as pd
-from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import body_of, cut, named_rows, same_row, small_batches, unpacked
 
-#: Least similarity (1 - edits / words of the item). Items under LEAST_WORDS allow no edit: they are looked for word for word.
-SIMILARITY, LEAST_WORDS = 0.8, 5
-#: Walks and sampled steps of each: items with up to 20 in 100 words edited at random were all
-#: found (200 of 200 each at 5, 10, 15 and 20 in 100; see the tests).
+#: Least similarity (1 - edits / words of the item). Items under five words allow no edit: they are found word for word.
+SIMILARITY = 0.8
+#: Walks and sampled steps of each; recall at every length is measured in the tests.
 REPEATS, BITS = 48, 3
 #: Most words of a block that is walked by itself.
 WALK = 64
-#: Items held by a task at a time.
-BLOCK = 5_000
+#: Size of the filter for runs of words; the longest segment (of items of any length).
+FILTER_BITS, LONGEST = 24, 4
 #: Windows embedded at a time.
 WINDOWS = 4096
 _WORD = re.compile(r"[^\W_]+")
+_PRIME = np.uint64(0x100000001B3)
+_BASE = 0xD6E8FEB86659FD93
+_HELD: list[np.ndarray] = []
 
 
 def words_of(text: str | None) -> list[str]:
     return _WORD.findall((text or "").lower())
 
 
+def _tables() -> tuple[np.ndarray, np.ndarray]:
+    """Which code points are letters or digits; powers of a prime, as many as the longest word so far has characters."""
+    if not _HELD:
+        _HELD.append(np.fromiter((chr(c).isalnum() for c in range(0x110000)), dtype=bool, count=0x110000))
+        _HELD.append(np.ones(1, dtype=np.uint64))
+    return _HELD[0], _HELD[1]
+
+
+def hashed(text: str | None) -> np.ndarray:
+    """A 63-bit hash for each of `words_of`, at least 0, computed over the whole text's characters at once."""
+    known, powers = _tables()
+    x = np.frombuffer((text or "").lower().encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    inside = known[x]
+    edge = np.flatnonzero(np.diff(inside.view(np.int8), prepend=0, append=0))
+    sizes = edge[1::2] - edge[::2]
+    if not len(sizes):
+        return np.zeros(0, dtype=np.int64)
+    if int(sizes.max()) > len(powers):
+        _HELD[1] = powers = np.cumprod(np.concatenate(([1], np.full(2 * int(sizes.max()), _BASE, dtype=np.uint64))), dtype=np.uint64)
+    first = np.cumsum(sizes) - sizes
+    place = np.arange(int(sizes.sum())) - np.repeat(first, sizes)
+    h = np.add.reduceat((x[inside].astype(np.uint64) + np.uint64(1)) * powers[place], first)
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15)
+    return (h >> np.uint64(1)).view(np.int64)
+
+
 def edits_allowed(n: int) -> int:
     return int((1 - SIMILARITY) * n + 1e-9)
 
 
+def runs(words: np.ndarray, length: int) -> np.ndarray:
+    """A hash for every run of ``length`` words."""
+    n = len(words) - length + 1
+    if n < 1:
+        return np.zeros(0, dtype=np.int64)
+    w = words.view(np.uint64)
+    h = np.full(n, length, dtype=np.uint64)
+    for i in range(length):
+        h = (h ^ (h >> np.uint64(31))) * _PRIME + w[i : n + i] * np.uint64(0x9E3779B97F4A7C15)
+    return (h ^ (h >> np.uint64(32))).view(np.int64)
+
+
+def segment_length(n: int) -> int:
+    """Words of a segment of an item of ``n`` words, at most LONGEST."""
+    return n // (edits_allowed(n) + 1)
+
+
+def segments(words: np.ndarray) -> list[tuple[int, int]]:
+    """(hash, place) of the segments of an item, one more than the edits it allows."""
+    n = len(words)
+    length = segment_length(n)
+    h = runs(words, length) if n else ()
+    return [(int(h[i * length]), i * length) for i in range(edits_allowed(n) + 1)] if n else []
+
+
 def edit_distance(item: np.ndarray, window: np.ndarray) -> int:
     """Least edits that turn ``item`` into any run of words inside ``window``."""
     row = np.zeros(len(window) + 1, dtype=np.int64)  # a match may begin anywhere
@@ -70,17 +122,15 @@ def edit_distance(item: np.ndarray, window: np.ndarray) -> int:
 
 
 class Walks:
-    """REPEATS random walks over word ids from 0 to ``size`` - 1, and the steps they sample."""
+    """REPEATS random walks over hashed words, and the steps they sample."""
 
-    def __init__(self, size: int, longest: int, seed: int = 7) -> None:
+    def __init__(self, seed: int = 7) -> None:
         rng = np.random.default_rng(seed)
-        self.steps = 3 * longest
-        self.bits = rng.integers(0, 2, (REPEATS, self.steps, 64), dtype=np.int64)
-        self.kind = rng.integers(0, 64, size)  # words share 64 coins a step
+        self.bits = rng.integers(0, 2, (REPEATS, 3 * WALK, 64), dtype=np.int64)  # words share 64 coins a step
         self.share = rng.random((REPEATS, BITS))
 
     def keys(self, windows: np.ndarray) -> np.ndarray:
-        """For each row of word ids a key per walk."""
+        """For each row of words (-1 for none) a key per walk."""
         m, n = windows.shape
         padded = np.concatenate((windows, np.full((m, 1), -1)), axis=1)
         walk, rows = np.arange(REPEATS), np.arange(m)[:, None]
@@ -91,169 +141,122 @@ class Walks:
             word = padded[rows, at]
             hit = np.flatnonzero((sampled == j).any(axis=1))
             key[:, hit] = (key[:, hit] * 0x100000001B3 + word[:, hit] + 2) & 0x7FFFFFFFFFFFFFF
-            at = np.minimum(at + np.where(word < 0, 0, self.bits[walk, j, self.kind[word]]), n)
+            at = np.minimum(at + np.where(word < 0, 0, self.bits[walk, j, word & 63]), n)
         return key
 
-
-class Index:
-    """Items as word ids, the places of their word pairs, and their LSH keys."""
-
-    def __init__(self, items: list[tuple[int, list[str]]]) -> None:
-        self.items = [(i, w) for i, w in items if len(w) >= LEAST_WORDS]
-        self.ids = {w: k for k, w in enumerate(sorted({w for _, ws in items for w in ws}), 1)}  # 0: any other word
-        self.brief: dict[int, dict[tuple[int, ...], list[int]]] = {}  # by length: the words of short items, and whose they are
-        for i, ws in items:
-            if 0 < len(ws) < LEAST_WORDS:
-                self.brief.setdefault(len(ws), {}).setdefault(tuple(self.ids[w] for w in ws), []).append(i)
-        self.brief_starts = {n: np.unique([w[0] for w in found]) for n, found in self.brief.items()}
-        self.size = len(self.ids) + 1
-        self.rows = [np.array([self.ids[w] for w in ws], dtype=np.int64) for _, ws in self.items]
-        self.n = np.array([len(r) for r in self.rows], dtype=np.int64)
-        self.d = np.array([edits_allowed(len(r)) for r in self.rows], dtype=np.int64)
-        self.walks = Walks(self.size, min(WALK, int(self.n.max(initial=1))))
-        if not self.rows:
-            return
-        pair = np.concatenate([r[:-1] * self.size + r[1:] for r in self.rows])
-        order = np.argsort(pair, kind="stable")
-        self.pairs, first = np.unique(pair[order], return_index=True)
-        self.first = np.append(first, len(pair))  # the places of pair i: first[i] to first[i + 1]
-        self.of = np.repeat(np.arange(len(self.rows)), self.n - 1)[order]
-        self.at = np.concatenate([np.arange(n - 1) for n in self.n])[order]
-        self.found: dict[int, list[int]] = {}
-        for n in np.unique(self.n):
-            same = np.flatnonzero(self.n == n)
-            for k, keys in zip(same.tolist(), self.block_keys(np.stack([self.rows[k] for k in same])), strict=True):
-                for key in keys.tolist():
-                    self.found.setdefault(key, []).append(k)
-
     def block_keys(self, windows: np.ndarray) -> np.ndarray:
-        """For each row of word ids the keys of all its blocks, which hold its length and the block's place."""
+        """For each row of words the keys of all its blocks, which hold the block's place."""
         n = windows.shape[1]
         edges = np.linspace(0, n, -(-n // WALK) + 1).astype(np.int64)
-        keys = [self.walks.keys(windows[:, a:b]) for a, b in zip(edges, edges[1:], strict=False)]
-        if len(keys) > 1:
-            keys = [((k * 0x100000001B3) ^ (n * 0x9E3779B1 + a)) & 0x7FFFFFFFFFFFFFF for k, a in zip(keys, edges.tolist(), strict=False)]
+        keys = [self.keys(windows[:, a:b]) ^ (int(a) << 40) for a, b in zip(edges, edges[1:], strict=False)]
         return np.concatenate(keys, axis=1)
 
-    def read(self, text: str | None) -> np.ndarray:
-        """Word ids of a text, and some blank ones: a match at its end may be shorter than its window."""
-        ids = self.ids
-        return np.array([ids.get(w, 0) for w in words_of(text)] + [0] * int(self.d.max(initial=0)), dtype=np.int64)
-
-    def exact(self, doc: np.ndarray) -> dict[int, tuple[int, int]]:
-        """First word and length of each short item that a text holds word for word."""
-        out: dict[int, tuple[int, int]] = {}
-        for n, found in self.brief.items():
-            for p in np.flatnonzero(np.isin(doc[: len(doc) - n + 1], self.brief_starts[n])).tolist():
-                for i in found.get(tuple(doc[p : p + n].tolist()), ()):
-                    out.setdefault(i, (p, n))
-        return out
-
-    def windows(self, doc: np.ndarray) -> list[tuple[int, int]]:
-        """(length, first word) of the windows that hold enough pairs of one item."""
-        code = doc[:-1] * self.size + doc[1:]
-        known = np.flatnonzero((doc[:-1] > 0) & (doc[1:] > 0))
-        i = np.minimum(np.searchsorted(self.pairs, code[known]), len(self.pairs) - 1)
-        right = self.pairs[i] == code[known]
-        pos, i = known[right], i[right]
-        if not len(pos):
-            return []
-        times = self.first[i + 1] - self.first[i]
-        place = np.repeat(self.first[i] - np.cumsum(times) + times, times) + np.arange(times.sum())
-        of, at, pos = self.of[place], self.at[place], np.repeat(pos, times)
-        span = len(doc) + 1
-        order = np.argsort(of * span + pos, kind="stable")
-        of, at, pos = of[order], at[order], pos[order]
-        key = of * span + pos
-        end = np.searchsorted(key, np.minimum(key + self.n[of] - 1, (of + 1) * span - 1))
-        full = np.flatnonzero(end - np.arange(len(key)) >= np.maximum(1, self.n[of] - 1 - 3 * self.d[of]))
-        if not len(full):
-            return []
-        inside = np.zeros(len(key) + 1, dtype=np.int64)
-        np.add.at(inside, full, 1)
-        np.add.at(inside, end[full], -1)
-        inside = np.flatnonzero(np.cumsum(inside)[:-1])
-        # a match's pairs lie on d + 1 diagonals at most, so one of them holds its share of those left
-        most = int(self.n.max())
-        stride = span + most  # a diagonal lies between -most and span
-        diagonal, times = np.unique(of[inside] * stride + pos[inside] - at[inside] + most, return_counts=True)
-        of, start = diagonal // stride, diagonal % stride - most
-        n, d = self.n[of], self.d[of]
-        keep = times * (d + 1) >= n - 1 - 2 * d
-        start = np.clip(start, 0, np.maximum(0, len(doc) - n))
-        return sorted(set(zip(n[keep].tolist(), start[keep].tolist(), strict=True)))
-
-    def matches(self, texts: list[str | None]) -> list[list[tuple[int, int, int, int]]]:
-        """For each text (item_id, first word, words, edits) of every item found in it, once each."""
-        best: list[dict[int, tuple[int, int]]] = [{} for _ in texts]
-        docs = [self.read(t) for t in texts]
-        brief = [[(i, p, n, 0) for i, (p, n) in sorted(self.exact(doc).items())] for doc in docs]
-        if not self.rows:
-            return brief
-        by_length: dict[int, list[tuple[int, int]]] = {}
-        for t, doc in enumerate(docs):
-            for n, start in self.windows(doc):
-                by_length.setdefault(n, []).append((t, start))
-        for n, places in sorted(by_length.items()):
-            for low in range(0, len(places), WINDOWS):
-                some = places[low : low + WINDOWS]
-                rows = np.full((len(some), n), -1, dtype=np.int64)
-                for row, (t, start) in zip(rows, some, strict=True):
-                    words = docs[t][start : start + n]
-                    row[: len(words)] = words
-                for (t, start), keys in zip(some, self.block_keys(rows), strict=True):
-                    for k in {k for key in keys.tolist() for k in self.found.get(key, ())}:
-                        if best[t].get(k, (0, 1))[1]:
-                            d = int(self.d[k])
-                            e = edit_distance(self.rows[k], docs[t][max(0, start - d) : start + n + d])
-                            if e <= d and e < best[t].get(k, (0, d + 1))[1]:
-                                best[t][k] = (start, e)
-        return [[*exact, *((self.items[k][0], start, int(self.n[k]), e) for k, (start, e) in sorted(b.items()))] for exact, b in zip(brief, best, strict=True)]
-
-
-def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, list[str]]]]:
-    """The items, streamed from the table, at most BLOCK at a time."""
-    block = []
-    for row in benchmark.select("item_id", "text").filter("text is not null").orderBy("item_id", "text").toLocalIterator():
-        block.append((row["item_id"], words_of(row["text"])))
-        if len(block) == BLOCK:
-            yield block
-            block = []
-    if block:
-        yield block
-
-
-def _looker(shared: Broadcast, leak: T.StructType) -> Callable[[str], Column]:
-    """Text column -> the leaks of a block of items, an array of ``leak``."""
 
-    @F.pandas_udf(T.ArrayType(leak))
-    def look(texts: pd.Series) -> pd.Series:
-        return pd.Series([[dict(zip(leak.names, m, strict=True)) for m in found] for found in shared.value.matches(texts.tolist())], dtype=object)
-
-    return look
+_WALKS: list[Walks] = []
+
+
+def agree(items: list[np.ndarray], windows: list[np.ndarray]) -> np.ndarray:
+    """For each item and the window of its length whether some walk of some block samples the same."""
+    if not _WALKS:
+        _WALKS.append(Walks())
+    same = np.zeros(len(items), dtype=bool)
+    lengths = np.array([len(x) for x in items])
+    for n in np.unique(lengths):
+        places = np.flatnonzero(lengths == n)
+        for at in range(0, len(places), WINDOWS):
+            some = places[at : at + WINDOWS]
+            a, b = (_WALKS[0].block_keys(np.stack([x[k] for k in some])) for x in (items, windows))
+            same[some] = (a == b).any(axis=1)
+    return same
+
+
+def verified(texts: Iterable[str | None], asked: Iterable[list[tuple[object, str, list[int]]]]) -> list[list[tuple]]:
+    """For each text and its (item_id, item's text, starts): (item_id, start, words, edits) of the items found in it."""
+    tried, items, windows, docs = [], [], [], []
+    for t, (text, some) in enumerate(zip(texts, asked, strict=True)):
+        docs.append(doc := hashed(text))
+        for item_id, item_text, starts in some:
+            item = hashed(item_text)
+            for start in sorted({min(max(0, s), max(0, len(doc) - len(item))) for s in starts}):
+                window = np.full(len(item), -1, dtype=np.int64)  # a match at the end may be shorter
+                own = doc[start : start + len(item)]
+                window[: len(own)] = own
+                tried.append((t, item_id, item, start))
+                items.append(item)
+                windows.append(window)
+    best: list[dict] = [{} for _ in docs]
+    for k in np.flatnonzero(agree(items, windows)).tolist():
+        t, item_id, item, start = tried[k]
+        d = edits_allowed(len(item))
+        known = best[t].get((item_id, len(item)), (0, d + 1))[1]
+        if known:
+            e = edit_distance(item, docs[t][max(0, start - d) : start + len(item) + d])
+            if e < known:
+                best[t][item_id, len(item)] = (start, e)
+    return [[(i, start, n, e) for (i, n), (start, e) in sorted(b.items(), key=str)] for b in best]
+
+
+def _filter(hashes: DataFrame) -> np.ndarray:
+    """2**FILTER_BITS bits, as bytes, of which those of the column ``h`` are set: at most a row for 64 of them reaches the driver."""
+    place = F.col("h").bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
+    words = hashes.select(F.shiftright(place, 6).alias("w"), F.expr(f"shiftleft(1L, cast((h & {(1 << FILTER_BITS) - 1}) & 63 as int))").alias("b"))
+    got = words.groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()
+    out = np.zeros(1 << (FILTER_BITS - 6), dtype=np.int64)
+    out[got["w"].to_numpy(dtype=np.int64)] = got["b"].to_numpy(dtype=np.int64)
+    return out
 
 
 def _leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, body (a hash of the text) and a leak: see `find_leaks`."""
     spark = docs.sparkSession
     small_batches(spark)
-    item = benchmark.schema["item_id"].dataType
-    leak = T.StructType([T.StructField("item_id", item), T.StructField("start", T.IntegerType()), T.StructField("words", T.IntegerType()), T.StructField("edits", T.IntegerType())])
-    found = None
-    for block in _blocks(benchmark):
-        look = _looker(spark.sparkContext.broadcast(Index(block)), leak)
-        some = docs.select("doc_id", body_of(F.col("text")).alias("body"), F.explode(look("text")).alias("x")).select("doc_id", "body", "x.*")
-        found = some if found is None else found.union(some)
-    return docs.select("doc_id", body_of(F.col("text")).alias("body")).limit(0).select("*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in leak]) if found is None else found
+    leak = T.StructType([T.StructField("item_id", benchmark.schema["item_id"].dataType), T.StructField("start", T.IntegerType()), T.StructField("words", T.IntegerType()), T.StructField("edits", T.IntegerType())])
+
+    @F.pandas_udf("array<struct<h:bigint,at:int,length:int>>")
+    def cut_up(texts: pd.Series) -> pd.Series:
+        every = [hashed(t) for t in texts]
+        return pd.Series([[{"h": h, "at": at, "length": segment_length(len(w))} for h, at in segments(w)] for w in every], dtype=object)
+
+    items = cut(benchmark.select("item_id", "text").filter("text is not null").distinct().select(F.monotonically_increasing_id().alias("item"), "item_id", F.col("text").alias("item_text")))
+    parts = cut(items.select("item", F.explode(cut_up("item_text")).alias("s")).select("item", "s.h", "s.at", "s.length"))
+    shared = spark.sparkContext.broadcast(_filter(parts))  # 2**FILTER_BITS bits
+    lengths = [r["length"] for r in parts.select("length").distinct().collect()]  # LONGEST at most
+
+    @F.pandas_udf("array<struct<h:bigint,pos:int>>")
+    def look(texts: pd.Series) -> pd.Series:
+        bits, out = shared.value, []
+        mask = (1 << FILTER_BITS) - 1
+        for t in texts:
+            words, found = hashed(t), []
+            for length in lengths:
+                h = runs(words, length)
+                place = h & mask
+                for p in np.flatnonzero(bits[place >> 6] >> (place & 63) & 1).tolist():
+                    found.append({"h": int(h[p]), "pos": p})
+            out.append(found)
+        return pd.Series(out, dtype=object)
+
+    @F.pandas_udf(T.ArrayType(leak))
+    def verify(texts: pd.Series, asked: pd.Series) -> pd.Series:
+        some = [[(x["item_id"], x["item_text"], list(x["starts"])) for x in a] for a in asked]
+        return pd.Series([[dict(zip(leak.names, m, strict=True)) for m in found] for found in verified(texts, some)], dtype=object)
+
+    own = docs.select("doc_id", body_of(F.col("text")).alias("body"), "text").filter("text is not null")
+    hits = own.select("doc_id", "body", F.explode(look("text")).alias("x")).select("doc_id", "body", "x.h", "x.pos")
+    near = hits.join(parts, "h").groupBy("doc_id", "body", "item").agg(F.collect_set((F.col("pos") - F.col("at")).cast("int")).alias("starts"))  # at most a document's own words
+    asked = cut(near.join(items, "item").groupBy("doc_id", "body").agg(F.collect_list(F.struct("item_id", "item_text", "starts")).alias("asked")))
+    # Spark sends the found few to the documents if they are small, and else deals both by key
+    both = own.join(asked, same_row(own, asked)).select(own["doc_id"], own["body"], F.explode(verify("text", "asked")).alias("x"))
+    return both.select("doc_id", "body", "x.*")
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, start, words, edits: each benchmark item found in each document, once.
 
     ``start`` and ``words`` place the window by words. Null and empty texts, and items without a
-    word, match nothing; items of fewer than LEAST_WORDS words match word for word; an empty
-    benchmark gives no rows. Rows that share a doc_id are looked at one by one and may repeat a
-    leak. Other columns are not looked at.
+    word, match nothing; items of fewer than five words match word for word; an empty benchmark
+    gives no rows. Rows that share a doc_id are looked at one by one and may repeat a leak. Other
+    columns are not looked at.
     """
     return _leaks(docs, benchmark).drop("body")
 

@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 from sieveworks.llm import decontaminate as D
 
 from .util import docs, rows
@@ -32,6 +34,41 @@ def edited(rng, words, n):
     return words
 
 
+def matches(items, texts):
+    """What `verified` says of the places where texts and items share a segment, found by a plain table."""
+    asked = []
+    for t in texts:
+        doc, places = D.hashed(t), {}
+        for length in range(1, D.LONGEST + 1):
+            for p, h in enumerate(D.runs(doc, length).tolist()):
+                places.setdefault(h, []).append(p)
+        starts = [(i, " ".join(w), sorted({p - at for h, at in D.segments(D.hashed(' '.join(w))) for p in places.get(h, ())})) for i, w in items]
+        asked.append([x for x in starts if x[2]])
+    return D.verified(texts, asked)
+
+
+def test_words_are_told_apart_by_their_hashes():
+    text = "Ab_c déjà-VU 12,5 ½ 漢字\n the THE x" + "y" * 5000 + " İ ẞß \ud800 a"
+    words = D.words_of(text)
+    h = D.hashed(text).tolist()
+    assert len(h) == len(words) and len(set(h)) == len(set(words)) and min(h) >= 0
+    assert dict(zip(words, h, strict=True)) == {w: D.hashed(w).tolist()[0] for w in words}
+    assert len(D.hashed(None)) == len(D.hashed("")) == len(D.hashed(" _-")) == 0
+
+
+def test_segments_and_filter(spark):
+    for n in range(1, 400):
+        parts = D.segments(np.arange(n))
+        assert len(parts) == D.edits_allowed(n) + 1 and n // len(parts) <= D.LONGEST
+        assert all(at + n // len(parts) <= n for _, at in parts)
+    assert D.segments(np.arange(0)) == []
+    hashes = [5, -1, 1 << 62, -(1 << 63), (1 << D.FILTER_BITS) + 63]
+    bits = D._filter(spark.createDataFrame([(h,) for h in hashes], "h long"))
+    mask = (1 << D.FILTER_BITS) - 1
+    assert sum(int(x).bit_count() if x >= 0 else int(x + (1 << 64)).bit_count() for x in bits.tolist()) == len({h & mask for h in hashes})
+    assert all(bits[(h & mask) >> 6] >> (h & mask & 63) & 1 for h in hashes)
+
+
 def table(rng, n):
     return [(i, rng.choices(VOCABULARY, k=rng.randint(8, 60))) for i in range(n)]
 
@@ -39,10 +76,9 @@ def table(rng, n):
 def test_recall_at_every_share_of_edits():
     rng = random.Random(4)
     items = table(rng, 120)
-    index = D.Index(items)
     for share in (0, 0.1, 0.2):
         texts = [" ".join(rng.choices(VOCABULARY, k=rng.randint(0, 90)) + edited(rng, w, int(share * len(w) + 1e-9)) + rng.choices(VOCABULARY, k=rng.randint(0, 90))) for _, w in items]
-        found = sum(i in {m[0] for m in got} for (i, _), got in zip(items, index.matches(texts), strict=True))
+        found = sum(i in {m[0] for m in got} for (i, _), got in zip(items, matches(items, texts), strict=True))
         assert found >= 0.97 * len(items)
 
 
@@ -51,7 +87,7 @@ def test_recall_of_long_items():
     for n, many in ((5, 60), (50, 60), (150, 40), (200, 40), (300, 30), (500, 16), (1000, 6)):
         items = [(i, rng.choices(VOCABULARY, k=n)) for i in range(many)]
         texts = [" ".join(rng.choices(VOCABULARY, k=30) + edited(rng, w, n // 5) + rng.choices(VOCABULARY, k=30)) for _, w in items]
-        found = sum(i in {m[0] for m in got} for (i, _), got in zip(items, D.Index(items).matches(texts), strict=True))
+        found = sum(i in {m[0] for m in got} for (i, _), got in zip(items, matches(items, texts), strict=True))
         assert found >= 0.97 * many
 
 
@@ -59,7 +95,7 @@ def test_no_match_beyond_the_limit():
     rng = random.Random(5)
     items = table(rng, 40)
     texts = [" ".join(edited(rng, w, int(0.45 * len(w)))) for _, w in items] + [" ".join(rng.choices(VOCABULARY, k=300)) for _ in range(40)]
-    for t, got in zip(texts, D.Index(items).matches(texts), strict=True):
+    for t, got in zip(texts, matches(items, texts), strict=True):
         for item, _, n, e in got:
             assert brute_distance(items[item][1], D.words_of(t)) <= e <= D.edits_allowed(n)
 
