@@ -94,7 +94,7 @@ def test_judging_by_hand(spark):
     assert (none.correct, none.total, none.precision) == (0, 0, 0.0)
     s = judging.scoring(spark.createDataFrame([("8",), ("无",), ("9分",)], "judgement string")).first()
     assert (s.avg_score, s.precision_pct, s.n) == (8.5, 85.0, 2)
-    b = judging.answer_bundle(spark.createDataFrame([([],), (["x"],), (None,)], "contexts array<string>")).collect()
+    b = judging.with_contexts(spark.createDataFrame([([],), (["x"],), (None,)], "contexts array<string>")).collect()
     assert [r.contexts for r in b] == [["无参考文档"], ["x"], ["无参考文档"]]
 
 

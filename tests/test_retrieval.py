@@ -51,7 +51,7 @@ def test_bm25_against_a_loop(spark, tmp_path):
 
 
 def test_dense_in_blocks(spark, monkeypatch):
-    monkeypatch.setattr(dense, "QUERY_BLOCK", 3)
+    monkeypatch.setattr(dense, "ROWS", 3)
     rng = np.random.default_rng(2)
     v, q = rng.normal(size=(50, 8)).astype(np.float32), rng.normal(size=(7, 8)).astype(np.float32)
     vectors = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)] + [(99, None)], "chunk_id long, embedding array<float>").repartition(3)
