@@ -1,8 +1,8 @@
 """Substring dedup over sliding sentence spans.
 
 Every run of SENTENCES consecutive sentences is hashed, from every sentence on; a longer run
-repeats if and only if all of these do, so they stand for every run of several sentences. All
-hashes are joined globally. A span is *first* where the least document has it first; sentences
+repeats only if all of these do, so they stand for every run of several sentences, however few
+words it has. All hashes are joined globally. A span is *first* where the least document has it first; sentences
 that any other occurrence covers are removed.
 
 Only narrow rows of a document's key and a hash cross the network for the counting, at most one
@@ -21,8 +21,9 @@ from pyspark.sql import functions as F
 
 from .common import cut, hot_join, named_rows, order_of, same_row, small_batches
 
-#: Sentences in a span.
-SENTENCES = 2
+#: Sentences in a span: "several" are three. Of 8,800 documents of sf0.1 without any repeated stretch of over 50 words, spans
+#: of two touch 2,993 by short sentences that recur by chance, spans of three 1,039; of 1,200 with one they touch 1,152 and 1,137.
+SENTENCES = 3
 #: The end of a sentence, with the white space after it: full stops, question or exclamation marks before white space, or a line end.
 #: A run of marks is looked at from its first one alone, so the time is linear in the text.
 _END = re.compile(r"(?<![.!?。！？])[.!?。！？]++(?=\s|\Z)\s*+|\n\s*+")

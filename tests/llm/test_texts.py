@@ -216,16 +216,17 @@ def plain_sentences(text):
     return out + [text[start:]] * (start < len(text))
 
 
-def brute_spans(table):
-    """Every run of two sentences or more, compared as texts, by a plain loop in order of doc_id."""
+def brute_spans(table, several=sentences.SENTENCES):
+    """Every run of several sentences, compared as texts, by a plain loop in order of doc_id."""
     split = {k: [(i, " ".join(s.split())) for i, s in enumerate(plain_sentences(t)) if s.split()] for k, (_, t) in enumerate(table) if t}
     seen, out = {}, []
     for k, (d, t) in sorted(enumerate(table), key=lambda x: (x[1][0] is None, x[1][0] or 0)):
         own, gone, parts = split.get(k, []), set(), plain_sentences(t or "")
-        for j in range(len(own) - 1):
-            e, at = seen.setdefault((own[j][1], own[j + 1][1]), (k, j))
-            if e != k or j >= at + 2:
-                gone |= {own[j][0], own[j + 1][0]}
+        for j in range(len(own) - several + 1):
+            run = own[j : j + several]
+            e, at = seen.setdefault(tuple(s for _, s in run), (k, j))
+            if e != k or j >= at + several:
+                gone |= {i for i, _ in run}
         left = "".join(s for i, s in enumerate(parts) if i not in gone).rstrip() if gone else t
         out.append((d, left, len(gone)))
     return out
@@ -234,7 +235,7 @@ def brute_spans(table):
 def test_spans_reach_the_edges_of_a_passage():
     rng = random.Random(9)
     sentence = lambda: " ".join(f"u{rng.randrange(10**6)}" for _ in range(rng.randint(1, 15))).capitalize() + "."
-    for n in (2, 3, 12) * 15:
+    for n in (3, 4, 12) * 15:
         passage = [sentence() for _ in range(n)]
         a, b = [sentence() for _ in range(4)], [sentence() for _ in range(4)]
         one = set(sentences.spans(" ".join([*a, *passage, *b]))[2].tolist())
