@@ -38,7 +38,7 @@ def test_null_empty_repeated_and_long(spark):
     long = " ".join(f"x{i % 5000} é" for i in range(60_000))
     out = {r.doc_id: r for r in document_fingerprints(docs(spark, [(None, "a b"), (1, None), (2, ""), (3, "one"), (9, long)])).collect()}
     assert len(out) == 5
-    assert out[1].n_chars == 0 and out[1].fingerprint == out[2].fingerprint == [-1] * 64
+    assert out[1].n_chars == 0 and out[1].fingerprint == out[2].fingerprint == [-1] * 48
     assert out[1].near_next == 1.0  # both are empty
     assert out[9].edited_sha256 == hashlib.sha256((long[: len(long) - len(long) // 4] + "a b").encode()).hexdigest()  # null comes first
     assert document_fingerprints(docs(spark, [])).count() == 0
@@ -62,16 +62,15 @@ def test_sampler_against_a_plain_loop(spark):
     table = [(1, "a b b c c c d " * 3), (2, "b b e f c")]
     got = {r.doc_id: r for r in document_fingerprints(docs(spark, table)).collect()}
     words = spark.createDataFrame([(w,) for w in "abcdef"], "w string").select("w", F.xxhash64("w").alias("k"))
-    draws = words.select("w", "k", *[F.xxhash64("k", F.lit(i)).alias(f"u{i}") for i in range(128)]).collect()
+    draws = words.select("w", "k", *[F.xxhash64("k", F.lit(i)).alias(f"u{i}") for i in range(96)]).collect()
     unit = lambda x, shift: ((x % (1 << 64) >> shift & 0xFFFFF) + 0.5) / (1 << 20)
     for d, text in table:
         counts, want = Counter(text.split()), []
-        for s in range(64):
+        for s in range(48):
             best = []
             for r in draws:
                 if n := counts[r.w]:
-                    e = s - s % 2
-                    g = -math.log(unit(r[f"u{2 * e}"], 44) * unit(r[f"u{2 * e}"], 24))
+                    g = -math.log(unit(r[f"u{2 * s}"], 44) * unit(r[f"u{2 * s}"], 24))
                     c = math.log(-math.log(unit(r[f"u{2 * s + 1}"], 44) * unit(r[f"u{2 * s + 1}"], 24)))
                     b = unit(r[f"u{2 * s}"], 4)
                     t = math.floor(math.log(n) / g + b)
