@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import HAN, clean_keyword, clean_sentence, fix_question_mark, normalise_quotes, strip
+from .text import HAN, clean_keyword, clean_sentence, fix_question_mark, normalise_quotes, once, strip
 
 #: The labels, and the short forms that stand for them.
 LABELS = ["法律类", "违规类", "闲聊类"]
@@ -76,11 +76,6 @@ def balanced_json(c: Column) -> Column:
     return F.when((F.instr(c, "{") > 0) & (end > 0), F.substring(text, F.lit(1), end))
 
 
-def _once(c: Column, f: Callable[[Column], Column]) -> Column:
-    """``f(c)`` with ``c`` computed once, however often ``f`` names it."""
-    return F.transform(F.array(c), f)[0]
-
-
 def _first_text(c: Column, keys: list[str]) -> Column:
     """The first of these JSON fields that isn't blank, stripped."""
     values = F.transform(F.array(*[json_text(c, k) for k in keys]), strip)
@@ -90,7 +85,7 @@ def _first_text(c: Column, keys: list[str]) -> Column:
 def _fields(c: Column) -> Column:
     """struct(question, keyword) of a JSON object; null unless it has a question."""
     keyword = F.coalesce(_first_text(c, KEYWORD_KEYS), F.lit(""))
-    return _once(_first_text(c, QUESTION_KEYS), lambda q: F.when(q.isNotNull(), F.struct(q.alias("question"), keyword.alias("keyword"))))
+    return once(_first_text(c, QUESTION_KEYS), lambda q: F.when(q.isNotNull(), F.struct(q.alias("question"), keyword.alias("keyword"))))
 
 
 def _from_json(c: Column, read: Callable[[Column], Column]) -> Column:
@@ -176,8 +171,8 @@ def rewrite_problem_small(new: Column, old: Column) -> Column:
 
 def rewrite_candidate(output: Column) -> Column:
     """struct(question, keyword) of one model answer, cleaned, with its question mark; null if unreadable."""
-    clean = lambda got: F.struct(_once(clean_sentence(got["question"]), fix_question_mark).alias("question"), clean_keyword(got["keyword"]).alias("keyword"))
-    return _once(extract_rewrite(output), lambda got: F.when(got.isNotNull(), clean(got)))
+    clean = lambda got: F.struct(once(clean_sentence(got["question"]), fix_question_mark).alias("question"), clean_keyword(got["keyword"]).alias("keyword"))
+    return once(extract_rewrite(output), lambda got: F.when(got.isNotNull(), clean(got)))
 
 
 def agreement_verdict(c: Column) -> Column:

@@ -27,6 +27,11 @@ def heading(level: str) -> str:
     return rf"(?mU)^第[{NUMERALS}\d]+{LEVELS[level]}[\s　]"
 
 
+def once(c: Column, f: Callable[[Column], Column]) -> Column:
+    """``f(c)`` with ``c`` computed once, however often ``f`` names it."""
+    return F.transform(F.array(c), f)[0]
+
+
 def strip(c: Column) -> Column:
     """Trim all Unicode white space at both ends."""
     return F.regexp_replace(c, r"(?U)^\s+|\s+\z", "")
@@ -220,4 +225,4 @@ LETTERS = "etaoinsr"
 def letter_counts(c: Column) -> Column:
     """How often a text has each of LETTERS, as an array of doubles (lower case counts, null is empty)."""
     text = F.coalesce(c, F.lit(""))
-    return F.array(*[(F.length(text) - F.length(F.translate(text, x, ""))).cast("double") for x in LETTERS])
+    return F.array(*[(F.length(text) - F.length(F.replace(text, F.lit(x), F.lit("")))).cast("double") for x in LETTERS])

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import letter_counts
+from ..functions.text import letter_counts, once
 from .sparse import top_k
 
 #: Vectors of a block of either side, and queries multiplied at a time within it.
@@ -24,8 +24,8 @@ def norm(v: Column) -> Column:
 
 def l2_normalise(v: Column) -> Column:
     """Unit vector in doubles; the null vector stays."""
-    n = norm(v)
-    return F.transform(v, lambda x: F.when(n > 0, x.cast("double") / n).otherwise(F.lit(0.0)))
+    scaled = lambda w: once(norm(w), lambda n: F.transform(w, lambda x: F.when(n > 0, x.cast("double") / n).otherwise(F.lit(0.0))))
+    return once(v, scaled)
 
 
 def inner_product(a: Column, b: Column) -> Column:

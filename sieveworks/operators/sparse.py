@@ -1,8 +1,9 @@
 """BM25 as tables: token lists, postings, idf; a search is a join on terms.
 
 Token lists are written once. What a search needs of the postings is counted for its own terms
-alone: the semi-join with them stands before the aggregation. Document frequencies come from each
-document's distinct terms, summed within tasks first, so that only the vocabulary is shuffled.
+alone: the semi-join with them comes first, what is left is dealt by document, and both the counts
+and the scores group within that one shuffle. Document frequencies come from each document's
+distinct terms, summed within tasks first, so that only the vocabulary is shuffled.
 """
 
 from __future__ import annotations
@@ -22,11 +23,18 @@ K1, B, EPSILON = 1.5, 0.75, 0.25
 
 @dataclass(frozen=True)
 class SparseIndex:
-    """postings (term, chunk_id, tf, dl), idf (term, df, idf), stats (n, avgdl): one row."""
+    """postings (term, chunk_id, tf, dl), idf (term, df, idf), stats (n, avgdl): one row; lists: what postings are counted from, if at hand."""
 
     postings: DataFrame
     idf: DataFrame
     stats: DataFrame
+    lists: DataFrame | None = None
+
+    def postings_of(self, terms: DataFrame) -> DataFrame:
+        """The postings of the terms in ``terms`` (term, each once), dealt by chunk_id."""
+        if self.lists is None:
+            return self.postings.join(terms, "term", "left_semi").repartition("chunk_id")
+        return _counted(_listed(self.lists).join(terms, "term", "left_semi").repartition("chunk_id"))
 
     def save(self, path: str, buckets: int = 64) -> None:
         """Postings lie in ``buckets`` folders by a hash of the term and sorted by term within, so that a search reads few row groups."""
@@ -51,7 +59,14 @@ def token_lists(docs: DataFrame, tokenizer=tokens) -> DataFrame:
 
 def postings(lists: DataFrame) -> DataFrame:
     """term, chunk_id, tf, dl of `token_lists`: one shuffle, for the counts."""
-    listed = lists.select("chunk_id", F.size("terms").cast("long").alias("dl"), F.explode("terms").alias("term"))
+    return _counted(_listed(lists))
+
+
+def _listed(lists: DataFrame) -> DataFrame:
+    return lists.select("chunk_id", F.size("terms").cast("long").alias("dl"), F.explode("terms").alias("term"))
+
+
+def _counted(listed: DataFrame) -> DataFrame:
     return listed.groupBy("term", "chunk_id", "dl").agg(F.count("*").alias("tf")).select("term", "chunk_id", "tf", "dl")
 
 
@@ -72,7 +87,7 @@ def idf(lists: DataFrame, stats: DataFrame) -> DataFrame:
 def build(docs: DataFrame, tokenizer=tokens) -> SparseIndex:
     lists = cut(token_lists(docs, tokenizer))
     stats = cut(corpus_stats(lists))
-    return SparseIndex(postings(lists), idf(lists, stats), stats)
+    return SparseIndex(postings(lists), idf(lists, stats), stats, lists)
 
 
 def asked_terms(queries: DataFrame, tokenizer=tokens) -> DataFrame:
@@ -82,16 +97,17 @@ def asked_terms(queries: DataFrame, tokenizer=tokens) -> DataFrame:
 
 def matches(index: SparseIndex, asked: DataFrame) -> DataFrame:
     """query_id, qf, and the postings of each query's terms."""
-    return asked.join(index.postings.join(asked.select("term").distinct(), "term", "left_semi"), "term")
+    return index.postings_of(asked.select("term").distinct()).join(asked, "term")
 
 
 def search(index: SparseIndex, queries: DataFrame, k: int = 10, tokenizer=tokens) -> DataFrame:
     """query_id, chunk_id, rank, score: the ``k`` best documents above 0 of each query.
 
     Repeated query terms count as often as they occur. Equal scores (to six places) go by
-    chunk_id. The join starts from the queries' terms; Spark broadcasts them while they are small.
+    chunk_id. The queries' terms are written first, so that Spark knows their size and broadcasts
+    them while they are small: then no token that they lack is shuffled.
     """
-    asked = asked_terms(queries, tokenizer).join(index.idf.select("term", "idf"), "term")
+    asked = cut(asked_terms(queries, tokenizer).join(index.idf.select("term", "idf"), "term"))
     weighted = matches(index, asked).crossJoin(F.broadcast(index.stats.select("avgdl")))
     tf = F.col("tf")
     part = F.col("qf") * F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))

@@ -202,10 +202,14 @@ def _bm25(spark, sf_dir, k) -> DataFrame:
     return sparse.search(_index(spark, sf_dir), asked(spark, sf_dir), k)
 
 
+def _letter_vectors(spark, sf_dir) -> DataFrame:
+    return cut(corpus(spark, sf_dir).select("chunk_id", dense.letter_encoder(F.col("text")).alias("embedding")))
+
+
 def _letters(spark, sf_dir, k) -> DataFrame:
     """A dense leg that SQL can follow: texts by how often they have some letters."""
     queries = asked(spark, sf_dir).select("query_id", dense.letter_encoder(F.col("query")).alias("embedding"))
-    return dense.search(corpus(spark, sf_dir).select("chunk_id", dense.letter_encoder(F.col("text")).alias("embedding")), queries, k)
+    return dense.search(_letter_vectors(spark, sf_dir), cut(queries), k)
 
 
 def _legs_of(spark, sf_dir, k: int = 20) -> tuple[DataFrame, DataFrame]:
@@ -372,8 +376,7 @@ def prompt_build(spark, sf_dir):
 def hybrid_engine(spark: SparkSession, sf_dir: str, index: sparse.SparseIndex | None = None) -> Engine:
     """Both legs over the documents, with the stand-in encoder and scorer."""
     docs = corpus(spark, sf_dir).withColumn("section", F.lit(None).cast("string"))
-    vectors = docs.select("chunk_id", dense.letter_encoder(F.col("text")).alias("embedding"))
-    return Engine(docs, vectors, index or sparse.build(docs), dense.letter_encoder)
+    return Engine(docs, _letter_vectors(spark, sf_dir), index or sparse.build(docs), dense.letter_encoder)
 
 
 @query(f"""
