@@ -7,6 +7,7 @@ are deterministic stand-ins for tests and demonstrations; their results say noth
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pandas as pd
@@ -46,8 +47,11 @@ def pair_scorer(make: Callable[[], Callable[[list[tuple[str, str]]], list[float]
     return lambda q, t: score(q, t)
 
 
-def generator(make: Callable[[], Callable[[str], str]], attempts: int = 3, pause: float = 1.0) -> Callable[[Column], Column]:
-    """Prompt column -> struct(text, ok); a failing call is tried again after pause, 2 pause, 4 pause ..."""
+def generator(make: Callable[[], Callable[[str], str]], attempts: int = 3, pause: float = 1.0, in_flight: int = 1) -> Callable[[Column], Column]:
+    """Prompt column -> struct(text, ok); a failing call is tried again after pause, 2 pause, 4 pause ...
+
+    A task has at most ``in_flight`` calls open, so a job has that many for each core it runs on.
+    """
 
     @F.pandas_udf("text string, ok boolean")
     def generate(series: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -66,8 +70,9 @@ def generator(make: Callable[[], Callable[[str], str]], attempts: int = 3, pause
                         time.sleep(pause * 2**attempt)
             return error, False
 
-        for s in series:
-            yield pd.DataFrame([one(p) for p in s], columns=["text", "ok"])
+        with ThreadPoolExecutor(in_flight) as calls:
+            for s in series:
+                yield pd.DataFrame(list(calls.map(one, s)), columns=["text", "ok"])
 
     return lambda c: generate(c)
 
@@ -108,4 +113,15 @@ def overlap_score(query: Column, text: Column) -> Column:
     return F.coalesce(F.try_divide(F.size(F.array_intersect(q, tokens(text))), F.size(q)), F.lit(0.0)).cast("double")
 
 
-__all__ = ["encode_missing", "encoder", "generator", "hash_encoder", "overlap_score", "pair_scorer", "remaining"]
+#: Scorers by name.
+SCORERS = {"overlap": overlap_score}
+
+
+def scorer(name: str) -> Callable[[Column, Column], Column]:
+    """A scorer of the registry; an unknown name is an error before any row is read."""
+    if name not in SCORERS:
+        raise ValueError(f"unknown scorer {name!r}; there are {', '.join(sorted(SCORERS))}")
+    return SCORERS[name]
+
+
+__all__ = ["SCORERS", "scorer", "encode_missing", "encoder", "generator", "hash_encoder", "overlap_score", "pair_scorer", "remaining"]

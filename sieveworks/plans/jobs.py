@@ -43,6 +43,23 @@ def read_articles(spark, sf_dir):
     return readers.articles(spark, path)
 
 
+@query(ORACLES["clean_markup"].replace("select page_id, regexp_replace(x, '^\\s+|\\s+$', '', 'g') as text from c", "select regexp_replace(x, '^\\s+|\\s+$', '', 'g') as text from c where regexp_replace(x, '^\\s+|\\s+$', '', 'g') <> ''"))
+def read_markdown(spark, sf_dir):
+    """Pages as markup files in folders, a file each."""
+    path = shared_folder(spark)
+    pages = table(spark, sf_dir, "pages").select(F.col("html").alias("value"), (F.col("page_id") % 4).alias("folder"))
+    pages.write.option("maxRecordsPerFile", 1).partitionBy("folder").text(path)
+    return readers.markdown(spark, path, "*.txt").select("text")
+
+
+@query(rf"select {_STRIP.format('text')} as body from documents")
+def read_textbooks(spark, sf_dir):
+    """Documents as text files in one folder; their titles are the files' names."""
+    path = shared_folder(spark)
+    table(spark, sf_dir, "documents").select(F.col("text").alias("value")).write.option("maxRecordsPerFile", 1).text(path)
+    return readers.textbooks(spark, path).select(F.replace("text", F.concat(F.lit("【"), "title", F.lit("】\n\n")), F.lit("")).alias("body"))
+
+
 @query(rf"""
 with {_QA}, t as (select string_split(question, chr(10))[1] as title, question, reply from qa)
 select {_STRIP.format('title')} as title, '问：' || {_STRIP.format('title')} || chr(10) || '补充：' || {_STRIP.format('question')} || chr(10) || '答：' || {_STRIP.format('reply')} as text from t

@@ -34,9 +34,9 @@ def _files(spark: SparkSession, path: str, glob: str, recursive: bool) -> DataFr
     return (reader.option("recursiveFileLookup", "true") if recursive else reader).load(path).select("path", "content")
 
 
-def markdown(spark: SparkSession, path: str) -> DataFrame:
-    """path, text of all ``*.md`` below a folder, cleaned; files left empty go."""
-    files = _files(spark, path, "*.md", True).select("path", X.clean_markdown(F.decode("content", "UTF-8")).alias("text"))
+def markdown(spark: SparkSession, path: str, glob: str = "*.md") -> DataFrame:
+    """path, text of all files ``glob`` below a folder, cleaned; files left empty go."""
+    files = _files(spark, path, glob, True).select("path", X.clean_markdown(F.decode("content", "UTF-8")).alias("text"))
     return files.filter("text <> ''")
 
 

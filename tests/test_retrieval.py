@@ -169,6 +169,11 @@ def test_providers(spark):
 
     got = {r.chunk_id: r.g for r in df.filter("text is not null").select("chunk_id", providers.generator(make, 2, 0)(F.col("text")).alias("g")).collect()}
     assert got[1].text == "<a>" and got[1].ok and got[3].text == "FAIL: down" and not got[3].ok
+    many = {r.g for r in spark.range(40).select(providers.generator(make, 1, 0, in_flight=8)(F.col("id").cast("string"))["text"].alias("g")).collect()}
+    assert many == {f"<{i}>" for i in range(40)}
+    assert providers.scorer("overlap") is providers.overlap_score
+    with pytest.raises(ValueError):
+        providers.scorer("none")
     s = providers.pair_scorer(lambda: lambda pairs: [float(len(a + b)) for a, b in pairs])
     assert df.filter("chunk_id = 1").select(s(F.col("text"), F.lit("xy")).alias("s")).first().s == 3.0
 
