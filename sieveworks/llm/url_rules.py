@@ -12,8 +12,8 @@ the stack of active rules, and the rule on level ``d`` is the last that started
 ``d``: two window functions over one exchange and no rule list in any row.
 
 A host can hold a third of all urls (a top-level domain does), so the urls of a host with more
-than SWEEP of them are dealt over several sweeps, each with all rules of the host; the rules of
-other hosts stay single.
+than a partition's share of all, or more than SWEEP, are dealt over several sweeps, each with all
+rules of the host; the rules of other hosts stay single.
 """
 
 from __future__ import annotations
@@ -22,10 +22,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut, hot_join
+from .common import cut, hot_join, partitions
 
-#: Urls of one sweep.
-SWEEP = 100_000
+#: Most urls of one sweep, and so few that no host with them is dealt out.
+SWEEP, LEAST = 100_000, 1_000
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -66,7 +66,9 @@ def judge_urls(urls: DataFrame, rules: DataFrame, default: str = "allow", sweep:
     keys = rows.filter("host <> ''").select("page_id", "host", "path", F.explode(suffixes).alias("key_host"))
     # the hosts of rules, and over how many sweeps their urls go
     loads = keys.groupBy("key_host").agg(F.count("*").alias("n")).join(r.select("key_host").distinct(), "key_host")
-    loads = cut(loads.withColumn("salts", F.ceil(F.col("n") / sweep).cast("int")))
+    loads = cut(loads)
+    share = (loads.agg(F.sum("n")).first()[0] or 0) // partitions(urls.sparkSession)  # one number
+    loads = loads.withColumn("salts", F.ceil(F.col("n") / min(sweep, max(share, LEAST))).cast("int"))
     keys = hot_join(keys, loads, "key_host")
 
     event = ["key_host", "salt", "bytes", "kind", "step", "page_id", "host", "path", "rule"]
