@@ -118,8 +118,8 @@ KEYS = ["_known", "_id", "_body"]
 def keyed_documents(docs: DataFrame) -> DataFrame:
     """KEYS, text, n_chars and copies (rows equal in doc_id and text): a row per document."""
     text = F.coalesce("text", F.lit(""))
-    none = F.lit(None).cast(docs.schema["doc_id"].dataType)
-    keyed = docs.select(F.col("doc_id").isNotNull().cast("int").alias("_known"), F.coalesce(F.col("doc_id"), none.cast("string"), F.lit("0")).cast(docs.schema["doc_id"].dataType).alias("_id"), body_of(text).alias("_body"), text.alias("text"))
+    known, zero = F.col("doc_id").isNotNull().cast("int"), F.lit("0").cast(docs.schema["doc_id"].dataType)
+    keyed = docs.select(known.alias("_known"), F.coalesce("doc_id", zero).alias("_id"), body_of(text).alias("_body"), text.alias("text"))
     return keyed.groupBy(*KEYS).agg(F.first("text").alias("text"), F.count("*").alias("copies")).withColumn("n_chars", F.length("text").cast("long"))
 
 
