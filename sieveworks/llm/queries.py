@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, fingerprint, language, lines, packing, sentences, simhash, toxicity, url_rules, warc
-from .common import held_out, table
+from . import conversations, decontaminate, fingerprint, language, lines, packing, sentences, simhash, toxicity, url_rules, warc
+from .common import cut, held_out, table
 
 
 def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,6 +73,18 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge_urls(table(spark, sf_dir, "pages"), rules)
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = table(spark, sf_dir, "conversations")
+    damaged = cut(conversations.damage(given))
+    report = conversations.parse_conversations(damaged)
+    digests = conversations.digest_rows(conversations.repaired_rows(damaged, report))
+    every = given.select(F.col("conv_id").alias("conv")).distinct()  # some lose all of their rows
+    same = lambda t: F.col("conv").eqNullSafe(t["conv_id"])
+    out = every.join(report, same(report), "left").drop("conv_id").join(digests, same(digests), "left").drop("conv_id")
+    out = out.withColumnRenamed("conv", "conv_id").fillna(0, [c for c in report.columns if c not in ("conv_id", "audit")])
+    return out.withColumns({"audit": F.coalesce("audit", F.lit("")), "repaired_sha256": F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256))})
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": op1_fingerprints,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
@@ -84,6 +96,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_url_filter": op10_url_filter,
+    "op11_conversation_repair": op11_conversation_repair,
 }
 
 ORACLES: dict[str, str] = {}
