@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import conversations, decontaminate, fingerprint, language, lines, packing, sentences, simhash, toxicity, url_rules, warc
+from . import conversations, decontaminate, fingerprint, language, lines, packing, runs, sentences, simhash, toxicity, url_rules, warc
 from .common import cut, held_out, table
 
 
@@ -85,6 +85,14 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumns({"audit": F.coalesce("audit", F.lit("")), "repaired_sha256": F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256))})
 
 
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = runs.find_runs(runs.plant_runs(table(spark, sf_dir, "documents")))
+    best = found.withColumn("best", runs.most_repeated(F.col("runs")))
+    milli = F.expr("1000 * best.length div best.period")
+    digests = [F.sha2(c, 256).alias(name) for c, name in ((runs.runs_text(F.col("runs")), "runs_sha256"), (F.col("collapsed"), "collapsed_sha256"))]
+    return best.select("doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period", milli.alias("exponent_milli"), *digests)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": op1_fingerprints,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
@@ -97,6 +105,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_substring_dedup": op9_substring_dedup,
     "op10_url_filter": op10_url_filter,
     "op11_conversation_repair": op11_conversation_repair,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 ORACLES: dict[str, str] = {}
