@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import conversations, decontaminate, fingerprint, language, lines, packing, runs, sentences, simhash, toxicity, url_rules, warc
+from . import conversations, decontaminate, fingerprint, language, lines, packing, quality, runs, sentences, simhash, toxicity, url_rules, warc
 from .common import cut, held_out, table
 
 
@@ -85,6 +85,11 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumns({"audit": F.coalesce("audit", F.lit("")), "repaired_sha256": F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256))})
 
 
+def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality.judge_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rejected_by")
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = runs.find_runs(runs.plant_runs(table(spark, sf_dir, "documents")))
     best = found.withColumn("best", runs.most_repeated(F.col("runs")))
@@ -105,6 +110,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_substring_dedup": op9_substring_dedup,
     "op10_url_filter": op10_url_filter,
     "op11_conversation_repair": op11_conversation_repair,
+    "op12_quality_rules": op12_quality_rules,
     "op13_periodic_runs": op13_periodic_runs,
 }
 
