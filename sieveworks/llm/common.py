@@ -63,13 +63,15 @@ def unpacked(rows: DataFrame, columns: list[str], **changed: Column) -> DataFram
     return rows.select(*[changed[c].alias(c) if c in changed else F.col("row").getField(c).alias(c) for c in columns])
 
 
-def hot_join(rows: DataFrame, counted: DataFrame, key: str, least: int = HOT_ROWS) -> DataFrame:
+def hot_join(rows: DataFrame, counted: DataFrame, key: str, least: int = HOT_ROWS, total: int | None = None) -> DataFrame:
     """``rows`` inner-joined to ``counted`` on ``key``; ``counted`` has ``n``, the rows of the key, and keys once each.
 
+    ``total`` is the sum of ``n``, where it is known.
+
     Keys with more than HOT_SHARE of all rows (and more than ``least``) are so few, 10,000 at
     most, that they are broadcast: no task of the shuffle gets a hot key's rows.
     """
-    total = counted.agg(F.sum("n")).first()[0] or 0
+    total = (counted.agg(F.sum("n")).first()[0] or 0) if total is None else total
     edge = max(least, int(total * HOT_SHARE))
     if total <= edge:  # no key can be hot
         return rows.join(counted, key)

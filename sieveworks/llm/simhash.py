@@ -19,7 +19,9 @@ fingerprints, however many copies there are, so no group emits all of its pairs.
 Texts whose sets of 5-word shingles have a Jaccard similarity of 0.8 differ in about 10 of 64
 bits, which no affordable number of segments bridges. For these, ``near_duplicates`` takes the keys
 above and minima of BANDS groups of ROWS random orders of the shingles, of which two such texts
-share one with a chance of 0.998, and links the candidates whose exact similarity suffices.
+share one with a chance of 0.998, and links the candidates whose exact similarity suffices. Texts that
+share a key with very many others (a template's, say) are joined on the rare ends of their sets, which
+misses no pair.
 """
 
 from __future__ import annotations
@@ -39,7 +41,7 @@ GENERATOR = 0b101011100011
 SEGMENTS = ((42, 22), (21, 21), (0, 21))
 #: Most differing bits between linked fingerprints.
 DISTANCE = 2
-#: Fingerprints that a key may have to be compared pair by pair.
+#: Fingerprints or sets that a key may have to be compared pair by pair.
 SMALL = 48
 #: Groups of minima, and minima in each.
 BANDS, ROWS = 16, 5
@@ -133,7 +135,7 @@ def near_links(fps: DataFrame) -> DataFrame:
 
     keyed = cut(fps.select("fp").select("fp", F.explode(keys_of("fp")).alias("key")))
     shared = cut(keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"))
-    cand = cut(keyed.join(shared, "key"))
+    cand = cut(hot_join(keyed, shared, "key"))
     few = cand.filter(F.col("n") <= SMALL).groupBy("key").agg(F.collect_list("fp").alias("fps"))  # at most SMALL in a list
     left = few.select("fps", F.explode("fps").alias("a"))
     pairs = left.select("a", F.explode("fps").alias("b")).filter((F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= DISTANCE))
@@ -150,18 +152,19 @@ def components(links: DataFrame) -> DataFrame:
 
     Alternates two steps until nothing changes: hang the greater neighbours of each node on its
     least neighbour, then hang each node's lesser neighbours on the least. Rounds grow with the
-    logarithm of the largest component. Every round is cut; nothing is gathered on the driver.
+    logarithm of the largest component. Every round is cut; nothing is gathered on the driver, and
+    nodes with very many links (the least of a large component) are joined apart.
     """
     edges = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
 
-    def large(e: DataFrame) -> DataFrame:
+    def large(e: DataFrame, count: int) -> DataFrame:
         both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        return both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count("*").alias("n"))
+        return hot_join(both, least, "u", total=2 * count).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
-    def small(e: DataFrame) -> DataFrame:
-        least = e.groupBy("u").agg(F.min("v").alias("m"))
-        joined = e.join(least, "u")
+    def small(e: DataFrame, count: int) -> DataFrame:
+        least = e.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        joined = hot_join(e, least, "u", total=count)
         return joined.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).distinct()
 
     def state(e: DataFrame) -> tuple:
@@ -169,7 +172,8 @@ def components(links: DataFrame) -> DataFrame:
 
     before = state(edges)
     while before[0]:
-        edges = cut(small(large(edges)))
+        hung = large(edges, before[0])  # as many at most as there were
+        edges = cut(small(hung, before[0]))
         after = state(edges)
         if after == before:
             break
@@ -243,26 +247,64 @@ def _near_copies(docs: DataFrame, words: int, similarity: float) -> tuple[DataFr
     body = body_of(F.col("text")).alias("body")
     prints = cut(docs.select("doc_id", body, look("text").alias("_l")).select("doc_id", "body", "_l.fp", "_l.keys"))
     distinct = cut(prints.groupBy("fp").agg(F.min(order_of()).alias("least"), F.count("*").alias("n"), F.min("body").alias("body"), F.first("keys").alias("keys")))
-    pairs = cut(_pairs(distinct.select("fp", F.explode("keys").alias("key"))))
-    asked = cut(pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct().join(distinct.select("fp", "body"), "fp"))
+    pairs, crowded = _pairs(distinct.select("fp", F.explode("keys").alias("key")))
+    asked = cut(pairs.select(F.explode(F.array("a", "b")).alias("fp")).union(crowded).distinct().join(distinct.select("fp", "body"), "fp"))
     # one text of each set that is a candidate
     texts = docs.select("text", body).join(asked.select("body"), "body", "left_semi").groupBy("body").agg(F.first("text").alias("text"))
     sets = cut(texts.join(asked, "body").select("fp", shingles("text").alias("s")))
+    links = cut(_verified(pairs, sets, similarity))
+    if crowded.head(1):
+        links = links.union(_verified(_prefix_pairs(sets.join(crowded, "fp", "left_semi"), components(links), similarity), sets, similarity))
+    return prints, distinct, links
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The ``pairs`` (a, b) whose sets (fp, s) are similar."""
     both = pairs.join(sets.select(F.col("fp").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("fp").alias("b"), F.col("s").alias("sb")), "b")
     both = both.select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("m"), (F.size("sa") + F.size("sb")).alias("n"))
-    return prints, distinct, both.filter(F.col("m") >= similarity * (F.col("n") - F.col("m")) - 1e-9).select("a", "b")
+    return both.filter(F.col("m") >= similarity * (F.col("n") - F.col("m")) - 1e-9).select("a", "b")
 
 
-def _pairs(keyed: DataFrame) -> DataFrame:
-    """Distinct pairs a < b of ``fp`` that share a ``key``.
+def _pairs(keyed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Distinct pairs a < b of ``fp`` that share a ``key``; and the ``fp`` of crowded keys, whose pairs aren't all among them.
 
-    All pairs of a key with up to SMALL; in a fuller one each is paired with two that a hash
-    picks, other ones for every key, so that pairs grow with the rows and not their square.
+    All pairs of a key with up to SMALL; in a crowded one each is paired with two that a hash
+    picks, other ones for every key, which joins most of a class of very many near copies; what
+    they leave apart is for `_prefix_pairs`.
     """
     order = F.xxhash64("fp", "key")
     shared = cut(keyed.groupBy("key").agg(F.count("*").alias("n"), F.min_by("fp", order).alias("one"), F.max_by("fp", order).alias("two")).filter("n > 1"))
-    cand = cut(keyed.join(shared, "key"))
+    cand = cut(hot_join(keyed, shared, "key"))
     few = cand.filter(F.col("n") <= SMALL).groupBy("key").agg(F.collect_list("fp").alias("fps"))  # at most SMALL in a list
     pairs = few.select("fps", F.explode("fps").alias("a")).select("a", F.explode("fps").alias("b"))
-    many = cand.filter(F.col("n") > SMALL).select(F.col("fp").alias("a"), F.explode(F.array("one", "two")).alias("b"))
-    return pairs.filter("a < b").union(many.filter("a <> b").select(F.least("a", "b"), F.greatest("a", "b"))).distinct()
+    many = cand.filter(F.col("n") > SMALL)
+    picked = many.select(F.col("fp").alias("a"), F.explode(F.array("one", "two")).alias("b"))
+    return cut(pairs.filter("a < b").union(picked.filter("a <> b").select(F.least("a", "b"), F.greatest("a", "b"))).distinct()), cut(many.select("fp").distinct())
+
+
+def _prefix_pairs(sets: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of ``sets`` (fp, s) with different ``roots`` (node, root) that may be similar; no similar pair is missing.
+
+    The shingles of a set are put in one order, rare ones first. Of two similar sets of n >= m
+    shingles, which share at least t / (1 + t) (n + m), the first n - ceil(t n) + 1 of the larger and
+    the first m - ceil(2 t / (1 + t) m) + 1 of the smaller have one in common. What a crowd of texts
+    shares comes late in that order. Sets of one root are linked already, so the sets of a shingle's most
+    frequent root meet those of other roots only.
+    """
+    t = similarity
+    upto = lambda share: (F.col("size") - F.ceil(F.col("size") * share - 1e-9) + 1).cast("int")
+    held = sets.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "s", F.coalesce("root", "fp").alias("root"))
+    each = cut(held.select("fp", F.explode("s").alias("shingle")))
+    known = cut(each.groupBy("shingle").agg(F.count("*").alias("n")))
+    ranked = hot_join(each, known, "shingle").groupBy("fp").agg(F.sort_array(F.collect_list(F.struct("n", "shingle"))).alias("s"))  # one text's shingles
+    first = ranked.select("fp", F.size("s").alias("size"), "s").select("fp", "size", upto(2 * t / (1 + t)).alias("upto"), F.posexplode(F.slice("s", F.lit(1), upto(t))).alias("place", "x"))
+    rows = cut(first.join(held.select("fp", "root"), "fp").select(F.col("x.shingle").alias("shingle"), "fp", "root", "size", "place", (F.col("place") < F.col("upto")).alias("early")))
+    counts = rows.groupBy("shingle", "root").agg(F.count("*").alias("n")).groupBy("shingle").agg(F.max_by("root", F.struct("n", "root")).alias("most"), F.count("*").alias("roots"))
+    some = cut(hot_join(rows, counts.filter("roots > 1").join(known, "shingle"), "shingle").select(rows["*"], "most"))
+    side = lambda x: some.select("shingle", *[F.col(c).alias(f"{c}_{x}") for c in ("fp", "root", "size", "place", "early", "most")])
+    a, b = side("a").filter("root_a <> most_a"), side("b")
+    enough = F.col("size_a") + F.col("size_b")
+    fits = F.least(F.col("size_a") - F.col("place_a"), F.col("size_b") - F.col("place_b")) >= enough * (t / (1 + t)) - 1e-9
+    alike = F.expr("(size_a >= size_b AND early_b) OR (size_b >= size_a AND early_a)") & (F.least("size_a", "size_b") >= t * F.greatest("size_a", "size_b") - 1e-9)
+    met = a.join(b, "shingle").filter((F.col("root_a") != F.col("root_b")) & alike & fits)
+    return cut(met.select(F.least("fp_a", "fp_b").alias("a"), F.greatest("fp_a", "fp_b").alias("b")).distinct())

@@ -132,3 +132,38 @@ def test_near_copies_of_odd_rows_and_a_crowd(spark):
     assert got == [(-1, None), (1, 1), (2, 2), (4, 2), (5, 5), (7, 5), (7, 5), (9, 2)]
     assert {r.component_id for r in out if (r.doc_id or 0) >= 100} == {100}
     assert simhash.near_duplicates(docs(spark, [])).count() == 0
+
+
+def test_pairs_within_a_crowd_of_one_template(spark):
+    """300 pairs that share most of their text with all others, but only with each other enough; all are found."""
+    rng = random.Random(8)
+    word = lambda: f"w{rng.randrange(10**9)}"
+    template = [word() for _ in range(180)]
+    texts = []
+    for _ in range(300):
+        both = [word() for _ in range(6)]
+        texts += [[*template, *both, *[word() for _ in range(18)]] for _ in range(2)]
+    grams = [{tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in texts]
+    like = lambda a, b: len(grams[a] & grams[b]) / len(grams[a] | grams[b])
+    want = {(a, b) for a in range(600) for b in range(a) if like(a, b) >= 0.8}
+    assert want == {(i, i - 1) for i in range(1, 600, 2)} and like(0, 2) > 0.75
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs(spark, [(i, " ".join(t)) for i, t in enumerate(texts)])).collect()}
+    assert got == {i: i - i % 2 for i in range(600)}
+
+
+def test_prefix_pairs_miss_none(spark):
+    """Families of sets of many sizes, all with one root each, or with the roots of what is linked already."""
+    rng = random.Random(4)
+    sets, base = [], [rng.sample(range(3000), rng.randint(10, 120)) for _ in range(12)]
+    for b in base:
+        for _ in range(12):
+            s = set(rng.sample(b, round(len(b) * rng.uniform(0.85, 1)))) | set(rng.sample(range(3000), rng.randint(0, len(b) // 8)))
+            sets.append(s)
+    like = {(a, b) for b in range(len(sets)) for a in range(b) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    df = spark.createDataFrame([(i, sorted(s)) for i, s in enumerate(sets)], "fp long, s array<long>")
+    alone = spark.createDataFrame([], "node long, root long")
+    found = {tuple(r) for r in simhash._prefix_pairs(df, alone, 0.8).collect()}
+    assert len(like) > 100 and like <= found
+    roots = {i: min(j for j in range(12 * (i // 12), i + 1) if j % 2 == i % 2) for i in range(len(sets))}
+    some = {tuple(r) for r in simhash._prefix_pairs(df, spark.createDataFrame(list(roots.items()), alone.schema), 0.8).collect()}
+    assert {(a, b) for a, b in like if roots[a] != roots[b]} <= some and all(roots[a] != roots[b] for a, b in some)
