@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .containment import containing
+
 KS = [1, 5, 10, 20]
 
 
@@ -50,6 +52,12 @@ def judged_by_title(hits: DataFrame, queries: DataFrame, chunks: DataFrame) -> D
     return both.withColumn("rel", F.coalesce(F.contains("text", "query").cast("int"), F.lit(0))).drop("query", "text")
 
 
+def relevant_by_title(queries: DataFrame, chunks: DataFrame) -> DataFrame:
+    """query_id, chunk_id: the chunks whose text contains a query's title, found by a join on parts of both."""
+    found = containing(queries.select(F.col("query_id").alias("string_id"), F.col("query").alias("string")), chunks.select(F.col("chunk_id").alias("text_id"), "text"))
+    return found.select(F.col("string_id").alias("query_id"), F.col("text_id").alias("chunk_id"))
+
+
 def per_query(hits: DataFrame, relevant: DataFrame, queries: DataFrame, ks: list[int] = KS) -> DataFrame:
     """`measured` for relevant pairs (query_id, chunk_id)."""
     return measured(judged(hits, relevant), sizes_of(relevant), queries, ks)

@@ -18,7 +18,7 @@ from ..storage import cut, shared_folder, spread
 from .engine import Method
 from .queries import (  # noqa: F401
     ORACLES, QUERIES,
-    _AS_STATUTE, _BM25, _DENSE, _GUARD, _GUARD_SMALL, _MEANS, _NUM, _OUT, _PRF, _QA, _RERANK, _STRICT, _STRIP, _UNION, _as_statute, _dense, _measure, _outputs, _pairs, _per, _qa,
+    _AS_STATUTE, _BM25, _DENSE, _GUARD, _GUARD_SMALL, _MEANS, _NUM, _OUT, _PRF, _QA, _RERANK, _STRICT, _STRIP, _UNION, _as_statute, _bm25, _dense, _measure, _outputs, _pairs, _per, _qa,
     asked, corpus, han, han_sql, hybrid_engine, query, table,
 )
 
@@ -211,16 +211,28 @@ def engine_status(spark, sf_dir):
 
 
 @query("""
-with d as (select doc_id, text, string_split(text, chr(10))[1] as title from documents),
-q as (select doc_id as query_id, title as query from d where doc_id % 20 = 0), h as (select query_id, doc_id as chunk_id from q join documents on source = 'src' || (query_id % 7))
-select query_id, chunk_id, contains(text, query)::int as rel from h join q using (query_id) join documents on doc_id = chunk_id
+with d as (select doc_id, text, string_split(text, chr(10))[1] as title from documents), q as (select doc_id as query_id, title from d where doc_id % 20 = 0 and title <> '')
+select query_id, doc_id as chunk_id from q join d on contains(text, q.title)
 """)
 def title_contained(spark, sf_dir):
-    """The relevance variant by containment: titles of documents against hits of one source."""
+    """The relevance variant by containment: the titles divisible by 20 against the texts of all documents."""
     docs = table(spark, sf_dir, "documents")
     q = docs.filter("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), F.substring_index("text", "\n", 1).alias("query"))
-    h = q.select("query_id", F.concat(F.lit("src"), (F.col("query_id") % 7).cast("string")).alias("source")).join(docs.select("source", F.col("doc_id").alias("chunk_id")), "source").drop("source")
-    return evaluation.judged_by_title(h, q, docs.select(F.col("doc_id").alias("chunk_id"), "text")).select("query_id", "chunk_id", "rel")
+    return evaluation.relevant_by_title(q, spread(docs.select(F.col("doc_id").alias("chunk_id"), "text")))
+
+
+@query(f"""
+with {_BM25}, tq as (select item_id as query_id, array_to_string(string_split(text, ' ')[1:3], ' ') as title from benchmark),
+rel as materialized (select query_id, doc_id as chunk_id from tq join documents on contains(text, title) where title <> ''), n as (select query_id, count(*) as n from rel group by query_id),
+h as (select query_id, rank from bm join rel using (query_id, chunk_id) where rank <= 20), f as (select query_id, count(*) filter (rank <= 10) as f10, count(*) as f20, 1.0::double / min(rank) as rr from h group by query_id)
+select query_id, (coalesce(f10, 0) > 0)::int::double as hit_10, round(coalesce(f20::double / n, 0), 6) as recall_20, round(coalesce(rr, 0), 6) as rr from tq left join n using (query_id) left join f using (query_id)
+""")
+def title_recall(spark, sf_dir):
+    """BM25 hits measured by containment: of the documents that hold a query's first three words in a row, how many are found."""
+    queries = asked(spark, sf_dir)
+    relevant = evaluation.relevant_by_title(queries.withColumn("query", F.array_join(F.slice(F.split("query", " "), 1, 3), " ")), corpus(spark, sf_dir))
+    rows = evaluation.per_query(_bm25(spark, sf_dir, 20), cut(relevant), queries, [10, 20])
+    return rows.select("query_id", "hit_10", F.round("recall_20", 6).alias("recall_20"), F.round("rr", 6).alias("rr"))
 
 
 @query("select user_id, event_id, event_type from events qualify row_number() over (partition by user_id, event_type order by event_id) = 1")
