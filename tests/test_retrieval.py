@@ -50,6 +50,27 @@ def test_bm25_against_a_loop(spark, tmp_path):
     assert [tuple(r) for r in got.orderBy("query_id", "rank").collect()] == want
 
 
+def test_bm25_shards_and_pruning(spark):
+    """Many shards and queries against sums over all postings; common terms are mostly left unread."""
+    rng = random.Random(7)
+    words = [f"w{i}" for i in range(400)]
+    docs = [(i, " ".join(rng.choices(words, weights=[1 / (k + 1) for k in range(400)], k=rng.randint(5, 60)))) for i in range(3000)] + [(5000, None), (5001, "")]
+    queries = [(i, " ".join(rng.choices(words, k=5)) + " w0 w1 w2 w0") for i in range(12)] + [(90, ""), (91, "nowhere"), (92, None)]
+    df, q = spark.createDataFrame(docs, "chunk_id long, text string"), spark.createDataFrame(queries, "query_id long, query string")
+    index = sparse.build(df)
+    stats, idf = index.stats.first(), {r.term: r.idf for r in index.idf.collect()}
+    counts = [(i, Counter(t.split()), len(t.split())) for i, t in docs if t]
+    want = []
+    for i, text in queries:
+        s = {d: round(sum(f * idf.get(w, 0) * c[w] * 2.5 / (c[w] + 1.5 * (0.25 + 0.75 * dl / stats["avgdl"])) for w, f in Counter((text or "").split()).items()), 6) for d, c, dl in counts}
+        want += [(i, d, r + 1, x) for r, (d, x) in enumerate(sorted(((d, x) for d, x in s.items() if x > 0), key=lambda p: (-p[1], p[0]))[:6])]
+    for shard in (100, 1500, sparse.SHARD):
+        got = [tuple(r) for r in sparse.search(index, q, 6, shard=shard).orderBy("query_id", "rank").collect()]
+        assert got == want
+    costs = {r.query_id: (r.postings, r.read) for r in sparse.reading_share(index, q, 6).collect()}
+    assert all(read <= postings for postings, read in costs.values()) and sum(r for _, r in costs.values()) < 0.6 * sum(p for p, _ in costs.values())
+
+
 def test_dense_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(dense, "ROWS", 3)
     rng = np.random.default_rng(2)
