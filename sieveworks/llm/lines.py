@@ -51,21 +51,38 @@ def _rolled(h: np.ndarray) -> np.ndarray:
     return rolled ^ (rolled >> np.uint64(31))
 
 
-def chunks_of(text: str | None, every: int = EVERY, chunkings: int = CHUNKINGS) -> list[tuple[int, int, int]]:
+def chunks_of(text: str | None, every: int = EVERY, chunkings: int = CHUNKINGS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The chunks of a text: first line, lines (both among those not blank) and hash, each once."""
-    full = _lines(text)
-    lines = [full[0][i] for i in full[1]]
-    if len(lines) < LINES:
-        return []
-    h = np.fromiter((xxhash.xxh3_64_intdigest(x.encode("utf-8", "surrogatepass")) for x in lines), dtype=np.uint64, count=len(lines))
-    rolled, found = _rolled(h), set()
-    chosen = lambda mix: np.flatnonzero((rolled * mix >> np.uint64(33)) % np.uint64(every) == 0)
-    for start_mix, end_mix in MIX[:, :chunkings].T:
-        starts = np.union1d(chosen(start_mix), [0])
-        ends = np.union1d(chosen(end_mix), [len(rolled) - 1]) + LINES - 1
-        found.update(zip(starts.tolist(), ends[np.searchsorted(ends, starts + LINES - 1)].tolist(), strict=True))
-        found.update(zip(starts[np.searchsorted(starts, ends - LINES + 1, side="right") - 1].tolist(), ends.tolist(), strict=True))
-    return [(i, j - i + 1, xxhash.xxh3_64_intdigest(h[i : j + 1].tobytes())) for i, j in sorted(found)]
+    rows, full = _lines(text)
+    if len(full) < LINES:
+        return (np.zeros(0, dtype=np.int64),) * 3
+    h = np.fromiter((xxhash.xxh3_64_intdigest(rows[i].encode("utf-8", "surrogatepass")) for i in full), dtype=np.uint64, count=len(full))
+    rolled = _rolled(h)
+    n, place = len(rolled), np.arange(len(rolled))
+    chosen = (rolled * MIX[:, :chunkings, None] >> np.uint64(33)) % np.uint64(every) == 0  # starts and ends, chunkings, lines
+    chosen[0, :, 0] = chosen[1, :, -1] = True
+    last_start = np.maximum.accumulate(np.where(chosen[0], place, 0), axis=1)
+    next_end = np.minimum.accumulate(np.where(chosen[1], place, n)[:, ::-1], axis=1)[:, ::-1]
+    first, last = np.divmod(np.unique(np.concatenate([(place * n + next_end)[chosen[0]], (last_start * n + place)[chosen[1]]])), n)
+    last += LINES - 1
+    powers = _powers(len(h))
+    sums = np.concatenate([[np.uint64(0)], np.cumsum(h * powers[0, : len(h)])])
+    hashes = (sums[last + 1] - sums[first]) * powers[1, first]
+    return first, last - first + 1, (hashes ^ (hashes >> np.uint64(32))).view(np.int64)
+
+
+_POWERS = np.ones((2, 1), dtype=np.uint64)
+
+
+def _powers(n: int) -> np.ndarray:
+    """The powers 0..n of an odd number modulo 2^64, and of its inverse."""
+    global _POWERS
+    if _POWERS.shape[1] < n:
+        base = [int(_PRIME), pow(int(_PRIME), -1, 1 << 64)]
+        grown = np.array(base, dtype=np.uint64)[:, None].repeat(2 * n, axis=1)
+        grown[:, 0] = 1
+        _POWERS = np.cumprod(grown, axis=1, dtype=np.uint64)
+    return _POWERS
 
 
 def fewest(chunks: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -123,10 +140,9 @@ def dedup_lines(docs: DataFrame, every: int = EVERY, chunkings: int = CHUNKINGS,
     small_batches(docs.sparkSession)
     chunk = "struct<k:bigint,n:bigint>"
 
-    @F.pandas_udf("array<struct<k:bigint,n:bigint,h:bigint>>")
-    def chunk_hashes(texts: pd.Series) -> pd.Series:
-        signed = lambda h: h - (1 << 64) if h >> 63 else h
-        return pd.Series([[{"k": k, "n": n, "h": signed(h)} for k, n, h in chunks_of(t, every, chunkings)] for t in texts], dtype=object)
+    @F.pandas_udf("k array<bigint>, n array<bigint>, h array<bigint>")
+    def chunk_hashes(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([chunks_of(t, every, chunkings) for t in texts], columns=["k", "n", "h"])
 
     @F.pandas_udf(f"array<{chunk}>")
     def covering(groups: pd.Series) -> pd.Series:
@@ -142,7 +158,7 @@ def dedup_lines(docs: DataFrame, every: int = EVERY, chunkings: int = CHUNKINGS,
 
     rows = named_rows(docs)
     known = rows.select("doc_id", "body", "text").filter("text is not null")
-    found = cut(known.select("doc_id", "body", F.explode(chunk_hashes("text")).alias("c")).select(order_of().alias("of"), F.col("c.k").alias("k"), F.col("c.n").alias("lines"), F.col("c.h").alias("h")))
+    found = cut(known.select("doc_id", "body", chunk_hashes("text").alias("c")).select("doc_id", "body", F.explode(F.arrays_zip("c.k", "c.n", "c.h")).alias("c")).select(order_of().alias("of"), F.col("c.k").alias("k"), F.col("c.n").alias("lines"), F.col("c.h").alias("h")))
     place = F.struct("of", "k").alias("first")
     shared = cut(found.groupBy("h").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1"))
     later = hot_join(found, shared, "h").filter((F.col("of") > F.col("first.of")) | (F.col("of") == F.col("first.of")) & (F.col("k") >= F.col("first.k") + F.col("lines")))

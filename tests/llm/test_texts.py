@@ -171,9 +171,9 @@ def test_chunks_depend_on_their_own_lines_alone():
         for _ in range(2):
             before = fresh(rng.randint(1, 9))
             whole = lines.chunks_of("\n".join([*before, *passage, *fresh(rng.randint(1, 9))]))
-            cuts.append({(k - len(before), n, h) for k, n, h in whole if k >= len(before) and k + n <= len(before) + len(passage)})
+            cuts.append({(k - len(before), n, h) for k, n, h in zip(*map(np.ndarray.tolist, whole), strict=True) if k >= len(before) and k + n <= len(before) + len(passage)})
         assert cuts[0] == cuts[1]
-    lengths = Counter(n for _, n, _ in lines.chunks_of("\n".join(fresh(4000))))
+    lengths = Counter(lines.chunks_of("\n".join(fresh(4000)))[1].tolist())
     assert {2, 3, 4, 5, 6} <= lengths.keys() and all(lengths[n] > lengths[n + 1] for n in range(2, 6))
 
 
