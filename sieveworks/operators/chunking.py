@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from .running import number_rows
 
 _LEVELS = ["part", "chapter", "section"]
 PREAMBLE = "序言"
@@ -116,35 +116,13 @@ def qa_chunks(docs: DataFrame, limit: int = X.CHUNK_CHARS) -> DataFrame:
     )
 
 
-#: Documents of a block whose rows are counted together.
-BLOCK = 4096
-
-
-def number_rows(rows: DataFrame, doc: str, place: str, group: str | None = None) -> DataFrame:
-    """``rows`` with ``n``, counting from 0 by group (if any), by document (a number) and by place in it.
-
-    Rows are counted per document and per BLOCK documents; running sums over these narrow tables
-    give each document's first number, so no window holds the rows themselves but those of one document.
-    """
-    keys = [group, doc] if group else [doc]
-    block = F.floor(F.col(doc) / BLOCK)
-    before = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    sizes = rows.groupBy(*keys).agg(F.count("*").alias("n")).withColumn("block", block)
-    of = [group, "block"] if group else ["block"]
-    blocks = sizes.groupBy(*of).agg(F.sum("n").alias("n"))
-    blocks = blocks.select(*of, before(W.orderBy(*of)).alias("b0"))  # a row per BLOCK documents
-    firsts = sizes.join(blocks, of).select(*keys, (F.col("b0") + before(W.partitionBy(*of).orderBy(doc))).alias("first"))
-    rank = F.row_number().over(W.partitionBy(*keys).orderBy(place)) - 1
-    return rows.withColumn("_r", rank).join(firsts, keys).withColumn("n", (F.col("first") + F.col("_r")).cast("long")).drop("first", "_r")
-
-
 def number_chunks(sources: list[DataFrame]) -> DataFrame:
     """All sources (doc_ord, chunk_no, text, source, title, section) in order, with ``chunk_id`` counting from 0 by source, document and place."""
     every = None
     for i, s in enumerate(sources):
         s = s.withColumn("source_ord", F.lit(i))
         every = s if every is None else every.unionByName(s, allowMissingColumns=True)
-    return number_rows(every, "doc_ord", "chunk_no", "source_ord").select("text", "source", "title", "section", F.col("n").alias("chunk_id"))
+    return number_rows(every, "source_ord", "doc_ord", "chunk_no").select("text", "source", "title", "section", F.col("n").alias("chunk_id"))
 
 
 def length_stats(chunks: DataFrame, *by: str) -> DataFrame:

@@ -58,7 +58,7 @@ def terms(docs: DataFrame, key: str, text: str = "text", tokenizer=tokens) -> Da
 
 
 def _counts(lists: pd.Series) -> pd.DataFrame:
-    counts = [Counter(x.tolist()) if x is not None else {} for x in lists]
+    counts = [Counter(x) if x is not None else {} for x in lists]
     return pd.DataFrame({"terms": [list(c) for c in counts], "tfs": [list(c.values()) for c in counts]})
 
 

@@ -11,14 +11,15 @@ from pyspark.sql import functions as F
 
 from ..functions import parsing as P
 from ..functions import prompts as PR
+from ..functions import segment
 from ..functions import text as X
-from ..operators import classification, curation, dense, evaluation, fusion, judging, providers, rewriting, sparse
+from ..operators import classification, curation, dense, evaluation, fusion, judging, providers, rewriting, running, sparse
 from ..sources import readers, writers
 from ..storage import cut, shared_folder, spread
 from .engine import Method
 from .queries import (  # noqa: F401
     ORACLES, QUERIES,
-    _AS_STATUTE, _BM25, _DENSE, _GUARD, _GUARD_SMALL, _MEANS, _NUM, _OUT, _PRF, _QA, _RERANK, _STRICT, _STRIP, _UNION, _as_statute, _bm25, _dense, _measure, _outputs, _pairs, _per, _qa,
+    _AS_STATUTE, _BM25, _DENSE, _GUARD, _GUARD_SMALL, _MEANS, _NUM, _OUT, _PRED, _PRF, _QA, _RERANK, _STRICT, _STRIP, _UNION, _as_statute, _bm25, _dense, _measure, _outputs, _pairs, _per, _qa,
     asked, corpus, han, han_sql, hybrid_engine, query, table,
 )
 
@@ -120,6 +121,49 @@ def read_reference(spark, sf_dir):
     return judging.with_reference(turns, known).select("conv_id", "turn", "reference")
 
 
+@query(f"""
+with {_PRED}, w as (select id, label = pred as correct from pairs)
+select id, correct, count(*) over o as done, (sum(correct::int) over o)::bigint as "right", round((sum(correct::int) over o)::double / count(*) over o, 9) as accuracy from w window o as (order by id)
+""")
+def running_accuracy(spark, sf_dir):
+    """Accuracy so far, after each judged row in order of id."""
+    judged = _pairs(spark, sf_dir).select("id", (F.col("label") == F.col("pred")).alias("correct"))
+    return running.running_accuracy(judged, ["id"]).withColumn("accuracy", F.round("accuracy", 9))
+
+
+_LEXICON = rf"""
+runs as materialized (select item_id, unnest(regexp_extract_all({han_sql('text')}, '[\x{{4e00}}-\x{{9fff}}]+')) as run from benchmark),
+subs as (select substring(run, i + 1, l) as word from runs, unnest(range(length(run))) as a(i), unnest(range(1, 5)) as b(l) where i + l <= length(run)),
+lex as materialized (select word, count(*) as freq from subs group by word having count(*) >= 3),
+tot as (select ln(sum(freq)::double) as t from lex), costs as materialized (select word, round(1000000 * (t - ln(freq::double)))::bigint as cost from lex, tot)
+"""
+_SEGMENTED = rf"""
+dr as materialized (select doc_id, unnest(l) as run, unnest(range(len(l))) as k from (select doc_id, regexp_extract_all({han_sql('text')}, '[\x{{4e00}}-\x{{9fff}}]+') as l from documents)),
+r as materialized (select distinct run from dr),
+e as (select run, i, l, case when cost is null and l = 1 then round(1000000 * t)::bigint else cost end as cost from (select run, i, l, substring(run, i + 1, l) as word from r, unnest(range(length(run))) as a(i), unnest(range(1, 5)) as b(l) where i + l <= length(run)) left join costs using (word), tot),
+g as (select run, i, list(cost order by l) as cs from e group by run, i),
+m as (select run, list(cs order by i) as cs, list(cs order by i desc) as back from g group by run),
+b as (select run, cs, list_reduce(back, lambda acc, c: list_prepend(list_min([c[l] + acc[l] for l in range(1, len(c) + 1)]), acc), [0::bigint]) as best from m),
+s as (select run, [list_max([l for l in range(1, len(cs[i]) + 1) if cs[i][l] + best[i + l] = best[i]]) for i in range(1, len(cs) + 1)] as step from b),
+p as (select run, list_reduce(range(len(step)), lambda acc, i: case when acc[-1] = i then list_append(acc, i + step[i + 1]) else acc end, [0::bigint]) as ends from s),
+w as materialized (select run, [x for x in [substring(run, (ends[j] + 1)::int, (ends[j + 1] - ends[j])::int) for j in range(1, len(ends))] if length(x) > 1] as words from p)
+"""
+
+
+@query(f"with {_LEXICON}, {_SEGMENTED}, o as (select doc_id, flatten(list(words order by k)) as words from dr join w using (run) group by doc_id) select doc_id, len(coalesce(words, []))::int as n, md5(array_to_string(coalesce(words, []), '/')) as digest from documents left join o using (doc_id)")
+def han_segments(spark, sf_dir):
+    """Whole texts cut into words of a lexicon (parts of the benchmark's words that stand three times) along the best path."""
+    tokenizer = segment.dictionary_tokenizer(_lexicon(spark, sf_dir))
+    words = table(spark, sf_dir, "documents").select("doc_id", tokenizer(han(F.col("text"))).alias("w")).select("doc_id", F.filter("w", lambda w: w.rlike(r"^[\x{4e00}-\x{9fff}]")).alias("w"))
+    return words.select("doc_id", F.size("w").alias("n"), F.md5(F.array_join("w", "/")).alias("digest"))
+
+
+def _lexicon(spark, sf_dir) -> DataFrame:
+    run = table(spark, sf_dir, "benchmark").select(F.explode(F.regexp_extract_all(han(F.col("text")), F.lit(r"[\x{4e00}-\x{9fff}]+"), F.lit(0))).alias("run"))
+    ends = run.select("run", F.explode(F.sequence(F.lit(1), F.length("run"))).alias("i")).select("run", "i", F.explode(F.sequence(F.lit(1), F.lit(4))).alias("l")).filter("i + l - 1 <= length(run)")
+    return ends.groupBy(F.substring("run", F.col("i"), F.col("l")).alias("word")).agg(F.count("*").alias("freq")).filter("freq >= 3")
+
+
 _TWO_METHODS = f"""
 with {_DENSE}, {_per('de', 'p1')}, {_per('d2', 'p2')}, m as (select 'Full' as method, {_MEANS}, round(avg(rr), 6) as mrr, count(*) as n_queries from p1 union all select 'Half', {_MEANS}, round(avg(rr), 6), count(*) from p2)
 """

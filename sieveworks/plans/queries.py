@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..functions import parsing as P
 from ..functions import prompts as PR
 from ..functions import text as X
-from ..operators import chunking, classification, curation, dense, evaluation, fusion, judging, providers, sparse
+from ..operators import chunking, classification, curation, dense, evaluation, fusion, judging, providers, running, sparse
 from ..storage import cut, spread
 from .engine import Engine
 
@@ -724,7 +724,7 @@ b as (select pos // 5 as batch, pos % 5 as i, '[' || (pos % 5) || '] 问题: ' |
 select batch, count(*)::int as n, string_agg(x, chr(10) || chr(10) || '---' || chr(10) || chr(10) order by i) as body from b group by batch
 """)
 def batch_prompts(spark, sf_dir):
-    rows = chunking.number_rows(_qa(spark, sf_dir), "conv_id", "turn")
+    rows = running.number_rows(_qa(spark, sf_dir), "conv_id", "turn")
     return PR.batch_prompts(rows.withColumnRenamed("n", "pos"), "pos")
 
 
