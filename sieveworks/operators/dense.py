@@ -1,4 +1,10 @@
-"""Exact dense search by inner product of unit vectors."""
+"""Exact dense search by inner product: a scan in blocks, or an index that skips what can't be near.
+
+The index puts every vector into the group of its nearest pivot (a sample of the vectors) and into a ring of
+that group by its distance to the pivot; such a cell keeps its size and its radius. As q v = q p + q (v - p) <= q p + |q|
+radius, no vector of a cell is better than that. A search scans the cells nearest to a query until
+they hold k vectors, takes the k-th best score, and then scans only the cells whose bound reaches it. Results are those of the scan.
+"""
 
 from __future__ import annotations
 
@@ -12,10 +18,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import letter_counts, once
+from ..storage import cut
 from .sparse import top_k
 
 #: Vectors of a block of either side, and queries multiplied at a time within it.
 BLOCK, ROWS = 32_768, 256
+#: Pivots of an index at most, and rings about each.
+PIVOTS, RINGS = 1024, 8
 
 
 def norm(v: Column) -> Column:
@@ -88,19 +97,125 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, block: int = BLO
     dealt = lambda m, *c: F.pmod(F.xxhash64(*c), F.lit(m)).cast("int")
     q = q.select("query_id", "embedding", dealt(n_q, "query_id").alias("q_block"), every(n_v).alias("v_block"))
     v = v.select("chunk_id", "embedding", dealt(n_v, "chunk_id", "embedding").alias("v_block"), every(n_q).alias("q_block"))
-    schema = T.StructType([T.StructField("query_id", q.schema["query_id"].dataType), T.StructField("chunk_id", v.schema["chunk_id"].dataType), T.StructField("score", T.DoubleType())])
-
-    def best(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
-        found = []
-        if len(asked) and len(held):
-            held = held.sort_values("chunk_id", kind="stable")  # so that a stable sort by score breaks ties by id
-            matrix, ids = np.stack(held["embedding"].to_numpy()).astype(np.float64).T, held["chunk_id"].to_numpy()
-            for at in range(0, len(asked), ROWS):
-                some = asked.iloc[at : at + ROWS]
-                s = np.round(np.stack(some["embedding"].to_numpy()).astype(np.float64) @ matrix, 6)
-                order = np.argsort(-s, axis=1, kind="stable")[:, :k]
-                found.append(pd.DataFrame({"query_id": np.repeat(some["query_id"].to_numpy(), order.shape[1]), "chunk_id": ids[order].ravel(), "score": np.take_along_axis(s, order, 1).ravel()}))
-        return pd.concat(found) if found else pd.DataFrame({f.name: [] for f in schema})
-
+    schema = _schema(q, v)
     by = ["q_block", "v_block"]
-    return top_k(q.groupBy(*by).cogroup(v.groupBy(*by)).applyInPandas(best, schema), k)
+    return top_k(q.groupBy(*by).cogroup(v.groupBy(*by)).applyInPandas(lambda a, b: _best_of(a, b, k), schema), k)
+
+
+def _schema(queries: DataFrame, vectors: DataFrame) -> T.StructType:
+    return T.StructType([T.StructField("query_id", queries.schema["query_id"].dataType), T.StructField("chunk_id", vectors.schema["chunk_id"].dataType), T.StructField("score", T.DoubleType())])
+
+
+def _best_of(asked: pd.DataFrame, held: pd.DataFrame, k: int) -> pd.DataFrame:
+    """The best ``k`` of a block's vectors for each query of a block, by a product of matrices."""
+    found = []
+    if len(asked) and len(held):
+        held = held.sort_values("chunk_id", kind="stable")  # so that a stable sort by score breaks ties by id
+        matrix, ids = np.stack(held["embedding"].to_numpy()).astype(np.float64).T, held["chunk_id"].to_numpy()
+        for at in range(0, len(asked), ROWS):
+            some = asked.iloc[at : at + ROWS]
+            s = np.round(np.stack(some["embedding"].to_numpy()).astype(np.float64) @ matrix, 6)
+            order = np.argsort(-s, axis=1, kind="stable")[:, :k]
+            found.append(pd.DataFrame({"query_id": np.repeat(some["query_id"].to_numpy(), order.shape[1]), "chunk_id": ids[order].ravel(), "score": np.take_along_axis(s, order, 1).ravel()}))
+    return pd.concat(found) if found else pd.DataFrame({"query_id": [], "chunk_id": [], "score": []})
+
+
+@dataclass(frozen=True)
+class CellIndex:
+    """vectors (chunk_id, embedding, cell), cells (cell, pivot, radius, n): a row a cell, PIVOTS x (RINGS + 1) at most; pivots (pivot, embedding)."""
+
+    vectors: DataFrame
+    cells: DataFrame
+    pivots: DataFrame
+
+    @staticmethod
+    def build(vectors: DataFrame, pivots: int | None = None) -> CellIndex:
+        """``vectors``: chunk_id, embedding; null embeddings are left out. Pivots are about the root of the vectors, PIVOTS at most, chosen by a hash."""
+        spark = vectors.sparkSession
+        held = vectors.select("chunk_id", "embedding").filter("embedding is not null")
+        n = pivots or min(PIVOTS, max(1, int(held.count() ** 0.5)))
+        some = held.select("embedding").distinct().orderBy(F.xxhash64("embedding"), "embedding").limit(n).collect()  # PIVOTS rows at most
+        chosen = np.array([r["embedding"] for r in some], dtype=np.float64)
+
+        @F.pandas_udf("pivot int, distance double")
+        def nearest(series: pd.Series) -> pd.DataFrame:
+            v = np.stack(series.to_numpy()).astype(np.float64)
+            apart = np.linalg.norm(v, axis=1)[:, None] ** 2 + (chosen**2).sum(1)[None] - 2 * v @ chosen.T
+            at = apart.argmin(axis=1)
+            return pd.DataFrame({"pivot": at.astype(np.int32), "distance": np.linalg.norm(v - chosen[at], axis=1)})
+
+        placed = cut(held.withColumn("p", nearest("embedding")).select("chunk_id", "embedding", "p.*"))
+        widest = placed.agg(F.max("distance").alias("d")).first()["d"] or 1.0
+        cell = (F.col("pivot") * (RINGS + 1) + F.floor(F.col("distance") / widest * RINGS)).cast("int").alias("cell")
+        placed = placed.select("chunk_id", "embedding", cell, "pivot", "distance")
+        cells = placed.groupBy("cell").agg(F.first("pivot").alias("pivot"), F.max("distance").alias("radius"), F.count("*").alias("n"))
+        return CellIndex(placed.drop("pivot", "distance"), cut(cells), spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(chosen)], "pivot int, embedding array<double>"))
+
+    def save(self, path: str) -> CellIndex:
+        """Vectors lie sorted by cell, so that a search reads few row groups."""
+        self.vectors.repartitionByRange("cell").sortWithinPartitions("cell").write.mode("overwrite").parquet(f"{path}/vectors")
+        self.cells.write.mode("overwrite").parquet(f"{path}/cells")
+        self.pivots.write.mode("overwrite").parquet(f"{path}/pivots")
+        return CellIndex.load(self.vectors.sparkSession, path)
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> CellIndex:
+        return CellIndex(*[spark.read.parquet(f"{path}/{n}") for n in ("vectors", "cells", "pivots")])
+
+    def search(self, queries: DataFrame, k: int = 10, block: int = BLOCK) -> DataFrame:
+        """query_id, chunk_id, rank, score: what `search` gives for the same vectors."""
+        found, _ = self._found(queries, k, block)
+        return top_k(found, k)
+
+    def touched(self, queries: DataFrame, k: int = 10) -> DataFrame:
+        """query_id, vectors, scanned: how many vectors there are, and how many a search scans."""
+        _, cells = self._found(queries, k, BLOCK)
+        total = self.cells.agg(F.sum("n").alias("vectors"))
+        return cells.join(self.cells.select("cell", "n"), "cell").groupBy("query_id").agg(F.sum("n").alias("scanned")).crossJoin(F.broadcast(total)).select("query_id", "vectors", "scanned")
+
+    def _found(self, queries: DataFrame, k: int, block: int) -> tuple[DataFrame, DataFrame]:
+        """Scores of the vectors in all cells that matter, and these cells (query_id, cell)."""
+        cells = self.cells.orderBy("cell").collect()  # PIVOTS x (RINGS + 1) rows at most
+        numbers, sizes = np.array([c["cell"] for c in cells], dtype=np.int32), np.array([c["n"] for c in cells], dtype=np.int64)
+        radius, at = np.array([c["radius"] for c in cells]), np.array([c["pivot"] for c in cells], dtype=np.int64)
+        centres = np.array([r["embedding"] for r in self.pivots.orderBy("pivot").collect()], dtype=np.float64)
+        parts = {int(c): -(-int(n) // block) for c, n in zip(numbers, sizes, strict=True)}
+
+        def bounds(series: pd.Series) -> np.ndarray:
+            q = np.stack(series.to_numpy()).astype(np.float64)
+            return (q @ centres.T)[:, at] + np.linalg.norm(q, axis=1)[:, None] * radius[None]
+
+        @F.pandas_udf("array<int>")
+        def nearest(series: pd.Series) -> pd.Series:
+            out = []
+            for row in bounds(series) if len(cells) else [()] * len(series):
+                order = np.argsort(-np.asarray(row), kind="stable")
+                enough = int(np.searchsorted(np.cumsum(sizes[order]), k)) + 1 if len(cells) else 0
+                out.append(numbers[order[:enough]].tolist() if len(cells) else [])
+            return pd.Series(out, dtype=object)
+
+        @F.pandas_udf("array<int>")
+        def others(series: pd.Series, done: pd.Series, theta: pd.Series) -> pd.Series:
+            rows = bounds(series) if len(cells) else [()] * len(series)
+            return pd.Series([[int(c) for c in numbers[np.asarray(row) + 1e-6 >= t] if c not in set(d)] if len(cells) else [] for row, d, t in zip(rows, done, theta, strict=True)], dtype=object)
+
+        q = cut(queries.select("query_id", "embedding").filter("embedding is not null").withColumn("first", nearest("embedding")))
+        n_q = max(1, -(-q.count() // block))
+        in_parts = F.create_map(*[F.lit(x) for pair in parts.items() for x in pair]) if parts else F.create_map(F.lit(0), F.lit(1))
+        dealt = lambda m, *c: F.pmod(F.xxhash64(*c), m).cast("int")
+        every = lambda m: F.explode(F.sequence(F.lit(0), m - 1))
+        v = self.vectors.withColumn("part", dealt(in_parts[F.col("cell")], "chunk_id")).withColumn("q_block", every(F.lit(n_q)))
+        by = ["cell", "part", "q_block"]
+
+        def scored(pairs: DataFrame) -> DataFrame:
+            asked = pairs.withColumn("part", every(in_parts[F.col("cell")])).withColumn("q_block", dealt(F.lit(n_q), "query_id"))
+            some = v.join(asked.select(*by).distinct(), by, "left_semi")
+            return asked.groupBy(*by).cogroup(some.groupBy(*by)).applyInPandas(lambda a, b: _best_of(a, b, k), _schema(queries, self.vectors))
+
+        first = q.select("query_id", "embedding", F.explode("first").alias("cell"))
+        near = cut(scored(first))
+        theta = top_k(near, k).filter(F.col("rank") == k).select("query_id", F.col("score").alias("theta"))
+        least = F.coalesce("theta", F.lit(float("-inf")))
+        more = q.join(theta, "query_id", "left").select("query_id", "embedding", F.explode(others("embedding", "first", least)).alias("cell"))
+        more = cut(more)
+        return near.union(scored(more)), first.select("query_id", "cell").union(more.select("query_id", "cell"))

@@ -19,7 +19,7 @@ from ..storage import cut, shared_folder, spread
 from .engine import Method
 from .queries import (  # noqa: F401
     ORACLES, QUERIES,
-    _AS_STATUTE, _BM25, _DENSE, _GUARD, _GUARD_SMALL, _MEANS, _NUM, _OUT, _PRED, _PRF, _QA, _RERANK, _STRICT, _STRIP, _UNION, _as_statute, _bm25, _dense, _measure, _outputs, _pairs, _per, _qa,
+    _AS_STATUTE, _BM25, _DENSE, _GUARD, _GUARD_SMALL, _MEANS, _NUM, _OUT, _PRED, _PRF, _QA, _RERANK, _STRICT, _STRIP, _UNION, _as_statute, _asked_vectors, _bm25, _dense, _measure, _outputs, _pairs, _per, _qa, _vectors,
     asked, corpus, han, han_sql, hybrid_engine, query, table,
 )
 
@@ -199,9 +199,16 @@ def class_report_text(spark, sf_dir):
 
 @query(f"with {_BM25} select query_id, chunk_id, rank, score from de where rank <= 10")
 def dense_index_search(spark, sf_dir):
-    """A dense index built, saved, loaded and searched."""
+    """A dense index built, saved, grouped into cells about pivots, saved and loaded again, and searched: cells that can't be near are skipped."""
     index = dense.DenseIndex.build(corpus(spark, sf_dir), dense.letter_encoder, "letters").save(shared_folder(spark))
-    return dense.search(index.vectors, asked(spark, sf_dir).select("query_id", dense.letter_encoder(F.col("query")).alias("embedding")), 10)
+    cells = dense.CellIndex.build(index.vectors).save(shared_folder(spark))
+    return cells.search(asked(spark, sf_dir).select("query_id", dense.letter_encoder(F.col("query")).alias("embedding")), 10)
+
+
+@query(f"with {_DENSE} select query_id, chunk_id, rank, score from de where rank <= 5")
+def dense_cells(spark, sf_dir):
+    """The pruned index over the vectors of real width."""
+    return dense.CellIndex.build(_vectors(spark, sf_dir)).search(_asked_vectors(spark, sf_dir), 5)
 
 
 @query(f"with {_BM25} select query_id, chunk_id, rank, score from bm where rank <= 10")

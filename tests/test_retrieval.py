@@ -50,6 +50,33 @@ def test_bm25_against_a_loop(spark, tmp_path):
     assert [tuple(r) for r in got.orderBy("query_id", "rank").collect()] == want
 
 
+@pytest.mark.parametrize("kind", ["clusters", "sphere", "one vector", "lengths", "few"])
+def test_cells_give_what_the_scan_gives(spark, kind, tmp_path):
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(6, 12))
+    v = {
+        "clusters": centres[rng.integers(0, 6, 900)] + 0.05 * rng.normal(size=(900, 12)), "sphere": (x := rng.normal(size=(500, 12))) / np.linalg.norm(x, axis=1, keepdims=True),
+        "one vector": np.repeat(centres[:1], 400, 0), "lengths": rng.normal(size=(400, 12)) * rng.lognormal(0, 2, (400, 1)), "few": rng.normal(size=(3, 12)),
+    }[kind]
+    q = np.concatenate([v[:5] + 0.01 * rng.normal(size=v[:5].shape), rng.normal(size=(4, 12)), np.zeros((1, 12))])
+    vectors = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)] + [(9999, None)], "chunk_id long, embedding array<double>").repartition(3)
+    queries = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(q)] + [(77, None)], "query_id long, embedding array<double>")
+    index = dense.CellIndex.build(vectors).save(str(tmp_path))
+    for block in (100, dense.BLOCK):
+        got = sorted(map(tuple, index.search(queries, 7, block).collect()))
+        assert got == sorted(map(tuple, dense.search(vectors, queries, 7).collect())) and len(got) == len(q) * min(7, len(v))
+    share = index.touched(queries.filter("query_id < 5"), 7).agg(F.sum("scanned") / F.sum("vectors")).first()[0]
+    assert share < 0.4 if kind == "clusters" else share <= 1
+
+
+def test_cells_of_nothing(spark):
+    nothing = spark.createDataFrame([], "chunk_id long, embedding array<float>")
+    q = spark.createDataFrame([(1, [1.0, 0.0])], "query_id long, embedding array<float>")
+    assert dense.CellIndex.build(nothing).search(q).count() == 0
+    some = spark.createDataFrame([(1, [1.0, 0.0])], "chunk_id long, embedding array<float>")
+    assert dense.CellIndex.build(some).search(q.limit(0)).count() == 0
+
+
 def test_bm25_shards_and_pruning(spark):
     """Many shards and queries against sums over all postings; common terms are mostly left unread."""
     rng = random.Random(7)
