@@ -1,8 +1,9 @@
 """Exact dense search by inner product: a scan in blocks, or an index that skips what can't be near.
 
 The index puts every vector into the group of its nearest pivot (a sample of the vectors) and into a ring of
-that group by its distance to the pivot; such a cell keeps its size and its radius. As q v = q p + q (v - p) <= q p + |q|
-radius, no vector of a cell is better than that. A search scans the cells nearest to a query until
+that group by its distance to the pivot; such a cell keeps its size, its least and greatest distance and its
+greatest norm. With q v = q p + q (v - p) <= q p + |q| radius, and with 2 q v = |q|^2 + |v|^2 - |q - v|^2, where |q - v|
+is at least what |q - p| and the ring are apart, no vector of a cell is better than the lesser of two bounds. A search scans the cells nearest to a query until
 they hold k vectors, takes the k-th best score, and then scans only the cells whose bound reaches it. Results are those of the scan.
 """
 
@@ -25,6 +26,7 @@ from .sparse import top_k
 BLOCK, ROWS = 32_768, 256
 #: Pivots of an index at most, and rings about each.
 PIVOTS, RINGS = 1024, 8
+_SLACK = 1e-6
 
 
 def norm(v: Column) -> Column:
@@ -122,7 +124,7 @@ def _best_of(asked: pd.DataFrame, held: pd.DataFrame, k: int) -> pd.DataFrame:
 
 @dataclass(frozen=True)
 class CellIndex:
-    """vectors (chunk_id, embedding, cell), cells (cell, pivot, radius, n): a row a cell, PIVOTS x (RINGS + 1) at most; pivots (pivot, embedding)."""
+    """vectors (chunk_id, embedding, cell), cells (cell, pivot, inner, radius, norm, n): a row a cell, PIVOTS x (RINGS + 1) at most; pivots (pivot, embedding)."""
 
     vectors: DataFrame
     cells: DataFrame
@@ -137,19 +139,19 @@ class CellIndex:
         some = held.select("embedding").distinct().orderBy(F.xxhash64("embedding"), "embedding").limit(n).collect()  # PIVOTS rows at most
         chosen = np.array([r["embedding"] for r in some], dtype=np.float64)
 
-        @F.pandas_udf("pivot int, distance double")
+        @F.pandas_udf("pivot int, distance double, norm double")
         def nearest(series: pd.Series) -> pd.DataFrame:
             v = np.stack(series.to_numpy()).astype(np.float64)
             apart = np.linalg.norm(v, axis=1)[:, None] ** 2 + (chosen**2).sum(1)[None] - 2 * v @ chosen.T
             at = apart.argmin(axis=1)
-            return pd.DataFrame({"pivot": at.astype(np.int32), "distance": np.linalg.norm(v - chosen[at], axis=1)})
+            return pd.DataFrame({"pivot": at.astype(np.int32), "distance": np.linalg.norm(v - chosen[at], axis=1), "norm": np.linalg.norm(v, axis=1)})
 
         placed = cut(held.withColumn("p", nearest("embedding")).select("chunk_id", "embedding", "p.*"))
         widest = placed.agg(F.max("distance").alias("d")).first()["d"] or 1.0
         cell = (F.col("pivot") * (RINGS + 1) + F.floor(F.col("distance") / widest * RINGS)).cast("int").alias("cell")
-        placed = placed.select("chunk_id", "embedding", cell, "pivot", "distance")
-        cells = placed.groupBy("cell").agg(F.first("pivot").alias("pivot"), F.max("distance").alias("radius"), F.count("*").alias("n"))
-        return CellIndex(placed.drop("pivot", "distance"), cut(cells), spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(chosen)], "pivot int, embedding array<double>"))
+        placed = placed.select("chunk_id", "embedding", cell, "pivot", "distance", "norm")
+        cells = placed.groupBy("cell").agg(F.first("pivot").alias("pivot"), F.min("distance").alias("inner"), F.max("distance").alias("radius"), F.max("norm").alias("norm"), F.count("*").alias("n"))
+        return CellIndex(placed.drop("pivot", "distance", "norm"), cut(cells), spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(chosen)], "pivot int, embedding array<double>"))
 
     def save(self, path: str) -> CellIndex:
         """Vectors lie sorted by cell, so that a search reads few row groups."""
@@ -177,13 +179,17 @@ class CellIndex:
         """Scores of the vectors in all cells that matter, and these cells (query_id, cell)."""
         cells = self.cells.orderBy("cell").collect()  # PIVOTS x (RINGS + 1) rows at most
         numbers, sizes = np.array([c["cell"] for c in cells], dtype=np.int32), np.array([c["n"] for c in cells], dtype=np.int64)
-        radius, at = np.array([c["radius"] for c in cells]), np.array([c["pivot"] for c in cells], dtype=np.int64)
+        inner, radius, norm = (np.array([c[x] for c in cells]) for x in ("inner", "radius", "norm"))
+        at = np.array([c["pivot"] for c in cells], dtype=np.int64)
         centres = np.array([r["embedding"] for r in self.pivots.orderBy("pivot").collect()], dtype=np.float64)
         parts = {int(c): -(-int(n) // block) for c, n in zip(numbers, sizes, strict=True)}
 
         def bounds(series: pd.Series) -> np.ndarray:
             q = np.stack(series.to_numpy()).astype(np.float64)
-            return (q @ centres.T)[:, at] + np.linalg.norm(q, axis=1)[:, None] * radius[None]
+            own, product = np.linalg.norm(q, axis=1)[:, None], q @ centres.T
+            apart = np.sqrt(np.maximum(own**2 + (centres**2).sum(1)[None] - 2 * product, 0))[:, at]
+            gap = np.maximum(np.maximum(apart - radius[None], inner[None] - apart) - _SLACK, 0)  # less what rounding can do
+            return np.minimum(product[:, at] + own * radius[None], (own**2 + norm[None] ** 2 - gap**2) / 2)
 
         @F.pandas_udf("array<int>")
         def nearest(series: pd.Series) -> pd.Series:
@@ -197,7 +203,7 @@ class CellIndex:
         @F.pandas_udf("array<int>")
         def others(series: pd.Series, done: pd.Series, theta: pd.Series) -> pd.Series:
             rows = bounds(series) if len(cells) else [()] * len(series)
-            return pd.Series([[int(c) for c in numbers[np.asarray(row) + 1e-6 >= t] if c not in set(d)] if len(cells) else [] for row, d, t in zip(rows, done, theta, strict=True)], dtype=object)
+            return pd.Series([[int(c) for c in numbers[np.asarray(row) + _SLACK >= t] if c not in set(d)] if len(cells) else [] for row, d, t in zip(rows, done, theta, strict=True)], dtype=object)
 
         q = cut(queries.select("query_id", "embedding").filter("embedding is not null").withColumn("first", nearest("embedding")))
         n_q = max(1, -(-q.count() // block))
