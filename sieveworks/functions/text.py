@@ -222,7 +222,7 @@ def han_bigrams(c: Column) -> Column:
 LETTERS = "etaoinsr"
 
 
-def letter_counts(c: Column) -> Column:
-    """How often a text has each of LETTERS, as an array of doubles (lower case counts, null is empty)."""
+def letter_counts(c: Column, letters: str = LETTERS) -> Column:
+    """How often a text has each of ``letters``, as an array of doubles (lower case counts, null is empty)."""
     text = F.coalesce(c, F.lit(""))
-    return F.array(*[(F.length(text) - F.length(F.replace(text, F.lit(x), F.lit("")))).cast("double") for x in LETTERS])
+    return F.array(*[(F.length(text) - F.length(F.replace(text, F.lit(x), F.lit("")))).cast("double") for x in letters])

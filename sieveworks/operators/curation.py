@@ -8,11 +8,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..functions.prompts import BATCH_SIZE, batch_prompts
+from ..storage import cut
 from .fusion import top_with_ties
 
 #: The keywords that mark a record as legal.
 LEGAL_KEYWORDS = ["法", "条", "规定", "合同", "责任", "权利", "义务", "诉讼", "赔偿", "刑", "民", "侵权", "犯罪", "法院", "法律"]
 MIN_KEEP, DEFAULT_SCORE = 500, 6
+#: Fixed value: the reason of rows whose batch was never read.
+DEFAULT_REASON = "API评分失败，默认保留"
+#: Times a batch is asked at most.
+ROUNDS = 3
 
 
 def preclean(qa: DataFrame, min_question: int = 4, min_reply: int = 10) -> DataFrame:
@@ -35,14 +41,37 @@ def parse_batch_scores(answer: Column, size: Column) -> Column:
 
 
 def score_rows(rows: DataFrame, batches: DataFrame) -> DataFrame:
-    """rows (batch, pos) beside score and reason; batches: batch, answer. Unread batches score DEFAULT_SCORE.
+    """rows (batch, pos) beside score and reason; batches: batch, answer. Rows of unread batches have DEFAULT_SCORE and DEFAULT_REASON.
 
-    Scores belong to the row whose index they name.
+    Scores belong to the row whose index they name, in whatever order the answer has them; of
+    entries with one index that with the least score counts, and a row that no entry names has DEFAULT_SCORE.
     """
     sizes = rows.groupBy("batch").agg(F.count("*").alias("_n"))
     read = batches.join(sizes, "batch").withColumn("_s", F.explode(parse_batch_scores(F.col("answer"), F.col("_n"))))
-    read = read.select("batch", F.col("_s.index").alias("pos"), F.col("_s.score").alias("score"), F.col("_s.reason").alias("reason"))
-    return rows.join(read, ["batch", "pos"], "left").withColumn("score", F.coalesce("score", F.lit(float(DEFAULT_SCORE))))
+    read = read.groupBy("batch", F.col("_s.index").alias("pos")).agg(F.min(F.struct(F.col("_s.score").alias("score"), F.col("_s.reason").alias("reason"))).alias("_s"))
+    out = rows.join(read, ["batch", "pos"], "left")
+    return out.withColumns({"score": F.coalesce("_s.score", F.lit(float(DEFAULT_SCORE))), "reason": F.when(F.col("_s").isNull(), DEFAULT_REASON).otherwise(F.col("_s.reason"))}).drop("_s")
+
+
+def score_in_rounds(rows: DataFrame, ask: Callable[[DataFrame, int], DataFrame], rounds: int = ROUNDS, size: int = BATCH_SIZE) -> DataFrame:
+    """rows (n, question, reply; n counts from 0) beside batch, pos, score and reason: scored in batches of ``size``.
+
+    ``ask`` gives the prompts (batch, n, body) and the number of the round, and returns them with
+    ``answer`` (null, or anything that can't be read as a list of n entries, is a failure). Only batches that
+    weren't read are asked again, up to ``rounds`` times in all; each round is written before the next, so
+    no model is called twice for one. What is left then has the default score.
+    """
+    prompts = cut(batch_prompts(rows, "n", size))
+    read = None
+    for number in range(rounds):
+        answers = cut(ask(prompts, number).select("batch", "n", "answer"))
+        good = answers.filter(parse_batch_scores(F.col("answer"), F.col("n")).isNotNull()).select("batch", "answer")
+        read = good if read is None else read.unionByName(good)
+        prompts = prompts.join(good.select("batch"), "batch", "left_anti")
+        if number + 1 < rounds and not prompts.head(1):
+            break
+    placed = rows.withColumns({"batch": F.floor(F.col("n") / size), "pos": (F.col("n") % size).cast("int")})
+    return score_rows(placed, read)
 
 
 def keep_best(rows: DataFrame, n: int = MIN_KEEP) -> DataFrame:

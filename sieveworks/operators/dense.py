@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import letter_counts, once
+from ..functions.text import LETTERS, letter_counts, once
 from ..storage import cut
 from .sparse import top_k
 
@@ -47,9 +47,9 @@ def cosine(a: Column, b: Column) -> Column:
     return F.try_divide(inner_product(a, b), norm(a) * norm(b))
 
 
-def letter_encoder(text: Column) -> Column:
+def letter_encoder(text: Column, letters: str = LETTERS) -> Column:
     """A stand-in encoder in built-in functions: how often a text has each of some letters, as a unit vector."""
-    return l2_normalise(letter_counts(text))
+    return l2_normalise(letter_counts(text, letters))
 
 
 @dataclass(frozen=True)

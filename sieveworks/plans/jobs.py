@@ -16,6 +16,7 @@ from ..functions import text as X
 from ..operators import classification, curation, dense, evaluation, fusion, judging, providers, rewriting, running, sparse
 from ..sources import readers, writers
 from ..storage import cut, shared_folder, spread
+from . import experiments
 from .engine import Method
 from .queries import (  # noqa: F401
     ORACLES, QUERIES,
@@ -165,13 +166,13 @@ def _lexicon(spark, sf_dir) -> DataFrame:
 
 
 _TWO_METHODS = f"""
-with {_DENSE}, {_per('de', 'p1')}, {_per('d2', 'p2')}, m as (select 'Full' as method, {_MEANS}, round(avg(rr), 6) as mrr, count(*) as n_queries from p1 union all select 'Half', {_MEANS}, round(avg(rr), 6), count(*) from p2)
+with {_DENSE}, {_per('de', 'p1')}, {_per('d2', 'p2')}, m as (select 'Full' as method, {_MEANS}, round(avg(rr), 6) as mrr, count(*) as n_queries from p1 union all select 'Signs', {_MEANS}, round(avg(rr), 6), count(*) from p2)
 """
 _METRIC_NAMES = [f"{m}_{k}" for k in (1, 5, 10, 20) for m in ("hit", "recall")]
 
 
 def _two_methods(spark, sf_dir) -> DataFrame:
-    return evaluation.compare({"Full": _dense(spark, sf_dir, 20), "Half": _dense(spark, sf_dir, 20, 32)}, _measure(spark, sf_dir))
+    return evaluation.compare({"Full": _dense(spark, sf_dir, 20), "Signs": _dense(spark, sf_dir, 20, signs=True)}, _measure(spark, sf_dir))
 
 
 @query(f"{_TWO_METHODS} select method, {', '.join(_METRIC_NAMES)}, mrr, n_queries from m")
@@ -180,7 +181,7 @@ def read_results(spark, sf_dir):
     path = shared_folder(spark)
     rows = cut(_two_methods(spark, sf_dir))
     writers.report(rows.filter("method = 'Full'"), f"{path}/full")
-    writers.report(rows.filter("method = 'Half'"), f"{path}/half")
+    writers.report(rows.filter("method = 'Signs'"), f"{path}/signs")
     return readers.result_files(spark, path).select("method", *_METRIC_NAMES, "mrr", "n_queries")
 
 
@@ -256,6 +257,42 @@ def engine_methods(spark, sf_dir):
     return out
 
 
+#: The letters of a second stand-in encoder, and a plan's names for both and for the scorer.
+_OTHER_LETTERS = "ldchumgp"
+_MODELS, _RERANKERS = ["stand-in/letters", "stand-in/others"], ["overlap"]
+_UNIT_SQL = "case when n > 0 then [x / n for x in v] else v end"
+_OTHERS_SQL = f"""
+ov as materialized (select chunk_id, {_UNIT_SQL} as v from (select chunk_id, v, sqrt(list_inner_product(v, v)) as n from (select doc_id as chunk_id, [{", ".join(f"length(text) - length(replace(text, '{x}', ''))" for x in _OTHER_LETTERS)}]::double[] as v from documents))),
+oq as materialized (select query_id, {_UNIT_SQL} as q from (select query_id, v, sqrt(list_inner_product(v, v)) as n from (select item_id as query_id, [{", ".join(f"length(text) - length(replace(text, '{x}', ''))" for x in _OTHER_LETTERS)}]::double[] as v from benchmark))),
+os as (select query_id, chunk_id, round(list_inner_product(q, v), 6) as score from oq, ov), od as (select query_id, chunk_id, row_number() over (partition by query_id order by score desc, chunk_id) as rank from os)
+"""
+
+
+@query(f"""
+with {_ENGINE_LEGS}, {_OTHERS_SQL}, tq as (select item_id as query_id, array_to_string(string_split(text, ' ')[1:3], ' ') as title from benchmark),
+rel as materialized (select query_id, doc_id as chunk_id from tq join documents on contains(text, title) where title <> ''), n as (select query_id, count(*) as n from rel group by query_id),
+ex(ord, tag, method, model, reranker) as (values (0, 'Dense_letters', 'Dense', 'stand-in/letters', ''), (1, 'BM25_letters', 'BM25', 'stand-in/letters', ''), (2, 'Union_letters', 'Union', 'stand-in/letters', ''),
+  (3, 'RRF_letters', 'RRF', 'stand-in/letters', ''), (5, 'Dense_others', 'Dense', 'stand-in/others', ''), (7, 'RRF+Rerank_letters_overlap', 'RRF+Rerank', 'stand-in/letters', 'overlap')),
+h as (select 0 as ord, query_id, chunk_id, rank from de union all select 1, query_id, chunk_id, rank from bm union all select 2, query_id, chunk_id, rank from uu union all select 3, query_id, chunk_id, rank from fu
+  union all select 5, query_id, chunk_id, rank from od union all select 7, query_id, chunk_id, rank from rr),
+f as (select ord, query_id, {', '.join(f'count(*) filter (rank <= {k}) as c{k}' for k in (1, 5, 10, 20))}, 1.0::double / min(rank) as rr from h join rel using (query_id, chunk_id) where rank <= 20 group by ord, query_id)
+select ord, tag, method, model, reranker, {', '.join(f'round(avg((coalesce(c{k}, 0) > 0)::int::double), 6) as hit_{k}, round(avg(coalesce(c{k}::double / n, 0)), 6) as recall_{k}' for k in (1, 5, 10, 20))}, round(avg(coalesce(rr, 0)), 6) as mrr, count(*) as n_queries
+from ex cross join tq left join f using (ord, query_id) left join n using (query_id) group by ord, tag, method, model, reranker
+""")
+def experiment_runs(spark, sf_dir):
+    """A full plan of experiments, a row each; each leg is retrieved once, whoever shares it."""
+    docs, queries = corpus(spark, sf_dir), asked(spark, sf_dir)
+    letters = dict(zip(_MODELS, (X.LETTERS, _OTHER_LETTERS), strict=True))
+    encode = lambda model, c: dense.letter_encoder(F.col(c), letters[model]).alias("embedding")
+
+    def near(model: str, k: int) -> DataFrame:
+        return dense.search(cut(docs.select("chunk_id", encode(model, "text"))), cut(queries.select("query_id", encode(model, "query"))), k)
+
+    relevant = cut(evaluation.relevant_by_title(queries.withColumn("query", F.array_join(F.slice(F.split("query", " "), 1, 3), " ")), docs))
+    plan = experiments.expand(spark, "full", _MODELS, _RERANKERS)
+    return experiments.run(plan, near, lambda k: _bm25(spark, sf_dir, k), providers.scorer, queries, docs, lambda hits: evaluation.per_query(hits, relevant, queries), k=20)
+
+
 @query("select (select count(*) from documents) as chunks, (select count(*) from documents) as vectors, true as reranker")
 def engine_status(spark, sf_dir):
     return spark.createDataFrame([hybrid_engine(spark, sf_dir).status()], "chunks long, vectors long, reranker boolean")
@@ -423,21 +460,31 @@ def experiment_tag(spark, sf_dir):
 
 _SCORED = rf"""
 d as (select distinct question, reply from qa where question is not null and reply is not null),
-st as (select {_STRIP.format('question')} as question, {_STRIP.format('reply')} as reply from d), k as (select *, md5(question || ':' || reply) as h from st where length(question) >= 4 and length(reply) >= 10),
-sc as (select question, reply, case when ascii(h) % 7 = 0 then 6.0::double else (length(reply) % 10 + 1)::double end as score, case when ascii(h) % 7 = 0 then null else 'n' || length(question) end as reason from k)
+st as (select {_STRIP.format('question')} as question, {_STRIP.format('reply')} as reply from d), k as (select * from st where length(question) >= 4 and length(reply) >= 10),
+nb as (select *, (row_number() over (order by question, reply) - 1) // 5 as batch from k),
+sc as (select question, reply, case when ok then (length(reply) % 10 + 1)::double else 6.0::double end as score, case when ok then 'n' || length(question) else 'API评分失败，默认保留' end as reason
+  from (select *, list_contains([ascii(md5(batch || ':' || r)) % 3 for r in [0, 1, 2]], 2) as ok from nb))
 """
 
 
-def _scored(spark, sf_dir) -> DataFrame:
-    """question, reply, score, reason: cleaned pairs scored in batches by a stand-in, of which some batches can't be read.
+def _moody_scores(rows: DataFrame):
+    """A stand-in model for batches: by batch and round it answers no list, one entry short, or all entries from last to first."""
 
-    A batch is here a pair's own: what SQL calls readable doesn't hang on who shares a prompt.
-    """
-    rows = curation.preclean(_qa(spark, sf_dir)).withColumn("batch", F.md5(F.concat_ws(":", "question", "reply"))).withColumn("pos", F.lit(0))
-    entry = F.struct(F.col("pos").alias("index"), (F.length("reply") % 10 + 1).alias("score"), F.concat(F.lit("n"), F.length("question").cast("string")).alias("reason"))
-    answer = F.concat(F.lit("```json\n"), F.to_json(F.array(entry)), F.lit("\n```"))
-    batches = rows.select("batch", F.when(F.ascii("batch") % 7 == 0, F.lit("no list")).otherwise(answer).alias("answer")).distinct()
-    return curation.score_rows(rows, batches).select("question", "reply", "score", "reason")
+    def ask(prompts: DataFrame, number: int) -> DataFrame:
+        entry = F.struct((F.col("n") % 5).cast("int").alias("index"), (F.length("reply") % 10 + 1).alias("score"), F.concat(F.lit("n"), F.length("question").cast("string")).alias("reason"))
+        whole = rows.groupBy(F.floor(F.col("n") / 5).alias("batch")).agg(F.sort_array(F.collect_list(entry), asc=False).alias("entries"))
+        mood = F.ascii(F.md5(F.concat_ws(":", F.col("batch").cast("string"), F.lit(str(number))))) % 3
+        listed = F.when(mood == 1, F.slice("entries", 1, F.size("entries") - 1)).otherwise(F.col("entries"))
+        answer = F.when(mood == 0, "no list").otherwise(F.concat(F.lit("```json\n"), F.to_json(listed), F.lit("\n```")))
+        return prompts.join(whole, "batch").withColumn("answer", answer)
+
+    return ask
+
+
+def _scored(spark, sf_dir) -> DataFrame:
+    """question, reply, score, reason: cleaned pairs scored in batches of five and up to three rounds."""
+    rows = running.number_rows(curation.preclean(_qa(spark, sf_dir)), "question", "reply")
+    return curation.score_in_rounds(rows, _moody_scores(rows)).select("question", "reply", "score", "reason")
 
 
 @query(f"with {_QA}, {_SCORED} select question, reply, score, reason from sc")
@@ -547,6 +594,32 @@ def provider_encode(spark, sf_dir):
     return fresh.select("chunk_id", F.posexplode("embedding").alias("place", "value")).withColumn("value", F.col("value").cast("double"))
 
 
+@query(f"""
+with v as (select doc_id as chunk_id, {_letters_sql('text')} as v from documents), n as (select chunk_id, v, sqrt(list_inner_product(v, v)) as n from v)
+select chunk_id, unnest(generate_series(0, {len(X.LETTERS) - 1})) as place, unnest([case when n > 0 then (x / n)::float else 0 end for x in v])::double as value from n
+""")
+def encode_groups(spark, sf_dir):
+    """All chunks encoded in groups that are committed one by one."""
+    chunks = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
+    vectors = providers.encode_in_groups(chunks, shared_folder(spark), providers.encoder(_letter_model), "letters", every=max(1, chunks.count() // 3))
+    return vectors.select("chunk_id", F.posexplode("embedding").alias("place", "value")).withColumn("value", F.col("value").cast("double"))
+
+
+#: A program that answers with the first line it reads; q makes it fail, and z (without q) print to its error stream only.
+_PROGRAM = ["sh", "-c", """IFS= read -r line; case "$line" in *q*) echo bad >&2; exit 3;; *z*) echo only >&2;; *) printf 're: %s\\n' "$line";; esac"""]
+
+
+@query(f"""
+with l as (select conv_id, turn, string_split(text, chr(10))[1] as line from conversations)
+select conv_id, turn, case when contains(line, 'q') then 'OLLAMA_RC_3: bad' when contains(line, 'z') then 'OLLAMA_EMPTY_STDOUT: only' else {_STRIP.format("'re: ' || line")} end as reply, not contains(line, 'q') and not contains(line, 'z') as ok from l
+""")
+def provider_command(spark, sf_dir):
+    """A command per prompt, with its failures told apart."""
+    reply = providers.command_generator(_PROGRAM, timeout=60, in_flight=2)
+    rows = spread(table(spark, sf_dir, "conversations")).withColumn("g", reply(F.col("text")))
+    return rows.select("conv_id", "turn", F.col("g.text").alias("reply"), F.col("g.ok").alias("ok"))
+
+
 @query("select item_id, doc_id, (length(b.text) + length(d.text))::double as score from benchmark b join documents d on d.doc_id = b.item_id")
 def provider_score(spark, sf_dir):
     score = providers.pair_scorer(lambda: lambda pairs: [float(len(a) + len(b)) for a, b in pairs])

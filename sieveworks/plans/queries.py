@@ -238,22 +238,25 @@ _DENSE = """
 qv as (select vec_id as query_id, embedding as q, label from embeddings where vec_id % 20 = 0),
 sc as (select query_id, vec_id as chunk_id, round(list_inner_product(q::double[], embedding::double[]), 6) as score from qv, embeddings),
 de as (select query_id, chunk_id, row_number() over (partition by query_id order by score desc, chunk_id) as rank, score from sc),
-sc2 as (select query_id, vec_id as chunk_id, round(list_inner_product(q[1:32]::double[], embedding[1:32]::double[]), 6) as score from qv, embeddings),
+sc2 as (select query_id, vec_id as chunk_id, round(list_inner_product([sign(x)::double for x in q], embedding::double[]), 6) as score from qv, embeddings),
 d2 as (select query_id, chunk_id, row_number() over (partition by query_id order by score desc, chunk_id) as rank, score from sc2),
 rel as (select query_id, vec_id as chunk_id from qv join embeddings e using (label))
 """
 
 
-def _vectors(spark, sf_dir, dims: int = 64) -> DataFrame:
-    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.slice("embedding", 1, dims).alias("embedding"), "label")
+def _vectors(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding", "label")
 
 
-def _asked_vectors(spark, sf_dir, dims: int = 64) -> DataFrame:
-    return _vectors(spark, sf_dir, dims).filter("chunk_id % 20 = 0").withColumnRenamed("chunk_id", "query_id")
+def _asked_vectors(spark, sf_dir) -> DataFrame:
+    return _vectors(spark, sf_dir).filter("chunk_id % 20 = 0").withColumnRenamed("chunk_id", "query_id")
 
 
-def _dense(spark, sf_dir, k: int, dims: int = 64) -> DataFrame:
-    return dense.search(_vectors(spark, sf_dir, dims), _asked_vectors(spark, sf_dir, dims), k)
+def _dense(spark, sf_dir, k: int, signs: bool = False) -> DataFrame:
+    """Whole vectors; ``signs`` makes another leg of them, in which a query is the signs of its numbers."""
+    queries = _asked_vectors(spark, sf_dir)
+    queries = queries.withColumn("embedding", F.transform("embedding", lambda x: F.signum(x.cast("double")))) if signs else queries
+    return dense.search(_vectors(spark, sf_dir), queries, k)
 
 
 def _measure(spark, sf_dir) -> Callable[[DataFrame], DataFrame]:
@@ -425,12 +428,12 @@ def mrr(spark, sf_dir):
 @query(f"""
 with {_DENSE}, a as (select * from de where rank <= 20), b as (select * from d2 where rank <= 20), {_UNION}, uu as (select query_id, chunk_id, row_number() over (partition by query_id order by o) as rank from un),
 {_rrf(0.5, 0.5)}, {_per('de', 'p1')}, {_per('d2', 'p2')}, {_per('uu', 'p3')}, {_per('fu', 'p4')}
-select 'Full' as method, {_MEANS}, round(avg(rr), 6) as mrr, count(*) as n_queries from p1 union all select 'Half', {_MEANS}, round(avg(rr), 6), count(*) from p2
+select 'Full' as method, {_MEANS}, round(avg(rr), 6) as mrr, count(*) as n_queries from p1 union all select 'Signs', {_MEANS}, round(avg(rr), 6), count(*) from p2
 union all select 'Union', {_MEANS}, round(avg(rr), 6), count(*) from p3 union all select 'RRF', {_MEANS}, round(avg(rr), 6), count(*) from p4
 """)
 def method_comparison(spark, sf_dir):
-    full, half = cut(_dense(spark, sf_dir, 20)), cut(_dense(spark, sf_dir, 20, 32))  # each serves three methods
-    methods = {"Full": full, "Half": half, "Union": fusion.union_merge(full, half, 20), "RRF": fusion.weighted_fusion(full, half, 20)}
+    full, signs = cut(_dense(spark, sf_dir, 20)), cut(_dense(spark, sf_dir, 20, signs=True))  # each serves three methods
+    methods = {"Full": full, "Signs": signs, "Union": fusion.union_merge(full, signs, 20), "RRF": fusion.weighted_fusion(full, signs, 20)}
     return evaluation.compare(methods, _measure(spark, sf_dir))
 
 

@@ -45,6 +45,22 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _path(spark: SparkSession, path: str) -> tuple:
+    there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), there
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    system, there = _path(spark, path)
+    return system.exists(there)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Remove a table or folder, if it is there."""
+    system, there = _path(spark, path)
+    system.delete(there, True)
+
+
 def spread(scan: DataFrame) -> DataFrame:
     """A table scan over all cores: a file that is too small to be split is dealt out.
 
