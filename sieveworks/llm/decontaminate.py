@@ -4,22 +4,23 @@ Texts are sequences of words (letters and digits, lower case), which 63-bit hash
 one of its windows lies within an edit distance of (1 - SIMILARITY) times the item's length.
 
 1. *Windows.* An item that allows ``d`` edits is cut into ``d + 1`` segments. Each edit touches
-   one of them at most, so a match holds some segment word for word (pigeonhole). Segments are a
-   table of hashes; the documents' word runs of those lengths are joined to it, and every hit
-   puts an item-sized window where its diagonal has the item's first word. No match is passed over.
+   one of them at most, so a match holds some segment word for word (pigeonhole). Two filters of
+   2**FILTER_BITS bits hold the segments, and the segments with the item's length and their place in it:
+   where a document's run of words passes the second for some length and place, an item-sized window
+   has its first word. No match is passed over, and however many items share a segment, it
+   makes one window for each length and place.
 2. *CGK.* A random walk copies a sequence into three times its length: each step writes the
    word at hand and, by a random bit of step and word, stays or moves on. Sequences at edit
    distance ``d`` come out at a Hamming distance of the order of ``d * d`` at most.
-3. *LSH.* Each of REPEATS walks samples BITS steps of the embedding; a window and its item that
-   agree on a sample are candidates. Walks drift apart with the number of edits, so items are
-   walked in blocks of at most WALK words, each from its own start, and one agreeing block is
+3. *LSH.* Each of REPEATS walks samples BITS steps of the embedding, which with the item's length and the
+   walk are a key. Windows and items are joined on their keys, hot ones apart. Walks drift apart with the
+   number of edits, so items are walked in blocks of at most WALK words, each from its own start, and one agreeing block is
    enough: the edits of one block are no more than its share.
 4. *Verification.* The edit distance of each candidate, over windows that may begin and end
    anywhere near the place found, decides.
 
-Documents are scanned once, whatever the benchmark's size. What a task holds of the benchmark is
-a filter of 2**FILTER_BITS bits that most runs of words don't pass, and the items of the
-documents at hand.
+Documents are scanned once, whatever the benchmark's size, and what a task holds of the benchmark is
+the two filters and the items of the documents at hand.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import body_of, cut, named_rows, same_row, small_batches, unpacked
+from .common import body_of, cut, hot_join, named_rows, same_row, small_batches, unpacked
 
 #: Least similarity (1 - edits / words of the item). Items under five words allow no edit: they are found word for word.
 SIMILARITY = 0.8
@@ -43,8 +44,8 @@ REPEATS, BITS = 48, 3
 WALK = 64
 #: Size of the filter for runs of words; the longest segment (of items of any length).
 FILTER_BITS, LONGEST = 24, 4
-#: Windows embedded at a time.
-WINDOWS = 4096
+#: Windows embedded at a time, and hashes looked up at a time.
+WINDOWS, AT_ONCE = 4096, 1 << 20
 _WORD = re.compile(r"[^\W_]+")
 _PRIME = np.uint64(0x100000001B3)
 _BASE = 0xD6E8FEB86659FD93
@@ -155,49 +156,68 @@ class Walks:
 _WALKS: list[Walks] = []
 
 
-def agree(items: list[np.ndarray], windows: list[np.ndarray]) -> np.ndarray:
-    """For each item and the window of its length whether some walk of some block samples the same."""
+def window_keys(windows: np.ndarray) -> np.ndarray:
+    """The keys of windows of one length, or of items: a row each, one for every walk of every block."""
     if not _WALKS:
         _WALKS.append(Walks())
-    same = np.zeros(len(items), dtype=bool)
-    lengths = np.array([len(x) for x in items])
-    for n in np.unique(lengths):
-        places = np.flatnonzero(lengths == n)
-        for at in range(0, len(places), WINDOWS):
-            some = places[at : at + WINDOWS]
-            a, b = (_WALKS[0].block_keys(np.stack([x[k] for k in some])) for x in (items, windows))
-            same[some] = (a == b).any(axis=1)
-    return same
+    return placed(_WALKS[0].block_keys(windows), windows.shape[1], 0)
+
+
+def placed(h: np.ndarray, n: np.ndarray | int, at: np.ndarray | int) -> np.ndarray:
+    """Hashes mixed with an item's length and a place in it."""
+    where = np.atleast_1d(np.asarray(n, dtype=np.uint64)) * np.uint64(1 << 32) + np.asarray(at, dtype=np.uint64)
+    x = (h.view(np.uint64) ^ where * np.uint64(0x9E3779B97F4A7C15)) * _PRIME
+    return (x ^ (x >> np.uint64(32))).view(np.int64)
+
+
+def _has(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
+    place = h & ((1 << FILTER_BITS) - 1)
+    return (bits[place >> 6] >> (place & 63) & 1).astype(bool)
+
+
+def windows_of(doc: np.ndarray, lengths: dict[int, tuple[np.ndarray, np.ndarray]], first: np.ndarray, second: np.ndarray) -> list[tuple[int, np.ndarray]]:
+    """(item's words, starts) of a document's windows. ``lengths``: of each length of segments the items' lengths and the places they may have."""
+    found: dict[int, list[np.ndarray]] = {}
+    for length, (ns, ats) in lengths.items():
+        h = runs(doc, length)
+        at = np.flatnonzero(_has(first, h))
+        step = max(1, AT_ONCE // len(ns))
+        for k in range(0, len(at), step):
+            some = at[k : k + step]
+            i, j = np.nonzero(_has(second, placed(h[some][:, None], ns[None], ats[None])))
+            for n in np.unique(ns[j]).tolist():
+                mine = ns[j] == n
+                found.setdefault(n, []).append(np.clip(some[i[mine]] - ats[j[mine]], 0, max(0, len(doc) - n)))
+    return [(n, np.unique(np.concatenate(x))) for n, x in sorted(found.items())]
+
+
+def cut_windows(doc: np.ndarray, n: int, starts: np.ndarray) -> np.ndarray:
+    """The windows of ``n`` words at ``starts``; a document that is too short is filled up with -1."""
+    filled = np.concatenate([doc, np.full(max(0, n - len(doc)), -1, dtype=np.int64)])
+    return filled[starts[:, None] + np.arange(n)]
 
 
 def verified(texts: Iterable[str | None], asked: Iterable[list[tuple[object, str, list[int]]]]) -> list[list[tuple]]:
-    """For each text and its (item_id, item's text, starts): (item_id, start, words, edits) of the items found in it."""
-    tried, items, windows, docs = [], [], [], []
-    for t, (text, some) in enumerate(zip(texts, asked, strict=True)):
-        docs.append(doc := hashed(text))
+    """For each text and its (item, item's text, starts): (item, start, words, edits) of the items found in it."""
+    out = []
+    for text, some in zip(texts, asked, strict=True):
+        doc, best = hashed(text), {}
         for item_id, item_text, starts in some:
             item = hashed(item_text)
-            for start in sorted({min(max(0, s), max(0, len(doc) - len(item))) for s in starts}):
-                window = np.full(len(item), -1, dtype=np.int64)  # a match at the end may be shorter
-                own = doc[start : start + len(item)]
-                window[: len(own)] = own
-                tried.append((t, item_id, item, start))
-                items.append(item)
-                windows.append(window)
-    best: list[dict] = [{} for _ in docs]
-    for k in np.flatnonzero(agree(items, windows)).tolist():
-        t, item_id, item, start = tried[k]
-        d = edits_allowed(len(item))
-        known = best[t].get((item_id, len(item)), (0, d + 1))[1]
-        if known:
-            e = edit_distance(item, docs[t][max(0, start - d) : start + len(item) + d])
-            if e < known:
-                best[t][item_id, len(item)] = (start, e)
-    return [[(i, start, n, e) for (i, n), (start, e) in sorted(b.items(), key=str)] for b in best]
+            d = edits_allowed(len(item))
+            for start in sorted(starts):
+                known = best.get((item_id, len(item)), (0, d + 1))[1]
+                if not known:
+                    break
+                e = edit_distance(item, doc[max(0, start - d) : start + len(item) + d])
+                if e < known:
+                    best[item_id, len(item)] = (start, e)
+        out.append([(i, start, n, e) for (i, n), (start, e) in sorted(best.items(), key=str)])
+    return out
 
 
 def _filter(hashes: DataFrame) -> np.ndarray:
-    """2**FILTER_BITS bits, as bytes, of which those of the column ``h`` are set: at most a row for 64 of them reaches the driver."""
+    """2**FILTER_BITS bits, 64 to a number, of which those of the column ``h`` are set: at most a row for 64 of them reaches the driver."""
     place = F.col("h").bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
     words = hashes.select(F.shiftright(place, 6).alias("w"), F.expr(f"shiftleft(1L, cast((h & {(1 << FILTER_BITS) - 1}) & 63 as int))").alias("b"))
     got = words.groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()
@@ -210,44 +230,62 @@ def _leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, body (a hash of the text) and a leak: see `find_leaks`."""
     spark = docs.sparkSession
     small_batches(spark)
-    leak = T.StructType([T.StructField("item_id", benchmark.schema["item_id"].dataType), T.StructField("start", T.IntegerType()), T.StructField("words", T.IntegerType()), T.StructField("edits", T.IntegerType())])
+    leak = T.StructType([T.StructField("item", T.LongType()), T.StructField("start", T.IntegerType()), T.StructField("words", T.IntegerType()), T.StructField("edits", T.IntegerType())])
 
-    @F.pandas_udf("array<struct<h:bigint,at:int,length:int>>")
+    @F.pandas_udf("array<struct<h:bigint,at:int,length:int,n:int,h2:bigint>>")
     def cut_up(texts: pd.Series) -> pd.Series:
-        every = [hashed(t) for t in texts]
-        return pd.Series([[{"h": h, "at": at, "length": segment_length(len(w))} for h, at in segments(w)] for w in every], dtype=object)
-
-    items = cut(benchmark.select("item_id", "text").filter("text is not null").distinct().select(F.monotonically_increasing_id().alias("item"), "item_id", F.col("text").alias("item_text")))
-    parts = cut(items.select("item", F.explode(cut_up("item_text")).alias("s")).select("item", "s.h", "s.at", "s.length"))
-    shared = spark.sparkContext.broadcast(_filter(parts))  # 2**FILTER_BITS bits
-    lengths = [r["length"] for r in parts.select("length").distinct().collect()]  # LONGEST at most
-
-    @F.pandas_udf("array<struct<h:bigint,pos:int>>")
-    def look(texts: pd.Series) -> pd.Series:
-        bits, out = shared.value, []
-        mask = (1 << FILTER_BITS) - 1
-        for t in texts:
-            words, found = hashed(t), []
-            for length in lengths:
-                h = runs(words, length)
-                place = h & mask
-                for p in np.flatnonzero(bits[place >> 6] >> (place & 63) & 1).tolist():
-                    found.append({"h": int(h[p]), "pos": p})
-            out.append(found)
+        out = []
+        for w in map(hashed, texts):
+            some = segments(w)
+            second = placed(np.array([h for h, _ in some], dtype=np.int64), len(w), np.array([at for _, at in some], dtype=np.int64))
+            out.append([{"h": h, "at": at, "length": segment_length(len(w)), "n": len(w), "h2": int(h2)} for (h, at), h2 in zip(some, second, strict=True)])
         return pd.Series(out, dtype=object)
 
+    @F.pandas_udf("array<bigint>")
+    def item_keys(texts: pd.Series) -> pd.Series:
+        return pd.Series([np.unique(window_keys(w[None])) if len(w := hashed(t)) else [] for t in texts], dtype=object)
+
+    # texts are looked for once, whatever the number of items that have them
+    named = benchmark.select("item_id", F.col("text").alias("item_text")).filter("item_text is not null").distinct()
+    items = cut(named.select("item_text").distinct().select(F.monotonically_increasing_id().alias("item"), "item_text"))
+    parts = cut(items.select(F.explode(cut_up("item_text")).alias("s")).select("s.*"))
+    shared = spark.sparkContext.broadcast((_filter(parts), _filter(parts.select(F.col("h2").alias("h")))))  # 2**FILTER_BITS bits each
+    lengths: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    places = parts.select("length", "n", "at").distinct().toPandas()  # as many as the different lengths of items have segments
+    for length, rows in places.groupby("length"):
+        lengths[int(length)] = (rows["n"].to_numpy(dtype=np.int64), rows["at"].to_numpy(dtype=np.int64))
+
+    @F.pandas_udf("keys array<bigint>, starts array<int>")
+    def look(texts: pd.Series) -> pd.DataFrame:
+        keys, starts = [], []
+        for t in texts:
+            doc, own, where = hashed(t), [], []
+            for n, some in windows_of(doc, lengths, *shared.value):
+                for k in range(0, len(some), WINDOWS):
+                    found = window_keys(cut_windows(doc, n, some[k : k + WINDOWS]))
+                    own.append(found.ravel())
+                    where.append(np.repeat(some[k : k + WINDOWS], found.shape[1]))
+            keys.append(np.concatenate(own) if own else [])
+            starts.append(np.concatenate(where) if where else [])
+        return pd.DataFrame({"keys": keys, "starts": starts})
+
     @F.pandas_udf(T.ArrayType(leak))
     def verify(texts: pd.Series, asked: pd.Series) -> pd.Series:
-        some = [[(x["item_id"], x["item_text"], list(x["starts"])) for x in a] for a in asked]
+        some = [[(x["item"], x["item_text"], list(x["starts"])) for x in a] for a in asked]
         return pd.Series([[dict(zip(leak.names, m, strict=True)) for m in found] for found in verified(texts, some)], dtype=object)
 
     own = docs.select("doc_id", body_of(F.col("text")).alias("body"), "text").filter("text is not null")
-    hits = own.select("doc_id", "body", F.explode(look("text")).alias("x")).select("doc_id", "body", "x.h", "x.pos")
-    near = hits.join(parts, "h").groupBy("doc_id", "body", "item").agg(F.collect_set((F.col("pos") - F.col("at")).cast("int")).alias("starts"))  # at most a document's own words
-    asked = cut(near.join(items, "item").groupBy("doc_id", "body").agg(F.collect_list(F.struct("item_id", "item_text", "starts")).alias("asked")))
+    windows = own.select("doc_id", "body", look("text").alias("x")).select("doc_id", "body", F.explode(F.arrays_zip("x.keys", "x.starts")).alias("x"))
+    asking = cut(items.select("item", F.explode(item_keys("item_text")).alias("key")).groupBy("key").agg(F.collect_list("item").alias("items")))
+    windows = cut(windows.select("doc_id", "body", F.col("x.keys").alias("key"), F.col("x.starts").alias("start")))
+    shared_keys = cut(windows.groupBy("key").agg(F.count("*").alias("n")).join(asking, "key"))
+    near = hot_join(windows, shared_keys, "key").select("doc_id", "body", "start", F.explode("items").alias("item"))
+    near = near.groupBy("doc_id", "body", "item").agg(F.collect_set("start").alias("starts"))  # at most a document's own words
+    asked = cut(near.join(items, "item").groupBy("doc_id", "body").agg(F.collect_list(F.struct("item", "item_text", "starts")).alias("asked")))
     # Spark sends the found few to the documents if they are small, and else deals both by key
     both = own.join(asked, same_row(own, asked)).select(own["doc_id"], own["body"], F.explode(verify("text", "asked")).alias("x"))
-    return both.select("doc_id", "body", "x.*")
+    found = cut(both.select("doc_id", "body", "x.*"))
+    return found.join(items, "item").join(named, "item_text").select("doc_id", "body", "item_id", "start", "words", "edits")
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

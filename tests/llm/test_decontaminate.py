@@ -34,16 +34,35 @@ def edited(rng, words, n):
     return words
 
 
+def bits_of(hashes):
+    bits = np.zeros(1 << (D.FILTER_BITS - 6), dtype=np.uint64)
+    for h in hashes:
+        place = h & ((1 << D.FILTER_BITS) - 1)
+        bits[place >> 6] |= np.uint64(1 << (place & 63))
+    return bits.view(np.int64)
+
+
 def matches(items, texts):
-    """What `verified` says of the places where texts and items share a segment, found by a plain table."""
+    """What `verified` says of the windows whose keys the items have, by plain tables."""
+    known = [(i, " ".join(w), D.hashed(" ".join(w))) for i, w in items]
+    parts = [(D.segment_length(len(h)), len(h), at, s) for _, _, h in known for s, at in D.segments(h)]
+    second = [int(D.placed(np.array([s]), n, at)[0]) for _, n, at, s in parts]
+    lengths = {}
+    for length in {p[0] for p in parts}:
+        ns, ats = zip(*sorted({p[1:3] for p in parts if p[0] == length}), strict=True)
+        lengths[length] = (np.array(ns), np.array(ats))
+    first, second, keys = bits_of([p[3] for p in parts]), bits_of(second), {}
+    for i, text, h in known:
+        for key in D.window_keys(h[None])[0].tolist():
+            keys.setdefault(key, set()).add((i, text))
     asked = []
     for t in texts:
-        doc, places = D.hashed(t), {}
-        for length in range(1, D.LONGEST + 1):
-            for p, h in enumerate(D.runs(doc, length).tolist()):
-                places.setdefault(h, []).append(p)
-        starts = [(i, " ".join(w), sorted({p - at for h, at in D.segments(D.hashed(' '.join(w))) for p in places.get(h, ())})) for i, w in items]
-        asked.append([x for x in starts if x[2]])
+        doc, met = D.hashed(t), {}
+        for n, starts in D.windows_of(doc, lengths, first, second):
+            for start, row in zip(starts.tolist(), D.window_keys(D.cut_windows(doc, n, starts)).tolist(), strict=True):
+                for item in set().union(*(keys.get(k, ()) for k in row)):
+                    met.setdefault(item, set()).add(start)
+        asked.append([(*item, sorted(starts)) for item, starts in met.items()])
     return D.verified(texts, asked)
 
 
@@ -115,6 +134,19 @@ def test_tables(spark):
     assert D.find_leaks(d, bench.limit(0)).count() == 0
 
 
+def test_an_item_of_the_commonest_words(spark):
+    """Short items that hold a run that is everywhere, one text under many ids, and documents full of that run."""
+    rng = random.Random(9)
+    crowd = [(i, " ".join(["of", "the"] * 6 + rng.choices(VOCABULARY, k=20))) for i in range(400)]
+    bench = [(k, " ".join(["of", "the", *rng.choices(VOCABULARY, k=rng.randint(3, 7))])) for k in range(60)] + [(100 + k, "of the one and only text here") for k in range(30)]
+    held = [(1000 + k, f"{' '.join(rng.choices(VOCABULARY, k=9))} {t} tail") for k, t in bench[:60]] + [(5000, "so of the one and only text here")]
+    got = {r[:2] for r in rows(D.find_leaks(docs(spark, crowd + held), spark.createDataFrame(bench, "item_id long, text string")), "doc_id", "item_id")}
+    want = {(1000 + k, k) for k in range(60)} | {(5000, 100 + k) for k in range(30)}
+    assert want <= got
+    texts, items = dict(crowd + held), dict(bench)
+    assert all(brute_distance(D.words_of(items[i]), D.words_of(texts[d])) <= D.edits_allowed(len(items[i].split())) for d, i in got)
+
+
 def test_contained_items_are_all_found(spark, sf_dir):
     from sieveworks.llm.queries import op3_benchmark_decontamination
 
