@@ -247,14 +247,19 @@ def _near_copies(docs: DataFrame, words: int, similarity: float) -> tuple[DataFr
     body = body_of(F.col("text")).alias("body")
     prints = cut(docs.select("doc_id", body, look("text").alias("_l")).select("doc_id", "body", "_l.fp", "_l.keys"))
     distinct = cut(prints.groupBy("fp").agg(F.min(order_of()).alias("least"), F.count("*").alias("n"), F.min("body").alias("body"), F.first("keys").alias("keys")))
-    pairs, crowded = _pairs(distinct.select("fp", F.explode("keys").alias("key")))
-    asked = cut(pairs.select(F.explode(F.array("a", "b")).alias("fp")).union(crowded).distinct().join(distinct.select("fp", "body"), "fp"))
+    pairs, crowds = _pairs(distinct.select("fp", F.explode("keys").alias("key")))
+    asked = cut(pairs.select(F.explode(F.array("a", "b")).alias("fp")).union(crowds.select("fp")).distinct().join(distinct.select("fp", "body"), "fp"))
     # one text of each set that is a candidate
     texts = docs.select("text", body).join(asked.select("body"), "body", "left_semi").groupBy("body").agg(F.first("text").alias("text"))
     sets = cut(texts.join(asked, "body").select("fp", shingles("text").alias("s")))
     links = cut(_verified(pairs, sets, similarity))
-    if crowded.head(1):
-        links = links.union(_verified(_prefix_pairs(sets.join(crowded, "fp", "left_semi"), components(links), similarity), sets, similarity))
+    if crowds.head(1):
+        roots = cut(components(links))
+        # a crowd that the links have made one class has nothing left to be found
+        placed = cut(crowds.join(roots, F.col("fp") == F.col("node"), "left").select("key", "fp", F.coalesce("root", "fp").alias("root")))
+        mixed = placed.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.count("*").alias("n")).filter("least <> most")
+        apart = cut(hot_join(placed, cut(mixed), "key").select("fp").distinct())
+        links = links.union(_verified(_prefix_pairs(sets.join(apart, "fp", "left_semi"), roots, similarity), sets, similarity))
     return prints, distinct, links
 
 
@@ -266,7 +271,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
 
 
 def _pairs(keyed: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Distinct pairs a < b of ``fp`` that share a ``key``; and the ``fp`` of crowded keys, whose pairs aren't all among them.
+    """Distinct pairs a < b of ``fp`` that share a ``key``; and (key, fp) of crowded keys, whose pairs aren't all among them.
 
     All pairs of a key with up to SMALL; in a crowded one each is paired with two that a hash
     picks, other ones for every key, which joins most of a class of very many near copies; what
@@ -279,7 +284,7 @@ def _pairs(keyed: DataFrame) -> tuple[DataFrame, DataFrame]:
     pairs = few.select("fps", F.explode("fps").alias("a")).select("a", F.explode("fps").alias("b"))
     many = cand.filter(F.col("n") > SMALL)
     picked = many.select(F.col("fp").alias("a"), F.explode(F.array("one", "two")).alias("b"))
-    return cut(pairs.filter("a < b").union(picked.filter("a <> b").select(F.least("a", "b"), F.greatest("a", "b"))).distinct()), cut(many.select("fp").distinct())
+    return cut(pairs.filter("a < b").union(picked.filter("a <> b").select(F.least("a", "b"), F.greatest("a", "b"))).distinct()), cut(many.select("key", "fp"))
 
 
 def _prefix_pairs(sets: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
