@@ -38,18 +38,23 @@ def extract_label(c: Column) -> Column:
 
 
 def extract_label_strict(c: Column) -> Column:
-    """A ladder: JSON field in any short form, label in the text, a lone A-C, a lone L/R/C, a lone 0-2; else null."""
-    t = normalise_quotes(F.coalesce(c, F.lit("")))
-    body = F.regexp_extract(t, r"(?s)\{.*\}", 0)
-    values = []
-    for key in LABEL_KEYS:
-        v = strip(json_text(body, key))
-        values.append(F.coalesce(_lookup(v, DIGITS), _lookup(F.upper(v), {**LRC, **ABC}), F.when(v.isin(LABELS), v)))
-    lone = lambda s, marks: F.regexp_extract(s, rf"(?<![\p{{L}}\p{{N}}_])([{marks}])(?![\p{{L}}\p{{N}}_])", 1)
-    anywhere = F.regexp_extract(t, "|".join(LABELS), 0)
-    return F.coalesce(
-        *values, F.when(anywhere != "", anywhere), _lookup(lone(F.upper(t), "ABC"), ABC), _lookup(lone(F.upper(t), "LRC"), {**LRC, "C": ABC["C"]}), _lookup(lone(t, "0-2"), DIGITS)
-    )
+    """A ladder: JSON field in any short form, label in the text, a lone A-C, a lone L/R/C, a lone 0-2; else null.
+
+    A rung looks at the text only if those above have found nothing, and the lone marks only if there is any.
+    """
+    alone = lambda marks: rf"(?<![\p{{L}}\p{{N}}_])([{marks}])(?![\p{{L}}\p{{N}}_])"
+    lone = lambda s, marks: F.regexp_extract(s, alone(marks), 1)
+    named = lambda v: F.coalesce(_lookup(v, DIGITS), _lookup(F.upper(v), {**LRC, **ABC}), F.when(v.isin(LABELS), v))
+    short = lambda body, key: once(strip(json_text(body, key)), named)
+    fields = lambda body: F.when(body != "", F.coalesce(*[short(body, key) for key in LABEL_KEYS]))
+    anywhere = lambda t: once(F.regexp_extract(t, "|".join(LABELS), 0), lambda x: F.when(x != "", x))
+
+    def marks(t: Column) -> Column:
+        upper = lambda u: F.coalesce(_lookup(lone(u, "ABC"), ABC), _lookup(lone(u, "LRC"), {**LRC, "C": ABC["C"]}))
+        return F.when(t.rlike(alone("ABCLRabclr0-2")), F.coalesce(once(F.upper(t), upper), _lookup(lone(t, "0-2"), DIGITS)))
+
+    braces = lambda t: F.when(F.contains(t, F.lit("{")), F.regexp_extract(t, r"(?s)\{.*\}", 0)).otherwise("")
+    return once(normalise_quotes(F.coalesce(c, F.lit(""))), lambda t: F.coalesce(once(braces(t), fields), anywhere(t), marks(t)))
 
 
 def balanced_json(c: Column) -> Column:

@@ -64,8 +64,17 @@ def averages(pairs: DataFrame, labels: list[str] | None = None) -> DataFrame:
 
 
 def report_text(pairs: DataFrame) -> DataFrame:
-    """label and a fixed-width line of its figures."""
-    return class_report(pairs).select("label", F.format_string("%12.4f%12.4f%12.4f%12d", "precision", "recall", "f1", "support").alias("line"))
+    """label and a fixed-width line of its figures; after the classes accuracy, macro avg and weighted avg, over all rows."""
+    report = class_report(pairs)
+    line = lambda *c: F.format_string("%12.4f%12.4f%12.4f%12d", *c)
+    classes = report.select("label", line("precision", "recall", "f1", "support").alias("line"))
+    cols = ["precision", "recall", "f1"]
+    total = F.sum("support")
+    weighted = [F.coalesce(F.try_divide(F.sum(F.col(c) * F.col("support")), total), F.lit(0.0)) for c in cols]
+    correct = F.coalesce(F.try_divide(F.sum(F.col("recall") * F.col("support")), total), F.lit(0.0))
+    lines = {"accuracy": F.format_string("%24s%12.4f%12d", F.lit(""), correct, total), "macro avg": line(*[F.avg(c) for c in cols], total), "weighted avg": line(*weighted, total)}
+    ends = report.agg(*[x.alias(name) for name, x in lines.items()], F.count("*").alias("_n")).filter("_n > 0")
+    return classes.unionByName(ends.select(F.explode(F.create_map(*[c for name in lines for c in (F.lit(name), F.col(f"`{name}`"))])).alias("label", "line")))
 
 
 def compare_models(results: DataFrame, focus: str) -> DataFrame:

@@ -7,6 +7,7 @@ back through the library's own readers. Models are stand-ins whose replies SQL c
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import parsing as P
@@ -190,7 +191,11 @@ def results_report(spark, sf_dir):
     return evaluation.report(_two_methods(spark, sf_dir)).select("method", *_METRIC_NAMES, "mrr")
 
 
-@query(f"with {_PRF} select label, printf('%12.4f%12.4f%12.4f%12d', precision, recall, f1, support) as line from prf")
+@query(f"""
+with {_PRF}, t as (select sum(support) as n, sum(recall * support) / sum(support) as acc, avg(precision) as mp, avg(recall) as mr, avg(f1) as mf, sum(precision * support) / sum(support) as wp, sum(f1 * support) / sum(support) as wf from prf)
+select label, printf('%12.4f%12.4f%12.4f%12d', precision, recall, f1, support) as line from prf union all select 'accuracy', printf('%24s%12.4f%12d', '', acc, n::bigint) from t
+union all select 'macro avg', printf('%12.4f%12.4f%12.4f%12d', mp, mr, mf, n::bigint) from t union all select 'weighted avg', printf('%12.4f%12.4f%12.4f%12d', wp, acc, wf, n::bigint) from t
+""")
 def class_report_text(spark, sf_dir):
     return classification.report_text(_pairs(spark, sf_dir))
 
@@ -567,7 +572,15 @@ def answer_quality(spark, sf_dir):
     """The bundle of means over all inference files: a row each."""
     letters = lambda c: X.letter_counts(c)
     swap = F.replace(F.replace("reply", F.lit("ber"), F.lit("不一致")), F.lit("er"), F.lit("一致"))
-    rows = _qa(spark, sf_dir).select(F.concat(F.lit("f"), (F.col("conv_id") % 3).cast("string")).alias("file"), _id().alias("idx"), (F.col("conv_id") % 3 != 1).alias("use_rag"), "question", F.col("reply").alias("answer"), swap.alias("judgement"))
+    given = _qa(spark, sf_dir)
+    kind = (F.col("conv_id") % 3).cast("string")
+    config = F.struct(F.concat(F.lit("f"), kind).alias("model"), (kind != "1").alias("use_rag"), F.lit("RRF").alias("retriever"), F.lit(3).alias("top_k"))
+    number = F.row_number().over(W.partitionBy(kind, F.crc32(_id()) % 64).orderBy("conv_id", "turn")) * 64 + F.crc32(_id()) % 64  # any number tells results apart
+    results = given.select(config.alias("config"), number.alias("idx"), "question", F.col("reply").alias("ground_truth"), F.col("reply").alias("generated_answer"), F.array(_id()).alias("contexts"), (kind != "1").alias("use_rag"))
+    path = shared_folder(spark)
+    writers.inference(results, path)
+    found = readers.inference_files(spark, path).withColumnRenamed("generated_answer", "reply")
+    rows = found.select(F.col("config.model").alias("file"), F.col("contexts")[0].alias("idx"), "use_rag", "question", F.col("reply").alias("answer"), swap.alias("judgement"))
     results = rows.withColumns({"question_vector": letters(F.col("question")), "answer_vector": letters(F.col("answer")), "gold_vector": letters(F.concat("question", "answer"))})
     statements = rows.select("file", "idx", F.explode(F.split("answer", r"\. ")).alias("s")).select("file", "idx", F.contains("s", F.lit("the")).cast("int").alias("verdict"))
     again = F.array("answer", F.reverse("question"), F.concat(F.upper("answer"), "question"))
