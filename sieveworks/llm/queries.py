@@ -114,4 +114,52 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op13_periodic_runs": op13_periodic_runs,
 }
 
-ORACLES: dict[str, str] = {}
+#: The places of the grammar, 1 to 4: at the start, after a system row, after a user row, after an answer. A cell is (c, a): cost and audit.
+_ADD = "{{'c': {0}.c + {1}, 'a': {0}.a || '{2}'}}"
+_INSERTED = (
+    "[s[1], s[2], list_min([s[3], " + ", ".join(_ADD.format(f"s[{p}]", 5, "I") for p in (1, 2, 4)) + "]), list_min([s[4], " + _ADD.format("s[3]", 5, "I") + ", " + ", ".join(_ADD.format(f"s[{p}]", 10, "II") for p in (1, 2)) + "])]"
+)
+_KEPT = "{{'c': s[{0}].c + x.m + (x.k <> '{1}')::int, 'a': s[{0}].a || case when x.k = '{1}' then 'K' else 'R' end}}"
+_NONE = "{'c': 1000000000::bigint, 'a': ''}"
+_STEPPED = (
+    "[" + _ADD.format("s[1]", 2, "D") + ", list_min([" + _ADD.format("s[2]", 2, "D") + f", case when x.k = 's' and not x.gone then {{'c': s[1].c + x.m, 'a': s[1].a || 'K'}} else {_NONE} end]), "
+    "case when x.gone then " + _ADD.format("s[3]", 2, "D") + " else list_min([" + _ADD.format("s[3]", 2, "D") + ", " + ", ".join(_KEPT.format(p, "u") for p in (1, 2, 4)) + "]) end, "
+    "case when x.gone then " + _ADD.format("s[4]", 2, "D") + " else list_min([" + _ADD.format("s[4]", 2, "D") + ", " + _KEPT.format(3, "a") + "]) end]"
+)
+_DUE = "case when s.p = 3 then 'assistant' else 'user' end"
+_SPACES = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+ORACLES: dict[str, str] = {
+    "op5_warc": """
+with p as (select page_id, coalesce(html, '') as body, strlen(coalesce(html, '')) as n from pages), f as (select *, max(page_id) over (partition by body) as first from p)
+select page_id, n::bigint as payload_bytes, sha1(body) as payload_digest, case when n >= 1000 and page_id <> first then 'revisit' else 'response' end as record_type, case when n >= 1000 and page_id <> first then first end as refers_to from f
+""",
+    "op10_url_filter": f"""
+with r(rule_host, rule_path, verdict) as (values {', '.join(map(str, URL_RULES))}),
+a as (select page_id, url, case when contains(url, '://') then substr(url, strpos(url, '://') + 3) else '' end as rest from pages),
+b as (select page_id, rest, regexp_extract(rest, '^[^/?#]*') as raw from a),
+u as (select row_number() over () as k, page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host, regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') as path from b),
+m as (select k, rule_host || rule_path as rule, verdict, row_number() over (partition by k order by length(rule_host) + length(rule_path) desc, length(rule_host) desc) as place
+  from u join r on (host = rule_host or ends_with(host, '.' || rule_host)) and starts_with(path, rule_path))
+select page_id, host, path, rule, coalesce(verdict, 'allow') as verdict from u left join (select * from m where place = 1) using (k)
+""",
+    "op11_conversation_repair": f"""
+with tbl as materialized (select list_transform(range(256), lambda n: list_reduce(range(8), lambda c, i: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end, n)) as t),
+o as (select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text, coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' ') as key from conversations),
+f as (select o.*, xor(list_reduce([ord(x) for x in string_split(key, '')], lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295::bigint), 4294967295::bigint) % 20 as f from o, tbl),
+d as (select conv_id, turn, case when f = 4 then 'user' else role end as role, case when f = 1 then '' when f = 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text, unnest(range(case f when 0 then 0 when 3 then 2 else 1 end)) as copy from f),
+n as (select *, row_number() over (partition by conv_id order by turn nulls first, role, md5(coalesce(conv_id::varchar, chr(9)) || chr(10) || length(role) || chr(10) || role || chr(10) || text), copy) as i from d),
+m as (select *, rtrim(text, {_SPACES}) as bare, row_number() over (partition by conv_id, role, text order by i) > 1 as again, lag(left(role, 1)) over (partition by conv_id order by i) as prior from n),
+r as (select *, bare = '' as blank, bare <> '' and again as duplicate, bare <> '' and not again and right(bare, 1) not in ('.', '!', '?') as truncated from m),
+g as materialized (select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count(*) filter (blank) as blank, count(*) filter (duplicate) as duplicate, count(*) filter (truncated) as truncated,
+  count(*) filter (prior is not null and prior || left(role, 1) not in ('su', 'ua', 'au')) as illegal, list(role order by i) as roles, list(text order by i) as texts,
+  list({{'k': left(role, 1), 'm': case when truncated then 5 else 0 end, 'gone': blank or duplicate}} order by i) as rows from r group by conv_id),
+a as (select g.*, list_reduce(rows, lambda s0, x: list_transform([s0], lambda s1: list_transform([{_INSERTED.replace('s[', 's1[')}], lambda s: {_STEPPED})[1])[1], [{{'c': 0::bigint, 'a': ''}}, {_NONE}, {_NONE}, {_NONE}]) as s from g),
+e as (select * exclude (s), list_transform([{_INSERTED}], lambda z: list_min([z[1], z[4]]))[1] as best from a),
+p as (select *, list_reduce(string_split(best.a, ''), lambda s, x: case when x = 'D' then {{'i': s.i + 1, 'p': s.p, 'o': s.o}}
+  when x = 'K' then {{'i': s.i + 1, 'p': case left(roles[s.i], 1) when 's' then 2 when 'u' then 3 else 4 end, 'o': s.o || case when s.p > 1 then chr(10) else '' end || roles[s.i] || ':' || texts[s.i]}}
+  else {{'i': s.i + (x = 'R')::int, 'p': case when s.p = 3 then 4 else 3 end, 'o': s.o || case when s.p > 1 then chr(10) else '' end || {_DUE} || ':' || case when x = 'R' then texts[s.i] else '' end}} end, {{'i': 1, 'p': 1, 'o': ''}}) as z from e)
+select c.conv_id, coalesce(gaps, 0) as gaps, coalesce(blank, 0) as blank, coalesce(duplicate, 0) as duplicate, coalesce(truncated, 0) as truncated, coalesce(illegal, 0) as illegal, coalesce(best.c, 0) as cost, coalesce(best.a, '') as audit, sha256(coalesce(z.o, '')) as repaired_sha256
+from (select distinct conv_id from conversations) c left join p on c.conv_id is not distinct from p.conv_id
+""",
+}

@@ -149,3 +149,4 @@ def test_repaired_rows_are_well_formed(spark, sf_dir):
         roles = roles[1:] if roles[0] == "s" else roles
         assert roles == ["u", "a"] * (len(roles) // 2) and roles
         assert all(r.text == "" for r in mine if r.edit == "I")
+
