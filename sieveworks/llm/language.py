@@ -83,7 +83,9 @@ def profile(text: str | None) -> np.ndarray:
 def learn_profiles(docs: DataFrame) -> dict[str, np.ndarray]:
     """Profile of each language, from all documents outside the held-out fold with a language.
 
-    Counts are summed by Spark; TOP rows per language reach the driver.
+    Counts are summed by Spark; TOP rows per language reach the driver. Repeated rows count as often
+    as they stand, grams of equal counts go by their code, an empty table gives no profile, and columns other than
+    doc_id, text and lang are not looked at.
     """
     small_batches(docs.sparkSession)
     training = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"))).select("text", "lang")
@@ -134,6 +136,8 @@ def identify(docs: DataFrame, profiles: dict[str, np.ndarray]) -> DataFrame:
 
     ``score`` is 1 less the mean out-of-place distance to the language named. A text that is
     null or has no letter is ``und`` with score 0, as is every text if no profile was learned.
+    Texts of any length are counted whole, equal texts have equal rows (of languages equally near the first by name is
+    named), an empty table gives no rows, and other columns are not looked at.
     """
     spark = docs.sparkSession
     small_batches(spark)

@@ -122,8 +122,9 @@ def fit(docs: DataFrame, labels: DataFrame, rounds: int = 300, rate: float = 1.0
     """Learn from the labelled documents outside the held-out fold.
 
     Sampled rows weigh as many rows as they stand for, so that a score of 0.5 means the same
-    whatever the sample. Without training rows of both labels every text scores 0 (none is known
-    to be toxic).
+    whatever the sample. Without training rows of both labels, as of empty tables, every text scores 0 (none is known
+    to be toxic). Repeated rows count as often as they stand, texts are read whole, and columns other than doc_id,
+    text and toxic are not looked at.
     """
     small_batches(docs.sparkSession)
     training = cut(_training(docs, labels))  # texts meet their labels once
@@ -164,7 +165,10 @@ def scorer(spark: SparkSession, model: Model) -> Callable[[str], Column]:
 
 
 def score_documents(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, score, a row per row of ``docs``; null and empty texts score as empty ones."""
+    """doc_id, score, a row per row of ``docs``; null and empty texts score as empty ones.
+
+    Texts of any length are scored whole and equal ones alike; an empty table gives no rows.
+    """
     return docs.select("doc_id", scorer(docs.sparkSession, model)("text").alias("score"))
 
 

@@ -52,7 +52,8 @@ def judge_urls(urls: DataFrame, rules: DataFrame, default: str = "allow", sweep:
     repeat a host and path count once, as ``block`` if any says so. Rules without a host or
     path are left out. A null url, or one without ``://``, has an empty host and path, which no
     rule fits; then ``rule`` is null and the verdict is ``default``. Repeated rows and page ids
-    each keep their own row. Without rules every url gets ``default``.
+    each keep their own row. Without rules every url gets ``default``. Urls of any length are judged whole, other
+    columns than page_id and url are not looked at, and an empty table gives no rows.
     """
     r = rules.filter("host is not null and path is not null and host <> ''").select(F.translate("host", _UPPER, _LOWER).alias("rule_host"), F.col("path").alias("rule_path"), "verdict")
     r = r.groupBy("rule_host", "rule_path").agg(F.max("verdict").alias("verdict"))  # 'block' > 'allow'

@@ -105,7 +105,8 @@ def write_archives(pages: DataFrame, path: str, level: int = 6) -> None:
     """Write a record per row of ``pages`` (page_id, url, html) to archives in the folder ``path``.
 
     A null html is an empty payload, a null url leaves its field out, and a null page_id is
-    marked unknown; such a page is always a response. An empty table writes no record.
+    marked unknown; such a page is always a response. An empty table writes no record. Repeated rows are
+    records of their own, a payload of any length is one record, and other columns are not looked at.
     """
     spark = pages.sparkSession
     small_batches(spark)

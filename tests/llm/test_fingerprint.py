@@ -4,7 +4,7 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
-from sieveworks.llm.fingerprint import document_fingerprints, with_next
+from sieveworks.llm.fingerprint import as_text, document_fingerprints, with_next
 
 from .util import docs
 
@@ -89,3 +89,27 @@ def test_next_over_many_ranges(spark):
     got = {r.i: r.next_i for r in with_next(ids, ["i"]).collect()}
     want = list(range(0, 3000, 7))
     assert got == dict(zip(want, want[1:] + want[:1], strict=True))
+
+
+def test_query_equals_a_plain_loop(spark, sf_dir):
+    """The registered query: edited texts by hand, whose fingerprints are those of documents with such texts."""
+    from sieveworks.llm.queries import op1_fingerprints
+
+    table = sorted((r.doc_id, r.text or "") for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect())
+    df = op1_fingerprints(spark, sf_dir)
+    kinds = dict(df.dtypes)
+    assert [kinds[c] for c in ("n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")] == ["bigint", "string", "string", "string", "double", "double"]
+    got = {r.doc_id: r for r in df.collect()}
+    assert got.keys() == {d for d, _ in table} and len(got) == len(table)
+    edited = {}
+    for (d, text), (_, after) in zip(table, table[1:] + table[:1], strict=True):
+        n = len(text) // 4
+        edited[d] = text[: len(text) - n] + after[:n]
+    again = {r.doc_id: r.fingerprint for r in document_fingerprints(docs(spark, list(edited.items()))).withColumn("fingerprint", as_text(F.col("fingerprint"))).collect()}
+    words = lambda fp: [fp[i : i + 4] for i in range(0, len(fp), 4)]
+    alike = lambda a, b: sum(x == y for x, y in zip(words(a), words(b), strict=True)) / len(words(a))
+    for (d, text), (following, _) in zip(table, table[1:] + table[:1], strict=True):
+        r = got[d]
+        assert (r.n_chars, r.edited_sha256) == (len(text), hashlib.sha256(edited[d].encode()).hexdigest())
+        assert r.edited_fingerprint == again[d]
+        assert abs(r.near_edited - alike(r.fingerprint, r.edited_fingerprint)) < 1e-9 and abs(r.near_next - alike(r.fingerprint, got[following].fingerprint)) < 1e-9
