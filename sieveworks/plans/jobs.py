@@ -17,12 +17,13 @@ from ..functions import text as X
 from ..operators import classification, curation, dense, evaluation, fusion, judging, providers, rewriting, running, sparse
 from ..sources import readers, writers
 from ..storage import cut, shared_folder, spread
+from . import corpus as corpora
 from . import experiments
 from .engine import Method
 from .queries import (  # noqa: F401
     ORACLES, QUERIES,
     _AS_STATUTE, _BM25, _DENSE, _GUARD, _GUARD_SMALL, _MEANS, _NUM, _OUT, _PRED, _PRF, _QA, _RERANK, _STRICT, _STRIP, _UNION, _as_statute, _asked_vectors, _bm25, _dense, _measure, _outputs, _pairs, _per, _qa, _vectors,
-    asked, corpus, han, han_sql, hybrid_engine, query, table,
+    asked, corpus, han, han_sql, hybrid_engine, query, split_sources, table,
 )
 
 
@@ -243,6 +244,25 @@ def index_build(spark, sf_dir):
     return vectors.config.crossJoin(counts).select("model", "dimension", "num_chunks", "postings", "terms", "n", "avgdl")  # one row each
 
 
+_KINDS = {"statutes": "statute_split", "textbooks": "textbook_split", "articles": "article_split", "forum": "qa_split"}
+
+
+@query(
+    "with s0 as (" + ORACLES["statute_split"] + "), s1 as (" + ORACLES["textbook_split"] + "), s2 as (" + ORACLES["article_split"] + "), s3 as (" + ORACLES["qa_split"] + "), every as ("
+    + " union all ".join(f"select {i} as o, doc_ord::varchar as doc_ord, chunk_no, text, source, title, section from s{i}" for i in range(4))
+    + ") select row_number() over (order by o, doc_ord, chunk_no) - 1 as chunk_id, text, source, title, section, " + f"{len(X.LETTERS)} as dimension, "
+    + r"len(list_distinct([w for w in string_split_regex(lower(text), '[^\p{L}\p{N}]+') if length(w) > 1]))::bigint as terms from every"
+)
+def corpus_build(spark, sf_dir):
+    """Four kinds of sources to one chunk table and both indexes, all written and read back: each chunk, its vector's width and its postings."""
+    path = shared_folder(spark)
+    corpora.build({kind: split_sources(spark, sf_dir)[kind] for kind in _KINDS}, path, dense.letter_encoder, "letters")
+    engine = corpora.load(spark, path, dense.letter_encoder)
+    terms = engine.index.postings.groupBy("chunk_id").agg(F.count("*").alias("terms"))
+    both = engine.chunks.join(engine.vectors.select("chunk_id", F.size("embedding").alias("dimension")), "chunk_id").join(terms, "chunk_id", "left")
+    return both.select("chunk_id", "text", "source", "title", "section", "dimension", F.coalesce("terms", F.lit(0)).alias("terms"))
+
+
 _ENGINE_LEGS = _RERANK + f", {_UNION.replace('un as', 'un as materialized')}, uu as (select query_id, chunk_id, row_number() over (partition by query_id order by o) as rank from un)"
 
 

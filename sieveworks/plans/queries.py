@@ -851,8 +851,19 @@ t as (select doc_id, i, j, section, unnest(ts) as t, generate_subscripts(ts, 1)
 select doc_id as doc_ord, row_number() over (partition by doc_id order by i, j, k) - 1 as chunk_no, t as text, 'statute' as source, '法' as title, section from t where t <> '' and not {_PURE}
 """)
 def statute_split(spark, sf_dir):
-    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return chunking.statute_chunks(docs.select(F.col("doc_id").alias("doc_ord"), F.concat(F.lit("法\n"), _as_statute(F.col("text"))).alias("text")))
+    return chunking.statute_chunks(split_sources(spark, sf_dir)["statutes"])
+
+
+def split_sources(spark, sf_dir) -> dict[str, DataFrame]:
+    """doc_ord, text of the four kinds of sources, made of the given tables."""
+    docs = spread(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc_ord"), "source", "text"))
+    book = F.concat(F.lit("【"), "source", F.lit("】\n\n"), F.regexp_replace(_as_statute(F.col("text")), "\n", "\n\n"))
+    qa = _qa(spark, sf_dir)
+    reply = chunking.qa_text(F.substring_index("question", "\n", 1), F.col("question"), F.replace("reply", F.lit("."), F.lit("。")))
+    return {
+        "statutes": docs.select("doc_ord", F.concat(F.lit("法\n"), _as_statute(F.col("text"))).alias("text")), "textbooks": docs.select("doc_ord", book.alias("text")),
+        "articles": docs.select("doc_ord", F.replace("text", F.lit("."), F.lit("。")).alias("text")), "forum": qa.select(F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("doc_ord"), reply.alias("text")),
+    }
 
 
 _FOLD_BOOK = _fold("ps", "nn", _HARD).replace("chr(10)", "chr(10) || chr(10)")
@@ -868,9 +879,7 @@ select doc_id as doc_ord, row_number() over (partition by doc_id order by i, k)
 where t <> '' and not {_PURE} and not regexp_matches(t, '^【[^\n]+】$')
 """)
 def textbook_split(spark, sf_dir):
-    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
-    text = F.concat(F.lit("【"), "source", F.lit("】\n\n"), F.regexp_replace(_as_statute(F.col("text")), "\n", "\n\n"))
-    return chunking.book_chunks(docs.select(F.col("doc_id").alias("doc_ord"), text.alias("text")))
+    return chunking.book_chunks(split_sources(spark, sf_dir)["textbooks"])
 
 
 def _pieces_sql(rows: str, keep: str) -> str:
@@ -888,8 +897,7 @@ with b as (select doc_id, {_STRIP.format("replace(text, '.', '。')")} as b, {_S
 select doc_id as doc_ord, chunk_no, text, 'article' as source, replace(left({_STRIP.format('string_split(whole, chr(10))[1]')}, 50), '.', '。') as title, null::varchar as section from pieces
 """)
 def article_split(spark, sf_dir):
-    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return chunking.article_chunks(docs.select(F.col("doc_id").alias("doc_ord"), F.replace("text", F.lit("."), F.lit("。")).alias("text")))
+    return chunking.article_chunks(split_sources(spark, sf_dir)["articles"])
 
 
 @query(f"""
@@ -899,6 +907,4 @@ k as (select * from b where length({_STRIP.format('answer')}) >= 10), {_pieces_s
 select doc_ord, chunk_no, text, 'law_qa' as source, title, null::varchar as section from pieces
 """)
 def qa_split(spark, sf_dir):
-    qa = _qa(spark, sf_dir)
-    text = chunking.qa_text(F.substring_index("question", "\n", 1), F.col("question"), F.replace("reply", F.lit("."), F.lit("。")))
-    return chunking.qa_chunks(qa.select(F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("doc_ord"), text.alias("text")))
+    return chunking.qa_chunks(split_sources(spark, sf_dir)["forum"])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,6 +13,7 @@ from pyspark.sql import types as T
 from .. import schemas as S
 from ..functions import text as X
 from ..operators.chunking import qa_text
+from ..storage import shared_folder
 
 #: The encodings tried in turn.
 ENCODINGS = ("utf-8", "gbk", "gb18030")
@@ -67,6 +70,14 @@ def decode_first(content: Column) -> Column:
     return F.coalesce(F.when(F.is_valid_utf8(content.cast("string")), content.cast("string")), decode(content))
 
 
+def _decoded(encoding: str) -> Callable[[Column], Column]:
+    @F.pandas_udf("string")
+    def decode(series: pd.Series) -> pd.Series:
+        return series.map(lambda b: None if b is None else b.decode(encoding, "ignore").removesuffix("\n"))
+
+    return lambda c: decode(c)
+
+
 def textbooks(spark: SparkSession, path: str) -> DataFrame:
     """title, text of the ``*.txt`` in one folder; the text begins with the title in 【】."""
     name = F.regexp_extract(F.url_decode("path"), r"([^/]+)\.txt$", 1)
@@ -75,9 +86,10 @@ def textbooks(spark: SparkSession, path: str) -> DataFrame:
 
 
 def probe_encoding(spark: SparkSession, path: str) -> str:
-    """The first of ENCODINGS that reads the first line of a text file, else UTF-8."""
+    """The first of ENCODINGS that reads the whole lines at the start of a text file, else UTF-8."""
     head = spark.read.format("binaryFile").load(path).select(F.substring("content", 1, 1 << 16).alias("head")).first()
-    line = bytes(head["head"]).split(b"\n")[0] if head else b""
+    start = bytes(head["head"]) if head else b""
+    line = start[: start.rfind(b"\n") + 1] or start
     for name in ENCODINGS:
         try:
             line.decode(name)
@@ -90,10 +102,15 @@ def probe_encoding(spark: SparkSession, path: str) -> str:
 def forum_qa(spark: SparkSession, path: str, encoding: str | None = None) -> DataFrame:
     """title, text of a CSV with title, question and reply; rows without title or reply go.
 
-    Without ``encoding`` the first line tells which of ENCODINGS it is.
+    Without ``encoding`` the first lines tell which of ENCODINGS it is. Bytes that it doesn't read are left out.
     """
-    encoding = encoding or probe_encoding(spark, path)
-    rows = spark.read.schema(S.QA).options(header=True, multiLine=True, encoding=encoding.upper(), escape='"', enforceSchema=False).csv(path)
+    encoding = (encoding or probe_encoding(spark, path)).lower()
+    if encoding not in ("utf-8", "utf-8-sig"):  # others Spark's CSV reader doesn't know: the files, of which each is a row here, are written anew
+        files = spark.read.format("binaryFile").load(path).select(_decoded(encoding)(F.col("content")).alias("value"))
+        path = shared_folder(spark)
+        files.write.text(path)
+    rows = spark.read.schema(S.QA).options(header=True, multiLine=True, escape='"', enforceSchema=False).csv(path)
+    rows = rows.select(*[F.replace(c, F.lit("\ufffd"), F.lit("")).alias(c) for c in rows.columns])
     clean = rows.select(*[X.strip(F.coalesce(c, F.lit(""))).alias(c) for c in ("title", "question", "reply")])
     return clean.filter("title <> '' and reply <> ''").select("title", qa_text(F.col("title"), F.col("question"), F.col("reply")).alias("text"))
 

@@ -119,3 +119,29 @@ def test_experiments_share_their_legs(spark):
     got = {r.tag: (r.hit_1, r.recall_5, r.mrr) for r in rows}
     assert got == {"Dense_x": (0, 0, 0), "BM25_x": (0, 0.5, 0.5), "Union_x": (0, 0.5, 0.25), "RRF_x": (0, 0.5, 0.25), "Dense_y": (1, 0.5, 1), "RRF+Rerank_x_by number": (1, 0.5, 1)}
     assert fusion.rerank  # what reranks them
+
+
+def test_from_files_to_answers_on_the_command_line(spark, tmp_path, capsys):
+    from sieveworks import __main__ as cli
+
+    (tmp_path / "law/sub").mkdir(parents=True)
+    (tmp_path / "law/a.md").write_text("# 合同法\n\n第一条 合同成立。\n\n第二条 当事人应当履行义务。\n")
+    (tmp_path / "law/sub/b.md").write_text("**劳动法**\n\n第一条 劳动者享有休息的权利。\n")
+    (tmp_path / "books").mkdir()
+    (tmp_path / "books/民法教程.txt").write_bytes("第一章 总则\n\n民法调整平等主体之间的关系。".encode("gbk"))
+    (tmp_path / "articles.jsonl").write_text('{"input": "什么是违约责任", "answer": "违约责任是违反合同的后果。"}\n{broken\n')
+    (tmp_path / "forum.csv").write_bytes('title,question,reply\n离婚财产如何分割呢大家,"我想问, 怎么分",一般由双方协商处理，不成由法院判决。\n'.encode("gb18030"))
+    kinds = {"statutes": "law", "textbooks": "books", "articles": "articles.jsonl", "forum": "forum.csv"}
+    index = str(tmp_path / "index")
+    assert cli.main(["build", index, *[f"{k}={tmp_path / p}" for k, p in kinds.items()]]) == 0
+    chunks = [(r.source, r.title) for r in spark.read.json(f"{index}/chunks").orderBy("chunk_id").collect()]
+    assert list(dict.fromkeys(chunks)) == [("statute", "合同法"), ("statute", "劳动法"), ("textbook", "民法教程"), ("article", "什么是违约责任"), ("law_qa", "离婚财产如何分割呢大家")]
+    capsys.readouterr()
+    assert cli.main(["search", index, "当事人应当履行义务", "2", "BM25"]) == 0
+    assert "第二条 当事人应当履行义务" in capsys.readouterr().out
+    assert cli.main(["evaluate", index, "law_qa", "5", "3"]) == 0
+    said = capsys.readouterr().out
+    assert all(f"|{m} " in said for m in ("Dense", "BM25", "Union", "RRF"))
+    assert cli.main(["build", index]) == cli.main(["search"]) == cli.main([]) == 2
+    with pytest.raises(ValueError, match="unknown kinds"):
+        cli.main(["build", index, "poems=x"])
