@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 _MARKED: set[str] = set()
+#: The tables written so far in each `settle` that is going on, the innermost last.
+_OPEN: list[list[str]] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -41,10 +44,27 @@ def cut(df: DataFrame) -> DataFrame:
     costs no more than the tasks it held, and Spark knows the table's real size.
     """
     path = shared_folder(df.sparkSession)
+    if _OPEN:
+        _OPEN[-1].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def settle(spark: SparkSession, make: Callable[[], DataFrame]) -> DataFrame:
+    """`cut` of what ``make`` returns; the tables that it has cut on the way go once that is written, or if it fails."""
+    _OPEN.append([])
+    try:
+        out = make()
+        path = shared_folder(spark)
+        out.write.parquet(path)
+    finally:
+        for own in _OPEN.pop():
+            delete(spark, own)
+    if _OPEN:
+        _OPEN[-1].append(path)
+    return spark.read.schema(out.schema).parquet(path)
+
+
 def _path(spark: SparkSession, path: str) -> tuple:
     there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), there
