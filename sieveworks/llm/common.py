@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..storage import cut, shared_folder
+from ..storage import cut, settle, shared_folder
 
 #: Rows in an Arrow batch that a Python task holds at once; long texts need small batches.
 BATCH_ROWS = 1000
 #: A key with more rows than this share of all, and than this many, is joined apart from the others.
 HOT_SHARE, HOT_ROWS = 1e-4, 100_000
 
-__all__ = ["body_of", "cut", "held_out", "hot_join", "named_rows", "order_of", "partitions", "repeated", "same_row", "shared_folder", "small_batches", "table", "unpacked"]
+__all__ = ["body_of", "cut", "held_out", "hot_join", "named_rows", "order_of", "partitions", "repeated", "same_row", "settle", "shared_folder", "small_batches", "table", "unpacked"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

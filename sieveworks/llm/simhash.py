@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import body_of, cut, hot_join, named_rows, order_of, same_row, small_batches, unpacked
+from .common import body_of, cut, hot_join, named_rows, order_of, same_row, settle, small_batches, unpacked
 
 #: The generator polynomial of the binary Golay code, and the segments (shift, bits).
 GENERATOR = 0b101011100011
@@ -155,7 +155,7 @@ def components(links: DataFrame) -> DataFrame:
     logarithm of the largest component. Every round is cut; nothing is gathered on the driver, and
     nodes with very many links (the least of a large component) are joined apart.
     """
-    edges = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
+    spark = links.sparkSession
 
     def large(e: DataFrame, count: int) -> DataFrame:
         both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -170,14 +170,19 @@ def components(links: DataFrame) -> DataFrame:
     def state(e: DataFrame) -> tuple:
         return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
-    before = state(edges)
-    while before[0]:
-        hung = large(edges, before[0])  # as many at most as there were
-        edges = cut(small(hung, before[0]))
-        after = state(edges)
-        if after == before:
-            break
-        before = after
+    def contracted() -> DataFrame:
+        edges = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
+        before = state(edges)
+        while before[0]:
+            hung = large(edges, before[0])  # as many at most as there were
+            edges = cut(small(hung, before[0]))
+            after = state(edges)
+            if after == before:
+                break
+            before = after
+        return edges
+
+    edges = settle(spark, contracted)  # the rounds' own tables go
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select("v", "v").distinct())
 
 
