@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from sieveworks.llm import decontaminate, lines, packing, simhash, toxicity
-from sieveworks.llm.common import cut, table
+from sieveworks.llm.common import settle, table
 from sieveworks.llm.queries import tokenizer
 
 
@@ -57,5 +57,5 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir))
+        docs = settle(spark, lambda stage=stage, docs=docs: stage(spark, docs, sf_dir))  # a stage's own tables go with it
     return STAGES[-1][1](spark, docs, sf_dir)
