@@ -26,6 +26,8 @@ misses no pair.
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
@@ -45,6 +47,8 @@ DISTANCE = 2
 SMALL = 48
 #: Groups of minima, and minima in each.
 BANDS, ROWS = 16, 5
+#: Size of the sketch that says which shingles are common in crowds.
+SKETCH_BITS = 20
 _rng = np.random.default_rng(11)
 #: Random orders of shingles: a hash is mixed by a XOR and an odd factor.
 MIX, FACTOR = _rng.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64), _rng.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -295,22 +299,43 @@ def _pairs(keyed: DataFrame) -> tuple[DataFrame, DataFrame]:
 def _prefix_pairs(sets: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
     """Pairs (a, b) of ``sets`` (fp, s) with different ``roots`` (node, root) that may be similar; no similar pair is missing.
 
-    The shingles of a set are put in one order, rare ones first. Of two similar sets of n >= m
+    The shingles of a set are put in one order, rare ones first (by a sketch of 2**SKETCH_BITS counts; any order is exact). Of two similar sets of n >= m
     shingles, which share at least t / (1 + t) (n + m), the first n - ceil(t n) + 1 of the larger and
     the first m - ceil(2 t / (1 + t) m) + 1 of the smaller have one in common. What a crowd of texts
     shares comes late in that order. Sets of one root are linked already, so the sets of a shingle's most
     frequent root meet those of other roots only.
     """
-    t = similarity
-    upto = lambda share: (F.col("size") - F.ceil(F.col("size") * share - 1e-9) + 1).cast("int")
+    t, spark = similarity, sets.sparkSession
     held = sets.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "s", F.coalesce("root", "fp").alias("root"))
-    each = cut(held.select("fp", F.explode("s").alias("shingle")))
-    known = cut(each.groupBy("shingle").agg(F.count("*").alias("n")))
-    ranked = hot_join(each, known, "shingle").groupBy("fp").agg(F.sort_array(F.collect_list(F.struct("n", "shingle"))).alias("s"))  # one text's shingles
-    first = ranked.select("fp", F.size("s").alias("size"), "s").select("fp", "size", upto(2 * t / (1 + t)).alias("upto"), F.posexplode(F.slice("s", F.lit(1), upto(t))).alias("place", "x"))
-    rows = cut(first.join(held.select("fp", "root"), "fp").select(F.col("x.shingle").alias("shingle"), "fp", "root", "size", "place", (F.col("place") < F.col("upto")).alias("early")))
-    counts = rows.groupBy("shingle", "root").agg(F.count("*").alias("n")).groupBy("shingle").agg(F.max_by("root", F.struct("n", "root")).alias("most"), F.count("*").alias("roots"))
-    some = cut(hot_join(rows, counts.filter("roots > 1").join(known, "shingle"), "shingle").select(rows["*"], "most"))
+    held = cut(held)
+    mask = (1 << SKETCH_BITS) - 1
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n = np.zeros(1 << SKETCH_BITS, dtype=np.int64)
+        for b in batches:
+            for s in b["s"]:
+                np.add.at(n, s & mask, 1)
+        some = np.flatnonzero(n)
+        yield pd.DataFrame({"bucket": some, "n": n[some]})
+
+    got = held.select("s").mapInPandas(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()  # 2**SKETCH_BITS rows at most
+    often = np.zeros(1 << SKETCH_BITS, dtype=np.int64)
+    often[got["bucket"].to_numpy(dtype=np.int64)] = got["n"].to_numpy(dtype=np.int64)
+    shared = spark.sparkContext.broadcast(often)
+
+    @F.pandas_udf("first array<bigint>, size int, upto int")
+    def ends(series: pd.Series) -> pd.DataFrame:
+        out = []
+        for s in series:
+            upto = [len(s) - math.ceil(len(s) * x - 1e-9) + 1 for x in (t, 2 * t / (1 + t))]
+            out.append((s[np.lexsort((s, shared.value[s & mask]))][: upto[0]], len(s), upto[1]))
+        return pd.DataFrame(out, columns=["first", "size", "upto"])
+
+    first = held.select("fp", "root", ends("s").alias("e")).select("fp", "root", "e.size", "e.upto", F.posexplode("e.first").alias("place", "shingle"))
+    rows = cut(first.select("shingle", "fp", "root", "size", "place", (F.col("place") < F.col("upto")).alias("early")))
+    by_root = rows.groupBy("shingle", "root").agg(F.count("*").alias("of_root"))
+    counts = by_root.groupBy("shingle").agg(F.max_by("root", F.struct("of_root", "root")).alias("most"), F.count("*").alias("roots"), F.sum("of_root").alias("n"))
+    some = cut(hot_join(rows, cut(counts.filter("roots > 1")), "shingle").select(*rows.columns, "most"))
     side = lambda x: some.select("shingle", *[F.col(c).alias(f"{c}_{x}") for c in ("fp", "root", "size", "place", "early", "most")])
     a, b = side("a").filter("root_a <> most_a"), side("b")
     enough = F.col("size_a") + F.col("size_b")
