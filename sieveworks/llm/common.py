@@ -5,10 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..storage import cut, settle, shared_folder
+from ..storage import cut, settle, shared_folder, small_batches
 
-#: Rows in an Arrow batch that a Python task holds at once; long texts need small batches.
-BATCH_ROWS = 1000
 #: A key with more rows than this share of all, and than this many, is joined apart from the others.
 HOT_SHARE, HOT_ROWS = 1e-4, 100_000
 
@@ -19,13 +17,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Bound the Arrow batches of this session, so that whole long texts fit a Python worker."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) > BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
-
-
 def held_out(doc_id: Column) -> Column:
     """True for the documents that no model here learns from: crc32 of the id as text, mod 5."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))

@@ -14,13 +14,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import cut
+from ..storage import cut, small_batches
 
 #: Strings of 2^TIERS characters and more share one gram length.
 TIERS = 6
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
-#: Rows of an Arrow batch, for texts may be long.
-BATCH_ROWS = 1000
 
 
 def _gram_hashes(codes: np.ndarray, size: int) -> np.ndarray:
@@ -60,10 +58,7 @@ def containing(strings: DataFrame, texts: DataFrame) -> DataFrame:
     Null and empty strings are in no pair, null texts contain nothing. Ids needn't be unique: equal
     pairs come as often as their rows are. Empty tables give no rows.
     """
-    spark = texts.sparkSession
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) > BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
+    small_batches(texts.sparkSession)
     wanted = cut(strings.filter("string <> ''").groupBy("string").agg(F.collect_list(F.struct("string_id")).alias("ids")).withColumn("s", F.xxhash64("string")))
     asked = cut(wanted.withColumn("tier", tier_of(F.col("string"))))
     tiers = sorted(r["tier"] for r in asked.select("tier").distinct().collect())  # TIERS + 1 at most

@@ -52,7 +52,7 @@ def read_markdown(spark, sf_dir):
     """Pages as markup files in folders, a file each."""
     path = shared_folder(spark)
     pages = table(spark, sf_dir, "pages").select(F.col("html").alias("value"), (F.col("page_id") % 4).alias("folder"))
-    pages.write.option("maxRecordsPerFile", 1).partitionBy("folder").text(path)
+    writers.texts(spread(pages), path, "folder")
     return readers.markdown(spark, path, "*.txt").select("text")
 
 
@@ -60,7 +60,7 @@ def read_markdown(spark, sf_dir):
 def read_textbooks(spark, sf_dir):
     """Documents as text files in one folder; their titles are the files' names."""
     path = shared_folder(spark)
-    table(spark, sf_dir, "documents").select(F.col("text").alias("value")).write.option("maxRecordsPerFile", 1).text(path)
+    writers.texts(spread(table(spark, sf_dir, "documents").select(F.col("text").alias("value"))), path)
     return readers.textbooks(spark, path).select(F.replace("text", F.concat(F.lit("【"), "title", F.lit("】\n\n")), F.lit("")).alias("body"))
 
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,26 +12,25 @@ from pyspark.sql import types as T
 from .. import schemas as S
 from ..functions import text as X
 from ..operators.chunking import qa_text
-from ..storage import shared_folder
+from ..storage import matches, shared_folder, small_batches
 
 #: The encodings tried in turn.
 ENCODINGS = ("utf-8", "gbk", "gb18030")
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    try:
-        spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path").limit(1).count()
-    except AnalysisException as e:
-        if "PATH_NOT_FOUND" in str(e):
-            return False
-        raise
-    return True
+#: What opening a file counts when files are dealt out to tasks, in bytes: Spark's own 4 MB make a task of every 32 small files.
+OPEN_COST = 1 << 16
 
 
 def _files(spark: SparkSession, path: str, glob: str, recursive: bool) -> DataFrame:
     """path, content of files; a folder that isn't there has none."""
-    if not _exists(spark, path):
+    if not matches(spark, path):
         return spark.createDataFrame([], "path string, content binary")
+    small_batches(spark)
+    key = "spark.sql.files.openCostInBytes"
+    held = spark.conf.get(key).lower().removesuffix("b")
+    if not held.isdigit() or int(held) > OPEN_COST:
+        spark.conf.set(key, str(OPEN_COST))
     reader = spark.read.format("binaryFile").option("pathGlobFilter", glob)
     return (reader.option("recursiveFileLookup", "true") if recursive else reader).load(path).select("path", "content")
 
@@ -67,7 +65,8 @@ def decode_first(content: Column) -> Column:
 
         return series.map(one)
 
-    return F.coalesce(F.when(F.is_valid_utf8(content.cast("string")), content.cast("string")), decode(content))
+    valid = F.is_valid_utf8(content.cast("string"))
+    return F.coalesce(F.when(valid, content.cast("string")), decode(F.when(~valid, content)))  # a Python function is called for all rows: it gets the others' bytes alone
 
 
 def _decoded(encoding: str) -> Callable[[Column], Column]:
@@ -149,7 +148,7 @@ def keyed(spark: SparkSession, path: str, value: str) -> DataFrame:
 def reference_answers(spark: SparkSession, json_paths: list[str], jsonl_path: str | None = None) -> DataFrame:
     """question, answer of the first JSON file that is there, else of JSON lines."""
     for p in json_paths:
-        if _exists(spark, p):
+        if matches(spark, p):
             rows = spark.read.option("multiLine", True).schema("question string, reply string, answer string").json(p)
             return rows.select("question", F.coalesce("reply", "answer", F.lit("")).alias("answer"))
     rows = spark.read.schema("question string, query string, reply string, answer string").json(jsonl_path)

@@ -90,3 +90,14 @@ def test_stream_ingests_each_file_once(spark, tmp_path, sf_dir):
     every = spark.read.parquet(out)
     assert every.select("doc_id").distinct().count() == docs.filter(F.length("text") > 0).count() > n
     assert every.groupBy("doc_id", "chunk_no").count().filter("count > 1").count() == 0
+
+
+def test_many_small_files_are_few_tasks(spark, tmp_path):
+    table = spark.createDataFrame([(f"line {i}\nü", i % 2) for i in range(400)] + [(None, 0)], "value string, folder int").repartition(3)
+    writers.texts(table, str(tmp_path / "texts"), "folder")
+    found = sorted((tmp_path / "texts").rglob("*.txt"))
+    assert len(found) == 401 and sorted(p.read_text("utf-8") for p in found) == sorted([*[f"line {i}\nü\n" for i in range(400)], "\n"])
+    assert {p.parent.name for p in found} == {"folder=0", "folder=1"}
+    files = readers._files(spark, str(tmp_path / "texts"), "*.txt", True)
+    assert files.rdd.getNumPartitions() <= 6 and files.count() == 401  # a task of every 32 files before
+    assert readers.textbooks(spark, str(tmp_path / "texts/folder=*")).count() == 401 and readers.textbooks(spark, str(tmp_path / "none")).count() == 0
