@@ -1,6 +1,6 @@
 """The whole way from source files to an index that answers: read, chunk, number, write, index; load, search, evaluate.
 
-A built folder holds ``chunks`` (JSON lines), ``dense`` and ``sparse``.
+A built folder holds ``chunks`` (compressed JSON lines), ``dense`` and ``sparse``.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..operators import chunking, dense, evaluation, providers, sparse
 from ..sources import readers
-from ..storage import cut
+from ..storage import cut, passing
 from .engine import Engine, Method
 
 #: The kinds of sources in the order in which their chunks are numbered, and what cuts them up.
@@ -44,7 +44,7 @@ def chunk_sources(sources: dict[str, DataFrame]) -> DataFrame:
     """text, source, title, section, chunk_id of all ``sources`` (kind: doc_ord, text), numbered by kind, document (as text) and place."""
     _known(sources)
     cut_up = [chunk(sources[kind].withColumn("doc_ord", F.col("doc_ord").cast("string"))) for kind, chunk in CHUNKERS.items() if kind in sources]
-    return chunking.number_chunks(cut_up)
+    return chunking.number_chunks([cut(c) for c in cut_up])  # else the ranges' bounds and the rows would each need all chunks anew
 
 
 def build(sources: dict[str, DataFrame], path: str, encode: Callable[[Column], Column], model: str, tokenizer=sparse.tokens, every: int | None = None) -> None:
@@ -54,14 +54,16 @@ def build(sources: dict[str, DataFrame], path: str, encode: Callable[[Column], C
     that breaks off goes on after the last group when it is started again.
     """
     spark = next(iter(sources.values())).sparkSession
-    chunk_sources(sources).write.mode("overwrite").json(f"{path}/chunks")
+    with passing(spark):  # what numbering has written goes before the indexes are built
+        chunk_sources(sources).write.mode("overwrite").option("compression", "gzip").json(f"{path}/chunks")
     chunks = readers.chunks(spark, f"{path}/chunks")
     if every:
         vectors = providers.encode_in_groups(chunks, f"{path}/encoding", encode, model, every)
         dense.DenseIndex(vectors, dense.DenseIndex.describe(vectors, model)).save(f"{path}/dense")
     else:
         dense.DenseIndex.build(chunks, encode, model).save(f"{path}/dense")
-    sparse.build(chunks.select("chunk_id", "text"), tokenizer).save(f"{path}/sparse")
+    with passing(spark):
+        sparse.build(chunks.select("chunk_id", "text"), tokenizer).save(f"{path}/sparse")
 
 
 def load(spark: SparkSession, path: str, encode: Callable[[Column], Column], tokenizer=sparse.tokens) -> Engine:
