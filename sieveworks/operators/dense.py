@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import LETTERS, letter_counts, once
-from ..storage import cut
+from ..storage import cut, small_batches
 from .sparse import top_k
 
 #: Vectors of a block of either side, and queries multiplied at a time within it.
@@ -58,11 +58,13 @@ class DenseIndex:
 
     vectors: DataFrame
     config: DataFrame
+    model: str | None = None
 
     @staticmethod
     def build(chunks: DataFrame, encode: Callable[[Column], Column], model: str) -> DenseIndex:
+        small_batches(chunks.sparkSession)
         vectors = chunks.select("chunk_id", encode(F.col("text")).alias("embedding"))
-        return DenseIndex(vectors, DenseIndex.describe(vectors, model))
+        return DenseIndex(vectors, DenseIndex.describe(vectors, model), model)
 
     @staticmethod
     def describe(vectors: DataFrame, model: str) -> DataFrame:
@@ -72,7 +74,7 @@ class DenseIndex:
         """Write both tables and read them again; the description is taken from what was written."""
         spark = self.vectors.sparkSession
         self.vectors.write.mode("overwrite").parquet(f"{path}/vectors")
-        model = self.config.first()["model"]
+        model = self.model or self.config.first()["model"]  # asking the description would encode all texts again
         DenseIndex.describe(spark.read.parquet(f"{path}/vectors"), model).write.mode("overwrite").parquet(f"{path}/config")
         return DenseIndex.load(spark, path)
 

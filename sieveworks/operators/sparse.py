@@ -23,12 +23,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
-from ..storage import cut
+from ..storage import cut, small_batches
 
 #: The parameters of Okapi BM25 as the results assume them.
 K1, B, EPSILON = 1.5, 0.75, 0.25
 #: Documents of a shard and queries of a block.
-SHARD, BLOCK = 32_768, 4_096
+SHARD, BLOCK = 8_192, 4_096
 #: What rounding to six places can add.
 _SLACK = 1e-6
 
@@ -42,9 +42,13 @@ class SparseIndex:
     stats: DataFrame
 
     def save(self, path: str, buckets: int = 64) -> None:
-        """Postings lie in ``buckets`` folders by a hash of the term and sorted by term within, so that a search reads few row groups."""
-        bucket = F.pmod(F.xxhash64("term"), F.lit(buckets))
-        self.postings.withColumn("bucket", bucket).repartition(buckets, "bucket").sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+        """Postings lie in ``buckets`` folders by a hash of the term, in files where those of a term lie together.
+
+        Every task writes a file to each folder: no posting is shuffled, and what a task reads and sorts is its part of the
+        documents, however few the folders.
+        """
+        h = F.xxhash64("term")
+        self.postings.withColumn("bucket", F.pmod(h, F.lit(buckets))).sortWithinPartitions("bucket", h).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
         for name in ("idf", "stats"):
             getattr(self, name).write.mode("overwrite").parquet(f"{path}/{name}")
 
@@ -64,6 +68,7 @@ def _counts(lists: pd.Series) -> pd.DataFrame:
 
 def token_lists(docs: DataFrame, tokenizer=tokens) -> DataFrame:
     """chunk_id, dl (tokens), terms, tfs (each distinct term and how often it stands) for documents (chunk_id, text)."""
+    small_batches(docs.sparkSession)
     counted = F.pandas_udf(_counts, "terms array<string>, tfs array<bigint>")
     listed = docs.select("chunk_id", tokenizer(F.col("text")).alias("t"))
     return listed.select("chunk_id", F.coalesce(F.size("t"), F.lit(0)).cast("long").alias("dl"), counted("t").alias("c")).select("chunk_id", "dl", "c.terms", "c.tfs")
