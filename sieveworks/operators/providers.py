@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
-from ..storage import delete, exists, spread
+from ..storage import delete, exists, small_batches, spread
 from .curation import remaining
 
 
@@ -117,6 +117,10 @@ def command_generator(command: Sequence[str], timeout: float = 120, in_flight: i
     return lambda c: generate(c)
 
 
+#: Rows of a file of texts that wait to be encoded.
+PART = 16_384
+
+
 def encode_in_groups(chunks: DataFrame, path: str, encode: Callable[[Column], Column], model: str, every: int = 5000) -> DataFrame:
     """chunk_id, embedding of ``chunks`` (chunk_id, text), encoded in groups of about ``every`` that are committed one by one below ``path``.
 
@@ -126,6 +130,7 @@ def encode_in_groups(chunks: DataFrame, path: str, encode: Callable[[Column], Co
     ``path``/vectors, and the groups and the manifest go. A finished table is encoded anew by the next call.
     """
     spark = chunks.sparkSession
+    small_batches(spark)
     rows = chunks.select("chunk_id", "text")
     total = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.xxhash64("chunk_id", "text").cast("decimal(38,0)")), F.lit(0)).cast("string").alias("h")).first()
     groups = max(1, -(-total["n"] // every))
@@ -137,7 +142,10 @@ def encode_in_groups(chunks: DataFrame, path: str, encode: Callable[[Column], Co
         delete(spark, manifest)
     if not exists(spark, f"{work}/todo/_SUCCESS"):
         number = F.pmod(F.xxhash64("chunk_id", "text"), F.lit(groups)).cast("int").alias("group")
-        rows.select("chunk_id", "text", number).repartition("group").write.mode("overwrite").partitionBy("group").parquet(f"{work}/todo")
+        # about PART rows of a group are a task and a file, however few the groups
+        parts = max(1, -(-total["n"] // (groups * PART)))
+        part = F.pmod(F.xxhash64("text", "chunk_id"), F.lit(parts))
+        rows.select("chunk_id", "text", number).repartition(groups * parts, "group", part).write.mode("overwrite").partitionBy("group").parquet(f"{work}/todo")
     schema = rows.schema
     for g in range(groups):
         if g in done or not exists(spark, f"{work}/todo/group={g}"):
@@ -155,6 +163,7 @@ def encode_in_groups(chunks: DataFrame, path: str, encode: Callable[[Column], Co
 
 def encode_missing(chunks: DataFrame, done: DataFrame, encode: Callable[[Column], Column]) -> DataFrame:
     """Vectors of the chunks that ``done`` lacks; identity is chunk_id and the text's hash, so a changed text counts as new."""
+    small_batches(chunks.sparkSession)
     keyed = chunks.select("chunk_id", "text", F.xxhash64("text").alias("text_hash"))
     todo = keyed.join(done.select("chunk_id", "text_hash"), ["chunk_id", "text_hash"], "left_anti")
     return todo.select("chunk_id", "text_hash", encode(F.col("text")).alias("embedding"))
