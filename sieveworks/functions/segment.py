@@ -10,19 +10,21 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import small_batches
+
 #: Words that a lexicon may have, for each worker holds it whole.
 LIMIT = 1 << 20
 #: Costs are millionths of the negative log probability.
 SCALE = 1_000_000
-#: Runs whose segmentation a worker remembers.
-_REMEMBERED = 1 << 16
+#: Runs whose segmentation a task remembers, and the longest of them.
+_REMEMBERED, _SHORT = 1 << 16, 64
 _PARTS = re.compile(r"[一-鿿]+|[^\W_一-鿿]+")
 _HAN = re.compile(r"[一-鿿]")
 
@@ -63,17 +65,21 @@ def dictionary_tokenizer(lexicon: DataFrame, limit: int = LIMIT) -> Callable[[Co
         raise ValueError(f"the lexicon has more than {limit} words")
     held = lexicon.sparkSession.sparkContext.broadcast(word_costs({r["word"]: r["freq"] for r in rows}))
 
+    small_batches(lexicon.sparkSession)
+
     @F.pandas_udf("array<string>")
-    def cut_words(texts: pd.Series) -> pd.Series:
+    def cut_words(series: Iterator[pd.Series]) -> Iterator[pd.Series]:
         costs, unknown = held.value
         longest = max(map(len, costs), default=1)
-        path = lru_cache(_REMEMBERED)(lambda run: best_path(run, costs, unknown, longest))
+        known = lru_cache(_REMEMBERED)(lambda run: best_path(run, costs, unknown, longest))
+        path = lambda run: known(run) if len(run) <= _SHORT else best_path(run, costs, unknown, longest)
 
         def words(text: str | None) -> list[str]:
             parts = _PARTS.findall(text or "")
             every = [w for p in parts for w in (path(p) if _HAN.match(p) else (p,))]
             return [w for w in every if len(w) > 1]
 
-        return pd.Series([words(t) for t in texts], dtype=object)
+        for texts in series:
+            yield pd.Series([words(t) for t in texts], dtype=object)
 
     return lambda c: cut_words(c)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..storage import small_batches
 from .running import number_rows
 
 _LEVELS = ["part", "chapter", "section"]
@@ -59,6 +60,7 @@ def split_statute(docs: DataFrame, carried: list[str], limit: int = X.CHUNK_CHAR
     an article beyond ``limit`` goes by paragraphs; pieces that are a heading alone go. A document
     stays one row until its chunks are numbered: nothing is shuffled.
     """
+    small_batches(docs.sparkSession)
     article = X.heading("article").replace("(?mU)", "(?U)")
 
     def named(part: Column, t: Column) -> Column:
@@ -73,6 +75,7 @@ def split_statute(docs: DataFrame, carried: list[str], limit: int = X.CHUNK_CHAR
 
 def split_book(docs: DataFrame, carried: list[str], limit: int = X.CHUNK_CHARS, keep_single: bool = False) -> DataFrame:
     """``carried`` columns, section, text, chunk_no: textbooks by the same levels, then by paragraphs; title lines go."""
+    small_batches(docs.sparkSession)
     rows = _sections(docs, keep_single).select(*carried, "parts")
     rows = rows.withColumn("merged", X.merge_each(F.transform("parts", lambda p: X.strip(p["text"])), limit))
     return _numbered(rows, carried, _leaves(F.col("parts"), F.col("merged")), lambda t: X.is_pure_header(t) | t.rlike(r"\A【.+?】\z"))
@@ -93,6 +96,7 @@ def book_chunks(docs: DataFrame, limit: int = X.CHUNK_CHARS) -> DataFrame:
 
 def article_chunks(docs: DataFrame, limit: int = X.CHUNK_CHARS) -> DataFrame:
     """Chunks of article records (doc_ord, text); the title is the first line's first 50 characters."""
+    small_batches(docs.sparkSession)
     pieces = X.split_by_sentences(X.strip(F.col("text")), limit)
     return docs.select("doc_ord", F.left(X.first_line(X.strip(F.col("text"))), F.lit(50)).alias("title"), F.posexplode(pieces).alias("chunk_no", "text")).select(
         "doc_ord", "chunk_no", "text", F.lit("article").alias("source"), "title", F.lit(None).cast("string").alias("section")
@@ -106,6 +110,7 @@ def qa_text(title: Column, question: Column, reply: Column) -> Column:
 
 def qa_chunks(docs: DataFrame, limit: int = X.CHUNK_CHARS) -> DataFrame:
     """Chunks of forum answers (doc_ord, text); those whose first 答： line is under 10 characters go."""
+    small_batches(docs.sparkSession)
     lines = F.split("text", "\n")
     of = lambda mark: F.coalesce(F.try_element_at(F.filter(lines, lambda x: x.startswith(mark)), F.lit(1)), F.lit(""))
     title = F.left(X.strip(F.regexp_replace(of("问："), "^问：", "")), F.lit(50))
