@@ -9,8 +9,11 @@ missed. Each string is joined by the rarest of its grams, and what meets is comp
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +21,8 @@ from ..storage import cut, small_batches
 
 #: Strings of 2^TIERS characters and more share one gram length.
 TIERS = 6
+#: The filter of the grams that strings ask for has 2^FILTER_BITS bits (2 MB).
+FILTER_BITS = 24
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -47,6 +52,33 @@ def minimizers(text: str, tier: int) -> np.ndarray:
     return np.unique(least).view(np.int64)
 
 
+def _place(grams: np.ndarray) -> np.ndarray:
+    """The bit of each gram in the filter; kept grams are the least of their windows, so they are hashed anew."""
+    return ((grams.view(np.uint64) * _FACTOR) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+
+
+def _filter(keyed: DataFrame) -> np.ndarray:
+    """A bit for every gram that strings ask for: 2^FILTER_BITS bits, however many they are. A gram without its bit is asked for by none."""
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(1 << FILTER_BITS, dtype=bool)
+        for batch in batches:
+            bits[_place(batch.column(0).to_numpy(zero_copy_only=False))] = True
+        packed = np.packbits(bits, bitorder="little").reshape(-1, 1 << 12)
+        rows = np.flatnonzero(packed.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(rows), pa.array([packed[r].tobytes() for r in rows], pa.binary())], ["row", "bits"])
+
+    @F.pandas_udf("binary")
+    def either(some: pd.Series) -> bytes:
+        return np.bitwise_or.reduce([np.frombuffer(x, dtype=np.uint8) for x in some]).tobytes()
+
+    parts = keyed.select("gram").mapInArrow(fold, "row long, bits binary").groupBy("row").agg(either("bits").alias("bits")).collect()  # 2 MB at most
+    out = np.zeros((1 << (FILTER_BITS - 15), 1 << 12), dtype=np.uint8)
+    for r in parts:
+        out[r["row"]] = np.frombuffer(r["bits"], dtype=np.uint8)
+    return out.ravel()
+
+
 def tier_of(text: Column) -> Column:
     """The tier whose windows a string has."""
     return F.least(F.floor(F.log2(F.length(text)) + 1e-9), F.lit(TIERS)).cast("int")
@@ -69,16 +101,22 @@ def containing(strings: DataFrame, texts: DataFrame) -> DataFrame:
 
     @F.pandas_udf("array<bigint>")
     def all_grams(some: pd.Series) -> pd.Series:
-        return pd.Series([np.unique(np.concatenate([minimizers(x, t) for t in tiers])) if x else [] for x in some], dtype=object)
+        def kept(x: str) -> np.ndarray:
+            grams = np.unique(np.concatenate([minimizers(x, t) for t in tiers]))
+            at = _place(grams)
+            return grams[(known.value[at >> 3] >> (at & 7)) & 1 > 0]
+
+        return pd.Series([kept(x) if x else [] for x in some], dtype=object)
 
     keyed = cut(asked.select("s", F.explode(own_grams("string", "tier")).alias("gram")))
-    held = cut(texts.filter("text is not null").select("text_id", F.xxhash64("text").alias("body"), "text"))
-    # equal texts are looked at once
-    met = held.groupBy("body").agg(F.first("text").alias("text")).select("body", F.explode(all_grams("text")).alias("gram")).join(keyed.select("gram").distinct(), "gram", "left_semi")
-    met = cut(met)
+    known = texts.sparkSession.sparkContext.broadcast(_filter(keyed))
+    # equal texts stand for each other; no text is moved for the grams
+    named = texts.filter("text is not null").select("text_id", F.xxhash64("text").alias("body"), "text")
+    met = cut(named.select("body", F.explode(all_grams("text")).alias("gram")).join(keyed.select("gram").distinct(), "gram", "left_semi").distinct())
     often = met.groupBy("gram").agg(F.count("*").alias("n"))
     # a string one of whose grams is in no text is in none
     rarest = keyed.join(often, "gram", "left").groupBy("s").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("r")).filter("r.n > 0").select("s", "r.gram")
     pairs = cut(met.join(rarest, "gram").select("body", "s").distinct())
+    held = cut(named.join(pairs.select("body").distinct(), "body", "left_semi"))  # texts that no string's gram is in go
     verified = held.join(pairs, "body").join(wanted.select("s", "string", "ids"), "s").filter(F.contains("text", "string"))
     return verified.select(F.explode("ids").alias("id"), "text_id").select("id.string_id", "text_id")

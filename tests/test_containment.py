@@ -34,3 +34,17 @@ def test_containing_equals_all_pairs(spark):
 def test_empty_tables(spark):
     strings, texts = spark.createDataFrame([(1, "a")], "string_id long, string string"), spark.createDataFrame([(1, "a")], "text_id long, text string")
     assert containment.containing(strings.limit(0), texts).count() == 0 and containment.containing(strings, texts.limit(0)).count() == 0
+
+
+def test_only_texts_that_a_string_may_be_in_are_written(spark, monkeypatch):
+    import hashlib
+
+    from sieveworks.operators import containment
+
+    written = []
+    monkeypatch.setattr(containment, "cut", lambda df, cut=containment.cut: written.append(out := cut(df)) or out)
+    held = [hashlib.sha256(str(i).encode()).hexdigest() for i in range(300)]
+    texts = spark.createDataFrame([*enumerate(held), (300, None)], "text_id long, text string")
+    strings = spark.createDataFrame([(0, held[7][3:30]), (1, held[9]), (2, "nowhere at all"), (3, "")], "string_id long, string string")
+    assert {tuple(r) for r in containment.containing(strings, texts).collect()} == {(0, 7), (1, 9)}
+    assert all(w.count() < 300 for w in written if "text" in w.columns)  # all texts were written before
