@@ -23,7 +23,7 @@ from ..storage import cut, small_batches
 from .sparse import top_k
 
 #: Vectors of a block of either side, and queries multiplied at a time within it.
-BLOCK, ROWS = 32_768, 256
+BLOCK, ROWS = 32_768, 64
 #: Pivots of an index at most, and rings about each.
 PIVOTS, RINGS = 1024, 8
 _SLACK = 1e-6
