@@ -2,7 +2,8 @@
 
 Every run of SENTENCES consecutive sentences is hashed, from every sentence on; a longer run
 repeats only if all of these do, so they stand for every run of several sentences, however few
-words it has. All hashes are joined globally. A span is *first* where the least document has it first; sentences
+words it has. Runs of fewer sentences are spans too if they have at least WORDS words: a long passage may hold one or
+two whole sentences. All hashes are joined globally. A span is *first* where the least document has it first; sentences
 that any other occurrence covers are removed.
 
 Only narrow rows of a document's key and a hash cross the network for the counting, at most one
@@ -24,6 +25,8 @@ from .common import cut, hot_join, named_rows, order_of, same_row, small_batches
 #: Sentences in a span: "several" are three. Of 8,800 documents of sf0.1 without any repeated stretch of over 50 words, spans
 #: of two touch 2,993 by short sentences that recur by chance, spans of three 1,039; of 1,200 with one they touch 1,152 and 1,137.
 SENTENCES = 3
+#: Words that make a span of fewer sentences. (Words are what white space parts: text without it has no such spans.)
+WORDS = 40
 #: The end of a sentence, with the white space after it: full stops, question or exclamation marks before white space, or a line end.
 #: A run of marks is looked at from its first one alone, so the time is linear in the text.
 _END = re.compile(r"(?<![.!?。！？])[.!?。！？]++(?=\s|\Z)\s*+|\n\s*+")
@@ -37,32 +40,38 @@ def sentences(text: str) -> list[str]:
     return [text[a:b] for a, b in zip(edges, edges[1:], strict=False)]
 
 
-def spans(text: str | None) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """The sentences of a text, the places of those that aren't blank, and the hash of the span from each on.
+def spans(text: str | None) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The sentences of a text, the places of those that aren't blank, and hash, first sentence (among those) and number of sentences of every span.
 
     White space within a sentence counts as one blank.
     """
     parts = sentences(text or "")
     words = [s.split() for s in parts]
     full = np.array([i for i, w in enumerate(words) if w], dtype=np.int64)
-    if len(full) < SENTENCES:
-        return parts, full, np.zeros(0, dtype=np.int64)
     h = np.fromiter((xxhash.xxh3_64_intdigest(" ".join(words[i]).encode("utf-8", "surrogatepass")) for i in full), dtype=np.uint64, count=len(full))
-    n = len(full) - SENTENCES + 1
-    rolled = np.zeros(n, dtype=np.uint64)
-    for i in range(SENTENCES):
-        rolled = (rolled ^ (rolled >> np.uint64(29))) * _PRIME + h[i : n + i]
-    return parts, full, rolled.view(np.int64)
+    before = np.cumsum([0, *(len(words[i]) for i in full)])
+    rolled = np.zeros(len(full), dtype=np.uint64)
+    hashes, starts, sizes = [], [], []
+    for size in range(1, min(SENTENCES, len(full)) + 1):
+        n = len(full) - size + 1
+        rolled = (rolled[:n] ^ (rolled[:n] >> np.uint64(29))) * _PRIME + h[size - 1 :]
+        at = np.arange(n) if size == SENTENCES else np.flatnonzero(before[size:] - before[:n] >= WORDS)
+        hashes.append(rolled[at])
+        starts.append(at)
+        sizes.append(np.full(len(at), size))
+    if not hashes:
+        return parts, full, *(np.zeros(0, dtype=np.int64) for _ in range(3))
+    return parts, full, np.concatenate(hashes).view(np.int64), np.concatenate(starts), np.concatenate(sizes)
 
 
 def drop_repeated(text: str, hit: set[int]) -> tuple[str, int]:
     """``text`` without the sentences of spans whose hash is in ``hit`` or came before in the text; how many went."""
-    parts, full, hashes = spans(text)
+    parts, full, *found = spans(text)
     gone, seen = np.zeros(len(parts), dtype=bool), {}
-    for k, h in enumerate(hashes.tolist()):
+    for h, k, size in zip(*(x.tolist() for x in found), strict=True):
         # a span that overlaps its own first occurrence would eat that occurrence
-        if h in hit or (h in seen and k >= seen[h] + SENTENCES):
-            gone[full[k : k + SENTENCES]] = True
+        if h in hit or (h in seen and k >= seen[h] + size):
+            gone[full[k : k + size]] = True
         seen.setdefault(h, k)
     return ("".join(s for s, g in zip(parts, gone, strict=True) if not g).rstrip() if gone.any() else text), int(gone.sum())
 
@@ -72,8 +81,8 @@ def dedup_sentences(docs: DataFrame) -> DataFrame:
 
     Documents are taken in order of doc_id (null ones last), then of the text's hash. Rows of one
     doc_id with different texts are different documents; those equal in both count as one and
-    don't strip each other. Null, empty and one-sentence texts have no span and stay as they
-    are. An empty table gives no rows; other columns are not looked at.
+    don't strip each other. Null and empty texts, and those of fewer than SENTENCES sentences and
+    WORDS words, have no span and stay as they are. An empty table gives no rows; other columns are not looked at.
     """
     small_batches(docs.sparkSession)
 

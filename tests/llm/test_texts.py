@@ -293,6 +293,40 @@ def test_span_dedup_against_a_loop(spark, sf_dir):
     assert rows(op9_substring_dedup(spark, sf_dir), "doc_id", "text", "removed") == sorted(brute_spans(table), key=str)
 
 
+def brute_passages(table):
+    """As `brute_spans`, with every shorter run of sentences that has at least WORDS words."""
+    seen, out = {}, []
+    for k, (d, t) in enumerate(table):
+        parts, gone = plain_sentences(t), set()
+        own = [(i, s.split()) for i, s in enumerate(parts) if s.split()]
+        for size in range(1, sentences.SENTENCES + 1):
+            for j in range(len(own) - size + 1):
+                run = own[j : j + size]
+                if size == sentences.SENTENCES or sum(len(w) for _, w in run) >= sentences.WORDS:
+                    e, at = seen.setdefault(tuple(" ".join(w) for _, w in run), (k, j))
+                    if e != k or j >= at + size:
+                        gone |= {i for i, _ in run}
+        out.append((d, "".join(s for i, s in enumerate(parts) if i not in gone).rstrip() if gone else t, len(gone)))
+    return out
+
+
+def test_passages_of_one_and_two_long_sentences(spark):
+    """Passages of over 50 words go whole in fresh contexts, however few sentences they have; shorter ones of fewer than three sentences stay."""
+    rng = random.Random(19)
+    sentence = lambda n: " ".join(f"v{rng.randrange(10**6)}" for _ in range(n)) + "."
+    fresh = lambda: [sentence(rng.randint(1, 15)) for _ in range(rng.randint(1, 6))]
+    table, want = [], {}
+    for k, sizes in enumerate(((51,), (70,), (20, 31), (1, 50), (45, 60), (39,), (19, 20), (17, 17, 17)) * 12):
+        passage, before, after = [sentence(n) for n in sizes], fresh(), fresh()
+        table += [(2 * k, " ".join([*fresh(), *passage, *fresh()])), (2 * k + 1, "\n".join([*before, *passage, *after]))]
+        want |= {2 * k: table[-2][1], 2 * k + 1: "\n".join([*before, *after]) if sum(sizes) > 50 else table[-1][1]}
+    one = sentence(60)
+    table += [(9000, one), (9001, one), (9002, f"{sentence(5)} {one[:-1]}! {sentence(5)}"), (9003, " ".join([sentence(50)] * 2))]
+    assert rows(sentences.dedup_sentences(docs(spark, table)), "doc_id", "text", "removed") == sorted(brute_passages(table), key=str)
+    want |= {9000: one, 9001: "", 9002: table[-2][1], 9003: table[-1][1][: len(table[-1][1]) // 2]}
+    assert {d: t for d, t, _ in brute_passages(table)} == want
+
+
 def test_span_dedup_of_odd_rows(spark):
     p = " ".join(f"Word{i} goes here and there." for i in range(10))
     long = " ".join(f"Sentence number {i} is here." for i in range(20_000))
