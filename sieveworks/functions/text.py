@@ -10,7 +10,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterable
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -20,6 +20,8 @@ LEVELS = {"part": "编", "chapter": "章", "section": "节", "article": "条"}
 CHUNK_CHARS = 512
 SENTENCE_ENDS = "。；"
 PARAGRAPH_BREAK = "\n\n"
+#: Unicode's white space, which is what ``(?U)\\s`` matches.
+WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 
 
 def heading(level: str) -> str:
@@ -33,8 +35,8 @@ def once(c: Column, f: Callable[[Column], Column]) -> Column:
 
 
 def strip(c: Column) -> Column:
-    """Trim all Unicode white space at both ends."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+\z", "")
+    """Trim all Unicode white space at both ends. (A pattern would be tried at every character.)"""
+    return F.btrim(c, F.lit(WHITE))
 
 
 #: What is cleaned from markup, in this order, and what takes its place.
@@ -56,19 +58,19 @@ def clean_markdown(c: Column) -> Column:
     return strip(c)
 
 
-def split_at(c: Column, pattern: str) -> Column:
+def split_at(c: Column, pattern: str, mark: str | None = None) -> Column:
     """Parts that begin where ``pattern`` matches (multi-line patterns), stripped, blank ones dropped.
 
     The part before the first match stays if it isn't blank. A text without a match comes back
-    as it is, or as no part if it is blank.
+    as it is, or as no part if it is blank. ``mark`` is a string that stands in every match: texts without it aren't searched.
     """
     bare = pattern.split(")", 1)[1] if pattern.startswith("(?") else pattern
     flags = pattern[: len(pattern) - len(bare)]
-    whole = F.when(strip(c) == "", F.array().cast("array<string>")).otherwise(F.array(c))
+    whole = F.when(c.rlike(r"(?U)\S"), F.array(c)).otherwise(F.array().cast("array<string>"))
     blank = lambda parts: F.filter(F.transform(parts, strip), lambda p: p != "")
     # several raw parts mean a match; the pattern is looked for only if there is one
     cut = F.transform(F.array(F.split(c, f"{flags}(?={bare})")), lambda raw: F.when((F.size(raw) > 1) | raw[0].rlike(pattern), blank(raw)).otherwise(whole))
-    return F.when(c.isNotNull(), cut[0])
+    return F.when(c.isNotNull(), cut[0] if mark is None else F.when(F.contains(c, F.lit(mark)), cut[0]).otherwise(whole))
 
 
 def _packed(parts: Iterable[str], limit: int, joint: str, oversize: Callable[[str], list[str]]) -> list[str]:
@@ -106,7 +108,8 @@ def pack_sentences(text: str | None, limit: int = CHUNK_CHARS, ends: str = SENTE
     if text is None or len(text) <= limit:
         return None if text is None else [text] if text.strip() else []
     hard = lambda part: [x for i in range(0, len(part), limit) if (x := part[i : i + limit].strip())]
-    return _packed(re.split(f"(?<=[{re.escape(ends)}])", text), limit, "", hard)
+    end = re.escape(ends)
+    return _packed(re.findall(f"[^{end}]*[{end}]|[^{end}]+", text), limit, "", hard)
 
 
 def pack_paragraphs(text: str | None, limit: int = CHUNK_CHARS, ends: str = SENTENCE_ENDS, joint: str = PARAGRAPH_BREAK) -> list[str] | None:
@@ -125,9 +128,9 @@ def split_by_sentences(c: Column, limit: int = CHUNK_CHARS, ends: str = SENTENCE
     would copy all pieces found so far at every sentence.
     """
 
-    @F.pandas_udf("array<string>")
-    def pack(texts: pd.Series) -> pd.Series:
-        return pd.Series([pack_sentences(t, limit, ends) for t in texts], dtype=object)
+    @F.arrow_udf("array<string>")
+    def pack(texts: pa.Array) -> pa.Array:
+        return pa.array([pack_sentences(t, limit, ends) for t in texts.to_pylist()], pa.list_(pa.string()))
 
     return pack(c)
 
@@ -135,22 +138,22 @@ def split_by_sentences(c: Column, limit: int = CHUNK_CHARS, ends: str = SENTENCE
 def merge_paragraphs(c: Column, limit: int = CHUNK_CHARS, ends: str = SENTENCE_ENDS, joint: str = PARAGRAPH_BREAK) -> Column:
     """Pieces of at most ``limit`` code points, packed from paragraphs; longer ones go by sentences."""
 
-    @F.pandas_udf("array<string>")
-    def pack(texts: pd.Series) -> pd.Series:
-        return pd.Series([pack_paragraphs(t, limit, ends, joint) for t in texts], dtype=object)
+    @F.arrow_udf("array<string>")
+    def pack(texts: pa.Array) -> pa.Array:
+        return pa.array([pack_paragraphs(t, limit, ends, joint) for t in texts.to_pylist()], pa.list_(pa.string()))
 
     return pack(c)
 
 
 def merge_each(texts: Column, limit: int = CHUNK_CHARS) -> Column:
-    """`merge_paragraphs` of every text of an array that is over ``limit``; the others as they are: an array of arrays."""
+    """`merge_paragraphs` of every text of an array that is over ``limit``; the others as they are, and not sent to Python: an array of arrays."""
 
-    @F.pandas_udf("array<array<string>>")
-    def pack(lists: pd.Series) -> pd.Series:
-        one = lambda t: [t] if len(t) <= limit else pack_paragraphs(t, limit)
-        return pd.Series([None if x is None else [one(t) for t in x] for x in lists], dtype=object)
+    @F.arrow_udf("array<array<string>>")
+    def pack(lists: pa.Array) -> pa.Array:
+        return pa.array([None if x is None else [pack_paragraphs(t, limit) for t in x] for x in lists.to_pylist()], pa.list_(pa.list_(pa.string())))
 
-    return pack(texts)
+    long = F.transform(texts, lambda t: F.when(F.length(t) > limit, t))
+    return F.transform(F.arrays_zip(texts.alias("text"), pack(long).alias("pieces")), lambda x: F.coalesce(x["pieces"], F.array(x["text"])))
 
 
 def first_line(c: Column) -> Column:
@@ -225,4 +228,4 @@ LETTERS = "etaoinsr"
 def letter_counts(c: Column, letters: str = LETTERS) -> Column:
     """How often a text has each of ``letters``, as an array of doubles (lower case counts, null is empty)."""
     text = F.coalesce(c, F.lit(""))
-    return F.array(*[(F.length(text) - F.length(F.replace(text, F.lit(x), F.lit("")))).cast("double") for x in letters])
+    return F.array(*[((F.octet_length(text) - F.octet_length(F.replace(text, F.lit(x), F.lit("")))) / F.lit(len(x.encode()))).cast("double") for x in letters])

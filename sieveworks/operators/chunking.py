@@ -28,7 +28,7 @@ def _descend(parts: Column, level: str, keep_single: bool) -> Column:
         return F.struct(section.alias("section"), t.alias("text"))
 
     # the array around the cut makes it a value, which no part computes anew
-    each = lambda p: F.transform(F.array(X.split_at(p["text"], X.heading(level))), lambda cut: F.transform(cut, lambda t: named(p, cut, t)))[0]
+    each = lambda p: F.transform(F.array(X.split_at(p["text"], X.heading(level), X.LEVELS[level])), lambda cut: F.transform(cut, lambda t: named(p, cut, t)))[0]
     return F.flatten(F.transform(parts, each))
 
 
@@ -67,7 +67,7 @@ def split_statute(docs: DataFrame, carried: list[str], limit: int = X.CHUNK_CHAR
         section = F.when(~t.rlike(article) & (part["section"] == ""), PREAMBLE).otherwise(part["section"])
         return F.struct(section.alias("section"), t.alias("text"))
 
-    articles = F.flatten(F.transform("parts", lambda p: F.transform(X.split_at(p["text"], X.heading("article")), lambda t: named(p, t))))
+    articles = F.flatten(F.transform("parts", lambda p: F.transform(X.split_at(p["text"], X.heading("article"), X.LEVELS["article"]), lambda t: named(p, t))))
     rows = _sections(docs, keep_single).select(*carried, articles.alias("parts"))
     rows = rows.withColumn("merged", X.merge_each(F.transform("parts", lambda p: p["text"]), limit))
     return _numbered(rows, carried, _leaves(F.col("parts"), F.col("merged")), X.is_pure_header)
@@ -97,8 +97,10 @@ def book_chunks(docs: DataFrame, limit: int = X.CHUNK_CHARS) -> DataFrame:
 def article_chunks(docs: DataFrame, limit: int = X.CHUNK_CHARS) -> DataFrame:
     """Chunks of article records (doc_ord, text); the title is the first line's first 50 characters."""
     small_batches(docs.sparkSession)
-    pieces = X.split_by_sentences(X.strip(F.col("text")), limit)
-    return docs.select("doc_ord", F.left(X.first_line(X.strip(F.col("text"))), F.lit(50)).alias("title"), F.posexplode(pieces).alias("chunk_no", "text")).select(
+    body = docs.select("doc_ord", X.strip(F.col("text")).alias("text"))
+    # the title is found before the pieces become rows, else each of them would look for it in the whole text
+    named = body.select("doc_ord", F.left(X.first_line(F.col("text")), F.lit(50)).alias("title"), X.split_by_sentences(F.col("text"), limit).alias("pieces"))
+    return named.select("doc_ord", "title", F.posexplode("pieces").alias("chunk_no", "text")).select(
         "doc_ord", "chunk_no", "text", F.lit("article").alias("source"), "title", F.lit(None).cast("string").alias("section")
     )
 

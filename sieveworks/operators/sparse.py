@@ -13,11 +13,12 @@ the documents that can still get there, list by list, fewer each time.
 
 from __future__ import annotations
 
-from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -42,13 +43,12 @@ class SparseIndex:
     stats: DataFrame
 
     def save(self, path: str, buckets: int = 64) -> None:
-        """Postings lie in ``buckets`` folders by a hash of the term, in files where those of a term lie together.
+        """Postings lie in ``buckets`` folders by a hash of the term, in each task's file in the order of its documents.
 
-        Every task writes a file to each folder: no posting is shuffled, and what a task reads and sorts is its part of the
-        documents, however few the folders.
+        Every task writes a file to each folder: no posting is shuffled, and what a task reads and sorts (by the folder's number alone, which
+        takes a few passes and no comparisons) is its part of the documents, however few the folders.
         """
-        h = F.xxhash64("term")
-        self.postings.withColumn("bucket", F.pmod(h, F.lit(buckets))).sortWithinPartitions("bucket", h).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+        self.postings.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")).write.mode("overwrite").option("compression", "zstd").partitionBy("bucket").parquet(f"{path}/postings")
         for name in ("idf", "stats"):
             getattr(self, name).write.mode("overwrite").parquet(f"{path}/{name}")
 
@@ -61,22 +61,30 @@ def terms(docs: DataFrame, key: str, text: str = "text", tokenizer=tokens) -> Da
     return docs.select(F.col(key), F.explode(tokenizer(F.col(text))).alias("term"))
 
 
-def _counts(lists: pd.Series) -> pd.DataFrame:
-    counts = [Counter(x) if x is not None else {} for x in lists]
-    return pd.DataFrame({"terms": [list(c) for c in counts], "tfs": [list(c.values()) for c in counts]})
+def _counts(lists: pa.Array) -> pa.Array:
+    """The distinct strings of each list in the order in which they come, and how often each comes; none of a null."""
+    named = pc.dictionary_encode(lists.flatten(), null_encoding="encode")
+    n, every = len(lists), max(1, len(named.dictionary))
+    row = np.repeat(np.arange(n), pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
+    both, first, counts = np.unique(row * every + named.indices.to_numpy(zero_copy_only=False), return_index=True, return_counts=True)
+    order = np.argsort(first)
+    both, counts = both[order], counts[order]
+    offsets = pa.array(np.concatenate([[0], np.cumsum(np.bincount(both // every, minlength=n))]).astype(np.int32))
+    terms = pa.ListArray.from_arrays(offsets, named.dictionary.take(pa.array(both % every)))
+    return pa.StructArray.from_arrays([terms, pa.ListArray.from_arrays(offsets, pa.array(counts.astype(np.int64)))], ["terms", "tfs"])
 
 
 def token_lists(docs: DataFrame, tokenizer=tokens) -> DataFrame:
     """chunk_id, dl (tokens), terms, tfs (each distinct term and how often it stands) for documents (chunk_id, text)."""
     small_batches(docs.sparkSession)
-    counted = F.pandas_udf(_counts, "terms array<string>, tfs array<bigint>")
+    counted = F.arrow_udf(_counts, "terms array<string>, tfs array<bigint>")
     listed = docs.select("chunk_id", tokenizer(F.col("text")).alias("t"))
     return listed.select("chunk_id", F.coalesce(F.size("t"), F.lit(0)).cast("long").alias("dl"), counted("t").alias("c")).select("chunk_id", "dl", "c.terms", "c.tfs")
 
 
 def postings(lists: DataFrame) -> DataFrame:
     """term, chunk_id, tf, dl of `token_lists`, without a shuffle."""
-    return lists.select("chunk_id", "dl", F.explode(F.arrays_zip("terms", "tfs")).alias("p")).select(F.col("p.terms").alias("term"), "chunk_id", F.col("p.tfs").alias("tf"), "dl")
+    return lists.select("chunk_id", "dl", F.inline(F.arrays_zip("terms", "tfs")).alias("term", "tf")).select("term", "chunk_id", "tf", "dl")
 
 
 def weight(tf: Column, dl: Column, avgdl: Column) -> Column:

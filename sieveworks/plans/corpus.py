@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..operators import chunking, dense, evaluation, providers, sparse
 from ..sources import readers
-from ..storage import cut, passing
+from ..storage import cut, passing, settle
 from .engine import Engine, Method
 
 #: The kinds of sources in the order in which their chunks are numbered, and what cuts them up.
@@ -54,15 +54,15 @@ def build(sources: dict[str, DataFrame], path: str, encode: Callable[[Column], C
     that breaks off goes on after the last group when it is started again.
     """
     spark = next(iter(sources.values())).sparkSession
-    with passing(spark):  # what numbering has written goes before the indexes are built
-        chunk_sources(sources).write.mode("overwrite").option("compression", "gzip").json(f"{path}/chunks")
-    chunks = readers.chunks(spark, f"{path}/chunks")
-    if every:
-        vectors = providers.encode_in_groups(chunks, f"{path}/encoding", encode, model, every)
-        dense.DenseIndex(vectors, dense.DenseIndex.describe(vectors, model)).save(f"{path}/dense")
-    else:
-        dense.DenseIndex.build(chunks, encode, model).save(f"{path}/dense")
     with passing(spark):
+        # what numbering has written goes before the indexes are built, and these read no JSON
+        chunks = settle(spark, lambda: chunk_sources(sources))
+        chunks.write.mode("overwrite").options(**{"compression": "gzip", "zlib.compress.level": "BEST_SPEED"}).json(f"{path}/chunks")
+        if every:
+            vectors = providers.encode_in_groups(chunks, f"{path}/encoding", encode, model, every)
+            dense.DenseIndex(vectors, dense.DenseIndex.describe(vectors, model)).save(f"{path}/dense")
+        else:
+            dense.DenseIndex.build(chunks, encode, model).save(f"{path}/dense")
         sparse.build(chunks.select("chunk_id", "text"), tokenizer).save(f"{path}/sparse")
 
 
