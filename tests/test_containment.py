@@ -48,3 +48,37 @@ def test_only_texts_that_a_string_may_be_in_are_written(spark, monkeypatch):
     strings = spark.createDataFrame([(0, held[7][3:30]), (1, held[9]), (2, "nowhere at all"), (3, "")], "string_id long, string string")
     assert {tuple(r) for r in containment.containing(strings, texts).collect()} == {(0, 7), (1, 9)}
     assert all(w.count() < 300 for w in written if "text" in w.columns)  # all texts were written before
+
+
+def test_what_is_written_grows_with_strings_and_hits(spark, monkeypatch):
+    import hashlib
+
+    written = []
+    monkeypatch.setattr(containment, "cut", lambda df, cut=containment.cut: written.append(out := cut(df)) or out)
+    held = ["".join(hashlib.sha256(f"{i}:{j}".encode()).hexdigest() for j in range(8)) for i in range(40)]
+    strings = [(i, held[i][20 * j : 20 * j + 90]) for i in range(40) for j in range(5)] + [(900, held[0][:90])]
+    got = containment.containing(spark.createDataFrame(strings, "string_id long, string string"), spark.createDataFrame([*enumerate(held), (50, held[7])], "text_id long, text string"))
+    assert sorted(map(tuple, got.collect())) == sorted((i, j) for i, s in strings for j, t in [*enumerate(held), (50, held[7])] if s in t)
+    assert not any("text" in w.columns for w in written)  # texts were written, and then moved once for each of their strings
+    assert [w.count() for w in written if "gram" in w.columns] == [200]  # all grams of strings were asked for before
+
+
+def test_many_pairs_are_merged(spark, monkeypatch):
+    monkeypatch.setattr(containment, "SMALL", 0)
+    test_containing_equals_all_pairs(spark)
+    test_empty_tables(spark)
+
+
+def test_kept_grams_are_the_minimizers_of_each_tier():
+    import numpy as np
+
+    rng = random.Random(6)
+    for _ in range(300):
+        text, tiers = "".join(rng.choices("abé😀 ", k=rng.randint(1, 300))), sorted(rng.sample(range(containment.TIERS + 1), 3))
+        every = np.unique(np.concatenate([containment.minimizers(text, t) for t in tiers]))
+        assert set(containment._kept(text, tiers).view(np.int64).tolist()) == set(every.tolist())
+        known = np.zeros(1 << (containment.FILTER_BITS - 3), dtype=np.uint8)
+        for i in range(containment.PLACES):
+            at = containment._place(every[::2].view(np.uint64), i)
+            np.bitwise_or.at(known, at >> 3, (1 << (at & 7)).astype(np.uint8))
+        assert containment._asked(every.view(np.uint64), known).view(np.int64).tolist() == sorted(every[::2].tolist(), key=lambda x: x % (1 << 64))
